@@ -2,12 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import line_rules, ngram_join
+from . import bpe, language_id, line_rules, ngram_join
 from .common import read
 
 
+def fold(n: int, column: str = "doc_id") -> Column:
+    """crc32 of the id as text, modulo n."""
+    return F.pmod(F.crc32(F.col(column).cast("string")), F.lit(n))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language_id.identify(read(spark, sf_dir, "documents"), learn_from=fold(3) != 1)
+    return found.select("doc_id", F.coalesce(fold(3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    both = bpe.decode(bpe.encode(read(spark, sf_dir, "documents"), path), path)
+    hex_of = lambda text: F.sha2(text.cast("binary"), 256)
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), hex_of(F.array_join(F.col("ids").cast("array<string>"), " ")).alias("ids_sha256"), hex_of(F.col("decoded")).alias("decoded_sha256"))
+
+
 def op7_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.clean_lines(read(spark, sf_dir, "documents")).drop("cleaned")
 
@@ -16,7 +35,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_join(read(spark, sf_dir, "documents"), k=4, threshold=85)
 
 
-QUERIES = {"op7_line_rules": op7_line_rules, "op10_ngram_join": op10_ngram_join}
+QUERIES = {"op3_language_id": op3_language_id, "op5_bpe": op5_bpe, "op7_line_rules": op7_line_rules, "op10_ngram_join": op10_ngram_join}
 
 #: None of these rules, models, searches and files can be told in SQL that runs in reasonable time over whole tables; tests/llm/ holds them against brute force.
 ORACLE_SQL: dict[str, str] = {}
