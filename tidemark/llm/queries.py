@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, line_rules, ngram_join, pii
+from . import bpe, language_id, line_rules, ngram_join, pii, secrets
 from .common import read
 
 
@@ -35,6 +35,12 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(counted(spans, k) for k in pii.BASE), base_digest(spans), joined(spans).alias("spans"))
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = F.col("spans")
+    found = secrets.secret_spans(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", *(counted(spans, k) for k in secrets.BASE), base_digest(spans), joined(spans).alias("spans"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = language_id.identify(read(spark, sf_dir, "documents"), learn_from=fold(3) != 1)
     return found.select("doc_id", F.coalesce(fold(3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
@@ -55,7 +61,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_join(read(spark, sf_dir, "documents"), k=4, threshold=85)
 
 
-QUERIES = {"op1_pii": op1_pii, "op3_language_id": op3_language_id, "op5_bpe": op5_bpe, "op7_line_rules": op7_line_rules, "op10_ngram_join": op10_ngram_join}
+QUERIES = {"op1_pii": op1_pii, "op2_secrets": op2_secrets, "op3_language_id": op3_language_id, "op5_bpe": op5_bpe, "op7_line_rules": op7_line_rules, "op10_ngram_join": op10_ngram_join}
 
 #: None of these rules, models, searches and files can be told in SQL that runs in reasonable time over whole tables; tests/llm/ holds them against brute force.
 ORACLE_SQL: dict[str, str] = {}
