@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, line_rules, ngram_join, pii, quality_pu, secrets
+from . import bpe, knn_join, language_id, line_rules, ngram_join, pii, quality_pu, secrets
 from .common import read
 
 
@@ -57,6 +57,10 @@ def op7_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.clean_lines(read(spark, sf_dir, "documents")).drop("cleaned")
 
 
+def op8_knn_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn_join.knn_join(read(spark, sf_dir, "embeddings"), is_query=F.col("id") % 50 == 0, k=5, scale=256.0)
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_pu.score_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), learn_from=fold(5) != 0)
     return found.select("doc_id", F.coalesce(fold(5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
@@ -66,7 +70,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_join(read(spark, sf_dir, "documents"), k=4, threshold=85)
 
 
-QUERIES = {"op1_pii": op1_pii, "op2_secrets": op2_secrets, "op3_language_id": op3_language_id, "op5_bpe": op5_bpe, "op7_line_rules": op7_line_rules, "op9_quality": op9_quality, "op10_ngram_join": op10_ngram_join}
+QUERIES = {"op1_pii": op1_pii, "op2_secrets": op2_secrets, "op3_language_id": op3_language_id, "op5_bpe": op5_bpe, "op7_line_rules": op7_line_rules, "op8_knn_join": op8_knn_join, "op9_quality": op9_quality, "op10_ngram_join": op10_ngram_join}
 
 #: None of these rules, models, searches and files can be told in SQL that runs in reasonable time over whole tables; tests/llm/ holds them against brute force.
 ORACLE_SQL: dict[str, str] = {}
