@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, knn_join, language_id, line_rules, ngram_join, pii, quality_pu, secrets, warc_zip
+from . import bpe, knn_join, language_id, line_rules, ngram_join, pfair_mix, pii, quality_pu, secrets, warc_zip
 from .common import read, work_path
 
 
@@ -58,6 +58,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), hex_of(F.array_join(F.col("ids").cast("array<string>"), " ")).alias("ids_sha256"), hex_of(F.col("decoded")).alias("decoded_sha256"))
 
 
+def op6_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pfair_mix.mix(read(spark, sf_dir, "documents")).select("doc_id", "source", "block", "slot", "place", "in_mix")
+
+
 def op7_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.clean_lines(read(spark, sf_dir, "documents")).drop("cleaned")
 
@@ -75,7 +79,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_join(read(spark, sf_dir, "documents"), k=4, threshold=85)
 
 
-QUERIES = {"op1_pii": op1_pii, "op2_secrets": op2_secrets, "op3_language_id": op3_language_id, "op4_warc": op4_warc, "op5_bpe": op5_bpe, "op7_line_rules": op7_line_rules, "op8_knn_join": op8_knn_join, "op9_quality": op9_quality, "op10_ngram_join": op10_ngram_join}
+QUERIES = {"op1_pii": op1_pii, "op2_secrets": op2_secrets, "op3_language_id": op3_language_id, "op4_warc": op4_warc, "op5_bpe": op5_bpe, "op6_pfair_mix": op6_pfair_mix, "op7_line_rules": op7_line_rules, "op8_knn_join": op8_knn_join, "op9_quality": op9_quality, "op10_ngram_join": op10_ngram_join}
 
 #: None of these rules, models, searches and files can be told in SQL that runs in reasonable time over whole tables; tests/llm/ holds them against brute force.
 ORACLE_SQL: dict[str, str] = {}
