@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
@@ -188,3 +189,19 @@ def identify(docs: DataFrame, learn_from: Column | None = None, train_docs: int
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(spans, SPANS)], ["doc_id", "lang_pred", "score", "spans"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double, spans array<struct<start: long, end: long, lang: string>>")
+
+
+def identify_rows(docs: DataFrame, train_docs: int = 5000, penalty: float = 15.0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """docs with _lang_pred and _lang_score beside each row; all columns stay as they are."""
+    model = train(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")), train_docs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index(text_col)
+            texts = common.texts_of(batch.column(at).cast(pa.string()))
+            for i, j, _, _ in common.slices(texts):
+                lang, score, _ = zip(*label(texts.slice(i, j - i).to_pylist(), model, penalty), strict=True)
+                part = batch.slice(i, j - i)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*part.schema.names, "_lang_pred", "_lang_score"])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_lang_pred", T.StringType()), T.StructField("_lang_score", T.DoubleType())]))
