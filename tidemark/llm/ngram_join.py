@@ -12,9 +12,9 @@ Nearly empty subsets would bring unrelated sets together. A set that has fewer p
 that must agree is "regular" and leaves them out: some other partition must agree too. The few other sets
 sign everything, so that no pair is lost.
 
-Sets that are equal are one node from the start. Within a bucket of equal signatures, members are first compared to a leader;
-links join them to components, and only pairs of different components of a bucket are looked at again,
-until each has been compared or joined. So no group, however large, is expanded into all its pairs, and no link is lost.
+Sets that are equal are one node from the start. What meets in buckets of equal signatures falls into clusters around the
+sets that share most with others; the texts of a cluster are compared in blocks within tasks, which return only the edges of a spanning forest.
+Then the pairs that buckets hold across clusters are compared, unless they are joined already. So no group is expanded into rows for all its pairs, and no link is lost.
 Shingles are compared by 64-bit hashes.
 
 Defined cases: null or empty text, or no words: size 0, a component of its own. Fewer words than k: the whole sequence
@@ -188,37 +188,91 @@ def components(edges: DataFrame) -> DataFrame:
             return roots
 
 
-def linked_components(members: DataFrame, shingles: DataFrame, threshold: int) -> DataFrame:
-    """(node, root) of the nodes that are linked to others, from the buckets' members."""
-    spark = members.sparkSession
-    links = spark.createDataFrame([], "a long, b long")
-    failed = links
-    roots = None
-    step = 0
+def clusters(members: DataFrame) -> DataFrame:
+    """(node, cluster): each node goes to the node that shares most with others among all that it meets in its buckets; that one is in its own cluster too."""
+    w = Window.partitionBy("bucket")
+    weight = members.withColumn("size", F.count("*").over(w)).groupBy("node").agg(F.sum("size").alias("weight"))
+    top = members.join(weight, "node").withColumn("top", F.max(F.struct("weight", "node")).over(w)).groupBy("node").agg(F.max("top").alias("top"))
+    own = top.select("node", F.col("top.node").alias("cluster"))
+    return own.union(own.select(F.col("cluster").alias("node"), "cluster")).distinct()
+
+
+def linked_in_block(nodes: list[int], sets_: list[np.ndarray], threshold: int) -> list[tuple[int, int]]:
+    """Edges that join the linked among the sets: each set's edge leads to the least of its component."""
+    sizes = np.array([len(s) for s in sets_])
+    n = len(sets_)
+    _, inverse, count = np.unique(np.concatenate(sets_), return_inverse=True, return_counts=True)
+    row, shared = np.repeat(np.arange(n), sizes), count[inverse] > 1  # an element of one set alone is in no intersection
+    column = np.cumsum(count > 1)[inverse[shared]] - 1
+    row = row[shared]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both = np.zeros((n, n), np.float32)
+    width = 4096
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        a, b = np.searchsorted(column, (lo, lo + width))
+        part = np.zeros((n, width), np.float32)
+        part[row[a:b], column[a:b] - lo] = 1
+        both += part @ part.T
+    linked = 100 * both.astype(np.int64) >= threshold * (sizes[:, None] + sizes[None, :] - both.astype(np.int64))
+    np.fill_diagonal(linked, True)
+    label = np.arange(n)
     while True:
-        if roots is None:
-            open_ = members.withColumn("root", F.col("node"))
-        else:
-            open_ = members.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-        w = Window.partitionBy("bucket")
-        open_ = open_.withColumns({"low": F.min(F.struct("root", "node")).over(w), "high": F.max("root").over(w)}).where("low.root < high")
-        if step < 2:
-            pairs = open_.where("root > low.root").select(F.col("node").alias("a"), F.col("low.node").alias("b"))
-            pairs = pairs.groupBy("a").agg(F.min("b").alias("b")) if step == 0 else pairs.distinct()
-        else:
-            left, right = open_.select("bucket", F.col("node").alias("a"), F.col("root").alias("ra")), open_.select("bucket", F.col("node").alias("b"), F.col("root").alias("rb"))
-            pairs = left.join(right, "bucket").where("ra < rb").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).join(failed, ["a", "b"], "left_anti")
-        tested = common.saved(compared(pairs, shingles, threshold), "tested")
-        n = {bool(r[0]): r[1] for r in tested.groupBy("linked").count().collect()}
-        if n.get(False):
-            failed = failed.union(tested.where("not linked").select("a", "b"))
-        if n.get(True):
-            links = links.union(tested.where("linked").select("a", "b"))
-            roots = components(links)
-        if step >= 2:
-            return spark.createDataFrame([], "node long, root long") if roots is None else roots
-        step += 1
+        after = np.where(linked, label[None, :], n).min(1)
+        after = np.minimum(after, after[after])
+        if (after == label).all():
+            return [(nodes[i], nodes[k]) for i, k in enumerate(label) if i != k]
+        label = after
+
+
+def links_in_clusters(clustered: DataFrame, shingles: DataFrame, threshold: int, block_sets: int = 1000, block_shingles: int = 1_000_000) -> DataFrame:
+    """Edges (a, b) that join what is linked within each cluster. A large cluster is dealt out in blocks, and each two blocks of it meet in a task of their own."""
+    sized = clustered.join(shingles, "node")
+    need = sized.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / block_sets), F.ceil(F.sum(F.size("shingles").cast("long")) / block_shingles)).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    placed = sized.join(need, "cluster").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = placed.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "shingles")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, nodes, found, edges = None, [], [], []
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True))
+            values, ends = batch.column(4).flatten().to_numpy(), np.cumsum(batch.column(4).value_lengths().to_numpy())
+            for r, (k, node) in enumerate(zip(keys, batch.column(3).to_pylist(), strict=True)):
+                if k != key:
+                    if len(nodes) > 1:
+                        edges += linked_in_block(nodes, found, threshold)
+                    key, nodes, found = k, [], []
+                nodes.append(node)
+                found.append(values[ends[r - 1] if r else 0 : ends[r]])
+            if len(edges) > 10_000:
+                yield edge_batch(edges)
+                edges = []
+        if len(nodes) > 1:
+            edges += linked_in_block(nodes, found, threshold)
+        if edges:
+            yield edge_batch(edges)
+
+    def edge_batch(edges: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], ["a", "b"])
+
+    return placed.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(run, "a long, b long")
+
+
+def linked_components(members: DataFrame, shingles: DataFrame, clustered: DataFrame, threshold: int) -> DataFrame:
+    """(node, root) of the nodes that are linked to others. Clusters are settled first; then the pairs that buckets hold across clusters and components are compared."""
+    links = common.saved(links_in_clusters(clustered, shingles, threshold), "links")
+    roots = components(links)
+    own = clustered.groupBy("node").agg(F.max("cluster").alias("cluster"), F.min("cluster").alias("least"))
+    w = Window.partitionBy("bucket")
+    named = members.join(own, "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    span = {f"{f.__name__}_{c}": f(c).over(w) for f in (F.min, F.max) for c in ("cluster", "root")}
+    open_ = named.withColumns(span).where("min_root < max_root and min_cluster < max_cluster")
+    left, right = (open_.select("bucket", *(F.col(c).alias(c + x) for c in ("node", "root", "cluster", "least"))) for x in "ab")
+    apart = "roota < rootb and clustera <> clusterb and clustera <> leastb and leasta <> clusterb and leasta <> leastb"
+    pairs = left.join(right, "bucket").where(apart).select(F.col("nodea").alias("a"), F.col("nodeb").alias("b")).distinct()
+    across = common.saved(compared(pairs, shingles, threshold), "across").where("linked").select("a", "b")
+    return roots if across.isEmpty() else components(links.union(across))
 
 
 def jaccard_join(docs: DataFrame, k: int = 5, threshold: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -228,7 +282,7 @@ def jaccard_join(docs: DataFrame, k: int = 5, threshold: int = 80, id_col: str =
     members = common.saved(buckets(signed(docs, k, threshold, text_col)), "buckets")
     reps = common.saved(classes.join(members.select("node").distinct(), "node", "left_semi"), "reps")
     shingles = common.saved(shingles_of(docs, reps, k, id_col, text_col), "shingles")
-    roots = linked_components(members, shingles, threshold)
+    roots = linked_components(members, shingles, common.saved(clusters(members), "clusters"), threshold)
     named = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of_node = named.join(least, "root").select("node", "component_id")
