@@ -4,7 +4,8 @@ log-likelihood ratio.
 Both models are of second order: the chance of a character given the two before it, over classes of the characters that
 tokens are made of, smoothed by the first-order chance. They are trained from labelled samples: a token is
 labelled random if a fixed pattern found it (an assigned value that mixes letters and digits, an access key, a hexadecimal run), or comes
-from the generated ones; ordinary samples are the words of a bounded sample of documents. A token whose log-likelihood ratio
+from the generated ones; ordinary samples are the words of a bounded sample of documents that
+the models won't have to judge. A token whose log-likelihood ratio
 for each character is over the threshold, and that is long enough, is reported as `random`, if no base span overlaps it.
 
 Defined cases: null or empty text: no spans. Texts of any length are read whole; positions count code points. Without
@@ -61,10 +62,15 @@ def base_spans(text: str) -> list[tuple[int, int, str, str]]:
     return sorted(out, key=lambda s: (s[0], BASE.index(s[2])))
 
 
+def mixed(token: str) -> bool:
+    """Whether the token has a digit and a letter."""
+    return any("0" <= c <= "9" for c in token) and any(c.isalpha() for c in token)
+
+
 def other_tokens(text: str, base: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str]]:
     out = []
     for m in TOKEN.finditer(text):
-        if any("0" <= c <= "9" for c in m[0]) and any(c.isalpha() for c in m[0]) and not any(a < m.end() and m.start() < b for a, b, _, _ in base):
+        if mixed(m[0]) and not any(a < m.end() and m.start() < b for a, b, _, _ in base):
             out.append((m.start(), m.end(), m[0]))
     return out
 
@@ -118,8 +124,9 @@ def train(docs: DataFrame, spans: DataFrame, sample_docs: int = 5000, id_col: st
         total = np.zeros(N**3, np.int64)
         for batch in batches:
             for text in common.texts_of(batch.column(0)).to_pylist():
-                if found := WORD.findall(HEX.sub(" ", ACCESS.sub(" ", ASSIGN.sub(" ", text)))):
-                    total += np.bincount(np.concatenate([trigrams(w) for w in dict.fromkeys(found)]), minlength=N**3)
+                found = WORD.findall(HEX.sub(" ", ACCESS.sub(" ", ASSIGN.sub(" ", text))))
+                if plain := [w for w in dict.fromkeys(found) if len(w) < 16 or not mixed(w)]:
+                    total += np.bincount(np.concatenate([trigrams(w) for w in plain]), minlength=N**3)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array([0] * len(at), pa.int32()), pa.array(at, pa.int32()), pa.array(total[at])], ["label", "gram", "n"])
 
