@@ -1,0 +1,342 @@
+import base64
+import hashlib
+import zipfile
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from tests.llm import brute, fixtures
+from tidemark.llm import bpe, common, knn_join, language_id, line_rules, ngram_join, pfair_mix, pii, quality_pu, queries, secrets, warc_zip
+
+ROWS = fixtures.documents()
+TEXT = {r[0]: r[1] for r in ROWS}
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return fixtures.frame(spark).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return fixtures.frame(spark, []).where("false")
+
+
+def test_personal_data(docs, empty):
+    found = pii.personal_spans(docs).collect()
+    assert Counter(r["doc_id"] for r in found) == Counter(r[0] for r in ROWS)
+    for r in found:
+        spans = [(s["kind"], s["start"], s["end"]) for s in r["spans"] if s["base"]]
+        assert spans == brute.pii_base(TEXT[r["doc_id"]])
+    assert any(r["spans"] for r in found)
+    assert pii.personal_spans(empty).collect() == []
+
+
+def test_personal_data_in_hard_texts(spark):
+    hard = ["a@b.c_d@e.f", "1.2.3.4.5.6.7.8", "256.1.1.1 0001.2.3.4", "a@" + "b." * 30_000 + "c", "+1" + "(" * 30_000, "1 " * 30_000, "4111-1111 1111-1111-", "+12345678 +1234567", "é😀a@b.c", "a@@b.c @d.e x@y"]
+    found = pii.personal_spans(spark.createDataFrame(list(enumerate(hard)), "doc_id long, text string")).collect()
+    for r in found:
+        assert [(s["kind"], s["start"], s["end"]) for s in r["spans"] if s["base"]] == brute.pii_base(hard[r["doc_id"]])
+
+
+def test_added_personal_spans(spark):
+    """Local numbers after a word of contact are found; numbers after order words are not, once both are seen often enough."""
+    rows = [(i, f"Please call me (555) 123-{1000 + i} today. ") for i in range(60)] + [(100 + i, f"See invoice 555-123-{1000 + i} here. ") for i in range(60)]
+    rows += [(200 + i, f"Mail a{i}@mail.example.com and phone +1 (555) 222-{1000 + i}.") for i in range(60)]
+    found = {r["doc_id"]: r["spans"] for r in pii.personal_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(any(s["kind"] == "tel" for s in found[i]) for i in range(60))
+
+
+def test_no_python_in_the_plan_of_personal_data(docs):
+    plan = pii.personal_spans(docs)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_secrets(docs, empty):
+    found = secrets.secret_spans(docs).collect()
+    assert Counter(r["doc_id"] for r in found) == Counter(r[0] for r in ROWS)
+    for r in found:
+        text = TEXT[r["doc_id"]] or ""
+        base = [(s["kind"], s["start"], s["end"]) for s in r["spans"] if s["base"]]
+        assert base == brute.secrets_base(text)
+        for s in r["spans"]:
+            assert s["base"] or (s["score"] >= 1 and len(text[s["start"] : s["end"]]) >= 16)
+    assert secrets.secret_spans(empty).collect() == []
+
+
+def test_random_strings_and_identifiers(spark):
+    random_, plain = secrets.generated(60, seed=99), ["getUserAccountBalance2", "internationalization18n", "very-long-hyphenated-name-1", "background_image_width2"]
+    words = "get user account balance international hyphenated very long name background image width colour table index value total amount".split()
+    rows = [(i, " ".join(words[(i + k) % len(words)] for k in range(200))) for i in range(50)] + [(1000 + i, f"see {t} here") for i, t in enumerate(random_)] + [(2000 + i, f"see {t} here") for i, t in enumerate(plain)]
+    hit = {r["doc_id"] for r in secrets.secret_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r["spans"]}
+    eligible = [1000 + i for i, t in enumerate(random_) if any(c.isdigit() for c in t) and any(c.isalpha() for c in t)]
+    assert sum(i in hit for i in eligible) >= 0.9 * len(eligible)
+    assert not any(i >= 2000 for i in hit)
+
+
+def test_redaction(docs):
+    clean = secrets.redact(docs)
+    assert clean.columns == docs.columns and clean.count() == len(ROWS)
+    for r in clean.collect():
+        assert not brute.secrets_base(r["text"]) if r["text"] else r["text"] == TEXT[r["doc_id"]]
+
+
+def test_language(spark, docs, empty):
+    held = queries.fold(3) == 1
+    found = {r["doc_id"]: r for r in language_id.identify(docs, learn_from=queries.fold(3) != 1).withColumn("held", held).collect()}
+    wrong = [r[0] for r in ROWS if r[1] and r[2] and any(c.isalpha() for c in r[1]) and len(r[1]) > 100 and r[0] is not None and r[0] < 120 and found[r[0]]["lang_pred"] != r[2]]
+    assert len(wrong) <= 1
+    for r in ROWS:
+        letters = any(c.isalpha() for c in r[1] or "")
+        assert (found[r[0]]["lang_pred"] == "und") == (not letters) and 0 <= found[r[0]]["score"] <= 1
+    assert language_id.identify(empty).collect() == []
+    assert {r["lang_pred"] for r in language_id.identify(docs, learn_from=F.lit(False)).collect()} == {"und"}
+
+
+def test_mixed_language_spans(spark, docs):
+    text = fixtures.text_of(__import__("random").Random(4), "en", 60) + " " + fixtures.text_of(__import__("random").Random(5), "ru", 60) + " " + fixtures.text_of(__import__("random").Random(6), "de", 60)
+    row = language_id.identify(docs.select("doc_id", "text", "lang").union(spark.createDataFrame([(999, text, None)], "doc_id long, text string, lang string"))).where("doc_id = 999").first()
+    assert [s["lang"] for s in row["spans"]] == ["en", "ru", "de"]
+
+
+def test_viterbi_shortcut_is_exact():
+    r = np.random.default_rng(3)
+    for _ in range(200):
+        scores, penalty = r.normal(0, 1, (12, 3)), 2.0
+        path = language_id.viterbi(scores, penalty)
+        value = lambda p: sum(scores[t, k] for t, k in enumerate(p)) - penalty * sum(a != b for a, b in zip(p, p[1:]))
+        best = scores[0]
+        for row in scores[1:]:
+            best = np.maximum(best, best.max() - penalty) + row
+        assert value(list(path)) == pytest.approx(best.max())
+
+
+def test_archives(spark):
+    rows = [(i, f"https://a.example/{i}", "x" * (i % 7) + "é") for i in range(40)] + [(40, None, None), (41, "u", ""), (42, "u", "y" * 300_000), (None, "u", "zz"), (None, "u", "x" + "é"), (42, "u", "y" * 300_000)]
+    pages = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, sha string").repartition(3)
+    for zip64 in (False, True):
+        archives = warc_zip.write_archives(pages, common.work_path(spark, "warc"), zip64=zip64)
+        for a in archives.collect():
+            with zipfile.ZipFile(a["path"].removeprefix("file:")) as z:
+                assert z.testzip() is None and all(i.compress_type == 0 for i in z.infolist())
+        back = warc_zip.read_records(warc_zip.locate_records(archives)).collect()
+        largest = {}
+        for i, _, h in rows:
+            largest[h or ""] = max(largest.get(h or "", -1), -1 if i is None else i)
+        expected = Counter()
+        for i, _, h in rows:
+            p, top = (h or "").encode(), largest[h or ""]
+            revisit = top >= 0 and top != i
+            expected[i, len(p), base64.b32encode(hashlib.sha1(p).digest()).decode(), "revisit" if revisit else "response", top if revisit else None, None if revisit else p] += 1
+        assert Counter((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"], None if r["payload"] is None else bytes(r["payload"])) for r in back) == expected
+    assert warc_zip.archive_and_read(spark, pages.where("false"), common.work_path(spark, "warc")).collect() == []
+
+
+def test_damaged_archive(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "x.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr(warc_zip.DATA, "abc" * 100)
+    with open(tmp_path / "x.zip", "rb") as f, pytest.raises(ValueError, match="compressed as a whole"):
+        warc_zip.located(f, (tmp_path / "x.zip").stat().st_size, warc_zip.DATA)
+
+
+def test_bpe(docs, empty):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    both = bpe.decode(bpe.encode(docs, path), path).collect()
+    assert Counter(r["doc_id"] for r in both) == Counter(r[0] for r in ROWS)
+    for r in both:
+        ids = library.encode(TEXT[r["doc_id"]] or "", add_special_tokens=False).ids
+        assert r["ids"] == ids and r["decoded"] == library.decode(ids, skip_special_tokens=False)
+    assert sorted(map(str, bpe.encode(docs, path, decoded=True).collect())) == sorted(map(str, both))
+    assert bpe.encode(empty, path).collect() == []
+
+
+def test_bpe_on_random_strings():
+    import random
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, own, r = Tokenizer.from_file(path), bpe.Vocabulary(path), random.Random(8)
+    alphabets = ("abcdefghij", "the'sldm 012!?.-_", "éèßÄ Σςİ", "漢字かな한국 عرب", "́̈e \x1c\x1d\x85\xa0​\x0b", "😀👍½²Ⅷ௧ǅ")
+    for _ in range(4000):
+        s = "".join(r.choice(r.choice(alphabets)) for _ in range(r.randrange(30)))
+        assert own.encode(s) == library.encode(s, add_special_tokens=False).ids
+    assert own.encode("a" * 20_000) == library.encode("a" * 20_000, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("parts", [{"a": 1}, {"a": 5, "b": 3, "c": 2}, {"a": 500, **{f"s{i}": 10 for i in range(50)}}, {"a": 7, "b": 7}, {"x": 997, "y": 2, "z": 1}])
+def test_schedule_deviates_by_less_than_a_block(parts):
+    total, seen = sum(parts.values()), Counter()
+    slots = pfair_mix.schedule(parts)
+    for t, (source, k) in enumerate(slots, 1):
+        assert k == seen[source]
+        seen[source] += 1
+        assert all(abs(seen[s] * total - t * n) < total for s, n in parts.items())
+    assert seen == Counter(parts)
+
+
+def test_mix(spark, docs, empty):
+    weights = {"s0": 5, "s1": 2, "s2": 2, "s3": 1, "s4": 0}
+    found = pfair_mix.mix(docs, weights, block_chars=400, min_live=0.5, ranges=4).collect()
+    assert len(found) == len(ROWS)
+    assert all((r["slot"] is None) == (r["source"] in ("s4", "")) for r in found)
+    slots = {(r["source"], r["block"]): r["slot"] for r in found if r["slot"] is not None}
+    assert sorted(slots.values()) == list(range(len(slots)))
+    order = [s for (s, _), _ in sorted(slots.items(), key=lambda x: x[1])]
+    live_until = min(max(t for t, s in enumerate(order) if s == name) for name in ("s0", "s1", "s2", "s3"))
+    blocks, seen = Counter(order), Counter()
+    whole = min(blocks[s] // weights[s] for s in blocks) * 10
+    for t, s in enumerate(order[:whole], 1):
+        seen[s] += 1
+        assert all(abs(seen[x] * 10 - t * weights[x]) < 10 for x in blocks)
+    assert live_until >= whole - 10
+    # The brute force: simulate frame by frame.
+    expected, f = [], 0
+    while any(n > f * weights[s] for s, n in blocks.items()):
+        expected += [s for s, _ in pfair_mix.schedule({s: min(weights[s], n - f * weights[s]) for s, n in blocks.items() if n > f * weights[s]})]
+        f += 1
+    assert order == expected
+    assert pfair_mix.mix(empty, weights).collect() == [] and pfair_mix.mix(empty).collect() == []
+
+
+def test_mixed_keeps_rows(docs):
+    out = pfair_mix.mixed(docs, block_chars=400, min_live=0.01, ranges=4)
+    assert out.columns == docs.columns
+    assert Counter(r["doc_id"] for r in out.collect()) <= Counter(r[0] for r in ROWS)
+
+
+def test_line_rules(docs, empty):
+    found = line_rules.clean_lines(docs).collect()
+    assert len(found) == len(ROWS)
+    for r in found:
+        text = TEXT[r["doc_id"]] or ""
+        w = brute.words(text)
+        windows = Counter(zip(w, w[1:], w[2:]))
+        again = {i + j for i in range(len(w) - 2) if windows[w[i], w[i + 1], w[i + 2]] > 1 for j in range(3)}
+        lines = [x for x in text.split("\n") if brute.words(x)]
+        failed = len(w) < 50 or 100 * len(again) > 50 * len(w)
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) == (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(again), failed)
+        assert not (failed and r["kept"]) and (failed or r["kept"] == (r["lost"] <= 0.4))
+    assert line_rules.clean_lines(empty).collect() == []
+
+
+def test_line_verdicts():
+    assert line_rules.line_fails("Home | News | About | Contact") == "navigation"
+    assert line_rules.line_fails("All rights reserved.") == "boilerplate"
+    assert line_rules.line_fails("w### of*** the$$$ it%%%") == "symbols"
+    assert line_rules.line_fails("a line without any end mark here") == "punctuation"
+    assert line_rules.line_fails("A plain sentence of a text, with an end.") == "" == line_rules.line_fails("  ")
+
+
+def test_knn_join(spark):
+    r = np.random.default_rng(1)
+    rows = [(i, [float(x) for x in r.normal(0, 0.2, 8).astype(np.float32)]) for i in range(400)]
+    rows += [(400 + i, rows[3][1]) for i in range(60)]  # ties
+    rows += [(500, None), (550, []), (600, [float("nan")] * 8), (650, [float("inf")] * 8), (700, [None] * 8), (None, rows[0][1]), (750, [1.0, 2.0])]
+    df = spark.createDataFrame([(i, v, "clash") for i, v in rows], "vec_id long, embedding array<float>, cell string").repartition(4)
+    fine = {i: np.pad(np.floor(256 * np.array(v, float)), (0, 8 - len(v))) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)}
+    expected = []
+    for q in (i for i in fine if i % 50 == 0):
+        scores = sorted(((-int(fine[q] @ fine[x]), x) for x in fine if x != q))[:5]
+        expected += [(q, k, x, -s) for k, (s, x) in enumerate(scores, 1)]
+    for size, block in ((512, 20_000), (2, 50)):
+        got = knn_join.knn_join(df, F.col("id") % 50 == 0, group_size=size, block_rows=block).collect()
+        assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == sorted(expected)
+    few = df.where("vec_id in (0, 7)")
+    assert len(knn_join.knn_join(few, F.col("id") % 50 == 0).collect()) == 1
+    assert knn_join.knn_join(df.where("false"), F.col("id") % 50 == 0).collect() == []
+
+
+def test_quality(spark):
+    import random
+
+    r, rows, labels = random.Random(2), [], []
+    for i in range(600):
+        good = r.random() < 0.7
+        text = fixtures.text_of(r, "en", r.randrange(60, 200))
+        rows.append((i, text if good else " | ".join(w + r.choice(["###", "$$$", "%%%"]) for w in text.split()), "clash"))
+        if i % 2:
+            labels.append((i, int(good)))
+    rows += [(1000, None, ""), (1001, "", ""), (1002, "x " * 20_000, ""), (7, rows[7][1], "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score string")
+    marks = spark.createDataFrame([*labels, (None, 1), (9999, None)], "doc_id long, quality int")
+    found = quality_pu.score_quality(docs, marks, learn_from=queries.fold(5) != 0).withColumn("held", queries.fold(5) == 0).collect()
+    assert len(found) == len(rows)
+    truth = dict(labels)
+    held = [x for x in found if x["held"] and x["doc_id"] in truth]
+    assert sum(x["predicted"] == truth[x["doc_id"]] for x in held) >= 0.9 * len(held)
+    assert all(0 <= x["score"] <= 1 and x["predicted"] == int(x["score"] >= 0.3) for x in found)
+    assert {x["score"] for x in quality_pu.score_quality(docs, marks.where("false")).collect()} == {0.5}
+    assert quality_pu.score_quality(docs.where("false"), marks).collect() == []
+
+
+def test_class_prior():
+    r = np.random.default_rng(0)
+    p, n = r.beta(8, 2, 4000), r.beta(2, 8, 4000)
+    assert abs(quality_pu.class_prior(p[:2000], np.concatenate((p[2000:], n[:1000]))) - 2 / 3) < 0.06
+
+
+def jaccard_classes(rows, k, threshold):
+    lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+    sets = []
+    for i, text in rows:
+        w = brute.words((text or "").translate(lower))
+        sets.append((i, frozenset(zip(*(w[j:] for j in range(k)))) if len(w) >= k else frozenset([tuple(w)] if w else [])))
+    label = list(range(len(sets)))
+
+    def find(a):
+        while label[a] != a:
+            a = label[a]
+        return a
+
+    for a in range(len(sets)):
+        for b in range(a):
+            x, y = sets[a][1], sets[b][1]
+            if x and y and 100 * len(x & y) >= threshold * len(x | y):
+                label[find(a)] = find(b)
+    least = {}
+    for a, (i, _) in enumerate(sets):
+        if i is not None:
+            least[find(a)] = min(least.get(find(a), i), i)
+    return Counter((i, len(s), least.get(find(a)) if s else i) for a, (i, s) in enumerate(sets))
+
+
+@pytest.mark.parametrize("k, threshold", [(4, 85), (5, 80), (2, 60)])
+def test_ngram_join(spark, docs, empty, k, threshold):
+    got = Counter(map(tuple, ngram_join.jaccard_join(docs, k, threshold).collect()))
+    assert got == jaccard_classes([(r[0], r[1]) for r in ROWS], k, threshold)
+    if k == 4:
+        assert ngram_join.jaccard_join(empty, k, threshold).collect() == []
+
+
+def test_ngram_join_of_chains_and_short_texts(spark):
+    import random
+
+    r = random.Random(11)
+    rows, words = [], [f"w{i}" for i in range(60)]
+    for i in range(60):  # a chain: each differs a little from the one before, the ends have little in common
+        words = words[:]
+        words[(i * 7) % 60] = f"n{i}"
+        rows.append((1000 - i, " ".join(words)))
+    rows += [(2000 + i, " ".join(r.choice("abc") for _ in range(r.randrange(1, 14)))) for i in range(250)]
+    got = Counter(map(tuple, ngram_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()))
+    assert got == jaccard_classes(rows, 4, 85)
+
+
+def test_blocks_of_a_cluster_agree(spark):
+    """Small blocks: a cluster that is dealt out in many gives the same links."""
+    import random
+
+    r = random.Random(12)
+    base = fixtures.text_of(r, "en", 120)
+    rows = [(i, fixtures.near(r, base, r.randrange(10))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    members = ngram_join.buckets(ngram_join.signed(df, 4, 85))
+    classes = ngram_join.sets(df, 4).groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    shingles = ngram_join.shingles_of(df, classes, 4, "doc_id", "text")
+    clustered = ngram_join.clusters(members)
+    parts = [ngram_join.components(ngram_join.links_in_clusters(clustered, shingles, 85, block_sets=n)) for n in (1000, 7)]
+    assert sorted(map(tuple, parts[0].collect())) == sorted(map(tuple, parts[1].collect()))

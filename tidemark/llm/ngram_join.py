@@ -226,7 +226,7 @@ def linked_in_block(nodes: list[int], sets_: list[np.ndarray], threshold: int) -
 
 
 def links_in_clusters(clustered: DataFrame, shingles: DataFrame, threshold: int, block_sets: int = 1000, block_shingles: int = 1_000_000) -> DataFrame:
-    """Edges (a, b) that join what is linked within each cluster. A large cluster is dealt out in blocks, and each two blocks of it meet in a task of their own."""
+    """Edges (a, b) that join what is linked within each cluster, the same ones each time they are computed. A large cluster is dealt out in blocks, and each two blocks of it meet in a task of their own."""
     sized = clustered.join(shingles, "node")
     need = sized.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / block_sets), F.ceil(F.sum(F.size("shingles").cast("long")) / block_shingles)).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
@@ -256,7 +256,7 @@ def links_in_clusters(clustered: DataFrame, shingles: DataFrame, threshold: int,
     def edge_batch(edges: list) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], ["a", "b"])
 
-    return placed.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(run, "a long, b long")
+    return placed.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "node").mapInArrow(run, "a long, b long")
 
 
 def linked_components(members: DataFrame, shingles: DataFrame, clustered: DataFrame, threshold: int) -> DataFrame:
