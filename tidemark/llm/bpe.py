@@ -31,9 +31,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Chunks between white space whose ids a worker remembers; it forgets all when there are more.
-REMEMBERED = 1_000_000
-LONGEST_REMEMBERED = 60
+#: Chunks between white space whose ids a worker remembers, twice over: when so many are new, the older half that wasn't met again is forgotten.
+REMEMBERED = 200_000
+LONGEST_REMEMBERED = 40
 SEPARATORS = re.compile("[\x1c-\x1f]")
 ODD_SPACE = re.compile(r"[^\S\x1c-\x1f]+")
 
@@ -101,7 +101,10 @@ class Vocabulary:
         self.bytes = np.frombuffer(b"".join(pieces), np.uint8)
         self.plain = [chr(0x4E00 + b) for b in range(256)]
         self.last = [chr(0x5E00 + b) for b in range(256)]
-        self.seen: dict[str, list[int]] = {}
+        self.seen: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
+        self.seen_words: dict[str, list[int]] = {}
+        self.seen_pairs: dict[int, bool] = {}
 
     def _symbols(self, text: str) -> str:
         ended = text.endswith(self.end) and len(text) > len(self.end)
@@ -144,11 +147,22 @@ class Vocabulary:
         dead = bytearray(n + 1)
         out: list[int] = []
         at, token = 0, longest[0]
-        length, many = self.symbols, 1 << 60
+        length, seen, many = self.symbols, self.seen_pairs, 1 << 60
+        if len(seen) > REMEMBERED:
+            seen.clear()
         while at < n:
             while token >= 0:
                 to = at + len(length[token])
-                if not dead[to] and (not out or self.compatible(out[-1], token, many)):
+                if dead[to]:
+                    fits = False
+                elif not out:
+                    fits = True
+                else:
+                    pair = out[-1] << 32 | token
+                    fits = seen.get(pair)
+                    if fits is None:
+                        fits = seen[pair] = self.compatible(out[-1], token, many)
+                if fits:
                     out.append(token)
                     at = to
                     token = longest[at] if at < n else -1
@@ -164,8 +178,15 @@ class Vocabulary:
         """The ids of a piece of normalized text without white space."""
         ids: list[int] = []
         for w in self.pattern.findall(text):
-            own = w.encode("utf-8", "surrogatepass")
-            ids += self.word("".join([self.plain[b] for b in own[:-1]]) + self.last[own[-1]])
+            found = self.seen_words.get(w)
+            if found is None:
+                own = w.encode("utf-8")
+                found = self.word("".join([self.plain[b] for b in own[:-1]]) + self.last[own[-1]])
+                if len(w) <= LONGEST_REMEMBERED:
+                    if len(self.seen_words) >= REMEMBERED:
+                        self.seen_words.clear()
+                    self.seen_words[w] = found
+            ids += found
         return ids
 
     def encode(self, text: str) -> list[int]:
@@ -186,10 +207,11 @@ class Vocabulary:
         for piece in ODD_SPACE.split(text) if SEPARATORS.search(text) else text.split():
             found = seen.get(piece)
             if found is None:
-                found = self.chunk(piece)
+                found = self.older.get(piece) or tuple(self.chunk(piece))
                 if len(piece) <= LONGEST_REMEMBERED:
                     if len(seen) >= REMEMBERED:
-                        seen.clear()
+                        self.older, self.seen = seen, {}
+                        seen = self.seen
                     seen[piece] = found
             ids += found
         return ids
@@ -218,8 +240,8 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, ids (array<int>) of each text; path: a vocabulary file that is at the same place on every machine."""
+def encode(docs: DataFrame, path: str, decoded: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, ids (array<int>) of each text, and if asked for the text that they decode to (in the same pass, so one set of workers serves both). path: a vocabulary file that is at the same place on every machine."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .bpe import vocabulary as shared
@@ -229,11 +251,15 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             texts = common.texts_of(batch.column(1))
             for i, j, _, _ in common.slices(texts):
                 found = [np.array(vocab.encode(t), np.int32) for t in texts.slice(i, j - i).to_pylist()]
-                ends = np.cumsum([0] + [len(x) for x in found])
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found), pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), lists], ["doc_id", "ids"])
+                ends, flat = np.cumsum([0] + [len(x) for x in found]), np.concatenate(found)
+                columns = [batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))]
+                if decoded:
+                    columns.append(pa.array(vocab.decode(flat, ends), pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
+    names = ["doc_id", "ids", "decoded"][: 2 + decoded]
+    schema = "doc_id long, ids array<int>" + ", decoded string" * decoded
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -244,9 +270,11 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
 
         vocab = shared(path)
         for batch in batches:
-            ids = batch.column(1)
-            starts = np.concatenate(([0], np.cumsum([0 if n is None else n for n in ids.value_lengths().to_pylist()]))).astype(np.int64)
-            decoded = vocab.decode(ids.flatten().to_numpy(zero_copy_only=False), starts)
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"])
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                ids = part.column(1)
+                starts = np.concatenate(([0], np.cumsum([n or 0 for n in ids.value_lengths().to_pylist()]))).astype(np.int64)
+                decoded = vocab.decode(ids.flatten().to_numpy(zero_copy_only=False), starts)
+                yield pa.RecordBatch.from_arrays([part.column(0), ids, pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"])
 
     return encoded.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids")).mapInArrow(run, "doc_id long, ids array<int>, decoded string")

@@ -53,7 +53,7 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
-    both = bpe.decode(bpe.encode(read(spark, sf_dir, "documents"), path), path)
+    both = bpe.encode(read(spark, sf_dir, "documents"), path, decoded=True)
     hex_of = lambda text: F.sha2(text.cast("binary"), 256)
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), hex_of(F.array_join(F.col("ids").cast("array<string>"), " ")).alias("ids_sha256"), hex_of(F.col("decoded")).alias("decoded_sha256"))
 
