@@ -335,8 +335,8 @@ def test_blocks_of_a_cluster_agree(spark):
     rows = [(i, fixtures.near(r, base, r.randrange(10))) for i in range(60)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     members = ngram_join.buckets(ngram_join.signed(df, 4, 85))
-    classes = ngram_join.sets(df, 4).groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    classes = ngram_join.sets(df, 4).groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n_shingles"))
     shingles = ngram_join.shingles_of(df, classes, 4, "doc_id", "text")
     clustered = ngram_join.clusters(members)
-    parts = [ngram_join.components(ngram_join.links_in_clusters(clustered, shingles, 85, block_sets=n)) for n in (1000, 7)]
+    parts = [ngram_join.components(ngram_join.links_in_clusters(clustered, shingles, classes, 85, block_sets=n)) for n in (1000, 7)]
     assert sorted(map(tuple, parts[0].collect())) == sorted(map(tuple, parts[1].collect()))

@@ -14,6 +14,7 @@ sign everything, so that no pair is lost.
 
 Sets that are equal are one node from the start. What meets in buckets of equal signatures falls into clusters around the
 sets that share most with others; the texts of a cluster are compared in blocks within tasks, which return only the edges of a spanning forest.
+Before that, sizes and small sketches of the sets rule out most members that share a signature by chance, by exact lower bounds, so few texts are read again.
 Then the pairs that buckets hold across clusters are compared, unless they are joined already. So no group is expanded into rows for all its pairs, and no link is lost.
 Shingles are compared by 64-bit hashes.
 
@@ -36,6 +37,10 @@ from . import common
 
 #: Ids of texts to compare that are sent to all executors at most (8 bytes each); beyond it the join shuffles.
 BROADCAST_IDS = 1_000_000
+#: Parts of the domain that a sketch counts; a power of two.
+SKETCH = 64
+#: Members of a bucket beyond which it is passed on without a look at its sketches.
+SKETCHED = 50_000
 
 
 class Bands:
@@ -101,15 +106,21 @@ def signatures(shingles: np.ndarray, bands: Bands) -> np.ndarray:
     return np.concatenate(out)
 
 
+def sketch(shingles: np.ndarray) -> bytes:
+    """How many shingles fall in each of SKETCH parts of the domain (255 at most): for two sets, the differences of these counts sum to no more than the elements in which they differ."""
+    part = (common.mix(shingles) >> np.uint64(64 - SKETCH.bit_length() + 1)).astype(np.int64)
+    return np.minimum(np.bincount(part, minlength=SKETCH), 255).astype(np.uint8).tobytes()
+
+
 def sets(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """For each document its number of shingles and the digest of its set."""
+    """For each document its number of shingles, the digest of its set and its sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = list(shingle_sets(batch.column(1), k))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array([digest(s) for s in found], pa.int64())], ["doc_id", "n_shingles", "node"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array([digest(s) for s in found], pa.int64()), pa.array([sketch(s) for s in found], pa.binary())], ["doc_id", "n_shingles", "node", "sketch"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, node long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, node long, sketch binary")
 
 
 def signed(docs: DataFrame, k: int, threshold: int, text_col: str = "text") -> DataFrame:
@@ -149,8 +160,71 @@ def buckets(signed_rows: DataFrame) -> DataFrame:
     )
 
 
+def may_link(sizes: np.ndarray, counts: np.ndarray, threshold: int) -> np.ndarray:
+    """For each member of a bucket whether its size and sketch leave room for a link to another."""
+    n, out = len(sizes), np.zeros(len(sizes), bool)
+
+    def fits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        low, high = np.minimum(sizes[a][:, None], sizes[b][None, :]), np.maximum(sizes[a][:, None], sizes[b][None, :])
+        apart = np.abs(counts[a][:, None, :] - counts[b][None, :, :]).sum(2, dtype=np.int64)
+        return (100 * low >= threshold * high) & ((100 + threshold) * apart <= (100 - threshold) * (low + high)) & (a[:, None] != b[None, :])
+
+    some = np.arange(min(n, 64))
+    for others in (some, np.arange(n)):  # most members of a large bucket fit one of a few
+        left = np.flatnonzero(~out)
+        for i in range(0, len(left), 64):
+            for j in range(0, len(others), 2048):
+                f = fits(left[i : i + 64], others[j : j + 2048])
+                out[left[i : i + 64]] |= f.any(1)
+                out[others[j : j + 2048]] |= f.any(0)
+        if n <= len(some):
+            break
+    return out
+
+
+def viable(members: DataFrame, sketched: DataFrame, threshold: int) -> DataFrame:
+    """(bucket, node) of the members that may be linked to another member of their bucket, by the lower bounds of sizes and sketches (node, n_shingles, sketch)."""
+
+    def judge(bucket: np.ndarray, sizes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        edges = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]))
+        length, out = np.diff(edges), np.ones(len(bucket), bool)
+        two = edges[:-1][length == 2]
+        low, high = np.minimum(sizes[two], sizes[two + 1]), np.maximum(sizes[two], sizes[two + 1])
+        apart = np.abs(counts[two] - counts[two + 1]).sum(1, dtype=np.int64)
+        out[two] = out[two + 1] = (100 * low >= threshold * high) & ((100 + threshold) * apart <= (100 - threshold) * (low + high))
+        out[edges[:-1][length == 1]] = False
+        for g in np.flatnonzero((length > 2) & (length <= SKETCHED)):
+            a, b = edges[g], edges[g + 1]
+            out[a:b] = may_link(sizes[a:b], counts[a:b], threshold)
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the rows of the last bucket, which may go on in the next batch
+        passing = None  # a bucket that is too large to be held
+        for batch in batches:
+            counts = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, SKETCH).astype(np.int16)
+            now = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy(), counts]
+            if held is not None:
+                now = [np.concatenate((h, x)) for h, x in zip(held, now, strict=True)]
+            last = int(np.searchsorted(now[0], now[0][-1]))
+            done, held = [x[:last] for x in now], [x[last:] for x in now]
+            if len(done[0]):
+                keep = judge(done[0], done[2], done[3]) | (done[0] == passing if passing is not None else False)
+                yield pa.RecordBatch.from_arrays([pa.array(done[0][keep]), pa.array(done[1][keep])], ["bucket", "node"])
+            if len(held[0]) > SKETCHED:
+                passing = held[0][0]
+                yield pa.RecordBatch.from_arrays([pa.array(held[0]), pa.array(held[1])], ["bucket", "node"])
+                held = None
+        if held is not None and len(held[0]):
+            keep = judge(held[0], held[2], held[3]) | (held[0] == passing if passing is not None else False)
+            yield pa.RecordBatch.from_arrays([pa.array(held[0][keep]), pa.array(held[1][keep])], ["bucket", "node"])
+
+    rows = members.join(sketched.select("node", "n_shingles", "sketch"), "node").select("bucket", "node", "n_shingles", "sketch")
+    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "bucket long, node long")
+
+
 def shingles_of(docs: DataFrame, reps: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """(node, shingles) of the documents that stand for their node."""
+    """(node, shingles) of the documents that stand for their node. (Rows that repeat an id come along; they do no harm.)"""
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     wanted = reps.select("doc_id")
     if wanted.count() <= BROADCAST_IDS:
@@ -163,8 +237,7 @@ def shingles_of(docs: DataFrame, reps: DataFrame, k: int, id_col: str, text_col:
             values = pa.array(np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in found], pa.int64()), pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), values).cast(pa.list_(pa.int64()))], ["node", "shingles"])
 
-    found = slim.join(wanted, slim.doc_id.eqNullSafe(wanted.doc_id), "left_semi").select("text").mapInArrow(run, "node long, shingles array<long>")
-    return found.join(reps.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    return slim.join(wanted, slim.doc_id.eqNullSafe(wanted.doc_id), "left_semi").select("text").mapInArrow(run, "node long, shingles array<long>")
 
 
 def compared(pairs: DataFrame, shingles: DataFrame, threshold: int) -> DataFrame:
@@ -225,13 +298,13 @@ def linked_in_block(nodes: list[int], sets_: list[np.ndarray], threshold: int) -
         label = after
 
 
-def links_in_clusters(clustered: DataFrame, shingles: DataFrame, threshold: int, block_sets: int = 1000, block_shingles: int = 1_000_000) -> DataFrame:
+def links_in_clusters(clustered: DataFrame, shingles: DataFrame, sizes: DataFrame, threshold: int, block_sets: int = 1000, block_shingles: int = 1_000_000) -> DataFrame:
     """Edges (a, b) that join what is linked within each cluster, the same ones each time they are computed. A large cluster is dealt out in blocks, and each two blocks of it meet in a task of their own."""
-    sized = clustered.join(shingles, "node")
-    need = sized.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / block_sets), F.ceil(F.sum(F.size("shingles").cast("long")) / block_shingles)).cast("int").alias("blocks"))
+    sized = clustered.join(sizes.select("node", "n_shingles"), "node")
+    need = sized.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / block_sets), F.ceil(F.sum("n_shingles") / block_shingles)).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    placed = sized.join(need, "cluster").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "shingles")
+    placed = clustered.join(need, "cluster").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = placed.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node").join(shingles, "node").select("cluster", "i", "j", "node", "shingles")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, nodes, found, edges = None, [], [], []
@@ -259,9 +332,9 @@ def links_in_clusters(clustered: DataFrame, shingles: DataFrame, threshold: int,
     return placed.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "node").mapInArrow(run, "a long, b long")
 
 
-def linked_components(members: DataFrame, shingles: DataFrame, clustered: DataFrame, threshold: int) -> DataFrame:
+def linked_components(members: DataFrame, shingles: DataFrame, sizes: DataFrame, clustered: DataFrame, threshold: int) -> DataFrame:
     """(node, root) of the nodes that are linked to others. Clusters are settled first; then the pairs that buckets hold across clusters and components are compared."""
-    links = common.saved(links_in_clusters(clustered, shingles, threshold), "links")
+    links = common.saved(links_in_clusters(clustered, shingles, sizes, threshold), "links")
     roots = components(links)
     own = clustered.groupBy("node").agg(F.max("cluster").alias("cluster"), F.min("cluster").alias("least"))
     w = Window.partitionBy("bucket")
@@ -278,11 +351,12 @@ def linked_components(members: DataFrame, shingles: DataFrame, clustered: DataFr
 def jaccard_join(docs: DataFrame, k: int = 5, threshold: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id: the classes of documents that links of threshold per cent or more form."""
     per_doc = common.saved(sets(docs, k, id_col, text_col), "sets")
-    classes = per_doc.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    members = common.saved(buckets(signed(docs, k, threshold, text_col)), "buckets")
-    reps = common.saved(classes.join(members.select("node").distinct(), "node", "left_semi"), "reps")
+    equal = {"n_shingles": F.min("n_shingles"), "sketch": F.min("sketch")}  # the same for all documents of a node
+    classes = common.saved(per_doc.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), *(c.alias(n) for n, c in equal.items())), "classes")
+    members = common.saved(viable(buckets(signed(docs, k, threshold, text_col)), classes, threshold), "buckets")
+    reps = common.saved(classes.join(members.select("node").distinct(), "node", "left_semi").select("node", "doc_id"), "reps")
     shingles = common.saved(shingles_of(docs, reps, k, id_col, text_col), "shingles")
-    roots = linked_components(members, shingles, common.saved(clusters(members), "clusters"), threshold)
+    roots = linked_components(members, shingles, classes, common.saved(clusters(members), "clusters"), threshold)
     named = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of_node = named.join(least, "root").select("node", "component_id")
