@@ -340,3 +340,42 @@ def test_blocks_of_a_cluster_agree(spark):
     clustered = ngram_join.clusters(members)
     parts = [ngram_join.components(ngram_join.links_in_clusters(clustered, shingles, classes, 85, block_sets=n)) for n in (1000, 7)]
     assert sorted(map(tuple, parts[0].collect())) == sorted(map(tuple, parts[1].collect()))
+
+
+def test_open_buckets_agree_as_pairs_and_in_blocks(spark):
+    """Without any cluster all links are found across: as pairs or in blocks, they give the same components."""
+    import random
+
+    r = random.Random(13)
+    rows = [(100 * b + i, fixtures.near(r, base, r.randrange(10))) for b in range(3) for base in (fixtures.text_of(r, "en", 120),) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    members = ngram_join.buckets(ngram_join.signed(df, 4, 85))
+    classes = ngram_join.sets(df, 4).groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n_shingles"))
+    shingles = ngram_join.shingles_of(df, classes, 4, "doc_id", "text")
+    alone = members.select("node", F.col("node").alias("cluster")).distinct()
+    want = sorted(map(tuple, ngram_join.linked_components(members, shingles, classes, ngram_join.clusters(members), 85).collect()))
+    assert want
+    for paired in (0, 5, 1000):
+        assert sorted(map(tuple, ngram_join.linked_components(members, shingles, classes, alone, 85, paired).collect())) == want
+
+
+@pytest.mark.parametrize("threshold", [80, 85])
+def test_signatures_meet(threshold):
+    """Sets that are just similar enough share a signature, whatever their sizes."""
+    r, bands = np.random.default_rng(5), ngram_join.Bands(threshold)
+    for _ in range(1500):
+        n = int(r.integers(1, 400))
+        pool = np.unique(r.integers(0, 2**64, 2 * n + 2, np.uint64))
+        r.shuffle(pool)
+        one, drop = pool[:n], int(r.integers(0, n + 1))
+        for add in range(n + 1):  # the most that may be added besides
+            if 100 * (n - drop) < threshold * (n + add):
+                break
+        else:
+            add = n + 1
+        if not add:
+            continue
+        two = np.concatenate((one[drop:], pool[n : n + add - 1]))
+        if drop + add == 1:
+            continue  # equal
+        assert len(np.intersect1d(ngram_join.signatures(np.sort(one), bands), ngram_join.signatures(np.sort(two), bands)))

@@ -8,14 +8,15 @@ At least n1 - floor(k / (k2 + 1)) partitions hold at most k2 of the k difference
 n2 - k2 cells. A signature is the content of such a subset of cells. (Small bands enumerate the pairs out of three cells with
 k2 = 1; in larger ones single cells are selective enough, k2 = 0.)
 
-Nearly empty subsets would bring unrelated sets together. A set that has fewer partitions with such a subset than the number
-that must agree is "regular" and leaves them out: some other partition must agree too. The few other sets
-sign everything, so that no pair is lost.
+Nearly empty subsets would bring unrelated sets together. So there are more partitions than k alone asks for, and of the m that
+must agree each set leaves out its m - 1 smallest subsets, in the order of their sizes, then of their places. Subsets that agree are equally
+large in both sets, and the largest of m or more can't be among the m - 1 smallest of either, so no pair is lost. Bands in which
+linked sets are equal need no signature.
 
 Sets that are equal are one node from the start. What meets in buckets of equal signatures falls into clusters around the
 sets that share most with others; the texts of a cluster are compared in blocks within tasks, which return only the edges of a spanning forest.
 Before that, sizes and small sketches of the sets rule out most members that share a signature by chance, by exact lower bounds, so few texts are read again.
-Then the pairs that buckets hold across clusters are compared, unless they are joined already. So no group is expanded into rows for all its pairs, and no link is lost.
+Then what buckets hold across clusters is compared, unless it is joined already: small buckets as pairs, others in blocks again. So no group is expanded into rows for all its pairs, and no link is lost.
 Shingles are compared by 64-bit hashes.
 
 Defined cases: null or empty text, or no words: size 0, a component of its own. Fewer words than k: the whole sequence
@@ -41,6 +42,8 @@ BROADCAST_IDS = 1_000_000
 SKETCH = 64
 #: Members of a bucket beyond which it is passed on without a look at its sketches.
 SKETCHED = 50_000
+#: Members of a bucket whose pairs across clusters are compared as rows; those of larger buckets are compared in blocks.
+PAIRED = 32
 
 
 class Bands:
@@ -54,14 +57,14 @@ class Bands:
             self.highs.append((self.highs[-1] + 1) * 100 // self.threshold)
         return int(np.searchsorted(self.highs, size))
 
-    def shape(self, band: int) -> tuple[int, int, int, int]:
-        """(n1, n2, k2, partitions that agree at least)."""
+    def shape(self, band: int) -> tuple[int, int, int, int, int]:
+        """(differences at most, n1, n2, k2, partitions that agree at least)."""
         self.band(self.highs[-1] + 1) if band >= len(self.highs) else None
         most = (100 - self.threshold) * self.highs[band] // self.threshold
         k2, n2 = (1, 3) if most <= 8 else (0, 1)
         lost = most // (k2 + 1)
-        agree = 1 + lost // 8
-        return lost + agree, n2, k2, agree
+        agree = 1 + lost // 4
+        return most, lost + agree, n2, k2, agree
 
 
 def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -86,24 +89,25 @@ def signatures(shingles: np.ndarray, bands: Bands) -> np.ndarray:
     own = bands.band(n)
     mixed = common.mix(shingles ^ np.uint64(0x5851F42D4C957F2D))
     for band in (own, own - 1) if own > 1 else (own,):
-        n1, n2, k2, agree = bands.shape(band)
+        most, n1, n2, k2, agree = bands.shape(band)
+        if not most:
+            continue
         cells = n1 * n2
         cell = ((shingles >> np.uint64(32)) * np.uint64(cells)) >> np.uint64(32)  # not decreasing, as shingles are sorted
         edges = np.searchsorted(cell, np.arange(cells + 1, dtype=np.uint64))
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed, dtype=np.uint64)))
         content = (sums[edges[1:]] - sums[edges[:-1]]).reshape(n1, n2)
         count = np.diff(edges).reshape(n1, n2)
-        least = 1 if k2 == 0 else 0
         subsets = list(combinations(range(n2), n2 - k2))
-        counts = np.stack([count[:, s].sum(1) for s in map(list, subsets)], 1)
-        regular = int((counts <= least).any(1).sum()) < agree
-        salt = np.arange(n1, dtype=np.uint64)
+        order = np.stack([count[:, s].sum(1) for s in map(list, subsets)]).ravel() * (n1 * len(subsets)) + np.arange(n1 * len(subsets))
+        salt, found = np.arange(n1, dtype=np.uint64), []
         for c, s in enumerate(subsets):
             h = salt + np.uint64(1 + band * 1_000_003 + c * 500_009_003)
             for x in s:
                 h = common.mix(h) + content[:, x]
-            out.append(common.mix(h)[counts[:, c] > least] if regular else common.mix(h))
-    return np.concatenate(out)
+            found.append(common.mix(h))
+        out.append(np.concatenate(found)[np.argpartition(order, agree - 1)[agree - 1 :]])
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
 def sketch(shingles: np.ndarray) -> bytes:
@@ -332,19 +336,22 @@ def links_in_clusters(clustered: DataFrame, shingles: DataFrame, sizes: DataFram
     return placed.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "node").mapInArrow(run, "a long, b long")
 
 
-def linked_components(members: DataFrame, shingles: DataFrame, sizes: DataFrame, clustered: DataFrame, threshold: int) -> DataFrame:
-    """(node, root) of the nodes that are linked to others. Clusters are settled first; then the pairs that buckets hold across clusters and components are compared."""
+def linked_components(members: DataFrame, shingles: DataFrame, sizes: DataFrame, clustered: DataFrame, threshold: int, paired: int = PAIRED) -> DataFrame:
+    """(node, root) of the nodes that are linked to others. Clusters are settled first; then what buckets hold across clusters and components is compared: as pairs, or in blocks where more than paired members meet."""
     links = common.saved(links_in_clusters(clustered, shingles, sizes, threshold), "links")
     roots = components(links)
     own = clustered.groupBy("node").agg(F.max("cluster").alias("cluster"), F.min("cluster").alias("least"))
     w = Window.partitionBy("bucket")
     named = members.join(own, "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     span = {f"{f.__name__}_{c}": f(c).over(w) for f in (F.min, F.max) for c in ("cluster", "root")}
-    open_ = named.withColumns(span).where("min_root < max_root and min_cluster < max_cluster")
-    left, right = (open_.select("bucket", *(F.col(c).alias(c + x) for c in ("node", "root", "cluster", "least"))) for x in "ab")
+    open_ = named.withColumns(span | {"n": F.count("*").over(w)}).where("min_root < max_root and min_cluster < max_cluster")
+    open_ = common.saved(open_.select("bucket", "node", "root", "cluster", "least", "n"), "open")
+    few, many = open_.where(F.col("n") <= paired), open_.where(F.col("n") > paired).select("node", F.col("bucket").alias("cluster"))
+    left, right = (few.select("bucket", *(F.col(c).alias(c + x) for c in ("node", "root", "cluster", "least"))) for x in "ab")
     apart = "roota < rootb and clustera <> clusterb and clustera <> leastb and leasta <> clusterb and leasta <> leastb"
     pairs = left.join(right, "bucket").where(apart).select(F.col("nodea").alias("a"), F.col("nodeb").alias("b")).distinct()
-    across = common.saved(compared(pairs, shingles, threshold), "across").where("linked").select("a", "b")
+    found = compared(pairs, shingles, threshold).where("linked").select("a", "b").union(links_in_clusters(many, shingles, sizes, threshold))
+    across = common.saved(found, "across")
     return roots if across.isEmpty() else components(links.union(across))
 
 
