@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Chunks between white space whose ids a worker remembers, twice over: when so many are new, the older half that wasn't met again is forgotten.
-REMEMBERED = 200_000
+REMEMBERED = 60_000
 LONGEST_REMEMBERED = 40
 SEPARATORS = re.compile("[\x1c-\x1f]")
 ODD_SPACE = re.compile(r"[^\S\x1c-\x1f]+")
@@ -259,7 +259,7 @@ def encode(docs: DataFrame, path: str, decoded: bool = False, id_col: str = "doc
 
     names = ["doc_id", "ids", "decoded"][: 2 + decoded]
     schema = "doc_id long, ids array<int>" + ", decoded string" * decoded
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).transform(common.in_batches, run, schema)
 
 
 def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -277,4 +277,4 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
                 decoded = vocab.decode(ids.flatten().to_numpy(zero_copy_only=False), starts)
                 yield pa.RecordBatch.from_arrays([part.column(0), ids, pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"])
 
-    return encoded.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids")).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    return encoded.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids")).transform(common.in_batches, run, "doc_id long, ids array<int>, decoded string")

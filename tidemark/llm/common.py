@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 #: Bytes of text that are turned into arrays at once. A longer document forms a slice of its own.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
+#: Bytes of a batch that goes to a Python worker; a longer row forms a batch of its own.
+BATCH_BYTES = "4m"
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -46,6 +49,17 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def in_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
+    """df.mapInArrow, in batches bounded by bytes, so a task's memory doesn't grow with the length of texts. (The bound is a setting of the session and stays set.) A worker gives back what Arrow has freed when a task ends."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+    def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(released, schema)
+
+
 def texts_of(column: pa.Array) -> pa.Array:
     """The column as large_string, null as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -90,7 +90,7 @@ def knn_join(df: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0,
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cell, pa.int32()), pa.array(radius)], ["id", "v", "cell", "radius"])
 
     asked_once = rows.where(is_query).groupBy("id").agg(F.min("v").alias("v"))
-    queries = common.saved(asked_once.mapInArrow(nearest, "id long, v array<double>, cell int, radius double"), "queries")
+    queries = common.saved(asked_once.transform(common.in_batches, nearest, "id long, v array<double>, cell int, radius double"), "queries")
     parts = queries.groupBy("cell").agg(F.ceil(F.count("*") / group_size).cast("int").alias("parts"))
     queries = queries.join(parts, "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     # One row for each group of queries: as many as there are queries / group_size, and pivots.
@@ -112,7 +112,7 @@ def knn_join(df: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0,
         yield pa.RecordBatch.from_arrays([pa.array(g, pa.int32()), pa.array(best.ravel())], ["g", "low"])
 
     w = Window.partitionBy("g").orderBy(F.desc("low"))
-    lows = rows.select("v").mapInArrow(lower, "g int, low double").withColumn("r", F.row_number().over(w)).where(F.col("r") == keep).select("g", "low").collect()
+    lows = rows.select("v").transform(common.in_batches, lower, "g int, low double").withColumn("r", F.row_number().over(w)).where(F.col("r") == keep).select("g", "low").collect()
     bound = np.full(len(group_cell), -np.inf)
     for r in lows:
         bound[r["g"]] = r["low"]
@@ -126,7 +126,7 @@ def knn_join(df: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0,
 
     blocks = max(1, -(-n // block_rows))
     block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    data = rows.mapInArrow(replicate, "g int, id long, v array<double>").withColumn("block", block)
+    data = rows.transform(common.in_batches, replicate, "g int, id long, v array<double>").withColumn("block", block)
     pairs = F.create_map(*(F.lit(x) for (c, p), g in number.items() for x in (f"{c}:{p}", g)))
     asked = queries.withColumn("g", pairs[F.concat_ws(":", "cell", "part")]).select("g", "id", "v", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
 

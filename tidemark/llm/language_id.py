@@ -141,7 +141,7 @@ def train(docs: DataFrame, train_docs: int = 5000) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(counts[at], pa.int64())], ["lang", "feature", "n"])
 
     langs = [r[0] for r in docs.select("lang").distinct().orderBy("lang").collect()]
-    counts = sampled(docs, train_docs).select("text", "lang").mapInArrow(run, "lang string, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n")).toPandas()
+    counts = sampled(docs, train_docs).select("text", "lang").transform(common.in_batches, run, "lang string, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n")).toPandas()
     table = np.zeros((BUCKETS + len(NAMES), len(langs)))
     table[counts["feature"].to_numpy(np.int64), counts["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(np.int64) if len(counts) else []] = counts["n"].to_numpy(np.float64)
     return Model(langs, table[:BUCKETS], table[BUCKETS:])
@@ -188,7 +188,7 @@ def identify(docs: DataFrame, learn_from: Column | None = None, train_docs: int
                 lang, score, spans = zip(*label(texts.slice(i, j - i).to_pylist(), model, penalty), strict=True)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(spans, SPANS)], ["doc_id", "lang_pred", "score", "spans"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double, spans array<struct<start: long, end: long, lang: string>>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).transform(common.in_batches, run, "doc_id long, lang_pred string, score double, spans array<struct<start: long, end: long, lang: string>>")
 
 
 def identify_rows(docs: DataFrame, train_docs: int = 5000, penalty: float = 15.0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -204,4 +204,4 @@ def identify_rows(docs: DataFrame, train_docs: int = 5000, penalty: float = 15.0
                 part = batch.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*part.schema.names, "_lang_pred", "_lang_score"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_lang_pred", T.StringType()), T.StructField("_lang_score", T.DoubleType())]))
+    return docs.transform(common.in_batches, run, T.StructType([*docs.schema.fields, T.StructField("_lang_pred", T.StringType()), T.StructField("_lang_score", T.DoubleType())]))

@@ -124,7 +124,7 @@ def sets(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text"
             found = list(shingle_sets(batch.column(1), k))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array([digest(s) for s in found], pa.int64()), pa.array([sketch(s) for s in found], pa.binary())], ["doc_id", "n_shingles", "node", "sketch"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, node long, sketch binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).transform(common.in_batches, run, "doc_id long, n_shingles long, node long, sketch binary")
 
 
 def signed(docs: DataFrame, k: int, threshold: int, text_col: str = "text") -> DataFrame:
@@ -150,7 +150,7 @@ def signed(docs: DataFrame, k: int, threshold: int, text_col: str = "text") -> D
     def pair_batch(sig: list, node: list) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(sig).view(np.int64)), pa.array(np.concatenate(node))], ["sig", "node"])
 
-    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "sig long, node long")
+    return docs.select(F.col(text_col).cast("string").alias("text")).transform(common.in_batches, run, "sig long, node long")
 
 
 def buckets(signed_rows: DataFrame) -> DataFrame:
@@ -224,7 +224,7 @@ def viable(members: DataFrame, sketched: DataFrame, threshold: int) -> DataFrame
             yield pa.RecordBatch.from_arrays([pa.array(held[0][keep]), pa.array(held[1][keep])], ["bucket", "node"])
 
     rows = members.join(sketched.select("node", "n_shingles", "sketch"), "node").select("bucket", "node", "n_shingles", "sketch")
-    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "bucket long, node long")
+    return rows.repartition("bucket").sortWithinPartitions("bucket").transform(common.in_batches, run, "bucket long, node long")
 
 
 def shingles_of(docs: DataFrame, reps: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
@@ -241,7 +241,7 @@ def shingles_of(docs: DataFrame, reps: DataFrame, k: int, id_col: str, text_col:
             values = pa.array(np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in found], pa.int64()), pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), values).cast(pa.list_(pa.int64()))], ["node", "shingles"])
 
-    return slim.join(wanted, slim.doc_id.eqNullSafe(wanted.doc_id), "left_semi").select("text").mapInArrow(run, "node long, shingles array<long>")
+    return slim.join(wanted, slim.doc_id.eqNullSafe(wanted.doc_id), "left_semi").select("text").transform(common.in_batches, run, "node long, shingles array<long>")
 
 
 def compared(pairs: DataFrame, shingles: DataFrame, threshold: int) -> DataFrame:
@@ -333,7 +333,7 @@ def links_in_clusters(clustered: DataFrame, shingles: DataFrame, sizes: DataFram
     def edge_batch(edges: list) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], ["a", "b"])
 
-    return placed.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "node").mapInArrow(run, "a long, b long")
+    return placed.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "node").transform(common.in_batches, run, "a long, b long")
 
 
 def linked_components(members: DataFrame, shingles: DataFrame, sizes: DataFrame, clustered: DataFrame, threshold: int, paired: int = PAIRED) -> DataFrame:

@@ -104,7 +104,7 @@ def mix(docs: DataFrame, weights: dict[str, int] | None = None, power: float = 0
 
     schema = "cut long, begin long, parts array<struct<source: string, n: long>>"
     work = spark.createDataFrame([(f, begin, [{"source": s, "n": n} for s, n in parts]) for f, begin, parts in frames if parts], schema).repartition(max(1, min(len(frames), 64)))
-    slots = work.mapInArrow(plan, "cut long, source string, k long, first_slot long, length long")
+    slots = work.transform(common.in_batches, plan, "cut long, source string, k long, first_slot long, length long")
 
     # A frame is composed like the last cut at or before it.
     weight = spark.createDataFrame([(s, w, counts[s]) for s, w in live.items()], "source string, weight long, blocks long")

@@ -134,7 +134,7 @@ def figures_of(docs: DataFrame) -> np.ndarray:
             rows = figures(batch.column(0))
             yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.list_(pa.float32()))], ["figures"])
 
-    found = docs.select("text").mapInArrow(run, "figures array<float>").toPandas()["figures"]
+    found = docs.select("text").transform(common.in_batches, run, "figures array<float>").toPandas()["figures"]
     return np.stack(found.to_list()) if len(found) else np.zeros((0, FIGURES), np.float32)
 
 
@@ -155,4 +155,4 @@ def score_quality(docs: DataFrame, labels: DataFrame, learn_from: Column | None
             score = model.score(figures(batch.column(1))) if model else np.full(batch.num_rows, 0.5)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32), pa.int32())], ["doc_id", "score", "predicted"])
 
-    return slim.mapInArrow(run, "doc_id long, score double, predicted int")
+    return slim.transform(common.in_batches, run, "doc_id long, score double, predicted int")

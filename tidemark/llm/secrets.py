@@ -90,7 +90,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 found.append([{"start": a, "end": b, "kind": k, "value": v} for a, b, k, v in base] + [{"start": a, "end": b, "kind": "", "value": v} for a, b, v in other_tokens(text, base)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, SPAN_TYPE)], ["doc_id", "spans"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id long, spans {SPAN}")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).transform(common.in_batches, run, f"doc_id long, spans {SPAN}")
 
 
 def generated(n: int = 4000, seed: int = 7) -> list[str]:
@@ -141,9 +141,9 @@ def train(docs: DataFrame, spans: DataFrame, sample_docs: int = 5000, id_col: st
     n = docs.count()
     schema = "label int, gram int, n long"
     some = docs if n <= sample_docs else docs.where(F.coalesce(F.pmod(F.xxhash64(id_col), F.lit(1_000_003)) < 1_000_003 * sample_docs / n, F.lit(False)))
-    ordinary = some.select(F.col(text_col).cast("string").alias("text")).mapInArrow(words, schema)
+    ordinary = some.select(F.col(text_col).cast("string").alias("text")).transform(common.in_batches, words, schema)
     labelled = spans.select(F.explode("spans").alias("s")).where("s.kind <> '' and s.value rlike '[0-9]' and s.value rlike '[A-Za-z]' and length(s.value) >= 16").select(F.substring("s.value", 1, 256).alias("value"))
-    per_gram = ordinary.union(labelled.mapInArrow(secrets, schema)).groupBy("label", "gram").agg(F.sum("n").alias("n")).toPandas()
+    per_gram = ordinary.union(labelled.transform(common.in_batches, secrets, schema)).groupBy("label", "gram").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros((2, N**3), np.int64)
     counts[per_gram["label"].to_numpy(np.int64), per_gram["gram"].to_numpy(np.int64)] = per_gram["n"].to_numpy(np.int64)
     counts[1] += counted(generated())
@@ -169,7 +169,7 @@ def secret_spans(docs: DataFrame, threshold: float = 1.0, sample_docs: int = 500
                 found.append(sorted(out, key=lambda s: (s["start"], order.index(s["kind"]))))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], ["doc_id", "spans"])
 
-    return spans.mapInArrow(run, "doc_id long, spans array<struct<start: long, end: long, kind: string, base: boolean, score: double>>")
+    return spans.transform(common.in_batches, run, "doc_id long, spans array<struct<start: long, end: long, kind: string, base: boolean, score: double>>")
 
 
 def redact(docs: DataFrame, threshold: float = 1.0, sample_docs: int = 5000, mark: str = "[SECRET]", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -193,4 +193,4 @@ def redact(docs: DataFrame, threshold: float = 1.0, sample_docs: int = 5000, mar
             yield batch.set_column(i, pa.field(text_col, pa.string()), texts)
 
     typed = docs.withColumn(text_col, F.col(text_col).cast("string"))
-    return typed.mapInArrow(run, typed.schema)
+    return typed.transform(common.in_batches, run, typed.schema)

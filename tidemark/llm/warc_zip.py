@@ -222,7 +222,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0, zip64: bool =
         fs.move(own, final)
         yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/part-{task.partitionId():06d}.wacz"]), pa.array([out.at], pa.int64()), pa.array([n], pa.int64())], ["path", "size", "records"])
 
-    return common.saved(with_originals(pages, least, id_col, url_col, html_col).mapInArrow(run, "path string, size long, records long"), "archives")
+    return common.saved(with_originals(pages, least, id_col, url_col, html_col).transform(common.in_batches, run, "path string, size long, records long"), "archives")
 
 
 def locate_records(archives: DataFrame) -> DataFrame:
@@ -245,7 +245,7 @@ def locate_records(archives: DataFrame) -> DataFrame:
                         if found:
                             yield pa.RecordBatch.from_arrays([pa.array([path] * len(found)), pa.array([base + x["offset"] for x in found], pa.int64()), pa.array([x["length"] for x in found], pa.int64())], ["path", "offset", "length"])
 
-    return archives.select("path").mapInArrow(run, "path string, offset long, length long")
+    return archives.select("path").transform(common.in_batches, run, "path string, offset long, length long")
 
 
 def read_records(ranges: DataFrame, payloads: bool = True) -> DataFrame:
@@ -278,7 +278,7 @@ def read_records(ranges: DataFrame, payloads: bool = True) -> DataFrame:
             if source:
                 source.close()
 
-    return ranges.mapInArrow(run, "page_id long, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary")
+    return ranges.transform(common.in_batches, run, "page_id long, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary")
 
 
 def archive_and_read(spark: SparkSession, pages: DataFrame, folder: str, least: int = 0, payloads: bool = False) -> DataFrame:
