@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Chunks between white space whose ids a worker remembers, twice over: when so many are new, the older half that wasn't met again is forgotten.
-REMEMBERED = 60_000
+REMEMBERED = 120_000
 LONGEST_REMEMBERED = 40
 SEPARATORS = re.compile("[\x1c-\x1f]")
 ODD_SPACE = re.compile(r"[^\S\x1c-\x1f]+")
