@@ -6,6 +6,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from tests.llm import brute, fixtures
 from tests.llm.test_operators import jaccard_classes
+from tidemark.llm import pfair_mix
 
 
 def test_stages(spark, tmp_path):
@@ -46,3 +47,12 @@ def test_empty_table(spark, tmp_path):
     docs = fixtures.frame(spark, []).select("doc_id", "text", "lang", "source", "n_chars")
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_mixing_keeps_all_of_a_large_source(spark):
+    """One source has more text than its weight: its documents go on when most of the others have run out."""
+    rows = [(i, f"{i} " * 30, "large" if i < 100 else f"s{i % 20}") for i in range(300)] + [(None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    options = {"power": corpus_pipeline.MIX_WEIGHT_POWER, "total_weight": 25, "block_chars": 100}
+    assert pfair_mix.mix(docs, **options).where("not in_mix").count() > 0
+    assert Counter(r["doc_id"] for r in pfair_mix.mixed(docs, **options).collect()) == Counter(r[0] for r in rows)

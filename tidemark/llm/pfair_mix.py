@@ -119,8 +119,8 @@ def mix(docs: DataFrame, weights: dict[str, int] | None = None, power: float = 0
 
 
 def mixed(docs: DataFrame, partitions: int = 0, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents that are in the mix, in the order of their slots: over files and within each. All columns stay."""
-    order = mix(docs, id_col=id_col, text_col=text_col, **options).where("in_mix")
+    """The documents in the order of their slots: over files and within each, past the end of the mix too. Only sources that the caller gave no weight are left out. All columns stay."""
+    order = mix(docs, id_col=id_col, text_col=text_col, **options).where("slot is not null")
     order = order.groupBy(F.col("doc_id").alias("_mix_id"), F.col("tie").alias("_mix_tie")).agg(F.min(F.struct("slot", "place")).alias("_mix_at"))
     order = common.saved(order.select("_mix_id", "_mix_tie", F.col("_mix_at.slot").alias("_mix_slot"), F.col("_mix_at.place").alias("_mix_place")), "order")
     tied = docs.withColumn("_mix_hash", F.xxhash64(F.col(text_col).cast("string")))
