@@ -1,6 +1,8 @@
+import random
 from collections import Counter
 
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -56,3 +58,16 @@ def test_mixing_keeps_all_of_a_large_source(spark):
     options = {"power": corpus_pipeline.MIX_WEIGHT_POWER, "total_weight": 25, "block_chars": 100}
     assert pfair_mix.mix(docs, **options).where("not in_mix").count() > 0
     assert Counter(r["doc_id"] for r in pfair_mix.mixed(docs, **options).collect()) == Counter(r[0] for r in rows)
+
+
+def test_language_keeps_clear_mixed_texts(spark, tmp_path):
+    """Texts in two and three languages in even parts stay; so does all with letters if there is nothing to learn from."""
+    r = random.Random(21)
+    part = lambda *langs: " ".join(fixtures.text_of(r, lang, 60) for lang in langs)
+    plain = [(i, part(lang), lang) for i in range(60) for lang in (("en", "de", "ru")[i % 3],)]
+    mixed = [(100 + i, part(*langs), None) for i in range(20) for langs in (("en", "de"), ("de", "en"), ("en", "ru", "de"), ("ru", "de", "en"))]
+    docs = spark.createDataFrame([*plain, *mixed, (900, "12 34 !?", None), (901, None, None)], "doc_id long, text string, lang string")
+    language = dict(corpus_pipeline.STAGES)["language"]
+    want = Counter(i for i, _, _ in [*plain, *mixed])
+    assert Counter(r["doc_id"] for r in language(spark, docs, str(tmp_path)).collect()) == want
+    assert Counter(r["doc_id"] for r in language(spark, docs.withColumn("lang", F.lit(None).cast("string")), str(tmp_path)).collect()) == want

@@ -3,7 +3,8 @@ and a Viterbi path with a penalty for each switch labels the spans.
 
 A word is a run of letters of one script. A language is a candidate for a script if a fair share of its training letters
 belong to it; for a script that no language has, all are. The label of a document is the language that holds most of its
-letters; its score is that share times the posterior of the language among all.
+letters; its score is that share times the posterior of the language among all. Beside it, identify_rows tells how sure the spans are: the
+posterior of each span's language over the span's own words, as a mean over letters, in however many languages the text is.
 
 Defined cases: null text, or text without a letter: lang `und`, score 0, no spans. Without any training row every
 document is `und`. Ties go to the language whose name sorts first. A null lang is not learned from. Other columns are ignored.
@@ -147,11 +148,11 @@ def train(docs: DataFrame, train_docs: int = 5000) -> Model:
     return Model(langs, table[:BUCKETS], table[BUCKETS:])
 
 
-def label(text_batch: list[str], model: Model, penalty: float) -> list[tuple[str, float, list[dict]]]:
-    """(language, score, spans of code points) for each text."""
+def label(text_batch: list[str], model: Model, penalty: float) -> list[tuple[str, float, list[dict], float | None]]:
+    """(language, score, spans of code points, certainty of the spans) for each text. Certainty is 0 without a letter, None if nothing was learned to judge letters by."""
     at, bucket, script, starts, first, begins = letters(text_batch)
     if not len(starts) or not model.langs:
-        return [("und", 0.0, [])] * len(text_batch)
+        return [("und", 0.0, [], None if a < b else 0.0) for a, b in zip(first, first[1:], strict=False)]
     scores = model.word_scores(bucket, script, starts)
     sizes = np.diff(np.append(starts, len(at)))
     ends = at[starts + sizes - 1] + 1
@@ -159,7 +160,7 @@ def label(text_batch: list[str], model: Model, penalty: float) -> list[tuple[str
     for r in range(len(text_batch)):
         a, b = first[r], first[r + 1]
         if a == b:
-            out.append(("und", 0.0, []))
+            out.append(("und", 0.0, [], 0.0))
             continue
         path = viterbi(scores[a:b], penalty)
         held = np.bincount(path, sizes[a:b], len(model.langs))
@@ -169,7 +170,11 @@ def label(text_batch: list[str], model: Model, penalty: float) -> list[tuple[str
         cuts = np.concatenate(([0], np.flatnonzero(np.diff(path)) + 1))
         lasts = np.append(cuts[1:], b - a) - 1
         spans = [{"start": int(at[starts[a + c]] - begins[r]), "end": int(ends[a + e] - begins[r]), "lang": model.langs[path[c]]} for c, e in zip(cuts, lasts, strict=True)]
-        out.append((model.langs[best], float(held[best] / held.sum() * posterior), spans))
+        # Each span is judged by its own words.
+        own = np.add.reduceat(scores[a:b], cuts, axis=0)
+        sure = 1 / np.exp(np.minimum(own - own[np.arange(len(cuts)), path[cuts]][:, None], 700)).sum(1)
+        certainty = float(np.average(sure, weights=np.add.reduceat(sizes[a:b], cuts)))
+        out.append((model.langs[best], float(held[best] / held.sum() * posterior), spans, certainty))
     return out
 
 
@@ -185,14 +190,14 @@ def identify(docs: DataFrame, learn_from: Column | None = None, train_docs: int
         for batch in batches:
             texts = common.texts_of(batch.column(1))
             for i, j, _, _ in common.slices(texts):
-                lang, score, spans = zip(*label(texts.slice(i, j - i).to_pylist(), model, penalty), strict=True)
+                lang, score, spans, _ = zip(*label(texts.slice(i, j - i).to_pylist(), model, penalty), strict=True)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(spans, SPANS)], ["doc_id", "lang_pred", "score", "spans"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).transform(common.in_batches, run, "doc_id long, lang_pred string, score double, spans array<struct<start: long, end: long, lang: string>>")
 
 
 def identify_rows(docs: DataFrame, train_docs: int = 5000, penalty: float = 15.0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """docs with _lang_pred and _lang_score beside each row; all columns stay as they are."""
+    """docs with _lang_pred, _lang_score and _lang_certainty beside each row; all columns stay as they are."""
     model = train(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")), train_docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,8 +205,8 @@ def identify_rows(docs: DataFrame, train_docs: int = 5000, penalty: float = 15.0
             at = batch.schema.get_field_index(text_col)
             texts = common.texts_of(batch.column(at).cast(pa.string()))
             for i, j, _, _ in common.slices(texts):
-                lang, score, _ = zip(*label(texts.slice(i, j - i).to_pylist(), model, penalty), strict=True)
+                lang, score, _, sure = zip(*label(texts.slice(i, j - i).to_pylist(), model, penalty), strict=True)
                 part = batch.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*part.schema.names, "_lang_pred", "_lang_score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(sure, pa.float64())], [*part.schema.names, "_lang_pred", "_lang_score", "_lang_certainty"])
 
-    return docs.transform(common.in_batches, run, T.StructType([*docs.schema.fields, T.StructField("_lang_pred", T.StringType()), T.StructField("_lang_score", T.DoubleType())]))
+    return docs.transform(common.in_batches, run, T.StructType([*docs.schema.fields, T.StructField("_lang_pred", T.StringType()), T.StructField("_lang_score", T.DoubleType()), T.StructField("_lang_certainty", T.DoubleType())]))
