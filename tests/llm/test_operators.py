@@ -379,3 +379,20 @@ def test_signatures_meet(threshold):
         if drop + add == 1:
             continue  # equal
         assert len(np.intersect1d(ngram_join.signatures(np.sort(one), bands), ngram_join.signatures(np.sort(two), bands)))
+
+
+@pytest.mark.parametrize("copies", [2, 6])
+def test_knn_join_of_a_repeated_query(spark, copies):
+    """Rows with the query's id are no candidates, and don't stand for others in the bound either."""
+    r = np.random.default_rng(5)
+    rows = [(50, [1.0, 0.5])] * copies + [(i, [float(x) for x in r.normal(0, 0.2, 2)]) for i in range(1, 40)] + [(7, [0.4, 0.4])] * 8
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    fine = [(i, np.floor(256 * np.array(v, np.float32).astype(float))) for i, v in rows]
+    want = sorted((-int(fine[0][1] @ v), i) for i, v in fine if i != 50)[:5]
+    for block in (20_000, 5):
+        got = knn_join.knn_join(df, F.col("id") == 50, block_rows=block).collect()
+        assert sorted((x["rank"], x["vec_id"], x["score"]) for x in got) == [(k, i, -s) for k, (s, i) in enumerate(want, 1)]
+    far = spark.createDataFrame([x for x in rows if x[0] != 7], df.schema).repartition(3)
+    want = sorted((-int(fine[0][1] @ v), i) for i, v in fine if i not in (50, 7))[:5]
+    got = knn_join.knn_join(far, F.col("id") == 50).collect()
+    assert sorted((x["rank"], x["vec_id"], x["score"]) for x in got) == [(k, i, -s) for k, (s, i) in enumerate(want, 1)]

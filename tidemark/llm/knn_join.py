@@ -1,8 +1,8 @@
 """Exact top-k search by a Voronoi kNN join under the inner product.
 
 Queries and data are grouped by their nearest pivot. For a group of queries around pivot p with radius u, and for any
-x, q.x lies within p.x +- u * |x|. The k-th largest of the lower ends over all data bounds every query's k-th score from
-below; it is found from each partition's summary, the k largest lower ends for each group. Only x whose upper end reaches that bound are
+x, q.x lies within p.x +- u * |x|. The k-th largest of the lower ends over all other ids, each with its best row, bounds every query's k-th score from
+below; it is found from each partition's summary, the largest lower ends of k + 1 ids for each group. Only x whose upper end reaches that bound are
 replicated to the group, and there each block of data is multiplied with the group's queries. The blocks' best k are
 merged for each query.
 
@@ -97,7 +97,7 @@ def knn_join(df: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0,
     groups = queries.groupBy("cell", "part").agg(F.max("radius").alias("radius"), F.count("*").alias("n")).orderBy("cell", "part").toPandas()
     group_cell, group_radius = groups["cell"].to_numpy(), groups["radius"].to_numpy() * (1 + 1e-9)
     number = {(c, p): g for g, (c, p) in enumerate(zip(groups["cell"], groups["part"], strict=True))}
-    keep = k + 1  # the query itself may be among them
+    keep = k + 1  # ids: the query's own may be among them, with however many rows
 
     def ends(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         middle, spread = x @ pivots[group_cell].T, np.sqrt((x**2).sum(1))[:, None] * group_radius[None, :]
@@ -105,14 +105,27 @@ def knn_join(df: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0,
         return middle - spread - slack, middle + spread + slack
 
     def lower(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = np.zeros((0, len(group_cell)))
+        best, of = np.zeros((0, len(group_cell))), np.zeros((0, len(group_cell)), np.int64)
         for batch in batches:
-            best = -np.sort(-np.concatenate((best, ends(matrix(batch.column(0), width))[0])), axis=0)[:keep]
+            ids, low = batch.column(0).to_numpy(), ends(matrix(batch.column(1), width))[0]
+            order = np.argsort(ids, kind="stable")
+            begins = np.flatnonzero(np.diff(ids[order], prepend=ids[order[:1]] - 1))
+            low = np.maximum.reduceat(low[order], begins, axis=0) if len(begins) else low
+            at = np.argpartition(-low, keep, axis=0)[:keep] if len(low) > keep else np.tile(np.arange(len(low))[:, None], len(group_cell))
+            best, of = np.concatenate((best, np.take_along_axis(low, at, 0))), np.concatenate((of, ids[order][begins][at]))
+            # An id that was there before stays with its best row alone.
+            order = np.lexsort((-best, of), axis=0)
+            best, of = np.take_along_axis(best, order, 0), np.take_along_axis(of, order, 0)
+            best[1:][of[1:] == of[:-1]] = -np.inf
+            order = np.argsort(-best, axis=0, kind="stable")[:keep]
+            best, of = np.take_along_axis(best, order, 0), np.take_along_axis(of, order, 0)
         g = np.tile(np.arange(best.shape[1]), best.shape[0])
-        yield pa.RecordBatch.from_arrays([pa.array(g, pa.int32()), pa.array(best.ravel())], ["g", "low"])
+        fine = np.isfinite(best.ravel())
+        yield pa.RecordBatch.from_arrays([pa.array(g[fine], pa.int32()), pa.array(of.ravel()[fine]), pa.array(best.ravel()[fine])], ["g", "id", "low"])
 
     w = Window.partitionBy("g").orderBy(F.desc("low"))
-    lows = rows.select("v").transform(common.in_batches, lower, "g int, low double").withColumn("r", F.row_number().over(w)).where(F.col("r") == keep).select("g", "low").collect()
+    lows = rows.select("id", "v").transform(common.in_batches, lower, "g int, id long, low double").groupBy("g", "id").agg(F.max("low").alias("low"))
+    lows = lows.withColumn("r", F.row_number().over(w)).where(F.col("r") == keep).select("g", "low").collect()
     bound = np.full(len(group_cell), -np.inf)
     for r in lows:
         bound[r["g"]] = r["low"]
@@ -125,7 +138,7 @@ def knn_join(df: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0,
                 yield pa.RecordBatch.from_arrays([pa.array(g[a : a + 20_000], pa.int32()), batch.column(0).take(at), batch.column(1).take(at)], ["g", "id", "v"])
 
     blocks = max(1, -(-n // block_rows))
-    block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    block = F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("int")  # an id may have many rows
     data = rows.transform(common.in_batches, replicate, "g int, id long, v array<double>").withColumn("block", block)
     pairs = F.create_map(*(F.lit(x) for (c, p), g in number.items() for x in (f"{c}:{p}", g)))
     asked = queries.withColumn("g", pairs[F.concat_ws(":", "cell", "part")]).select("g", "id", "v", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
