@@ -396,3 +396,27 @@ def test_knn_join_of_a_repeated_query(spark, copies):
     want = sorted((-int(fine[0][1] @ v), i) for i, v in fine if i not in (50, 7))[:5]
     got = knn_join.knn_join(far, F.col("id") == 50).collect()
     assert sorted((x["rank"], x["vec_id"], x["score"]) for x in got) == [(k, i, -s) for k, (s, i) in enumerate(want, 1)]
+
+
+def test_random_strings_without_digits_and_beside_others(spark):
+    """Letters alone, a second secret after a base span, and one after an ordinary name are found; long ordinary words are not."""
+    import random
+    import string
+
+    r = random.Random(31)
+    pick = lambda n, alphabet: "".join(r.choices(alphabet, k=n))
+    words = "get user account balance international hyphenated very long name background image width colour table index value total amount".split()
+    rows = [(i, " ".join(words[(i + k) % len(words)] for k in range(200))) for i in range(50)]
+    letters = [pick(32, string.ascii_letters) for _ in range(40)]
+    base62 = [pick(32, string.ascii_letters + string.digits) for _ in range(40)]
+    hard = [(f"see {t} here", t) for t in letters] + [(f"see x/{pick(24, '0123456789abcdef')}/{t} here", t) for t in base62] + [(f"see very_long_background_image_name_of_account={t} here", t) for t in base62]
+    rows += [(1000 + i, text) for i, (text, _) in enumerate(hard)]
+    plain = ["internationalizationvalue", "very_long_hyphenated_background_image", "getUserAccountBalanceTotal", "z" * 40, "-" * 40]
+    rows += [(2000 + i, f"see {t} here") for i, t in enumerate(plain)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {x["doc_id"]: x["spans"] for x in secrets.secret_spans(docs).collect()}
+    clean = {x["doc_id"]: x["text"] for x in secrets.redact(docs).collect()}
+    for part in range(3):
+        own = range(40 * part, 40 * part + 40)
+        assert sum(any(s["kind"] == "random" and hard[i][0][s["start"] : s["end"]].endswith(hard[i][1]) for s in found[1000 + i]) and hard[i][1] not in clean[1000 + i] for i in own) >= 36
+    assert not any(found[2000 + i] for i in range(len(plain)))

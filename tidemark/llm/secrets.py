@@ -5,8 +5,9 @@ Both models are of second order: the chance of a character given the two before
 tokens are made of, smoothed by the first-order chance. They are trained from labelled samples: a token is
 labelled random if a fixed pattern found it (an assigned value that mixes letters and digits, an access key, a hexadecimal run), or comes
 from the generated ones; ordinary samples are the words of a bounded sample of documents that
-the models won't have to judge. A token whose log-likelihood ratio
-for each character is over the threshold, and that is long enough, is reported as `random`, if no base span overlaps it.
+the models won't have to judge, and runs of one character. Every run of 16 token characters or more between the base spans is judged: as a
+whole, if it mixes letters and digits, and else by its parts between separators. What has a mean log-likelihood ratio
+for each character over the threshold, and is long enough, is reported as `random`: the whole, or the runs of parts in which the ratios exceed the threshold most.
 
 Defined cases: null or empty text: no spans. Texts of any length are read whole; positions count code points. Without
 ordinary words in the sample the ordinary model is uniform. Repeated rows are handled each for itself; other columns are ignored.
@@ -31,8 +32,10 @@ ASSIGN = re.compile(r"""(?ai:(?:password|passwd|secret|token|api_?key)["']?\x20*
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 BASE = ("assign", "access", "hex")
-#: What may be a secret without a keyword: long runs of token characters with a digit, and with a letter.
+#: What may be a secret without a keyword: long runs of token characters.
+LEAST = 16
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+PART = re.compile(r"[A-Za-z0-9]+")
 WORD = re.compile(r"[A-Za-z0-9+/_=-]{4,}")
 #: Letters in both cases, digits, one class for signs, one for the start.
 CLASSES = string.ascii_lowercase + string.ascii_uppercase + string.digits + "-"
@@ -68,13 +71,40 @@ def mixed(token: str) -> bool:
 
 
 def other_tokens(text: str, base: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str]]:
-    out = []
-    for m in TOKEN.finditer(text):
-        if mixed(m[0]) and not any(a < m.end() and m.start() < b for a, b, _, _ in base):
-            out.append((m.start(), m.end(), m[0]))
+    """The long runs of token characters in what the base spans leave."""
+    out, at = [], 0
+    for a, b in [*sorted((a, b) for a, b, _, _ in base), (len(text), len(text))]:
+        out += [(m.start(), m.end(), m[0]) for m in TOKEN.finditer(text, at, a)]
+        at = max(at, b)
     return out
 
 
+def judged(token: str, ratio: np.ndarray, threshold: float) -> list[tuple[int, int, float]]:
+    """(start, end, score) in the token of what the models call random: the token, or else the maximal runs of its parts."""
+    if mixed(token) and (score := float(ratio[trigrams(token)].mean())) >= threshold:
+        return [(0, len(token), score)]
+    # Runs of parts with the largest sums over the threshold (Ruzzo and Tompa): (start, end, sum, characters, sum before, sum after).
+    runs: list[tuple[int, int, float, int, float, float]] = []
+    total = 0.0
+    for m in PART.finditer(token):
+        found, n = float(ratio[trigrams(m[0])].sum()), m.end() - m.start()
+        before, total = total, total + found - threshold * n
+        if total <= before:
+            continue
+        run, j = (m.start(), m.end(), found, n, before, total), len(runs) - 1
+        while j >= 0:
+            while j >= 0 and runs[j][4] >= run[4]:
+                j -= 1
+            if j < 0 or runs[j][5] >= run[5]:
+                break
+            n = sum(len(p[0]) for p in PART.finditer(token, runs[j][0], run[1]))
+            run = (runs[j][0], run[1], run[5] - runs[j][4] + threshold * n, n, runs[j][4], run[5])
+            del runs[j:]
+            j -= 1
+        runs.append(run)
+    return [(a, b, max(found / n, threshold)) for a, b, found, n, _, _ in runs if b - a >= LEAST]
+
+
 SPAN = "array<struct<start: long, end: long, kind: string, value: string>>"
 SPAN_TYPE = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string()), ("value", pa.string())]))
 
@@ -96,7 +126,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def generated(n: int = 4000, seed: int = 7) -> list[str]:
     """Labelled samples of random strings: keys and tokens over the usual alphabets."""
     r = random.Random(seed)
-    kinds = ("0123456789abcdef", "0123456789ABCDEF", string.ascii_letters + string.digits, string.ascii_letters + string.digits + "-_", string.ascii_uppercase + string.digits, string.ascii_lowercase + string.digits)
+    kinds = (string.ascii_letters, string.ascii_lowercase, string.ascii_uppercase, "0123456789abcdef", "0123456789ABCDEF", string.ascii_letters + string.digits, string.ascii_letters + string.digits + "-_", string.ascii_uppercase + string.digits, string.ascii_lowercase + string.digits)
     return ["".join(r.choices(kinds[i % len(kinds)], k=r.randint(16, 48))) for i in range(n)]
 
 
@@ -125,7 +155,8 @@ def train(docs: DataFrame, spans: DataFrame, sample_docs: int = 5000, id_col: st
         for batch in batches:
             for text in common.texts_of(batch.column(0)).to_pylist():
                 found = WORD.findall(HEX.sub(" ", ACCESS.sub(" ", ASSIGN.sub(" ", text))))
-                if plain := [w for w in dict.fromkeys(found) if len(w) < 16 or not mixed(w)]:
+                # What may be judged isn't learned: long parts, and long runs of letters and digits.
+                if plain := [p for w in dict.fromkeys(found) if len(w) < LEAST or not mixed(w) for p in ([w] if len(w) < LEAST else PART.findall(w)) if 4 <= len(p) < LEAST]:
                     total += np.bincount(np.concatenate([trigrams(w) for w in plain]), minlength=N**3)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array([0] * len(at), pa.int32()), pa.array(at, pa.int32()), pa.array(total[at])], ["label", "gram", "n"])
@@ -142,10 +173,11 @@ def train(docs: DataFrame, spans: DataFrame, sample_docs: int = 5000, id_col: st
     schema = "label int, gram int, n long"
     some = docs if n <= sample_docs else docs.where(F.coalesce(F.pmod(F.xxhash64(id_col), F.lit(1_000_003)) < 1_000_003 * sample_docs / n, F.lit(False)))
     ordinary = some.select(F.col(text_col).cast("string").alias("text")).transform(common.in_batches, words, schema)
-    labelled = spans.select(F.explode("spans").alias("s")).where("s.kind <> '' and s.value rlike '[0-9]' and s.value rlike '[A-Za-z]' and length(s.value) >= 16").select(F.substring("s.value", 1, 256).alias("value"))
+    labelled = spans.select(F.explode("spans").alias("s")).where("s.kind <> '' and s.value rlike '[0-9]' and s.value rlike '[A-Za-z]' and length(s.value) >= 16").select("s.value")
     per_gram = ordinary.union(labelled.transform(common.in_batches, secrets, schema)).groupBy("label", "gram").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros((2, N**3), np.int64)
     counts[per_gram["label"].to_numpy(np.int64), per_gram["gram"].to_numpy(np.int64)] = per_gram["n"].to_numpy(np.int64)
+    counts[0] += counted([c * 4 for c in CLASSES])
     counts[1] += counted(generated())
     return (log_chances(counts[1]) - log_chances(counts[0])).astype(np.float32)
 
@@ -162,9 +194,10 @@ def secret_spans(docs: DataFrame, threshold: float = 1.0, sample_docs: int = 500
             for row in batch.column(1).to_pylist():
                 out = []
                 for s in row:
-                    score = float(ratio[trigrams(s["value"])].mean())
-                    if s["kind"] or score >= threshold:
-                        out.append({"start": s["start"], "end": s["end"], "kind": s["kind"] or "random", "base": bool(s["kind"]), "score": score})
+                    if s["kind"]:
+                        out.append({"start": s["start"], "end": s["end"], "kind": s["kind"], "base": True, "score": float(ratio[trigrams(s["value"])].mean())})
+                    else:
+                        out += [{"start": s["start"] + a, "end": s["start"] + b, "kind": "random", "base": False, "score": x} for a, b, x in judged(s["value"], ratio, threshold)]
                 order = (*BASE, "random")
                 found.append(sorted(out, key=lambda s: (s["start"], order.index(s["kind"]))))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], ["doc_id", "spans"])
@@ -178,7 +211,7 @@ def redact(docs: DataFrame, threshold: float = 1.0, sample_docs: int = 5000, mar
 
     def clean(text: str) -> str:
         base = base_spans(text)
-        found = [(a, b) for a, b, _, _ in base] + [(a, b) for a, b, v in other_tokens(text, base) if ratio[trigrams(v)].mean() >= threshold]
+        found = [(a, b) for a, b, _, _ in base] + [(at + a, at + b) for at, _, v in other_tokens(text, base) for a, b, _ in judged(v, ratio, threshold)]
         out, at = [], 0
         for a, b in sorted(found):
             if a >= at:
