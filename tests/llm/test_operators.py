@@ -43,6 +43,36 @@ def test_personal_data_in_hard_texts(spark):
         assert [(s["kind"], s["start"], s["end"]) for s in r["spans"] if s["base"]] == brute.pii_base(hard[r["doc_id"]])
 
 
+def test_personal_data_in_hostile_texts(spark):
+    """A hundred thousand repeats of each pattern's loop, and of its matches: no stack runs out and nothing is quadratic. (The plain restatement is quadratic, so it is held against short ones.)"""
+
+    def texts(n: int, m: int) -> list[str]:
+        loops = ["a@b" + ".c" * n, "1" + ".1" * n, "1" + "-1" * n, "+1" + " 1" * n, "555" + "-123" * n, "123-45" * n, "DE12 " + "ABCD " * n, "x[at]y" + ".z" * n, "x[at]y" + " [dot] z" * n, "Mr. James" + " Smith" * n, "Mr " * n, "(" * n]
+        return loops + [x * m for x in ("a.b@mail.example.com ", "1.2.3.4 ", "4111 1111 1111 1111 x ", "+1 (555) 123-4567 x ", "555-123-1234 ", "123-45-6789 ", "James Smith a@b.c ", "x [at] y.z a@b.c ")]
+
+    for n, m in ((700, 200), (100_000, 20_000)):
+        rows = texts(n, m)
+        found = {r["doc_id"]: r["spans"] for r in pii.candidates(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4)).collect()}
+        for i, text in enumerate(rows if n < 1000 else []):
+            assert [(pii.NAMES[s["kind"]], s["start"], s["end"]) for s in found[i] if s["kind"] < 4] == brute.pii_base(text)
+        assert [len(found[i]) for i in range(12, 20)] == [m] * 6 + [2 * m] * 2
+        assert [(s["start"], s["end"]) for s in found[7]] == [(0, len(rows[7]))]
+
+
+def test_added_spans_apart_from_base_spans(spark):
+    """The merge of two sorted lists against all pairs."""
+    import random
+
+    r = random.Random(17)
+    span = lambda kind: (kind, a := r.randrange(400), a + r.randrange(1, 12), "m", "b")
+    rows = [(i, [span(1) for _ in range(r.randrange(60))], [span(6) for _ in range(r.randrange(300))]) for i in range(60)]
+    kind = "array<struct<kind:int,start:bigint,end:bigint,match:string,before:string>>"
+    df = spark.createDataFrame(rows, f"i long, base {kind}, added {kind}")
+    got = {x["i"]: sorted(map(tuple, x["kept"])) for x in df.select("i", pii.apart(F.col("added"), F.col("base")).alias("kept")).collect()}
+    for i, base, added in rows:
+        assert got[i] == sorted(a for a in added if not any(a[1] < b[2] and b[1] < a[2] for b in base))
+
+
 def test_added_personal_spans(spark):
     """Local numbers after a word of contact are found; numbers after order words are not, once both are seen often enough."""
     rows = [(i, f"Please call me (555) 123-{1000 + i} today. ") for i in range(60)] + [(100 + i, f"See invoice 555-123-{1000 + i} here. ") for i in range(60)]

@@ -13,13 +13,16 @@ Without candidates no model is needed. Other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
 #: Kinds in the order in which they are reported: (name, cheap test, pattern). The first four are the base kinds. Patterns never
-#: look at a run of characters from each of its places: they start where the run does, or where the last match ended.
+#: look at a run of characters from each of its places: they start where the run does, or where the last match ended. Loops over
+#: groups are possessive or bounded: others recurse in Java's matcher and exhaust the stack on long texts.
 KINDS = (
     ("email", "@", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"),
     ("ip", r"[0-9]\.[0-9]", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"),
@@ -28,7 +31,7 @@ KINDS = (
     ("tel", r"[0-9]{3}[ .-][0-9]{4}", r"(?<![0-9+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9.-])"),
     ("ssn", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
     ("iban", r"[A-Z]{2}[0-9]{2}[ A-Z0-9]{11}", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
-    ("mail", r"[\[(](?:at|AT)[\])]", r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{1,64}+ ?[\[(](?:at|AT)[\])] ?[A-Za-z0-9-]++(?: ?(?:[\[(](?:dot|DOT)[\])]|\.) ?[A-Za-z0-9-]++)+"),
+    ("mail", r"[\[(](?:at|AT)[\])]", r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{1,64}+ ?[\[(](?:at|AT)[\])] ?[A-Za-z0-9-]++(?: ?(?:[\[(](?:dot|DOT)[\])]|\.) ?[A-Za-z0-9-]++)++"),
     ("name", r"\b(?:Mr|Mrs|Ms|Dr|Prof)\b|\b(?:James|Mary|John|Patricia|Robert|Jennifer|Michael|Linda|David|Elizabeth|Maria|Anna|Hans|Jean|Carlos)\b",
      r"\b(?:(?:Mr|Mrs|Ms|Dr|Prof)\b\.? ?)?(?:James|Mary|John|Patricia|Robert|Jennifer|Michael|Linda|David|Elizabeth|Maria|Anna|Hans|Jean|Carlos|(?<=(?:Mr|Mrs|Ms|Dr|Prof)\b\.? )[A-Z][a-z]+) [A-Z][a-z]+"),
 )
@@ -59,21 +62,66 @@ def passes(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
+def chunked(rows: Column, size: int = 128) -> Column:
+    """The array in slices of at most size."""
+    return F.when(F.size(rows) == 0, F.slice(F.array(rows), 1, 0)).otherwise(F.transform(F.sequence(F.lit(0), F.floor((F.size(rows) - 1) / size).cast("int")), lambda c: F.slice(rows, c * size + 1, size)))
+
+
+def scanned(rows: Column, zero: Column, total_: Callable[[Column], Column], combine: Callable[[Column, Column], Column], value: Callable[[Column, Column], Column], after: Callable[[Column, Column], Column]) -> Column:
+    """For each row value(state, row), where state is `zero` combined with what precedes the row. A fold that appends to an
+    array copies it in each step, so it runs over short slices, each from the state that the slices before it leave (total_ of each)."""
+
+    def fold(items: Column, start: Column, each: Callable[[Column, Column], Column], next_: Callable[[Column, Column], Column]) -> Column:
+        none = F.slice(F.array(each(start, items[0])), 1, 0)
+        step = lambda a, x: F.struct(next_(a["state"], x).alias("state"), F.concat(a["out"], F.array(each(a["state"], x))).alias("out"))
+        return F.aggregate(items, F.struct(start.alias("state"), none.alias("out")), step, lambda a: a["out"])
+
+    def of_chunks(chunks: Column) -> Column:
+        starts = fold(F.transform(chunks, total_), zero, lambda s, t: s, combine)
+        return F.flatten(F.zip_with(chunks, starts, lambda c, s: fold(c, s, value, after)))
+
+    return F.when(F.size(rows) > 0, bound(chunked(rows), of_chunks))
+
+
 def found_spans(text: Column, kind: str) -> Column:
     """Array of (kind, start, end, match, before) of the kind's leftmost matches: the pieces between matches and the matches add up to the text."""
     _, cheap, pattern = next(k for k in KINDS if k[0] == kind)
     number = NAMES.index(kind)
-    empty = F.expr("cast(array() as array<struct<kind:int,start:bigint,end:bigint,match:string,before:string>>)")
     pieces, matches = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.zip_with(matches, pieces, lambda m, p: F.struct(m.alias("m"), p.alias("p")))
+    # After the last match a piece is left over.
+    pairs = F.filter(F.zip_with(matches, pieces, lambda m, p: F.struct(m.alias("m"), p.alias("p"), F.length(p).cast("long").alias("lead"), F.length(m).cast("long").alias("own"))), lambda x: x["m"].isNotNull())
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["p"])
-        one = F.struct(F.lit(number).alias("kind"), start.alias("start"), (start + F.length(x["m"])).alias("end"), x["m"].alias("match"), F.substring(x["p"], -30, 30).alias("before"))
-        return F.when(x["m"].isNull(), acc).otherwise(F.struct((start + F.length(x["m"])).alias("at"), F.when(passes(kind, x["m"]), F.concat(acc["out"], F.array(one))).otherwise(acc["out"]).alias("out")))
+    def placed(at: Column, x: Column) -> Column:
+        start = at + x["lead"]
+        return F.struct(F.lit(number).alias("kind"), start.alias("start"), (start + x["own"]).alias("end"), x["m"].alias("match"), F.substring(x["p"], -30, 30).alias("before"))
 
+    add = lambda at, x: at + x["lead"] + x["own"]
+    whole = lambda chunk: F.aggregate(chunk, F.lit(0).cast("long"), add)
+    spans = bound(pairs, lambda rows: scanned(rows, F.lit(0).cast("long"), whole, lambda a, b: a + b, placed, add))
     guard = text.contains(cheap) if cheap == "@" else text.rlike(cheap)
-    return F.when(guard, F.aggregate(pairs, F.struct(F.lit(0).cast("long").alias("at"), empty.alias("out")), step, lambda acc: acc["out"])).otherwise(empty)
+    return F.coalesce(F.when(guard, F.filter(spans, lambda s: passes(kind, s["match"]))), F.expr("cast(array() as array<struct<kind:int,start:bigint,end:bigint,match:string,before:string>>)"))
+
+
+def apart(added: Column, base: Column) -> Column:
+    """The spans of added that overlap none of base: in order of start, none before reaches beyond the span's start, and none after begins before its end."""
+    far = F.lit(1 << 60)
+    row = lambda s, own: F.struct(s["start"].alias("at"), s["end"].alias("to"), F.lit(own).alias("own"), s.alias("span"))
+    rows = F.array_sort(F.concat(F.transform(base, lambda s: row(s, 0)), F.transform(added, lambda s: row(s, 1))))
+
+    def reach(x: Column) -> Column:
+        return F.when(x["own"] == 0, x["to"]).otherwise(-far)
+
+    def begin(x: Column) -> Column:
+        return F.when(x["own"] == 0, x["at"]).otherwise(far)
+
+    def open_left(sorted_: Column) -> Column:
+        return scanned(sorted_, -far, lambda c: F.aggregate(c, -far, lambda a, x: F.greatest(a, reach(x))), F.greatest, lambda s, x: F.struct(x["at"].alias("at"), x["to"].alias("to"), x["own"].alias("own"), x["span"].alias("span"), (s <= x["at"]).alias("free")), lambda s, x: F.greatest(s, reach(x)))
+
+    def open_right(back: Column) -> Column:
+        return scanned(back, far, lambda c: F.aggregate(c, far, lambda a, x: F.least(a, begin(x))), F.least, lambda s, x: F.struct((x["free"] & (x["own"] == 1) & (s >= x["to"])).alias("keep"), x["span"].alias("span")), lambda s, x: F.least(s, begin(x)))
+
+    kept = F.reverse(bound(F.reverse(bound(rows, open_left)), open_right))
+    return F.when((F.size(added) == 0) | (F.size(base) == 0), added).otherwise(F.transform(F.filter(kept, lambda x: x["keep"]), lambda x: x["span"]))
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -81,8 +129,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     each = docs.select(F.col(id_col).cast("long").alias("doc_id"), *(found_spans(text, k).alias(f"k{i}") for i, k in enumerate(NAMES)))
     base, added = F.concat(*(f"k{i}" for i in range(4))), F.concat(*(f"k{i}" for i in range(4, len(NAMES))))
-    apart = F.when(F.size("added") == 0, F.col("added")).otherwise(F.filter("added", lambda a: ~F.exists("base", lambda b: (a["start"] < b["end"]) & (b["start"] < a["end"]))))
-    return each.select("doc_id", base.alias("base"), added.alias("added")).select("doc_id", F.concat("base", apart).alias("spans"))
+    return each.select("doc_id", base.alias("base"), added.alias("added")).select("doc_id", F.concat("base", apart(F.col("added"), F.col("base"))).alias("spans"))
 
 
 def votes(s: Column) -> list[Column]:
