@@ -272,8 +272,8 @@ def test_knn_join(spark):
     for q in (i for i in fine if i % 50 == 0):
         scores = sorted(((-int(fine[q] @ fine[x]), x) for x in fine if x != q))[:5]
         expected += [(q, k, x, -s) for k, (s, x) in enumerate(scores, 1)]
-    for size, block in ((512, 20_000), (2, 50)):
-        got = knn_join.knn_join(df, F.col("id") % 50 == 0, group_size=size, block_rows=block).collect()
+    for size, block, part in ((2048, 4_000_000, 8192), (20, 400, 3)):
+        got = knn_join.knn_join(df, F.col("id") % 50 == 0, cell_rows=size, block_values=block, part_queries=part).collect()
         assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == sorted(expected)
     few = df.where("vec_id in (0, 7)")
     assert len(knn_join.knn_join(few, F.col("id") % 50 == 0).collect()) == 1
@@ -419,8 +419,8 @@ def test_knn_join_of_a_repeated_query(spark, copies):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
     fine = [(i, np.floor(256 * np.array(v, np.float32).astype(float))) for i, v in rows]
     want = sorted((-int(fine[0][1] @ v), i) for i, v in fine if i != 50)[:5]
-    for block in (20_000, 5):
-        got = knn_join.knn_join(df, F.col("id") == 50, block_rows=block).collect()
+    for block in (4_000_000, 10):
+        got = knn_join.knn_join(df, F.col("id") == 50, cell_rows=8, block_values=block).collect()
         assert sorted((x["rank"], x["vec_id"], x["score"]) for x in got) == [(k, i, -s) for k, (s, i) in enumerate(want, 1)]
     far = spark.createDataFrame([x for x in rows if x[0] != 7], df.schema).repartition(3)
     want = sorted((-int(fine[0][1] @ v), i) for i, v in fine if i not in (50, 7))[:5]
@@ -428,6 +428,43 @@ def test_knn_join_of_a_repeated_query(spark, copies):
     assert sorted((x["rank"], x["vec_id"], x["score"]) for x in got) == [(k, i, -s) for k, (s, i) in enumerate(want, 1)]
 
 
+def test_knn_join_of_huge_components(spark):
+    """Beyond the range of squares and of longs: such rows lose to none by overflow, and scores are held to a long."""
+    r = np.random.default_rng(9)
+    rows = [(i, [float(x) for x in r.normal(0, 1, 4)]) for i in range(120)]
+    rows += [(200, [1e160, 1.0, 0.0, 0.0]), (250, [-1e300, 0.0, 1.0, 0.0]), (201, [1e300, 0.0, 0.0, 0.0]), (202, [1.7e308, 0.0, 0.0, 0.0]), (203, [float(1 << 45), 1.0, 0.0, 0.0]), (204, [3e6, -3e6, 1.0, 0.5])]
+    import math
+
+    whole = {i: [math.floor(x * 256) if abs(x * 256) < 9e15 else int(max(min(x * 256, 1.7e308), -1.7e308)) for x in v] for i, v in rows}
+    want = []
+    for q in (i for i in whole if i % 50 == 0):
+        scores = sorted((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(whole[q], whole[i], strict=True)))), i) for i in whole if i != q)[:5]
+        want += [(q, k, i, -s) for k, (s, i) in enumerate(scores, 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    for size in (8, 2048):
+        got = knn_join.knn_join(df, F.col("id") % 50 == 0, cell_rows=size).collect()
+        assert sorted((x["query_id"], x["rank"], x["vec_id"], x["score"]) for x in got) == sorted(want)
+
+
+def test_knn_join_prunes(spark):
+    """Tight clusters: queries meet few cells, and the result is that of brute force."""
+    r = np.random.default_rng(4)
+    centres = r.normal(0, 1, (12, 16))
+    x = np.floor(256 * (centres[np.arange(1200) % 12] + r.normal(0, 0.02, (1200, 16))))
+    df = spark.createDataFrame([(i, (v / 256).tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    got = knn_join.knn_join(df, F.col("id") % 50 == 0, cell_rows=40)
+    want = []
+    for q in range(0, 1200, 50):
+        scores = sorted((-int(x[q] @ x[i]), i) for i in range(1200) if i != q)[:5]
+        want += [(q, k, i, -s) for k, (s, i) in enumerate(scores, 1)]
+    assert sorted((y["query_id"], y["rank"], y["vec_id"], y["score"]) for y in got.collect()) == sorted(want)
+    pivots = knn_join.Pivots(x[:30])
+    data = knn_join.assigned(knn_join.valid(df, "vec_id", "embedding", 256.0), pivots, 16).cache()
+    cells = knn_join.summaries(data)
+    queries = knn_join.bounded_queries(data.where("id % 50 = 0").select("id", "v"), pivots, cells, (np.arange(1200), x), 5, 16)
+    assert queries.agg(F.avg(F.size("cells"))).first()[0] <= 0.35 * len(cells)
+
+
 def test_random_strings_without_digits_and_beside_others(spark):
     """Letters alone, a second secret after a base span, and one after an ordinary name are found; long ordinary words are not."""
     import random

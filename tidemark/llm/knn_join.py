@@ -1,17 +1,22 @@
 """Exact top-k search by a Voronoi kNN join under the inner product.
 
-Queries and data are grouped by their nearest pivot. For a group of queries around pivot p with radius u, and for any
-x, q.x lies within p.x +- u * |x|. The k-th largest of the lower ends over all other ids, each with its best row, bounds every query's k-th score from
-below; it is found from each partition's summary, the largest lower ends of k + 1 ids for each group. Only x whose upper end reaches that bound are
-replicated to the group, and there each block of data is multiplied with the group's queries. The blocks' best k are
-merged for each query.
-
-Groups of more than group_size queries are split, with radii of their own; data that comes to a group is dealt out over blocks, so neither a common vector nor a dense cell comes to one task.
-Pivots are a bounded sample (max_pivots vectors by a hash of the id); they decide speed alone, never the result.
+Queries and data are both grouped by their nearest pivot. Each data cell has a summary: its number of rows, the range of their
+components along the pivot, the largest component across it, the largest distance to it, and a few witnesses, the rows that
+reach farthest along the pivot. For a query the k-th best score among all witnesses of other ids bounds its k-th best score from below; the
+summaries bound its scores with a cell's rows from above. A query meets a cell only if its upper bound there reaches its lower
+one, and a row of the cell is sent on only if some group of queries may need it by the same bounds on the groups' summaries. Of the two sides
+the queries are the fewer, so theirs are the rows that are replicated, to the cells they need; data moves once. What meets
+is multiplied locally, and the cells' best k are merged for each query.
+
+A cell of many rows is dealt out over blocks, and one that many queries need over parts of these, so neither a common vector nor
+a dense cell comes to one task; blocks and parts are bounded in values. Pivots are a bounded sample (max_pivots vectors by a hash of the id)
+and decide speed alone, never the result; summaries and witnesses are as many as pivots. Where vectors have no
+structure (directions at random in many dimensions) no bound can exclude much, and the join compares all queries with all data, in blocks.
 
 Defined cases: vectors that are null, empty, or hold null or non-finite components take no part. Where lengths differ, missing components
 count as 0. A null id takes no part. Ties go to the smaller id; repeated rows are candidates of their own, but none for
-a query with its id; of queries that share an id the least vector is asked. Components beyond 2^20 in size are compared by exact whole numbers; scores beyond a long are held to its range.
+a query with its id; of queries that share an id the least vector is asked. Components beyond 2^20 in size are compared by exact whole numbers;
+rows with components beyond 2^40 form a cell without bounds that every query meets. Scores beyond a long are held to its range.
 """
 
 from __future__ import annotations
@@ -19,6 +24,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,6 +32,10 @@ from pyspark.sql import functions as F
 from . import common
 
 LARGE = float(1 << 20)
+#: Components from which squares and sums aren't taken: such rows have no bounds.
+HUGE = float(1 << 40)
+#: The cell of rows without bounds.
+UNBOUNDED = -1
 
 
 def matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -57,106 +67,176 @@ def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.clip(whole, -(2**63), 2**63 - 1)
 
 
+class Pivots:
+    """The pivots, their directions, and how rows lie to them."""
+
+    def __init__(self, vectors: np.ndarray):
+        self.at = vectors
+        size = np.sqrt((vectors**2).sum(1))
+        self.towards = vectors / np.where(size > 0, size, 1)[:, None]
+        self.half = size**2 / 2
+
+    def nearest(self, x: np.ndarray) -> np.ndarray:
+        return (x @ self.at.T - self.half).argmax(1)
+
+    def split(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Components of each row along each pivot, across it (widened for rounding), and the rows' lengths."""
+        along, squares = x @ self.towards.T, (x**2).sum(1)
+        length = np.sqrt(squares)
+        return along, np.sqrt(np.maximum(squares[:, None] - along**2, 0)) + 1e-7 * length[:, None], length
+
+
+def highest(along: np.ndarray, across: np.ndarray, low: np.ndarray, high: np.ndarray, most_across: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Upper bounds of inner products of rows with what lies between low and high along a direction and at most most_across across it."""
+    return np.maximum(along * low, along * high) + across * most_across + 1e-9 * scale + 1e-6
+
+
 def valid(df: DataFrame, id_col: str, vector_col: str, scale: float) -> DataFrame:
     raw = F.col(vector_col).cast("array<double>")
     fine = F.col(id_col).isNotNull() & (F.size(raw) > 0) & F.forall(raw, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    whole = F.transform(raw, lambda x: F.when(F.abs(x * scale) < 9e15, F.floor(x * scale).cast("double")).otherwise(x * scale))
+    most = 1.7e308  # a component that the scale takes out of range stays the largest there is
+    scaled = lambda x: F.greatest(F.least(x * scale, F.lit(most)), F.lit(-most))
+    whole = F.transform(raw, lambda x: F.when(F.abs(x * scale) < 9e15, F.floor(x * scale).cast("double")).otherwise(scaled(x)))
     return df.where(F.coalesce(fine, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), whole.alias("v"))
 
 
-def knn_join(df: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0, group_size: int = 512, max_pivots: int = 256, block_rows: int = 20_000, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """query_id, rank, vec_id, score: for each row that is_query holds for (a condition on `id`), its k highest inner products among all rows of other ids, of floor(scale * x) for each component x."""
-    spark = df.sparkSession
-    rows = common.saved(valid(df, id_col, vector_col, scale), "vectors")
-    out_schema = "query_id long, rank int, vec_id long, score long"
-    shape = rows.agg(F.max(F.size("v")).alias("width"), F.count("*").alias("n"), F.count_if(is_query).alias("q")).first()
-    width, n, n_queries = shape["width"] or 0, shape["n"], shape["q"]
-    if not n_queries:
-        return spark.createDataFrame([], out_schema)
-    n_pivots = int(min(max_pivots, max(1, -(-n_queries * 2 // group_size))))
-    rate = min(1.0, 4.0 * n_pivots / n_queries)
-    picked = rows.where(is_query).where(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < 1_000_003 * rate).orderBy(F.xxhash64("id"), "id").limit(n_pivots).select("v")
-    taken = picked.toPandas()["v"].to_list() or [rows.where(is_query).first()["v"]]
-    pivots = np.zeros((len(taken), width))
-    for i, v in enumerate(taken):
-        pivots[i, : len(v)] = v
-    half = (pivots**2).sum(1) / 2
-
-    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def assigned(rows: DataFrame, pivots: Pivots, width: int) -> DataFrame:
+    """id, v, salt (a number of the row in its task), cell, and how the row lies to its pivot: along, across, far, long."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = 0
         for batch in batches:
             x = matrix(batch.column(1), width)
-            cell = (x @ pivots.T - half).argmax(1)
-            radius = np.sqrt(np.maximum(((x - pivots[cell]) ** 2).sum(1), 0))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cell, pa.int32()), pa.array(radius)], ["id", "v", "cell", "radius"])
-
-    asked_once = rows.where(is_query).groupBy("id").agg(F.min("v").alias("v"))
-    queries = common.saved(asked_once.transform(common.in_batches, nearest, "id long, v array<double>, cell int, radius double"), "queries")
-    parts = queries.groupBy("cell").agg(F.ceil(F.count("*") / group_size).cast("int").alias("parts"))
-    queries = queries.join(parts, "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    # One row for each group of queries: as many as there are queries / group_size, and pivots.
-    groups = queries.groupBy("cell", "part").agg(F.max("radius").alias("radius"), F.count("*").alias("n")).orderBy("cell", "part").toPandas()
-    group_cell, group_radius = groups["cell"].to_numpy(), groups["radius"].to_numpy() * (1 + 1e-9)
-    number = {(c, p): g for g, (c, p) in enumerate(zip(groups["cell"], groups["part"], strict=True))}
-    keep = k + 1  # ids: the query's own may be among them, with however many rows
-
-    def ends(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        middle, spread = x @ pivots[group_cell].T, np.sqrt((x**2).sum(1))[:, None] * group_radius[None, :]
-        slack = 1e-9 * (np.abs(middle) + spread) + 1e-6
-        return middle - spread - slack, middle + spread + slack
-
-    def lower(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best, of = np.zeros((0, len(group_cell))), np.zeros((0, len(group_cell)), np.int64)
+            huge = np.abs(x).max(1, initial=0) > HUGE
+            x = np.where(huge[:, None], 0.0, x)
+            cell = pivots.nearest(x)
+            own = pivots.towards[cell]
+            along, squares = np.einsum("ij,ij->i", x, own), (x**2).sum(1)
+            length = np.sqrt(squares)
+            across = np.sqrt(np.maximum(squares - along**2, 0)) + 1e-7 * length
+            far = np.sqrt(((x - pivots.at[cell]) ** 2).sum(1)) + 1e-7 * length
+            salt = np.arange(seen, seen + len(x))
+            seen += len(x)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(salt), pa.array(np.where(huge, UNBOUNDED, cell), pa.int32()), *map(pa.array, (along, across, far, length))], ["id", "v", "salt", "cell", "along", "across", "far", "long"])
+
+    return rows.transform(common.in_batches, run, "id long, v array<double>, salt long, cell int, along double, across double, far double, long double")
+
+
+def summaries(rows: DataFrame) -> pd.DataFrame:
+    """One row for each cell: as many as pivots at most."""
+    of = {"low": F.min("along"), "high": F.max("along"), "across": F.max("across"), "far": F.max("far"), "long": F.max("long"), "n": F.count("*")}
+    return rows.groupBy("cell").agg(*(c.alias(n) for n, c in of.items())).orderBy("cell").toPandas()
+
+
+def bounded_queries(queries: DataFrame, pivots: Pivots, cells: pd.DataFrame, witnesses: tuple[np.ndarray, np.ndarray], k: int, width: int) -> DataFrame:
+    """id, v, home (the query's own cell), least (what its k-th best score reaches), along, across, long, cells (those that it has to meet)."""
+    plain = cells[cells["cell"] != UNBOUNDED]
+    number = plain["cell"].to_numpy()
+    low, high, across_, far, long_ = (plain[c].to_numpy() for c in ("low", "high", "across", "far", "long"))
+    some, every = pa.array(cells["cell"].to_numpy(), pa.int32()), [UNBOUNDED] * (len(plain) < len(cells))
+    ids, vectors = witnesses
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, low = batch.column(0).to_numpy(), ends(matrix(batch.column(1), width))[0]
-            order = np.argsort(ids, kind="stable")
-            begins = np.flatnonzero(np.diff(ids[order], prepend=ids[order[:1]] - 1))
-            low = np.maximum.reduceat(low[order], begins, axis=0) if len(begins) else low
-            at = np.argpartition(-low, keep, axis=0)[:keep] if len(low) > keep else np.tile(np.arange(len(low))[:, None], len(group_cell))
-            best, of = np.concatenate((best, np.take_along_axis(low, at, 0))), np.concatenate((of, ids[order][begins][at]))
-            # An id that was there before stays with its best row alone.
-            order = np.lexsort((-best, of), axis=0)
-            best, of = np.take_along_axis(best, order, 0), np.take_along_axis(of, order, 0)
-            best[1:][of[1:] == of[:-1]] = -np.inf
-            order = np.argsort(-best, axis=0, kind="stable")[:keep]
-            best, of = np.take_along_axis(best, order, 0), np.take_along_axis(of, order, 0)
-        g = np.tile(np.arange(best.shape[1]), best.shape[0])
-        fine = np.isfinite(best.ravel())
-        yield pa.RecordBatch.from_arrays([pa.array(g[fine], pa.int32()), pa.array(of.ravel()[fine]), pa.array(best.ravel()[fine])], ["g", "id", "low"])
-
-    w = Window.partitionBy("g").orderBy(F.desc("low"))
-    lows = rows.select("id", "v").transform(common.in_batches, lower, "g int, id long, low double").groupBy("g", "id").agg(F.max("low").alias("low"))
-    lows = lows.withColumn("r", F.row_number().over(w)).where(F.col("r") == keep).select("g", "low").collect()
-    bound = np.full(len(group_cell), -np.inf)
-    for r in lows:
-        bound[r["g"]] = r["low"]
-
-    def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own, x = batch.column(0).to_numpy(), matrix(batch.column(1), width)
+            huge = np.abs(x).max(1, initial=0) > HUGE
+            x = np.where(huge[:, None], 0.0, x)
+            along, across, length = pivots.split(x)
+            least = np.full(len(x), -np.inf)
+            if len(ids) >= k:
+                scores = np.where(own[:, None] == ids[None, :], -np.inf, x @ vectors.T)
+                least = -np.partition(-scores, k - 1, axis=1)[:, k - 1] - 1e-9 * length * long_.max(initial=0) - 1e-6
+            scale = length[:, None] * (long_ + np.abs(pivots.at[number]).sum(1))
+            above = highest(along[:, number], across[:, number], low, high, across_, scale)
+            above = np.minimum(above, x @ pivots.at[number].T + length[:, None] * far + 1e-9 * scale + 1e-6)
+            need = ~(above < least[:, None])
+            least[huge] = -np.inf
+            found = [some if h else pa.array([*number[n].tolist(), *every], pa.int32()) for h, n in zip(huge, need, strict=True)]
+            ends = np.cumsum([0, *map(len, found)])
+            meets = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.concat_arrays(found) if found else pa.array([], pa.int32()))
+            home = np.where(huge, UNBOUNDED, pivots.nearest(x))
+            at = np.arange(len(x)), np.maximum(home, 0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(home, pa.int32()), *map(pa.array, (least, along[at], across[at], length)), meets], ["id", "v", "home", "least", "along", "across", "long", "cells"])
+
+    return queries.transform(common.in_batches, run, "id long, v array<double>, home int, least double, along double, across double, long double, cells array<int>")
+
+
+def needed(rows: DataFrame, pivots: Pivots, groups: pd.DataFrame, width: int) -> DataFrame:
+    """The rows that some group of queries may need, by the groups' summaries: the range of its queries along their pivot, the farthest across it, and the least of what they reach."""
+    if (groups["home"] == UNBOUNDED).any():
+        return rows
+    home = groups["home"].to_numpy()
+    low, high, across_, long_, least = (groups[c].to_numpy() for c in ("low", "high", "across", "long", "least"))
+    size = np.sqrt((pivots.at[home] ** 2).sum(1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            r, g = np.nonzero(ends(matrix(batch.column(1), width))[1] >= bound[None, :])
-            for a in range(0, len(r), 20_000):
-                at = pa.array(r[a : a + 20_000])
-                yield pa.RecordBatch.from_arrays([pa.array(g[a : a + 20_000], pa.int32()), batch.column(0).take(at), batch.column(1).take(at)], ["g", "id", "v"])
-
-    blocks = max(1, -(-n // block_rows))
-    block = F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("int")  # an id may have many rows
-    data = rows.transform(common.in_batches, replicate, "g int, id long, v array<double>").withColumn("block", block)
-    pairs = F.create_map(*(F.lit(x) for (c, p), g in number.items() for x in (f"{c}:{p}", g)))
-    asked = queries.withColumn("g", pairs[F.concat_ws(":", "cell", "part")]).select("g", "id", "v", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-
-    def solve(left: pa.Table, right: pa.Table) -> pa.Table:
-        qid, q = left.column("id").to_numpy(), matrix(left.column("v").combine_chunks(), width)
-        xid, x = right.column("id").to_numpy(), matrix(right.column("v").combine_chunks(), width)
+            x = matrix(batch.column(1), width)
+            huge = np.abs(x).max(1, initial=0) > HUGE
+            along, across, length = pivots.split(np.where(huge[:, None], 0.0, x))
+            above = highest(along[:, home], across[:, home], low, high, across_, length[:, None] * (long_ + size))
+            keep = huge | ~(above < least).all(1)
+            yield batch if keep.all() else batch.filter(pa.array(keep))
+
+    return rows.transform(common.in_batches, run, rows.schema)
+
+
+def knn_join(df: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0, cell_rows: int = 2048, max_pivots: int = 512, block_values: int = 4_000_000, part_queries: int = 8192, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """query_id, rank, vec_id, score: for each row that is_query holds for (a condition on `id`), its k highest inner products among all rows of other ids, of floor(scale * x) for each component x.
+
+    cell_rows: rows of a cell aimed at (as long as there are at most max_pivots cells); block_values: components in a block of a cell; part_queries: queries that meet a block in one task.
+    """
+    spark = df.sparkSession
+    rows = valid(df, id_col, vector_col, scale)
+    shape = rows.agg(F.max(F.size("v")).alias("width"), F.count("*").alias("n"), F.count_if(is_query).alias("q")).first()
+    width, n = shape["width"] or 0, shape["n"]
+    if not shape["q"]:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    n_pivots = max(1, min(max_pivots, n // cell_rows))
+    order = [F.xxhash64("id"), F.col("id"), F.col("v")]
+    bounded = F.forall("v", lambda x: F.abs(x) <= HUGE)
+    rate = min(1.0, 4.0 * n_pivots / n + 100 / n)  # the sort sees a few times as many rows as are taken
+    some = rows.where(bounded & (F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < 1_000_003 * rate)).orderBy(*order).limit(n_pivots).select("v").toPandas()["v"]
+    at = np.zeros((max(1, len(some)), width))
+    for i, v in enumerate(some):
+        at[i, : len(v)] = v
+    pivots = Pivots(np.unique(at, axis=0))
+    data = common.saved(assigned(rows, pivots, width), "vectors")
+    cells = summaries(data)
+    best = Window.partitionBy("cell").orderBy(F.desc("along"), "id", "salt")
+    seen = data.where(F.col("cell") != UNBOUNDED).withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).select("id", "v").toPandas()
+    vectors = np.zeros((len(seen), width))
+    for i, v in enumerate(seen["v"]):
+        vectors[i, : len(v)] = v
+    asked = data.where(is_query).groupBy("id").agg(F.min("v").alias("v"))
+    queries = common.saved(bounded_queries(asked, pivots, cells, (seen["id"].to_numpy(np.int64), vectors), k, width), "queries")
+    of = {"low": F.min("along"), "high": F.max("along"), "across": F.max("across"), "long": F.max("long"), "least": F.min("least")}
+    groups = queries.groupBy("home").agg(*(c.alias(n) for n, c in of.items())).toPandas()
+    met = queries.select("id", "v", F.explode("cells").alias("cell"))
+    asks = met.groupBy("cell").count().toPandas()
+    # Blocks and parts of each cell that queries meet: as many rows as cells.
+    block_rows = max(1, block_values // max(width, 1))
+    plan = cells.merge(asks, on="cell")
+    plan = plan.assign(blocks=-(-plan["n"] // block_rows), parts=-(-plan["count"] // part_queries))[["cell", "blocks", "parts"]].astype("int32")
+    plan = F.broadcast(spark.createDataFrame(plan, "cell int, blocks int, parts int"))  # max_pivots + 1 rows at most
+    block, part = (F.pmod(F.xxhash64("id", x), F.col(y)).cast("int") for x, y in (("salt", "blocks"), ("id", "parts")))
+    all_ = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    right = needed(data.select("id", "v", "salt", "cell"), pivots, groups, width).join(plan, "cell").select("cell", block.alias("block"), all_("parts").alias("part"), "id", "v")
+    left = met.join(plan, "cell").select("cell", all_("blocks").alias("block"), part.alias("part"), "id", "v")
+
+    def solve(one: pa.Table, two: pa.Table) -> pa.Table:
+        qid, q = one.column("id").to_numpy(), matrix(one.column("v").combine_chunks(), width)
+        xid, x = two.column("id").to_numpy(), matrix(two.column("v").combine_chunks(), width)
         found: list[list] = [[], [], []]
-        for a in range(0, len(qid), 64):
-            scores = products(q[a : a + 64], x) if len(xid) else np.zeros((len(qid[a : a + 64]), 0))
-            for i, row in enumerate(scores, a):
+        for a in range(0, len(qid) if len(xid) else 0, 64):
+            for i, scores in enumerate(products(q[a : a + 64], x), a):
                 other = np.flatnonzero(xid != qid[i])
-                best = other[top(xid[other], row[other], k)]
+                best = other[top(xid[other], scores[other], k)]
                 found[0] += [int(qid[i])] * len(best)
                 found[1] += xid[best].tolist()
-                found[2] += [int(s) for s in row[best]]
+                found[2] += [int(s) for s in scores[best]]
         return pa.table({"query_id": pa.array(found[0], pa.int64()), "vec_id": pa.array(found[1], pa.int64()), "score": pa.array(found[2], pa.int64())})
 
-    local = asked.groupBy("g", "block").cogroup(data.groupBy("g", "block")).applyInArrow(solve, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return local.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+    local = left.groupBy("cell", "block", "part").cogroup(right.groupBy("cell", "block", "part")).applyInArrow(solve, "query_id long, vec_id long, score long")
+    final = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return local.withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
