@@ -27,7 +27,7 @@ NAVIGATION = re.compile(r"[|»›>•]")
 ENDS = (".", "!", "?", ":", ";", "…", '"', "'", ")", "”", "»", "。", "！", "？")
 
 
-def line_fails(line: str, boilerplate_words: int = 15, symbol_share: float = 0.1, caps_share: float = 0.8) -> str:
+def line_fails(line: str, boilerplate_words: int = 15, symbol_share: float = 0.1) -> str:
     """The rule that the line fails, or an empty string. Lines of white space alone fail none."""
     bare = line.strip(" \t\r\v\f")
     if not bare:
@@ -85,8 +85,8 @@ def repeated_words(hashes: np.ndarray) -> int:
     return int(covered.sum())
 
 
-def clean_lines(docs: DataFrame, most_lost: float = 0.4, least_words: int = 50, most_repeated: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, lost (share of characters in removed lines), cleaned."""
+def clean_lines(docs: DataFrame, most_lost: float = 0.4, least_words: int = 50, most_repeated: int = 50, with_cleaned: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, lost (share of characters in removed lines), cleaned (null unless with_cleaned)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -103,7 +103,7 @@ def clean_lines(docs: DataFrame, most_lost: float = 0.4, least_words: int = 50,
                     failed = n < least_words or 100 * again > most_repeated * n
                     cleaned, before, after = clean(text)
                     lost = (before - after) / before if before else 0.0
-                    for k, v in zip(rows, (n, int(points[b] - points[a]), int(symbols[b] - symbols[a]), duplicate_lines(text), again, failed, not failed and lost <= most_lost, lost, cleaned), strict=True):
+                    for k, v in zip(rows, (n, int(points[b] - points[a]), int(symbols[b] - symbols[a]), duplicate_lines(text), again, failed, not failed and lost <= most_lost, lost, cleaned if with_cleaned else None), strict=True):
                         rows[k].append(v)
             types = [pa.int64()] * 5 + [pa.bool_(), pa.bool_(), pa.float64(), pa.string()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, t) for v, t in zip(rows.values(), types, strict=True))], ["doc_id", *rows])

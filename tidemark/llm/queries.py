@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, knn_join, language_id, line_rules, ngram_join, pfair_mix, pii, quality_pu, secrets, warc_zip
 from .common import read, work_path
+from .oracle import ORACLE_SQL  # noqa: F401
 
 
 def fold(n: int, column: str = "doc_id") -> Column:
@@ -63,7 +64,7 @@ def op6_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_rules.clean_lines(read(spark, sf_dir, "documents")).drop("cleaned")
+    return line_rules.clean_lines(read(spark, sf_dir, "documents"), with_cleaned=False).drop("cleaned")
 
 
 def op8_knn_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,6 +81,3 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_pii": op1_pii, "op2_secrets": op2_secrets, "op3_language_id": op3_language_id, "op4_warc": op4_warc, "op5_bpe": op5_bpe, "op6_pfair_mix": op6_pfair_mix, "op7_line_rules": op7_line_rules, "op8_knn_join": op8_knn_join, "op9_quality": op9_quality, "op10_ngram_join": op10_ngram_join}
-
-#: None of these rules, models, searches and files can be told in SQL that runs in reasonable time over whole tables; tests/llm/ holds them against brute force.
-ORACLE_SQL: dict[str, str] = {}
