@@ -148,6 +148,8 @@ def test_viterbi_shortcut_is_exact():
 def test_archives(spark):
     rows = [(i, f"https://a.example/{i}", "x" * (i % 7) + "é") for i in range(40)] + [(40, None, None), (41, "u", ""), (42, "u", "y" * 300_000), (None, "u", "zz"), (None, "u", "x" + "é"), (42, "u", "y" * 300_000)]
     pages = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, sha string").repartition(3)
+    joined = [warc_zip.with_originals(pages, broadcast_digests=n).collect() for n in (1000, 0)]
+    assert Counter(map(tuple, joined[0])) == Counter(map(tuple, joined[1]))
     for zip64 in (False, True):
         archives = warc_zip.write_archives(pages, common.work_path(spark, "warc"), zip64=zip64)
         for a in archives.collect():

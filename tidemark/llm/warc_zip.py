@@ -39,6 +39,10 @@ LOCAL, CENTRAL, END, END64, LOCATOR64 = 0x04034B50, 0x02014B50, 0x06054B50, 0x06
 FULL16, FULL32 = 0xFFFF, 0xFFFFFFFF
 #: Index bytes that are read at once.
 INDEX_BLOCK = 1 << 20
+#: Digests of repeated bodies that are sent to all executors at most (about 100 bytes each); beyond it the join shuffles.
+BROADCAST_DIGESTS = 200_000
+#: Archive bytes whose records one task reads back.
+READ_BYTES = 16 << 20
 
 
 def open_store(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -178,13 +182,20 @@ def parse(raw: bytes) -> dict:
     return {"page_id": number(fields["warc-record-id"]), "record_type": fields["warc-type"], "refers_to": number(fields.get("warc-refers-to")), "payload_digest": fields["warc-payload-digest"].removeprefix("sha1:"), "payload_bytes": length, "payload": None if revisit else payload}
 
 
-def with_originals(pages: DataFrame, least: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """page_id, url, html, refers_to, revisit. Which page is the response is settled from digests alone; pages then meet the list of repeated digests."""
+def with_originals(pages: DataFrame, least: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_digests: int = BROADCAST_DIGESTS, salts: int = 16) -> DataFrame:
+    """page_id, url, html, refers_to, revisit. Which page is the response is settled from digests alone. The list of repeated digests then goes to the pages, if it has at most broadcast_digests rows; else pages meet it by
+    a join in which each digest is dealt over `salts` keys, so that a common body isn't in one task."""
     slim = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
     slim = slim.withColumns({"sha": F.sha1(F.col("html").cast("binary")), "size": F.octet_length("html")})
     again = slim.where(F.col("size") >= least).groupBy("sha", "size").agg(F.max("page_id").alias("original"), F.count("*").alias("n")).where("n > 1 and original is not null").select("sha", "size", "original")
+    again = common.saved(again, "repeated")
+    if again.count() <= broadcast_digests:
+        both = slim.join(F.broadcast(again), ["sha", "size"], "left")
+    else:
+        again = again.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        both = slim.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int")).join(again, ["sha", "size", "salt"], "left")
     revisit = F.col("original").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("original"))
-    return slim.join(again, ["sha", "size"], "left").select("page_id", "url", "html", F.when(revisit, F.col("original")).alias("refers_to"), revisit.alias("revisit"))
+    return both.select("page_id", "url", "html", F.when(revisit, F.col("original")).alias("refers_to"), revisit.alias("revisit"))
 
 
 def write_archives(pages: DataFrame, folder: str, least: int = 0, zip64: bool = False, level: int = 1, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -284,4 +295,5 @@ def read_records(ranges: DataFrame, payloads: bool = True) -> DataFrame:
 def archive_and_read(spark: SparkSession, pages: DataFrame, folder: str, least: int = 0, payloads: bool = False) -> DataFrame:
     """Writes the pages' archives into folder and reads all their records back."""
     archives = write_archives(pages, folder, least)
-    return read_records(locate_records(archives).repartition(F.col("path"), (F.col("offset") / (16 << 20)).cast("long")).sortWithinPartitions("path", "offset"), payloads)
+    tasks = max(1, -(-(archives.agg(F.sum("size")).first()[0] or 0) // READ_BYTES))
+    return read_records(locate_records(archives).repartition(tasks, F.col("path"), (F.col("offset") / READ_BYTES).cast("long")).sortWithinPartitions("path", "offset"), payloads)
