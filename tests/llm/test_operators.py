@@ -391,6 +391,47 @@ def test_open_buckets_agree_as_pairs_and_in_blocks(spark):
         assert sorted(map(tuple, ngram_join.linked_components(members, shingles, classes, alone, 85, paired).collect())) == want
 
 
+def test_parameters_of_the_join_change_nothing(spark, docs):
+    """Buckets passed on unseen, signatures over keys of their own, blocks instead of pairs, enumeration in all bands, ids that aren't broadcast."""
+    want = Counter(map(tuple, ngram_join.jaccard_join(docs, 4, 85).collect()))
+    for other in ({"sketched": 2, "hot": 2, "broadcast_ids": 0}, {"paired": 0, "enumerated": 10**6, "hot": 3}):
+        assert Counter(map(tuple, ngram_join.jaccard_join(docs, 4, 85, **other).collect())) == want
+
+
+def test_repeated_rows_are_one_set(spark):
+    """Thousands of rows of one id, and a near copy: one set each."""
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(7, text)] * 5000 + [(9, text + " end"), (8, "other words of another text here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    shingles = ngram_join.shingles_of(df, df.select("doc_id").distinct(), 4, "doc_id", "text")
+    assert shingles.count() == 3
+    got = ngram_join.jaccard_join(df, 4, 85).groupBy("doc_id", "component_id").count().collect()
+    assert {tuple(r) for r in got} == {(7, 7, 5000), (9, 7, 1), (8, 8, 1)}
+
+
+@pytest.mark.parametrize("most", [True, False])
+def test_members_that_the_centre_misses(spark, most):
+    """Most or few of a cluster aren't linked to its centre: links among the others are found in blocks."""
+    r = np.random.default_rng(3)
+    pool = np.unique(r.integers(-(2**62), 2**62, 6000))
+    r.shuffle(pool)
+    core, sets_ = pool[:100], {}
+    for i in range(30):  # copies of the core; pairs with each other far from it
+        sets_[i] = np.concatenate((core, pool[100 + 2 * i : 102 + 2 * i]))
+    for i in range(30, 130 if most else 40):
+        own = pool[1000 + (i // 2) * 60 : 1060 + (i // 2) * 60]
+        sets_[i] = own if i % 2 else own[:-3]
+    shingles = spark.createDataFrame([(i, np.sort(s).tolist()) for i, s in sets_.items()], "node long, shingles array<long>")
+    sizes = shingles.select("node", F.size("shingles").alias("n_shingles"))
+    clustered = shingles.select("node", F.lit(0).cast("long").alias("cluster"))
+    want = {}
+    for i in sets_:
+        want[i] = min(j for j in sets_ if 100 * len(np.intersect1d(sets_[i], sets_[j])) >= 85 * len(np.union1d(sets_[i], sets_[j])))
+    for n in (1000, 7):
+        got = {x["node"]: x["root"] for x in ngram_join.components(ngram_join.links_in_clusters(clustered, shingles, sizes, 85, block_sets=n)).collect()}
+        assert {i: got.get(i, i) for i in sets_} == want
+
+
 @pytest.mark.parametrize("threshold", [80, 85])
 def test_signatures_meet(threshold):
     """Sets that are just similar enough share a signature, whatever their sizes."""

@@ -14,10 +14,14 @@ large in both sets, and the largest of m or more can't be among the m - 1 smalle
 linked sets are equal need no signature.
 
 Sets that are equal are one node from the start. What meets in buckets of equal signatures falls into clusters around the
-sets that share most with others; the texts of a cluster are compared in blocks within tasks, which return only the edges of a spanning forest.
+sets that share most with others. Each member of a cluster is compared with its centre first, which is linear; only members that aren't linked to
+it are then compared with the others, in blocks within tasks, which return only the edges of a spanning forest.
 Before that, sizes and small sketches of the sets rule out most members that share a signature by chance, by exact lower bounds, so few texts are read again.
 Then what buckets hold across clusters is compared, unless it is joined already: small buckets as pairs, others in blocks again. So no group is expanded into rows for all its pairs, and no link is lost.
-Shingles are compared by 64-bit hashes.
+
+A signature that many sets of one task share is dealt over keys of its own, one for each task's buffer, with one row for the common key; what is said of
+a bucket is pre-aggregated and joined, so that adaptive plans can split it. No signature or bucket is in one task as a whole.
+Shingles are compared by 64-bit hashes, and sets are taken as equal by 64-bit digests: among 10^9 different sets the chance of a wrong merge is 3 %.
 
 Defined cases: null or empty text, or no words: size 0, a component of its own. Fewer words than k: the whole sequence
 is the one shingle. Rows with equal doc_id count as texts of one document id; a null doc_id is linked like others and is
@@ -40,8 +44,14 @@ from . import common
 BROADCAST_IDS = 1_000_000
 #: Parts of the domain that a sketch counts; a power of two.
 SKETCH = 64
-#: Members of a bucket beyond which it is passed on without a look at its sketches.
-SKETCHED = 50_000
+#: Members of a bucket beyond which it is passed on without a look at its sketches. (A parameter of speed alone, as are all of these.)
+SKETCHED = 4096
+#: Sets in a task's buffer that share a signature, from which on it is dealt over keys of its own.
+HOT = 64
+#: Signatures that a task holds back to find such ones.
+BUFFER = 1_000_000
+#: Digests of sets that a task remembers so as not to sign equal ones again.
+REMEMBERED = 200_000
 #: Members of a bucket whose pairs across clusters are compared as rows; those of larger buckets are compared in blocks.
 PAIRED = 32
 
@@ -49,8 +59,9 @@ PAIRED = 32
 class Bands:
     """For each size the band, and for each band the number of cells and differences."""
 
-    def __init__(self, threshold: int):
-        self.threshold, self.highs = threshold, [0]
+    def __init__(self, threshold: int, enumerated: int = 8):
+        """enumerated: differences up to which a band enumerates pairs of cells (k2 = 1)."""
+        self.threshold, self.enumerated, self.highs = threshold, enumerated, [0]
 
     def band(self, size: int) -> int:
         while self.highs[-1] < size:
@@ -61,7 +72,7 @@ class Bands:
         """(differences at most, n1, n2, k2, partitions that agree at least)."""
         self.band(self.highs[-1] + 1) if band >= len(self.highs) else None
         most = (100 - self.threshold) * self.highs[band] // self.threshold
-        k2, n2 = (1, 3) if most <= 8 else (0, 1)
+        k2, n2 = (1, 3) if most <= self.enumerated else (0, 1)
         lost = most // (k2 + 1)
         agree = 1 + lost // 4
         return most, lost + agree, n2, k2, agree
@@ -127,41 +138,49 @@ def sets(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).transform(common.in_batches, run, "doc_id long, n_shingles long, node long, sketch binary")
 
 
-def signed(docs: DataFrame, k: int, threshold: int, text_col: str = "text") -> DataFrame:
-    """(sig, node) of all distinct sets; equal sets met in one task sign once."""
+def signed(docs: DataFrame, k: int, threshold: int, text_col: str = "text", hot: int = HOT, enumerated: int = 8) -> DataFrame:
+    """(sig, salt, mark, node) of all distinct sets; equal sets met in one task sign once. salt is 0, but for signatures that `hot` sets or more of a task's buffer share: their rows have a salt of the buffer's own (taken from them, so that a task that runs again gives the same), and one of them comes again without salt but with a mark."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands, seen = Bands(threshold), set()
+        bands, seen = Bands(threshold, enumerated), set()
+        sig, node, rows = [], [], 0
         for batch in batches:
-            sig, node, rows = [], [], 0
             for s in shingle_sets(batch.column(0), k):
                 if not len(s) or (d := digest(s)) in seen:
                     continue
+                if len(seen) >= REMEMBERED:
+                    seen.clear()
                 seen.add(d)
                 sig.append(signatures(s, bands))
                 node.append(np.full(len(sig[-1]), d, np.int64))
                 rows += len(sig[-1])
-                if rows > 100_000:
-                    yield pair_batch(sig, node)
+                if rows > BUFFER:
+                    yield from salted(np.concatenate(sig).view(np.int64), np.concatenate(node))
                     sig, node, rows = [], [], 0
-            if sig:
-                yield pair_batch(sig, node)
+        if sig:
+            yield from salted(np.concatenate(sig).view(np.int64), np.concatenate(node))
 
-    def pair_batch(sig: list, node: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(sig).view(np.int64)), pa.array(np.concatenate(node))], ["sig", "node"])
+    def salted(sig: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order = np.argsort(sig, kind="stable")
+        sig, node = sig[order], node[order]
+        first = np.flatnonzero(np.diff(sig, prepend=sig[:1] - 1))
+        count = np.diff(first, append=len(sig))
+        again = first[count >= hot]
+        salt = np.where(np.repeat(count, count) >= hot, np.repeat(node[first] | 1, count), 0)
+        mark = np.arange(len(sig) + len(again)) >= len(sig)
+        sig, node, salt = np.concatenate((sig, sig[again])), np.concatenate((node, node[again])), np.concatenate((salt, np.zeros(len(again), np.int64)))
+        for i in range(0, len(sig), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000]) for x in (sig, salt, mark, node)], ["sig", "salt", "mark", "node"])
 
-    return docs.select(F.col(text_col).cast("string").alias("text")).transform(common.in_batches, run, "sig long, node long")
+    return docs.select(F.col(text_col).cast("string").alias("text")).transform(common.in_batches, run, "sig long, salt long, mark boolean, node long")
 
 
 def buckets(signed_rows: DataFrame) -> DataFrame:
-    """(bucket, node) of the buckets with two nodes or more. Buckets with the same members become one; should others fall together too, that only adds comparisons."""
-    w = Window.partitionBy("sig")
-    return (
-        signed_rows.withColumns({"low": F.min("node").over(w), "high": F.max("node").over(w), "bucket": F.bit_xor(F.xxhash64("node")).over(w)})
-        .where("low < high")
-        .select(F.xxhash64("bucket", "low", "high").alias("bucket"), "node")
-        .distinct()
-    )
+    """(bucket, node) of the buckets with two nodes or more. Buckets with the same members become one; should others fall together too, that only adds comparisons.
+    Where some rows of a signature have a salt, its rows without one hold a mark, and the signature itself names the bucket of all of them."""
+    w = Window.partitionBy("sig", "salt")
+    rows = signed_rows.withColumns({"low": F.min("node").over(w), "high": F.max("node").over(w), "all": F.bit_xor(F.xxhash64("node")).over(w), "hot": (F.col("salt") != 0) | F.max("mark").over(w)})
+    return rows.where("low < high or hot").select(F.when(F.col("hot"), F.xxhash64("sig")).otherwise(F.xxhash64("all", "low", "high")).alias("bucket"), "node").distinct()
 
 
 def may_link(sizes: np.ndarray, counts: np.ndarray, threshold: int) -> np.ndarray:
@@ -186,8 +205,8 @@ def may_link(sizes: np.ndarray, counts: np.ndarray, threshold: int) -> np.ndarra
     return out
 
 
-def viable(members: DataFrame, sketched: DataFrame, threshold: int) -> DataFrame:
-    """(bucket, node) of the members that may be linked to another member of their bucket, by the lower bounds of sizes and sketches (node, n_shingles, sketch)."""
+def viable(members: DataFrame, sketched: DataFrame, threshold: int, most: int = SKETCHED) -> DataFrame:
+    """(bucket, node) of the members that may be linked to another member of their bucket, by the lower bounds of sizes and sketches (node, n_shingles, sketch). Buckets of more than `most` members stay whole, and aren't brought into one task."""
 
     def judge(bucket: np.ndarray, sizes: np.ndarray, counts: np.ndarray) -> np.ndarray:
         edges = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]))
@@ -197,51 +216,58 @@ def viable(members: DataFrame, sketched: DataFrame, threshold: int) -> DataFrame
         apart = np.abs(counts[two] - counts[two + 1]).sum(1, dtype=np.int64)
         out[two] = out[two + 1] = (100 * low >= threshold * high) & ((100 + threshold) * apart <= (100 - threshold) * (low + high))
         out[edges[:-1][length == 1]] = False
-        for g in np.flatnonzero((length > 2) & (length <= SKETCHED)):
+        for g in np.flatnonzero(length > 2):
             a, b = edges[g], edges[g + 1]
             out[a:b] = may_link(sizes[a:b], counts[a:b], threshold)
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the rows of the last bucket, which may go on in the next batch
-        passing = None  # a bucket that is too large to be held
         for batch in batches:
             counts = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, SKETCH).astype(np.int16)
             now = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy(), counts]
             if held is not None:
                 now = [np.concatenate((h, x)) for h, x in zip(held, now, strict=True)]
-            last = int(np.searchsorted(now[0], now[0][-1]))
+            last = int(np.searchsorted(now[0], now[0][-1])) if len(now[0]) else 0
             done, held = [x[:last] for x in now], [x[last:] for x in now]
             if len(done[0]):
-                keep = judge(done[0], done[2], done[3]) | (done[0] == passing if passing is not None else False)
+                keep = judge(done[0], done[2], done[3])
                 yield pa.RecordBatch.from_arrays([pa.array(done[0][keep]), pa.array(done[1][keep])], ["bucket", "node"])
-            if len(held[0]) > SKETCHED:
-                passing = held[0][0]
-                yield pa.RecordBatch.from_arrays([pa.array(held[0]), pa.array(held[1])], ["bucket", "node"])
-                held = None
         if held is not None and len(held[0]):
-            keep = judge(held[0], held[2], held[3]) | (held[0] == passing if passing is not None else False)
+            keep = judge(held[0], held[2], held[3])
             yield pa.RecordBatch.from_arrays([pa.array(held[0][keep]), pa.array(held[1][keep])], ["bucket", "node"])
 
-    rows = members.join(sketched.select("node", "n_shingles", "sketch"), "node").select("bucket", "node", "n_shingles", "sketch")
-    return rows.repartition("bucket").sortWithinPartitions("bucket").transform(common.in_batches, run, "bucket long, node long")
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("size"))
+    sized = members.join(sizes, "bucket")
+    rows = sized.where(F.col("size") <= most).join(sketched.select("node", "n_shingles", "sketch"), "node").select("bucket", "node", "n_shingles", "sketch")
+    judged = rows.repartition("bucket").sortWithinPartitions("bucket").transform(common.in_batches, run, "bucket long, node long")
+    return judged.unionByName(sized.where(F.col("size") > most).select("bucket", "node"))
 
 
-def shingles_of(docs: DataFrame, reps: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """(node, shingles) of the documents that stand for their node. (Rows that repeat an id come along; they do no harm.)"""
+def shingles_of(docs: DataFrame, reps: DataFrame, k: int, id_col: str, text_col: str, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+    """(node, shingles), one row for each node of the documents that stand for theirs, however often rows repeat. (Another text of such an id comes along as a node of its own.)"""
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     wanted = reps.select("doc_id")
-    if wanted.count() <= BROADCAST_IDS:
+    if wanted.count() <= broadcast_ids:
         wanted = F.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
         for batch in batches:
-            found = list(shingle_sets(batch.column(0), k))
-            ends = np.cumsum([0] + [len(s) for s in found])
-            values = pa.array(np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in found], pa.int64()), pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), values).cast(pa.list_(pa.int64()))], ["node", "shingles"])
+            found = {}
+            for s in shingle_sets(batch.column(0), k):
+                if (d := digest(s)) not in seen:
+                    found[d] = s
+                    seen.add(d)
+            if len(seen) >= REMEMBERED:
+                seen.clear()
+            if not found:
+                continue
+            ends, values = np.cumsum([0, *map(len, found.values())]), pa.array(np.concatenate(list(found.values())).view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), values).cast(pa.list_(pa.int64()))], ["node", "shingles"])
 
-    return slim.join(wanted, slim.doc_id.eqNullSafe(wanted.doc_id), "left_semi").select("text").transform(common.in_batches, run, "node long, shingles array<long>")
+    found = slim.join(wanted, slim.doc_id.eqNullSafe(wanted.doc_id), "left_semi").select("text").transform(common.in_batches, run, "node long, shingles array<long>")
+    return found.dropDuplicates(["node"])
 
 
 def compared(pairs: DataFrame, shingles: DataFrame, threshold: int) -> DataFrame:
@@ -267,10 +293,10 @@ def components(edges: DataFrame) -> DataFrame:
 
 def clusters(members: DataFrame) -> DataFrame:
     """(node, cluster): each node goes to the node that shares most with others among all that it meets in its buckets; that one is in its own cluster too."""
-    w = Window.partitionBy("bucket")
-    weight = members.withColumn("size", F.count("*").over(w)).groupBy("node").agg(F.sum("size").alias("weight"))
-    top = members.join(weight, "node").withColumn("top", F.max(F.struct("weight", "node")).over(w)).groupBy("node").agg(F.max("top").alias("top"))
-    own = top.select("node", F.col("top.node").alias("cluster"))
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("size"))
+    weight = members.join(sizes, "bucket").groupBy("node").agg(F.sum("size").alias("weight"))
+    tops = members.join(weight, "node").groupBy("bucket").agg(F.max(F.struct("weight", "node")).alias("top"))
+    own = members.join(tops, "bucket").groupBy("node").agg(F.max("top").alias("top")).select("node", F.col("top.node").alias("cluster"))
     return own.union(own.select(F.col("cluster").alias("node"), "cluster")).distinct()
 
 
@@ -302,13 +328,34 @@ def linked_in_block(nodes: list[int], sets_: list[np.ndarray], threshold: int) -
         label = after
 
 
-def links_in_clusters(clustered: DataFrame, shingles: DataFrame, sizes: DataFrame, threshold: int, block_sets: int = 1000, block_shingles: int = 1_000_000) -> DataFrame:
-    """Edges (a, b) that join what is linked within each cluster, the same ones each time they are computed. A large cluster is dealt out in blocks, and each two blocks of it meet in a task of their own."""
-    sized = clustered.join(sizes.select("node", "n_shingles"), "node")
-    need = sized.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / block_sets), F.ceil(F.sum("n_shingles") / block_shingles)).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    placed = clustered.join(need, "cluster").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node").join(shingles, "node").select("cluster", "i", "j", "node", "shingles")
+def against_centres(clustered: DataFrame, plan: DataFrame, shingles: DataFrame, threshold: int) -> DataFrame:
+    """(cluster, own, node, centre, linked) of all members but the centres. Members stay where they are dealt to, and the centre comes to each block of its cluster."""
+    members = clustered.join(plan, "cluster").where("node <> centre").select("cluster", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own"), "node", F.lit(1).alias("place"))
+    centres = plan.where("n > 1").select("cluster", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("own"), F.col("centre").alias("node"), F.lit(0).alias("place"))
+    rows = members.unionByName(centres).join(shingles, "node").select("cluster", "own", "node", "place", "shingles")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centre, own = None, np.zeros(0, np.int64)
+        for batch in batches:
+            cluster, block, node, place = (batch.column(c).to_pylist() for c in range(4))
+            values, ends = batch.column(4).flatten().to_numpy(), np.cumsum(batch.column(4).value_lengths().to_numpy())
+            out: list[list] = [[], [], [], [], []]
+            for r, end in enumerate(ends):
+                found = values[ends[r - 1] if r else 0 : end]
+                if not place[r]:
+                    centre, own = node[r], found.copy()
+                    continue
+                both = len(np.intersect1d(own, found, assume_unique=True)) if min(len(own), len(found)) * 100 >= threshold * max(len(own), len(found)) else 0
+                for column, x in zip(out, (cluster[r], block[r], node[r], centre, 100 * both >= threshold * (len(own) + len(found) - both)), strict=True):
+                    column.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_()), strict=True)], ["cluster", "own", "node", "centre", "linked"])
+
+    return rows.repartition("cluster", "own").sortWithinPartitions("cluster", "own", "place").transform(common.in_batches, run, "cluster long, own int, node long, centre long, linked boolean")
+
+
+def links_in_blocks(placed: DataFrame, shingles: DataFrame, threshold: int) -> DataFrame:
+    """Edges (a, b) that join what is linked among the members of each block (cluster, i, j, node), the same ones each time they are computed."""
+    rows = placed.join(shingles, "node").select("cluster", "i", "j", "node", "shingles")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, nodes, found, edges = None, [], [], []
@@ -320,8 +367,9 @@ def links_in_clusters(clustered: DataFrame, shingles: DataFrame, sizes: DataFram
                     if len(nodes) > 1:
                         edges += linked_in_block(nodes, found, threshold)
                     key, nodes, found = k, [], []
-                nodes.append(node)
-                found.append(values[ends[r - 1] if r else 0 : ends[r]])
+                if not nodes or nodes[-1] != node:  # a member of both sides of a block comes twice
+                    nodes.append(node)
+                    found.append(values[ends[r - 1] if r else 0 : ends[r]])
             if len(edges) > 10_000:
                 yield edge_batch(edges)
                 edges = []
@@ -333,7 +381,30 @@ def links_in_clusters(clustered: DataFrame, shingles: DataFrame, sizes: DataFram
     def edge_batch(edges: list) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], ["a", "b"])
 
-    return placed.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "node").transform(common.in_batches, run, "a long, b long")
+    return rows.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "node").transform(common.in_batches, run, "a long, b long")
+
+
+def links_in_clusters(clustered: DataFrame, shingles: DataFrame, sizes: DataFrame, threshold: int, block_sets: int = 1000, block_shingles: int = 1_000_000) -> DataFrame:
+    """Edges (a, b) that join what is linked within each cluster. All members are compared with the centre (the node that names the cluster, else its least member). Those that it isn't linked to are
+    compared with all members: dealt out in blocks of their own, each of which meets each block of the cluster, or, if they are most of it, each two blocks of the cluster meet."""
+    sized = clustered.join(sizes.select("node", "n_shingles"), "node")
+    blocks = lambda n, x: F.greatest(F.ceil(n / block_sets), F.ceil(x / block_shingles)).cast("int")
+    centre = F.coalesce(F.max(F.when(F.col("node") == F.col("cluster"), F.col("node"))), F.min("node"))
+    plan = common.saved(sized.groupBy("cluster").agg(F.count("*").alias("n"), blocks(F.count("*"), F.sum("n_shingles")).alias("blocks"), centre.alias("centre")), "plan")
+    stars = common.saved(against_centres(clustered, plan, shingles, threshold), "stars")
+    edges = stars.where("linked").select(F.col("centre").alias("a"), F.col("node").alias("b"))
+    left = stars.where("not linked").select("cluster", "own", "node")
+    if left.isEmpty():
+        return edges
+    lefts = left.join(sizes.select("node", "n_shingles"), "node").groupBy("cluster").agg(F.count("*").alias("m"), blocks(F.count("*"), F.sum("n_shingles")).alias("rows"))
+    lefts = common.saved(plan.join(lefts, "cluster").where("n > 2").withColumn("most", 2 * F.col("m") > F.col("n")), "left")
+    every = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    open_ = stars.select("cluster", "own", "node").join(lefts, "cluster")  # the centre is settled
+    two = open_.where("most").withColumn("other", F.explode(every("blocks"))).select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node")
+    few = lefts.where("not most").select("cluster", "rows", "blocks")
+    down = open_.where("not most").select("cluster", F.explode(every("rows")).alias("i"), F.col("own").alias("j"), "node")
+    across = left.join(few, "cluster").select("cluster", F.pmod(F.xxhash64("node"), F.col("rows")).cast("int").alias("i"), F.explode(every("blocks")).alias("j"), "node")
+    return edges.union(links_in_blocks(two.unionByName(down).unionByName(across), shingles, threshold))
 
 
 def linked_components(members: DataFrame, shingles: DataFrame, sizes: DataFrame, clustered: DataFrame, threshold: int, paired: int = PAIRED) -> DataFrame:
@@ -341,11 +412,10 @@ def linked_components(members: DataFrame, shingles: DataFrame, sizes: DataFrame,
     links = common.saved(links_in_clusters(clustered, shingles, sizes, threshold), "links")
     roots = components(links)
     own = clustered.groupBy("node").agg(F.max("cluster").alias("cluster"), F.min("cluster").alias("least"))
-    w = Window.partitionBy("bucket")
     named = members.join(own, "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    span = {f"{f.__name__}_{c}": f(c).over(w) for f in (F.min, F.max) for c in ("cluster", "root")}
-    open_ = named.withColumns(span | {"n": F.count("*").over(w)}).where("min_root < max_root and min_cluster < max_cluster")
-    open_ = common.saved(open_.select("bucket", "node", "root", "cluster", "least", "n"), "open")
+    span = named.groupBy("bucket").agg(F.count("*").alias("n"), *(f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("cluster", "root")))
+    span = span.where("min_root < max_root and min_cluster < max_cluster").select("bucket", "n")
+    open_ = common.saved(named.join(span, "bucket").select("bucket", "node", "root", "cluster", "least", "n"), "open")
     few, many = open_.where(F.col("n") <= paired), open_.where(F.col("n") > paired).select("node", F.col("bucket").alias("cluster"))
     left, right = (few.select("bucket", *(F.col(c).alias(c + x) for c in ("node", "root", "cluster", "least"))) for x in "ab")
     apart = "roota < rootb and clustera <> clusterb and clustera <> leastb and leasta <> clusterb and leasta <> leastb"
@@ -355,15 +425,15 @@ def linked_components(members: DataFrame, shingles: DataFrame, sizes: DataFrame,
     return roots if across.isEmpty() else components(links.union(across))
 
 
-def jaccard_join(docs: DataFrame, k: int = 5, threshold: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id: the classes of documents that links of threshold per cent or more form."""
+def jaccard_join(docs: DataFrame, k: int = 5, threshold: int = 80, id_col: str = "doc_id", text_col: str = "text", enumerated: int = 8, sketched: int = SKETCHED, paired: int = PAIRED, hot: int = HOT, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+    """doc_id, n_shingles, component_id: the classes of documents that links of threshold per cent or more form. The parameters from enumerated on (see Bands, viable, linked_components, signed, shingles_of) decide speed, never the result."""
     per_doc = common.saved(sets(docs, k, id_col, text_col), "sets")
     equal = {"n_shingles": F.min("n_shingles"), "sketch": F.min("sketch")}  # the same for all documents of a node
     classes = common.saved(per_doc.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), *(c.alias(n) for n, c in equal.items())), "classes")
-    members = common.saved(viable(buckets(signed(docs, k, threshold, text_col)), classes, threshold), "buckets")
+    members = common.saved(viable(common.saved(buckets(signed(docs, k, threshold, text_col, hot, enumerated)), "met"), classes, threshold, sketched), "buckets")
     reps = common.saved(classes.join(members.select("node").distinct(), "node", "left_semi").select("node", "doc_id"), "reps")
-    shingles = common.saved(shingles_of(docs, reps, k, id_col, text_col), "shingles")
-    roots = linked_components(members, shingles, classes, common.saved(clusters(members), "clusters"), threshold)
+    shingles = common.saved(shingles_of(docs, reps, k, id_col, text_col, broadcast_ids), "shingles")
+    roots = linked_components(members, shingles, classes, common.saved(clusters(members), "clusters"), threshold, paired)
     named = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of_node = named.join(least, "root").select("node", "component_id")
