@@ -162,11 +162,11 @@ def signed(docs: DataFrame, k: int, threshold: int, text_col: str = "text", hot:
 
     def salted(sig: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
         order = np.argsort(sig, kind="stable")
-        sig, node = sig[order], node[order]
-        first = np.flatnonzero(np.diff(sig, prepend=sig[:1] - 1))
+        first = np.flatnonzero(np.diff(sig[order], prepend=sig[order[:1]] - 1))
         count = np.diff(first, append=len(sig))
-        again = first[count >= hot]
-        salt = np.where(np.repeat(count, count) >= hot, np.repeat(node[first] | 1, count), 0)
+        again = order[first[count >= hot]]
+        salt = np.empty_like(node)  # rows keep their order, in which a set's are together and compress well
+        salt[order] = np.where(np.repeat(count, count) >= hot, np.repeat(node[order[first]] | 1, count), 0)
         mark = np.arange(len(sig) + len(again)) >= len(sig)
         sig, node, salt = np.concatenate((sig, sig[again])), np.concatenate((node, node[again])), np.concatenate((salt, np.zeros(len(again), np.int64)))
         for i in range(0, len(sig), 100_000):
