@@ -131,10 +131,50 @@ def test_backtest_against_a_loop(spark):
 
 
 def test_market_hours(spark):
-    times = [("US", "2024-01-08 14:29:00", "pre", 1), ("US", "2024-01-08 14:30:00", "open", 390), ("US", "2024-01-08 21:00:00", "open", 0), ("US", "2024-01-08 21:01:00", "closed", None), ("US", "2024-01-06 15:00:00", "weekend", None), ("CRYPTO", "2024-01-06 15:00:00", "open", None)]
+    times = [("US", "2024-01-08 14:29:30", "pre", 0), ("US", "2024-01-08 14:28:00", "pre", 2), ("US", "2024-01-08 14:30:00", "open", 390), ("US", "2024-01-08 21:00:00", "open", 0), ("US", "2024-01-08 21:00:30", "closed", None), ("US", "2024-01-06 15:00:00", "closed", None), ("CRYPTO", "2024-01-06 15:00:00", "open", None), ("LSE", "2024-07-08 07:00:00", "open", 510)]
     df = spark.createDataFrame([(e, t) for e, t, _, _ in times], "exchange string, at string").join(catalog.exchanges(spark), "exchange")
-    got = {(r["exchange"], r["at"]): (r["status"], r["minutes"]) for r in catalog.market_status(df).collect()}
-    assert got == {(e, t): (s, m) for e, t, s, m in times}
+    rows = catalog.market_status(df).collect()
+    assert {(r["exchange"], r["at"]): (r["status"], r["minutes"]) for r in rows} == {(e, t): (s, m) for e, t, s, m in times}
+    assert {r["label"] for r in rows} == {"PRE-MARKET", "OPEN", "CLOSED", "WEEKEND", "24/7 OPEN"}
+
+
+def test_addresses_that_arent_public(spark):
+    import ipaddress
+
+    v4 = ["8.8.8.8", "0.1.2.3", "10.0.0.1", "100.64.0.1", "127.0.0.1", "169.254.1.1", "172.15.0.1", "172.16.0.1", "172.32.0.1", "192.0.0.1", "192.0.2.9", "192.168.1.1", "198.18.0.1", "198.20.0.1", "198.51.100.7", "203.0.113.9", "224.0.0.1", "240.0.0.1", "255.255.255.255"]
+    v6 = ["::1", "::", "fe80::1", "fc00::1", "fd12::1", "2001:db8::1", "2606:4700::1111", "2a00:1450::8"]
+    bad = ["999.1.1.1", "8.8.8.8.9", "8.8.8", "8.8.8.8.", "x", "", "08.8.8.8", None]
+    got = {r["ip"]: r["ok"] for r in spark.createDataFrame([(x,) for x in v4 + v6 + bad], "ip string").select("ip", validate.public_ip(F.col("ip")).alias("ok")).collect()}
+    for x in v4 + v6:
+        a = ipaddress.ip_address(x)
+        assert got[x] is not (a.is_private or a.is_loopback or a.is_link_local), x
+    assert not any(got[x] for x in bad)
+
+
+def test_duplicates_are_of_open_orders(spark):
+    rows = [(1, "FILLED", 0), (2, "ACCEPTED", 10), (3, "PENDING", 20), (4, "ACCEPTED", 60)]
+    df = spark.createDataFrame([(i, 1, "A", "buy", 1.0, s, f"2024-01-01 00:{t // 60:02d}:{t % 60:02d}") for i, s, t in rows], "order_id long, user_id long, asset string, side string, quantity double, status string, submitted_at string")
+    df = df.withColumn("submitted_at", F.col("submitted_at").cast("timestamp_ntz"))
+    assert [r[0] for r in orders.duplicates(df).collect()] == [3]
+
+
+def test_lockout_window_is_open_at_its_far_end(spark):
+    rows = [(1, 0, True), (2, 100, True), (3, 900, True), (4, 999, True), (5, 2000, True)]
+    df = spark.createDataFrame([("u", i, f"2024-01-01 00:{t // 60:02d}:{t % 60:02d}", f) for i, t, f in rows], "key string, attempt_id long, at string, failed boolean")
+    row = security.lockouts(df, 3, 900, 900).first()
+    assert (row["locks"], row["refused"]) == (1, 0)  # at 900 the first failure is out of the window, so only 999 locks
+
+
+def test_text_of_numbers(spark):
+    for x, text in ((12.0, "12.0"), (0.0001, "0.0001"), (12_345_678.5, "12345678.5"), (-0.25, "-0.25"), (None, "None")):
+        assert one(spark, orders.text_of(F.lit(x).cast("double"))) == text
+
+
+def test_aes_round_trip(spark):
+    key = "0123456789abcdef"
+    stored = security.protected(F.lit("secret"), key)
+    assert one(spark, security.unprotected(stored, key)) == "secret" and one(spark, security.unprotected(stored, key[::-1])) is None
+    assert one(spark, security.unprotected(F.lit("old row"), key)) == "old row"
 
 
 def test_keyed_hashes(spark):

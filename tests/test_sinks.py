@@ -40,6 +40,7 @@ def test_feeds(spark, tmp_path, monkeypatch):
     assert [r["number"] for r in feeds.issues(spark, str(tmp_path / "i.json")).collect()] == [1]
     (tmp_path / "secret").write_text("x\n")
     monkeypatch.setenv("TIDE_KEY_FILE", str(tmp_path / "secret"))
+    monkeypatch.setenv("TIDE_KEY", "")
     assert feeds.setting("TIDE_KEY") == "x" and feeds.setting("TIDE_NONE", "d") == "d"
 
 
@@ -47,3 +48,22 @@ def test_long_bars_and_history(spark):
     wide = spark.createDataFrame([("2024-01-01", 1.0, None), ("2024-02-15", 2.0, 3.0)], "d string, A double, B double").withColumn("d", F.to_date("d"))
     long_ = relations.long_bars(wide)
     assert long_.count() == 3 and relations.history(long_, "2024-02-20", 1).count() == 2
+
+
+def test_cached_snapshot(spark, tmp_path):
+    path, calls = str(tmp_path / "snapshot"), []
+
+    def compute():
+        calls.append(1)
+        if len(calls) == 3:
+            raise ValueError("no prices")
+        return spark.createDataFrame([(len(calls),)], "n int")
+
+    read = lambda now: sinks.cached(spark, path, now, 30, compute).first()["n"]
+    assert [read(100), read(120), read(131), read(170), read(171)] == [1, 1, 2, 2, 4]
+
+
+def test_point_read_reaches_the_scan(spark, tmp_path):
+    spark.range(100).write.parquet(str(tmp_path / "t"))
+    row = relations.point_read(spark.read.parquet(str(tmp_path / "t")), "id", 7)
+    assert "EqualTo(id,7)" in row._jdf.queryExecution().toString() and row.count() == 1

@@ -35,3 +35,35 @@ def test_replay_guard_and_fills(spark, tmp_path):
     assert sorted(r["nonce"] for r in run(stateful.replay_guard(s))) == ["n1", "n2"]
     resting = spark.createDataFrame([(7, "A", "buy", "limit", 85.0, None)], "order_id long, asset string, side string, order_type string, limit_price double, stop_price double")
     assert [(r["order_id"], r["filled_price"]) for r in run(stateful.fills(s, resting))] == [(7, 85.0)]
+
+
+def test_sliding_windows(spark, tmp_path):
+    rows = [("u", i, f"2024-01-01 00:00:{t:02d}") for i, t in enumerate((0, 5, 9, 10, 30))]
+    s = source(spark, tmp_path, rows, "key string, request_id long, ts string")
+    got = {r["request_id"]: (r["seen"], r["allowed"]) for r in run(stateful.sliding_windows(s, 10, 2))}
+    assert got == {0: (1, True), 1: (2, True), 2: (3, False), 3: (4, False), 4: (1, True)}
+
+
+def test_state_goes_with_the_watermark(spark, tmp_path):
+    """A key's state is dropped once the watermark has passed its window, and a later request starts anew."""
+    path, schema = str(tmp_path / "in"), "key string, request_id long, ts timestamp_ntz"
+    (tmp_path / "in").mkdir()
+    q = stateful.fixed_windows(stateful.read_stream(spark, path, schema, delay="1 second"), 10, 2)
+    for rows in ([("u", 1, "2024-01-01 00:00:00")], [("v", 2, "2024-01-01 02:00:00")], [("v", 3, "2024-01-01 04:00:00")]):
+        df = spark.createDataFrame(rows, "key string, request_id long, ts string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+        df.coalesce(1).write.mode("append").parquet(path)
+        w = q.writeStream.format("noop").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        w.awaitTermination(120)
+        left = w.lastProgress["stateOperators"][0]["numRowsTotal"]
+    assert left == 1
+
+
+def test_push(spark, tmp_path):
+    bars = [(a, f"2024-{1 + i // 28:02d}-{1 + i % 28:02d} 00:00:00", 100.0 + (i * 7 + j * 3) % 11) for j, a in enumerate("AB") for i in range(60)]
+    s = source(spark, tmp_path, bars, "asset string, ts string, close double")
+    table = spark.createDataFrame([(a, d[:10], c) for a, d, c in bars], "asset string, d string, close double")
+    watch = spark.createDataFrame([(7, "B")], "user_id long, asset string")
+    got = []
+    q = stateful.push(s, lambda df: got.append(df.select("user_id", "asset").collect()), lambda: table, watchlist=lambda: watch).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert [tuple(r) for r in got[-1]] == [(7, "B")]

@@ -69,7 +69,20 @@ def bollinger_width(c: Column, window: int = 20) -> Column:
     return F.when((F.size(c) < window) | (mean < 1e-10), 0.0).otherwise(4.0 * F.sqrt(spread / (window - 1)) / F.greatest(mean, F.lit(1e-300)))
 
 
-def features(bars: DataFrame) -> DataFrame:
-    """asset, n, last_price, rsi, macd_histogram, momentum, bb_width: one shuffle by asset."""
+def features_of(series: DataFrame) -> DataFrame:
+    """asset, n, last_price, rsi, macd_histogram, momentum, bb_width of series (asset, closes)."""
     c = F.col("closes")
-    return closes(bars).select("asset", F.size(c).alias("n"), F.get(c, F.size(c) - 1).alias("last_price"), wilder_rsi(c).alias("rsi"), macd_histogram(c).alias("macd_histogram"), momentum(c).alias("momentum"), bollinger_width(c).alias("bb_width"))
+    return series.select("asset", F.size(c).alias("n"), F.get(c, F.size(c) - 1).alias("last_price"), wilder_rsi(c).alias("rsi"), macd_histogram(c).alias("macd_histogram"), momentum(c).alias("momentum"), bollinger_width(c).alias("bb_width"))
+
+
+def features(bars: DataFrame) -> DataFrame:
+    """The features of bars: one shuffle by asset."""
+    return features_of(closes(bars))
+
+
+def tails_of(series: DataFrame, k: int = 20) -> DataFrame:
+    """(asset, k, ret): the last k returns of series (asset, closes), k = 1 the newest; 0 where the price before is 0."""
+    c, n = F.col("closes"), F.size("closes")
+    ret = lambda i: F.coalesce(F.try_divide(F.get(c, n - i) - F.get(c, n - i - 1), F.get(c, n - i - 1)), F.lit(0.0))
+    at = F.filter(F.sequence(F.lit(1), F.lit(k)), lambda i: i < n)
+    return series.select("asset", F.explode(F.transform(at, lambda i: F.struct(i.alias("k"), ret(i).alias("ret")))).alias("r")).select("asset", "r.k", "r.ret")

@@ -5,8 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Hosts and blocks that are not public.
-PRIVATE = ("10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "127.0.0.0/8", "169.254.0.0/16")
+#: Blocks of IPv4 that are not public, and beginnings of such IPv6 addresses in their short form.
+PRIVATE = (
+    "0.0.0.0/8", "10.0.0.0/8", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.0.2.0/24", "192.168.0.0/16",
+    "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "240.0.0.0/4",
+)
+PRIVATE_6 = r"^(::1?$|::ffff:|64:ff9b:1:|100::|2001:(0|1?[0-9a-f]{1,2})?:|2001:db8:|2002:|f[cd][0-9a-f]{2}:|fe[89ab][0-9a-f]:)"
+#: Fixed value: the signs that count in a password.
+SIGNS = r"""[!@#$%^&*()\-_=+\[\]{};:'",.<>?/\\|`~]"""
 
 
 def ticker(text: Column) -> Column:
@@ -21,19 +27,20 @@ def https_url(url: Column) -> Column:
 
 def ip_number(ip: Column) -> Column:
     p = F.split(ip, r"\.")
-    return sum((F.get(p, i).cast("long") * (1 << (24 - 8 * i)) for i in range(1, 4)), F.get(p, 0).cast("long") * (1 << 24))
+    return sum((F.get(p, i).try_cast("long") * (1 << (24 - 8 * i)) for i in range(1, 4)), F.get(p, 0).try_cast("long") * (1 << 24))
 
 
 def public_ip(ip: Column) -> Column:
-    """No private, loopback or link-local IPv4 address."""
+    """A valid address that is no private, loopback or link-local one. IPv6 addresses are expected in their short form."""
     n = ip_number(ip)
-    out = F.lit(True)
+    four = ip.rlike(r"^((25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(\.|$)){4}$") & ~ip.endswith(".")
     for block in PRIVATE:
         base, bits = block.split("/")
         a, b, c, d = map(int, base.split("."))
         low = (a << 24) + (b << 16) + (c << 8) + d
-        out = out & ~n.between(low, low + (1 << (32 - int(bits))) - 1)
-    return F.coalesce(out, F.lit(False))
+        four = four & ~n.between(low, low + (1 << (32 - int(bits))) - 1)
+    six = ip.rlike(r"^[0-9A-Fa-f:]+$") & ~F.lower(ip).rlike(PRIVATE_6)
+    return F.coalesce(F.when(ip.contains(":"), six).otherwise(four), F.lit(False))
 
 
 def public_https(url: Column, ip: Column) -> Column:
@@ -44,7 +51,7 @@ def password_rules(password: Column, email: Column) -> Column:
     """struct of the policy's rules, each true where it holds."""
     local = F.lower(F.substring_index(email, "@", 1))
     return F.struct(
-        F.length(password).between(14, 128).alias("length"), password.rlike("[a-z]").alias("lower"), password.rlike("[A-Z]").alias("upper"), password.rlike("[0-9]").alias("digit"), password.rlike("[^A-Za-z0-9]").alias("sign"),
+        F.length(password).between(14, 128).alias("length"), password.rlike("[a-z]").alias("lower"), password.rlike("[A-Z]").alias("upper"), password.rlike("[0-9]").alias("digit"), password.rlike(SIGNS).alias("sign"),
         (~password.rlike(r"(.)\1{3,}")).alias("no_runs"), (~((F.length(local) >= 4) & F.contains(F.lower(password), local))).alias("no_local_part"),
     )
 
@@ -54,11 +61,16 @@ def password_ok(password: Column, email: Column) -> Column:
     return r["length"] & r["lower"] & r["upper"] & r["digit"] & r["sign"] & r["no_runs"] & r["no_local_part"]
 
 
+def uncommon(passwords: DataFrame, common: DataFrame) -> DataFrame:
+    """Rows whose password, in lower case, is not in common(password)."""
+    return passwords.withColumn("_p", F.lower("password")).join(common.select(F.lower("password").alias("_p")).distinct(), "_p", "left_anti").drop("_p")
+
+
 def strength(password: Column) -> Column:
-    """0 to 4 by how many of five simple rules hold."""
-    rules = (F.length(password) >= 14, password.rlike("[a-z]"), password.rlike("[A-Z]"), password.rlike("[0-9]"), password.rlike("[^A-Za-z0-9]"))
+    """0 for an empty text, else 1 to 4 by how many of six rules hold: length, upper, lower, digit, sign, no run of four."""
+    rules = (F.length(password) >= 14, password.rlike("[A-Z]"), password.rlike("[a-z]"), password.rlike("[0-9]"), password.rlike(SIGNS), ~password.rlike(r"(.)\1{3,}"))
     n = sum((r.cast("int") for r in rules[1:]), rules[0].cast("int"))
-    return F.when(n <= 1, 0).when(n == 2, 1).when(n == 3, 2).when(n == 4, 3).otherwise(4)
+    return F.when(F.length(password) == 0, 0).when(n <= 2, 1).when(n <= 4, 2).when(n == 5, 3).otherwise(4)
 
 
 def unblocked(emails: DataFrame, blocked: DataFrame) -> DataFrame:
@@ -75,3 +87,8 @@ def breach_count(passwords: DataFrame, ranges: DataFrame) -> DataFrame:
     feed = ranges.select("prefix", F.get(parts, 0).alias("suffix"), F.get(parts, 1).cast("long").alias("n"))
     p = passwords.select("password_id", F.left(sha, F.lit(5)).alias("prefix"), F.substring(sha, 6, 35).alias("suffix"))
     return p.join(feed, ["prefix", "suffix"], "left").groupBy("password_id").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("count"))
+
+
+def time_zone(name: Column, known: tuple[str, ...]) -> Column:
+    """Whether the name is one of the zones that are known (zoneinfo.available_timezones() of the deployment)."""
+    return F.coalesce(name.isin(*known), F.lit(False))

@@ -53,3 +53,9 @@ def sampled(points: DataFrame, most: int = 100) -> DataFrame:
     place = F.row_number().over(by_day()) - 1
     stride = F.greatest(F.lit(1), F.floor(F.count("*").over(w) / most).cast("int"))
     return points.withColumn("_p", place).withColumn("_s", stride).where("_p % _s = 0").drop("_p", "_s")
+
+
+def last_runs(runs: DataFrame, n: int = 20) -> DataFrame:
+    """The newest n runs of each user."""
+    w = Window.partitionBy("user_id").orderBy(F.desc("created_at"), F.desc("run_id"))
+    return runs.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)

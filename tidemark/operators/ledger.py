@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.series import edge
+from .orders import text_of
 
 START = 100_000.0
 
@@ -37,7 +38,7 @@ def positions(trades: DataFrame) -> DataFrame:
 def positions_pnl(trades: DataFrame, prices: DataFrame, default: float = 100.0) -> DataFrame:
     px = F.coalesce("price", F.lit(default))
     p = positions(trades).join(prices, "asset", "left").withColumn("px", px)
-    return p.select("user_id", "asset", "quantity", edge(F.col("px"), 4).alias("current_price"), edge(F.col("px") * F.col("quantity"), 2).alias("market_value"), edge((F.col("px") - F.col("avg_entry_price")) * F.col("quantity"), 2).alias("unrealized_pnl"), "realized_pnl")
+    return p.select("user_id", "asset", "quantity", "avg_entry_price", edge(F.col("px"), 4).alias("current_price"), edge(F.col("px") * F.col("quantity"), 2).alias("market_value"), edge((F.col("px") - F.col("avg_entry_price")) * F.col("quantity"), 2).alias("unrealized_pnl"), "realized_pnl")
 
 
 def total_pnl(pnl: DataFrame) -> DataFrame:
@@ -78,10 +79,12 @@ def max_drawdown(curve: DataFrame) -> DataFrame:
 
 
 def value_at_risk(returns: DataFrame, *levels: float) -> DataFrame:
-    """Historical: the loss at 0-based place floor(p * n) of the ascending returns, 0 at least."""
-    r = F.array_sort(F.collect_list("ret"))
-    place = lambda p: F.least(F.floor(F.size("r") * p), F.size("r") - 1).cast("int")
-    return returns.groupBy("user_id").agg(r.alias("r")).select("user_id", *(F.greatest(F.lit(0.0), -F.get("r", place(p))).alias(f"var_{round(100 - 100 * p)}") for p in levels))
+    """Historical: the loss at 0-based place floor(p * n) of the ascending returns, 0 at least. Places come from a window that spills, so no user's returns have to fit in a row."""
+    w = Window.partitionBy("user_id")
+    n = F.count("*").over(w)
+    placed = returns.select("user_id", "ret", (F.row_number().over(w.orderBy("ret")) - 1).alias("i"), n.alias("n"))
+    place = lambda p: F.least(F.floor(F.col("n") * p), F.col("n") - 1)
+    return placed.groupBy("user_id").agg(*(F.greatest(F.lit(0.0), -F.max(F.when(F.col("i") == place(p), F.col("ret")))).alias(f"var_{round(100 - 100 * p)}") for p in levels))
 
 
 def round_trips(trades: DataFrame) -> DataFrame:
@@ -90,13 +93,14 @@ def round_trips(trades: DataFrame) -> DataFrame:
 
 
 def risk_metrics(trades: DataFrame, prices: DataFrame) -> DataFrame:
-    """user_id, sharpe_ratio, max_drawdown, win_rate, var_95, var_99; zeros but for the win rate under two trades."""
+    """user_id, sharpe_ratio, max_drawdown, win_rate, total_trades, var_95, var_99; zeros but for the win rate and the count under two trades."""
     curve = equity_curve(trades, prices)
     returns = period_returns(curve)
     stats = returns.groupBy("user_id").agg(F.count("*").alias("n"), F.avg("ret").alias("mean"), F.coalesce(F.stddev_samp("ret"), F.lit(0.0)).alias("sd"))
-    m = stats.join(max_drawdown(curve), "user_id").join(value_at_risk(returns, 0.05, 0.01), "user_id").join(round_trips(trades), "user_id")
+    counts = trades.where("status = 'FILLED'").groupBy("user_id").agg(F.count("*").alias("total_trades"))
+    m = stats.join(counts, "user_id").join(max_drawdown(curve), "user_id").join(value_at_risk(returns, 0.05, 0.01), "user_id").join(round_trips(trades), "user_id")
     some = lambda c, digits: F.when(F.col("n") < 2, 0.0).otherwise(F.round(c, digits))
-    return m.select("user_id", some(F.col("mean") / (F.col("sd") + 1e-9) * F.sqrt(F.lit(252.0)), 3).alias("sharpe_ratio"), some(F.col("max_drawdown"), 4).alias("max_drawdown"), "win_rate", some(F.col("var_95"), 4).alias("var_95"), some(F.col("var_99"), 4).alias("var_99"))
+    return m.select("user_id", some(F.col("mean") / (F.col("sd") + 1e-9) * F.sqrt(F.lit(252.0)), 3).alias("sharpe_ratio"), some(F.col("max_drawdown"), 4).alias("max_drawdown"), "win_rate", "total_trades", some(F.col("var_95"), 4).alias("var_95"), some(F.col("var_99"), 4).alias("var_99"))
 
 
 def scaled(curve: DataFrame) -> DataFrame:
@@ -111,20 +115,35 @@ def serialized(trades: DataFrame) -> DataFrame:
     return trades.select("trade_id", "asset", "side", F.expr("nullif(filled_price, 0D)").alias("filled_price"), F.concat(F.left(F.sha2(F.col("trade_id").cast("string"), 256), F.lit(32)), F.lit("...")).alias("signature"), F.date_format("filled_at", "yyyy-MM-dd'T'HH:mm:ss").alias("filled_at"))
 
 
+METRICS = ("sharpe_ratio", "max_drawdown", "win_rate", "total_trades", "var_95", "var_99")
+
+
 def export_lines(pnl: DataFrame, metrics: DataFrame, user: int) -> DataFrame:
-    """Lines of the CSV report of one user in order: header, positions (7 columns), metrics (3 columns); every value in quotes."""
+    """Lines of the CSV report of one user in order: header, positions (7 columns), metrics (3 columns); every value in quotes, numbers in plain form."""
     quoted = lambda *c: F.concat_ws(",", *(F.concat(F.lit('"'), x, F.lit('"')) for x in c))
-    text = lambda c: F.format_string("%.4f", F.col(c).cast("double"))
+    names = ("quantity", "avg_entry_price", "current_price", "market_value", "unrealized_pnl")
     spark = pnl.sparkSession
-    head = spark.range(1).select(F.lit(0).alias("section_ord"), F.lit("").alias("k"), F.lit("section,asset,quantity,current_price,market_value,unrealized_pnl,realized_pnl").alias("line"))
-    body = pnl.where(F.col("user_id") == user).select(F.lit(1).alias("section_ord"), F.col("asset").alias("k"), quoted(F.lit("position"), F.col("asset"), *map(text, ("quantity", "current_price", "market_value", "unrealized_pnl", "realized_pnl"))).alias("line"))
-    long_ = metrics.where(F.col("user_id") == user).unpivot(["user_id"], ["sharpe_ratio", "max_drawdown", "win_rate", "var_95", "var_99"], "metric", "value")
-    return head.unionByName(body).unionByName(long_.select(F.lit(2).alias("section_ord"), F.col("metric").alias("k"), quoted(F.lit("metric"), F.col("metric"), text("value")).alias("line")))
+    head = spark.range(1).select(F.lit(0).alias("section_ord"), F.lit("").alias("k"), quoted(*map(F.lit, ("section", "asset", *names))).alias("line"))
+    body = pnl.where(F.col("user_id") == user).select(F.lit(1).alias("section_ord"), F.col("asset").alias("k"), quoted(F.lit("position"), F.col("asset"), *(text_of(F.col(c)) for c in names)).alias("line"))
+    texts = metrics.where(F.col("user_id") == user).select(*(F.col(c).cast("string").alias(c) if c == "total_trades" else text_of(F.col(c)).alias(c) for c in METRICS))
+    long_ = texts.unpivot([], list(METRICS), "metric", "value")
+    return head.unionByName(body).unionByName(long_.select(F.lit(2).alias("section_ord"), F.col("metric").alias("k"), quoted(F.lit("metric"), F.col("metric"), F.col("value")).alias("line")))
+
+
+def traded_assets(trades: DataFrame) -> DataFrame:
+    """user_id, assets, n_assets: the distinct assets of each user's filled trades, in order."""
+    names = F.array_sort(F.collect_set("asset"))
+    return trades.where("status = 'FILLED'").groupBy("user_id").agg(names.alias("assets")).withColumn("n_assets", F.size("assets"))
 
 
-def asof_price(decisions: DataFrame, ticks: DataFrame) -> DataFrame:
-    """The newest tick of the asset at or before each decision's time: a union ordered by time and a running last value, so no pairs are made."""
+def asof_price(decisions: DataFrame, ticks: DataFrame, bucket: str = "1 day") -> DataFrame:
+    """The newest tick of the asset at or before each decision's time: a union ordered by time and a running last value, so no pairs are made. Time is cut in buckets, so an asset isn't one task; the last tick of each bucket is carried into those after it."""
     d = decisions.select("asset", F.col("decided_at").alias("t"), F.lit(1).alias("o"), "decision_id", F.lit(None).cast("double").alias("px"))
     t = ticks.select("asset", F.col("filled_at").alias("t"), F.lit(0).alias("o"), F.lit(None).cast("long").alias("decision_id"), F.col("filled_price").alias("px"))
-    w = Window.partitionBy("asset").orderBy("t", "o").rowsBetween(Window.unboundedPreceding, 0)
-    return d.unionByName(t).withColumn("price", F.last("px", ignorenulls=True).over(w)).where("o = 1").select("decision_id", "asset", F.coalesce("price", F.lit(100.0)).alias("price"))
+    rows = d.unionByName(t).withColumn("bucket", F.window("t", bucket)["start"])
+    lasts = rows.groupBy("asset", "bucket").agg(F.max_by("px", F.when(F.col("px").isNotNull(), F.col("t"))).alias("px"))
+    before = Window.partitionBy("asset").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # one row for each bucket
+    carried = lasts.select("asset", "bucket", F.last("px", ignorenulls=True).over(before).alias("carried"))
+    w = Window.partitionBy("asset", "bucket").orderBy("t", "o").rowsBetween(Window.unboundedPreceding, 0)
+    own = rows.withColumn("price", F.last("px", ignorenulls=True).over(w)).where("o = 1")
+    return own.join(carried, ["asset", "bucket"], "left").select("decision_id", "asset", F.coalesce("price", "carried", F.lit(100.0)).alias("price"))

@@ -41,6 +41,29 @@ def rotated(keys: DataFrame) -> DataFrame:
     return users.join(latest_keys(keys).select("user_id", "algorithm", "rotation_count"), ["user_id", "algorithm"], "left").select("user_id", "algorithm", F.coalesce(F.col("rotation_count") + 1, F.lit(0)).cast("long").alias("next_rotation"))
 
 
+def rotation(keys: DataFrame, wanted: DataFrame, as_of: str) -> DataFrame:
+    """The key table after the rotations wanted(user_id, algorithm, new_key_id): active keys of these are deactivated and stamped, and a new one with the next count comes in."""
+    w = wanted.select("user_id", "algorithm", "new_key_id")
+    now = F.lit(as_of).cast("timestamp_ntz")
+    old = keys.join(w, ["user_id", "algorithm"], "left")
+    hit = F.col("is_active") & F.col("new_key_id").isNotNull()
+    kept = old.select("key_id", "user_id", "algorithm", (F.col("is_active") & ~hit).alias("is_active"), F.col("rotation_count").cast("long").alias("rotation_count"), "created_at", F.when(hit, now).alias("revoked_at"))
+    new = w.join(latest_keys(keys).select("user_id", "algorithm", "rotation_count"), ["user_id", "algorithm"], "left")
+    new = new.select(F.col("new_key_id").alias("key_id"), "user_id", "algorithm", F.lit(True).alias("is_active"), F.coalesce(F.col("rotation_count") + 1, F.lit(0)).cast("long").alias("rotation_count"), now.alias("created_at"), F.lit(None).cast("timestamp_ntz").alias("revoked_at"))
+    return kept.unionByName(new)
+
+
+def protected(secret: Column, key: str) -> Column:
+    """Encrypted at rest (AES-GCM, base64) under a key of 16, 24 or 32 characters, with a mark that tells it from old plain rows."""
+    return F.concat(F.lit("enc:"), F.base64(F.aes_encrypt(secret, F.lit(key))))
+
+
+def unprotected(stored: Column, key: str) -> Column:
+    """The secret; a row without the mark is plain, one that the key doesn't open is null."""
+    plain = F.try_aes_decrypt(F.unbase64(F.substring(stored, 5, 1 << 30)), F.lit(key)).cast("string")
+    return F.when(stored.startswith("enc:"), plain).otherwise(stored)
+
+
 def audit_payload() -> Column:
     """Canonical JSON of an entry: fields in the order of their names."""
     return F.to_json(F.struct("action", "log_id", "metadata", "user_id"))
@@ -86,9 +109,14 @@ def outbox(events: DataFrame, hooks: DataFrame, sign: Callable[[Column], Column]
     return j if sign is None else j.withColumn("signature", sign(F.col("payload")))
 
 
-def http_metrics(requests: DataFrame, buckets: tuple[float, ...] = (10.0, 50.0, 100.0)) -> DataFrame:
-    """Counts by method and status, and a cumulative histogram of latency."""
-    return requests.groupBy("method", "status").agg(F.count("*").alias("n"), *(F.count_if(F.col("latency") <= b).alias(f"le_{int(b)}") for b in buckets))
+def http_counts(requests: DataFrame) -> DataFrame:
+    """The counter: requests by method, path and status."""
+    return requests.groupBy("method", "path", "status").agg(F.count("*").alias("n"))
+
+
+def http_latency(requests: DataFrame, buckets: tuple[float, ...] = (10.0, 50.0, 100.0)) -> DataFrame:
+    """The cumulative histogram of latency by method and path, whatever the status."""
+    return requests.groupBy("method", "path").agg(F.count("*").alias("n"), *(F.count_if(F.col("latency") <= b).alias(f"le_{int(b)}") for b in buckets))
 
 
 def rate_limited(requests: DataFrame, seconds: int, limit: int) -> DataFrame:
@@ -106,7 +134,7 @@ def lockouts(attempts: DataFrame, failures: int, window: int, lock: int) -> Data
     none = F.expr("cast(array() as array<double>)")
 
     def step(a: Column, x: Column) -> Column:
-        recent_ = F.filter(a["times"], lambda z: z >= x["t"] - window)
+        recent_ = F.filter(a["times"], lambda z: z > x["t"] - window)
         more = F.concat(recent_, F.array(x["t"]))
         state = lambda until, times, locks, refused: F.struct(until.alias("until"), times.alias("times"), locks.alias("locks"), refused.alias("refused"))
         locked = state(x["t"] + lock, none, a["locks"] + 1, a["refused"])

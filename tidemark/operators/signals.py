@@ -27,7 +27,9 @@ def coupling(returns: DataFrame) -> DataFrame:
     stats = returns.groupBy("asset").agg(F.avg("ret").alias("mean"))
     centred = lambda df, key, value: df.join(stats.select(F.col("asset").alias(key), "mean"), key).withColumn(value, F.col(value) - F.col("mean")).drop("mean")
     a, b = centred(a, "i", "x"), centred(b, "j", "y")
-    pairs = a.join(b, "k").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("xy"), F.sum(F.col("x") * F.col("x")).alias("xx"), F.sum(F.col("y") * F.col("y")).alias("yy"))
+    half = a.join(b, "k").where("i <= j").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("xy"), F.sum(F.col("x") * F.col("x")).alias("xx"), F.sum(F.col("y") * F.col("y")).alias("yy"))
+    mirrored = F.explode(F.when(F.col("i") == F.col("j"), F.array(F.struct("i", "j"))).otherwise(F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))))
+    pairs = half.select(mirrored.alias("p"), "xy", "xx", "yy").select("p.i", "p.j", "xy", "xx", "yy")
     r = F.coalesce(F.try_divide("xy", F.sqrt(F.col("xx") * F.col("yy"))), F.lit(0.0))
     n = stats.agg(F.count("*").alias("n"))
     return pairs.join(F.broadcast(n)).select("i", "j", F.when(F.col("i") == F.col("j"), 0.0).otherwise(r / F.col("n")).alias("v"))  # n is one row
@@ -73,9 +75,9 @@ def score(spin: Column, rsi: Column) -> Column:
 
 def compute(bars: DataFrame, least: int = 50) -> DataFrame:
     """The whole pipeline: a record for each asset with enough history."""
-    enough = min_history(bars, least)
-    f = series.features(enough)
-    state = spins(coupling(tail_returns(enough)), field(f.select("asset", "momentum")))
+    enough = series.closes(bars).where(F.size("closes") >= least)
+    f = series.features_of(enough)
+    state = spins(coupling(series.tails_of(enough)), field(f.select("asset", "momentum")))
     s = f.join(state, "asset").withColumn("s", score(F.col("spin"), F.col("rsi")))
     return s.select("asset", F.col("s.signal_type").alias("signal_type"), F.round("s.confidence", 4).alias("confidence"), F.round("spin", 4).alias("spin"), F.round("last_price", 2).alias("last_price"), F.round("rsi", 4).alias("rsi"), F.round("macd_histogram", 4).alias("macd_histogram"), F.round("momentum", 4).alias("momentum"), F.round("bb_width", 4).alias("bb_width"), F.lit(200).alias("sba_iterations"))
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -34,3 +37,28 @@ def envelope(signals: DataFrame, generated_at: str) -> DataFrame:
 
 def json_lines(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
+
+
+def conditional(bodies: DataFrame, held: str) -> DataFrame:
+    """status, etag, body for each snapshot (generated_at, n_assets, body): 304 without a body where `held`, a column, is its tag already. The tag is of the time and the count, so an edit within a second changes it."""
+    tag = F.left(F.sha2(F.concat(F.col("generated_at"), F.col("n_assets").cast("string")), 256), F.lit(16))
+    tagged = bodies.withColumn("etag", tag)
+    same = F.coalesce(F.col("etag") == F.col(held), F.lit(False))
+    return tagged.withColumn("status", F.when(same, 304).otherwise(200)).withColumn("body", F.when(~same, F.col("body")))
+
+
+def cached(spark: SparkSession, path: str, now: int, ttl: int, compute: Callable[[], DataFrame]) -> DataFrame:
+    """The snapshot under path if it is younger than ttl seconds, else a new one, written as a version of its own and read back. If that fails, the old one is given. One writer at a time is meant."""
+    try:
+        old = spark.read.parquet(path)
+        version = old.agg(F.max("version")).first()[0]
+    except AnalysisException:  # none yet
+        old, version = None, None
+    if version is None or now - version >= ttl:
+        try:
+            compute().withColumn("version", F.lit(now).cast("long")).write.mode("append").partitionBy("version").parquet(path)
+            old, version = spark.read.parquet(path), now
+        except Exception:
+            if version is None:
+                raise
+    return old.where(F.col("version") == version).drop("version")

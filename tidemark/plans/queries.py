@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import series, validate
-from ..operators import backtest, catalog, ledger, orders, security, signals
+from ..operators import backtest, catalog, ledger, orders, security, signals, sinks
 from ..sources import relations as src
 
 AS_OF = "2001-08-01"
@@ -23,14 +23,15 @@ SIDE = "CASE WHEN event_type IN ('purchase', 'click') THEN 'buy' ELSE 'sell' END
 TRADES = f"trades AS (SELECT event_id AS trade_id, user_id, 'K' || {K} AS asset, {SIDE} AS side, CAST(1 + event_id % 5 AS DOUBLE) AS quantity, value AS filled_price, ts AS filled_at FROM events WHERE event_type <> 'error')"
 PRICES = "prices AS (SELECT asset, arg_max(filled_price, filled_at) AS price FROM trades GROUP BY 1)"
 CANDS = f"""cands AS (SELECT event_id AS order_id, user_id, 'K' || {K} AS asset, {SIDE} AS side, CAST(1 + event_id % 5 AS DOUBLE) AS quantity, ['market', 'limit', 'stop', 'stop_limit'][event_id % 4 + 1] AS order_type,
- CASE WHEN event_id % 4 IN (1, 3) AND event_id % 17 <> 0 THEN value * 1.02 END AS limit_price, CASE WHEN event_id % 4 IN (2, 3) AND event_id % 17 <> 0 THEN value * 0.98 END AS stop_price, ['day', 'gtc', 'ioc'][event_id % 3 + 1] AS time_in_force, ts AS submitted_at FROM events)"""
+ CASE WHEN event_id % 4 IN (1, 3) AND event_id % 17 <> 0 THEN value * 1.02 END AS limit_price, CASE WHEN event_id % 4 IN (2, 3) AND event_id % 17 <> 0 THEN value * 0.98 END AS stop_price, ['day', 'gtc', 'ioc'][event_id % 3 + 1] AS time_in_force, ts AS submitted_at,
+ ['ACCEPTED', 'PENDING', 'FILLED', 'SUBMITTED', 'CANCELLED', 'ACCEPTED'][event_id % 6 + 1] AS status, CASE WHEN event_id % 7 = 0 THEN 'b' || event_id END AS broker_order_id FROM events)"""
 BOOK = TRADES + """, folded AS (SELECT user_id, asset, list_reduce(list({'s': side, 'x': quantity, 'p': filled_price, 'q': 0.0::DOUBLE, 'c': 0.0::DOUBLE, 'r': 0.0::DOUBLE, 'w': 0, 'n': 0} ORDER BY filled_at, trade_id),
  lambda a, t: CASE WHEN t.s = 'buy' THEN {'s': t.s, 'x': t.x, 'p': t.p, 'q': a.q + t.x, 'c': a.c + t.x * t.p, 'r': a.r, 'w': a.w, 'n': a.n}
  ELSE {'s': t.s, 'x': t.x, 'p': t.p, 'q': a.q - least(t.x, a.q), 'c': CASE WHEN a.q > 0 THEN a.c / a.q ELSE 0 END * (a.q - least(t.x, a.q)), 'r': a.r + (t.p - CASE WHEN a.q > 0 THEN a.c / a.q ELSE 0 END) * least(t.x, a.q), 'w': a.w + CASE WHEN a.q > 0 AND t.p > a.c / a.q THEN 1 ELSE 0 END, 'n': a.n + CASE WHEN a.q > 0 THEN 1 ELSE 0 END} END,
  {'s': '', 'x': 0.0::DOUBLE, 'p': 0.0::DOUBLE, 'q': 0.0::DOUBLE, 'c': 0.0::DOUBLE, 'r': 0.0::DOUBLE, 'w': 0, 'n': 0}) AS z FROM trades GROUP BY 1, 2),
  book AS (SELECT user_id, asset, z.q AS quantity, z.c AS cost, z.r AS realized, z.w AS wins, z.n AS closed FROM folded)"""
 POSITIONS = BOOK + ", positions AS (SELECT user_id, asset, round(quantity, 6) AS quantity, round(cost / quantity + 1e-9, 4) AS avg_entry_price, round(realized + 1e-9, 2) AS realized_pnl FROM book WHERE quantity > 0)"
-PNL = POSITIONS + ", " + PRICES + """, pnl AS (SELECT user_id, asset, quantity, round(price + 1e-9, 4) AS current_price, round(price * quantity + 1e-9, 2) AS market_value, round((price - avg_entry_price) * quantity + 1e-9, 2) AS unrealized_pnl, realized_pnl FROM positions JOIN prices USING (asset))"""
+PNL = POSITIONS + ", " + PRICES + """, pnl AS (SELECT user_id, asset, quantity, avg_entry_price, round(price + 1e-9, 4) AS current_price, round(price * quantity + 1e-9, 2) AS market_value, round((price - avg_entry_price) * quantity + 1e-9, 2) AS unrealized_pnl, realized_pnl FROM positions JOIN prices USING (asset))"""
 CASH = "accounts AS (SELECT user_id, 100000.0 - sum(CASE WHEN side = 'buy' THEN quantity ELSE -quantity END * filled_price) AS cash FROM trades GROUP BY 1)"
 CURVE = TRADES + ", " + PRICES + """, x AS (SELECT t.*, price, CASE WHEN side = 'buy' THEN quantity ELSE -quantity END AS x FROM trades t JOIN prices USING (asset)),
  v AS (SELECT *, greatest(0, sum(x) OVER (PARTITION BY user_id, asset ORDER BY filled_at, trade_id ROWS UNBOUNDED PRECEDING)) * price AS v FROM x),
@@ -83,9 +84,9 @@ def _(s, d):
     return src.bars(s, d).select("asset", "d", series.edge(F.col("close"), 6).alias("close"))
 
 
-@query("bars_unpivot", f"WITH {BARS} SELECT d, asset, round(close + 1e-9, 6) AS close FROM bars WHERE asset IN ('Brand#11', 'Brand#23')")
+@query("bars_unpivot", f"WITH {BARS} SELECT d, asset, round(close + 1e-9, 6) AS close FROM bars")
 def _(s, d):
-    wide = src.bars(s, d).groupBy("d").pivot("asset", ["Brand#11", "Brand#23"]).agg(F.first("close"))
+    wide = src.bars(s, d).groupBy("d").pivot("asset").agg(F.first("close"))  # a column for each brand
     return src.long_bars(wide).select("d", "asset", series.edge(F.col("close"), 6).alias("close"))
 
 
@@ -256,8 +257,8 @@ def _(s, d):
 
 METRICS = f"""{CURVE}, {BOOK.replace(TRADES + ', ', '')}, wins AS (SELECT user_id, round(CASE WHEN sum(closed) = 0 THEN 0 ELSE sum(wins) / sum(closed) END, 3) AS win_rate FROM book GROUP BY 1),
  st AS (SELECT user_id, count(*) AS n, avg(ret) AS mean, coalesce(stddev_samp(ret), 0) AS sd, list(ret ORDER BY ret) AS r FROM returns GROUP BY 1),
- metrics AS (SELECT user_id, CASE WHEN n < 2 THEN 0 ELSE round(mean / (sd + 1e-9) * sqrt(252), 3) END AS sharpe_ratio, CASE WHEN n < 2 THEN 0 ELSE round(dd, 4) END AS max_drawdown, win_rate,
- CASE WHEN n < 2 THEN 0 ELSE round(greatest(0, -r[CAST(least(floor(n * 0.05), n - 1) AS INT) + 1]), 4) END AS var_95, CASE WHEN n < 2 THEN 0 ELSE round(greatest(0, -r[CAST(least(floor(n * 0.01), n - 1) AS INT) + 1]), 4) END AS var_99 FROM st JOIN drawdowns USING (user_id) JOIN wins USING (user_id))"""
+ metrics AS (SELECT user_id, CASE WHEN n < 2 THEN 0 ELSE round(mean / (sd + 1e-9) * sqrt(252), 3) END AS sharpe_ratio, CASE WHEN n < 2 THEN 0 ELSE round(dd, 4) END AS max_drawdown, win_rate, total_trades,
+ CASE WHEN n < 2 THEN 0 ELSE round(greatest(0, -r[CAST(least(floor(n * 0.05), n - 1) AS INT) + 1]), 4) END AS var_95, CASE WHEN n < 2 THEN 0 ELSE round(greatest(0, -r[CAST(least(floor(n * 0.01), n - 1) AS INT) + 1]), 4) END AS var_99 FROM st JOIN drawdowns USING (user_id) JOIN wins USING (user_id) JOIN (SELECT user_id, count(*) AS total_trades FROM trades GROUP BY 1) USING (user_id))"""
 
 
 @query("risk_metrics", f"WITH {METRICS} SELECT * FROM metrics")
@@ -274,9 +275,10 @@ def _(s, d):
 LINE = """'"' || array_to_string([{}], '","') || '"'"""
 
 
-@query("csv_export", f"""WITH {METRICS}, {PNL.replace(BOOK + ', ', '').replace(PRICES + ', ', '')} SELECT 0 AS section_ord, '' AS k, 'section,asset,quantity,current_price,market_value,unrealized_pnl,realized_pnl' AS line
- UNION ALL SELECT 1, asset, {LINE.format("'position', asset, printf('%.4f', quantity), printf('%.4f', current_price), printf('%.4f', market_value), printf('%.4f', unrealized_pnl), printf('%.4f', realized_pnl)")} FROM pnl WHERE user_id = 1
- UNION ALL SELECT 2, name, {LINE.format("'metric', name, printf('%.4f', value)")} FROM (UNPIVOT (SELECT * FROM metrics WHERE user_id = 1) ON sharpe_ratio, max_drawdown, win_rate, var_95, var_99 INTO NAME name VALUE value)""")
+@query("csv_export", f"""WITH {METRICS}, {PNL.replace(BOOK + ', ', '').replace(PRICES + ', ', '')} SELECT 0 AS section_ord, '' AS k, '"section","asset","quantity","avg_entry_price","current_price","market_value","unrealized_pnl"' AS line
+ UNION ALL SELECT 1, asset, {LINE.format("'position', asset, CAST(quantity AS VARCHAR), CAST(avg_entry_price AS VARCHAR), CAST(current_price AS VARCHAR), CAST(market_value AS VARCHAR), CAST(unrealized_pnl AS VARCHAR)")} FROM pnl WHERE user_id = 1
+ UNION ALL SELECT 2, name, {LINE.format("'metric', name, value")} FROM (UNPIVOT (SELECT user_id, CAST(CAST(sharpe_ratio AS DOUBLE) AS VARCHAR) AS sharpe_ratio, CAST(CAST(max_drawdown AS DOUBLE) AS VARCHAR) AS max_drawdown, CAST(CAST(win_rate AS DOUBLE) AS VARCHAR) AS win_rate, CAST(total_trades AS VARCHAR) AS total_trades,
+ CAST(CAST(var_95 AS DOUBLE) AS VARCHAR) AS var_95, CAST(CAST(var_99 AS DOUBLE) AS VARCHAR) AS var_99 FROM metrics WHERE user_id = 1) ON sharpe_ratio, max_drawdown, win_rate, total_trades, var_95, var_99 INTO NAME name VALUE value)""")
 def _(s, d):
     t = src.trades(s, d)
     return ledger.export_lines(_pnl(s, d), ledger.risk_metrics(t, src.last_price(src.filled(t))), 1)
@@ -293,23 +295,24 @@ def _(s, d):
     return orders.matched(src.order_candidates(s, d), src.last_price(src.filled(src.trades(s, d))))
 
 
-@query("pending_sweep", f"WITH {FILL} SELECT order_id, status, filled_price, 'order.filled' AS event FROM done WHERE order_type <> 'market' AND time_in_force <> 'ioc' AND status = 'FILLED'")
+@query("pending_sweep", f"WITH {FILL} SELECT order_id, 'FILLED' AS status, filled_price, 'order.filled' AS event FROM done JOIN (SELECT order_id FROM cands WHERE status = 'ACCEPTED' AND broker_order_id IS NULL) USING (order_id) WHERE filled_price IS NOT NULL")
 def _(s, d):
     return orders.sweep(src.order_candidates(s, d), src.last_price(src.filled(src.trades(s, d))))
 
 
-NEAR = "near AS (SELECT order_id, count(*) OVER (PARTITION BY user_id, asset, side, quantity ORDER BY submitted_at RANGE BETWEEN INTERVAL 6 HOURS PRECEDING AND CURRENT ROW) AS near FROM cands)"
+IS_OPEN = "CASE WHEN status IN ('PENDING', 'ACCEPTED', 'SUBMITTED') THEN 1 ELSE 0 END"
+NEAR = f"near AS (SELECT order_id, sum({IS_OPEN}) OVER (PARTITION BY user_id, asset, side, quantity ORDER BY submitted_at RANGE BETWEEN INTERVAL 6 HOURS PRECEDING AND CURRENT ROW) - {IS_OPEN} AS near FROM cands)"
 
 
-@query("duplicate_orders", f"WITH {CANDS}, {NEAR} SELECT order_id FROM near WHERE near > 1")
+@query("duplicate_orders", f"WITH {CANDS}, {NEAR} SELECT order_id FROM near WHERE near > 0")
 def _(s, d):
     return orders.duplicates(src.order_candidates(s, d), 21_600)
 
 
 @query("order_precheck", f"""WITH {CANDS}, {NEAR}, {BOOK}, {PRICES}, {CASH}, j AS (SELECT c.*, near, coalesce(b.quantity, 0) AS held, coalesce(greatest(5000, cash) * 0.05, 5000) AS cap, coalesce(nullif(limit_price, 0), nullif(stop_price, 0), price, 100.0) AS risk
  FROM cands c JOIN near USING (order_id) LEFT JOIN (SELECT user_id, asset, round(quantity, 6) AS quantity FROM book WHERE quantity > 0) b USING (user_id, asset) LEFT JOIN accounts USING (user_id) LEFT JOIN prices USING (asset))
- SELECT order_id, CASE WHEN order_type IN ('limit', 'stop_limit') AND limit_price IS NULL THEN 'limit_price_required' WHEN order_type IN ('stop', 'stop_limit') AND stop_price IS NULL THEN 'stop_price_required' WHEN side = 'sell' AND quantity > held THEN 'insufficient_position'
- WHEN side = 'buy' AND quantity * risk > round(cap, 4) THEN 'concentration_limit' WHEN near > 1 THEN 'duplicate' ELSE 'accepted' END AS reject_code, round(risk, 4) AS risk_price FROM j""")
+ SELECT order_id, CASE WHEN order_type IN ('limit', 'stop_limit') AND coalesce(limit_price, 0) = 0 THEN 'limit_price_required' WHEN order_type IN ('stop', 'stop_limit') AND coalesce(stop_price, 0) = 0 THEN 'stop_price_required' WHEN side = 'sell' AND quantity > held THEN 'insufficient_position'
+ WHEN side = 'buy' AND quantity * risk > round(cap, 4) THEN 'concentration_limit' WHEN near > 0 THEN 'duplicate' ELSE 'accepted' END AS reject_code, round(risk, 4) AS risk_price FROM j""")
 def _(s, d):
     t = src.trades(s, d)
     return orders.precheck(src.order_candidates(s, d), ledger.positions(t), ledger.cash(t), src.last_price(src.filled(t)), 21_600)
@@ -320,7 +323,7 @@ def _(s, d):
     return orders.bounds(src.order_candidates(s, d))
 
 
-OB = "ob AS (SELECT o_orderkey AS order_id, o_custkey AS user_id, CASE o_orderstatus WHEN 'F' THEN 'FILLED' WHEN 'O' THEN 'ACCEPTED' ELSE 'PENDING' END AS status, o_totalprice AS price, o_orderpriority AS side, o_orderdate AS submitted_at FROM orders)"
+OB = "ob AS (SELECT o_orderkey AS order_id, o_custkey AS user_id, 'K' || (o_custkey % 10) AS asset, CASE o_orderstatus WHEN 'F' THEN 'FILLED' WHEN 'O' THEN 'ACCEPTED' ELSE 'PENDING' END AS status, o_totalprice AS price, o_orderpriority AS side, o_orderdate AS submitted_at FROM orders)"
 
 
 @query("orders_recent", f"WITH {OB} SELECT * FROM ob ORDER BY submitted_at DESC, order_id DESC LIMIT 20")
@@ -328,9 +331,9 @@ def _(s, d):
     return orders.latest(src.orders_book(s, d), 20)
 
 
-@query("orders_search", f"WITH {OB} SELECT order_id, status FROM ob WHERE contains(lower(CAST(user_id AS VARCHAR)), 'urg') OR contains(lower(status), 'urg') OR contains(lower(side), 'urg')")
+@query("orders_search", f"WITH {OB} SELECT order_id, status FROM ob WHERE contains(lower(asset), 'k7') OR contains(lower(status), 'k7') OR contains(lower(side), 'k7')")
 def _(s, d):
-    return orders.search(src.orders_book(s, d), "URG").select("order_id", "status")
+    return orders.search(src.orders_book(s, d), "K7").select("order_id", "status")
 
 
 @query("orders_cancel", f"WITH {OB} SELECT order_id, CASE WHEN status IN ('FILLED', 'CANCELLED', 'REJECTED') THEN 'refused' ELSE 'CANCELLED' END AS outcome FROM ob")
@@ -385,7 +388,7 @@ def _(s, d):
     return security.enriched(src.audit_logs(s, d), users).select("log_id", "user_id", "action", "email")
 
 
-@query("audit_compliance", "SELECT CAST(100 AS BIGINT) AS entries, count(*) FILTER (event_id % 10 <> 0) AS verified, bool_and(event_id % 10 <> 0) AS all_verified FROM (SELECT event_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 100)")
+@query("audit_compliance", f"WITH {LOGS}, l AS (SELECT * FROM logs ORDER BY created_at DESC, log_id DESC LIMIT 100), p AS (SELECT log_id, sha256('{{\"action\":' || to_json(action) || ',\"log_id\":' || log_id || ',\"metadata\":' || to_json(metadata) || ',\"user_id\":' || user_id || '}}') AS right_ FROM l), v AS (SELECT right_ = CASE WHEN log_id % 10 = 0 THEN 'x' ELSE right_ END AS verified FROM p) SELECT count(*) AS entries, CAST(sum(CAST(verified AS INT)) AS BIGINT) AS verified, bool_and(verified) AS all_verified FROM v")
 def _(s, d):
     hashed = lambda c: F.sha2(c, 256)
     signed = security.audit_sign(security.recent(src.audit_logs(s, d), 100), hashed)
@@ -393,19 +396,23 @@ def _(s, d):
     return security.compliance(security.audit_verify(spoiled, hashed))
 
 
-@query("api_key_check", f"SELECT c_custkey AS request_id, c_custkey % 3 <> 0 AND c_custkey % 7 <> 0 AND (c_custkey % 2 = 0 OR c_custkey % 5 = 0) AND c_custkey % 11 <> 0 AS allowed FROM customer")
+@query("api_key_check", f"""WITH k AS (SELECT sha256('key-' || c_custkey) AS h, CASE WHEN c_custkey % 2 = 0 THEN ['read', 'trade'] WHEN c_custkey % 5 = 0 THEN ['admin'] ELSE ['read'] END AS scopes, c_custkey % 7 = 0 AS is_revoked, CASE WHEN c_custkey % 11 = 0 THEN TIMESTAMP '2001-01-01' END AS expires_at FROM customer WHERE c_custkey % 3 <> 0),
+ r AS (SELECT c_custkey AS request_id, sha256('key-' || c_custkey) AS h, ['read', 'trade', 'root'][c_custkey % 3 + 1] AS scope FROM customer)
+ SELECT request_id, coalesce(NOT is_revoked AND (list_contains(scopes, scope) OR list_contains(scopes, 'admin')) AND (expires_at IS NULL OR expires_at > TIMESTAMP '{AS_OF}'), FALSE) AS allowed FROM r LEFT JOIN k USING (h)""")
 def _(s, d):
     n = F.col("c_custkey")
     c = src.table(s, d, "customer").select("c_custkey")
     keys = c.where(n % 3 != 0).select(F.sha2(F.concat(F.lit("key-"), n.cast("string")), 256).alias("key_hash"), F.when(n % 2 == 0, F.array(F.lit("read"), F.lit("trade"))).when(n % 5 == 0, F.array(F.lit("admin"))).otherwise(F.array(F.lit("read"))).alias("scopes"), (n % 7 == 0).alias("is_revoked"), F.when(n % 11 == 0, F.lit("2001-01-01 00:00:00").cast("timestamp_ntz")).alias("expires_at"))
-    requests = c.select(n.alias("request_id"), F.concat(F.lit("key-"), n.cast("string")).alias("raw"), F.lit("trade").alias("scope"))
+    requests = c.select(n.alias("request_id"), F.concat(F.lit("key-"), n.cast("string")).alias("raw"), F.element_at(F.array(*map(F.lit, ("read", "trade", "root"))), (n % 3 + 1).cast("int")).alias("scope"))
     return security.api_key_check(requests, keys, AS_OF)
 
 
-@query("scope_check", "SELECT c_custkey AS id, c_custkey % 4 <> 0 AS ok FROM customer")
+@query("scope_check", "WITH t AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 4 = 0 THEN ['read', 'root'] WHEN c_custkey % 4 = 1 THEN ['trade', 'admin'] WHEN c_custkey % 4 = 2 THEN ['Read'] ELSE [] END AS scopes FROM customer) SELECT id, len(list_filter(scopes, lambda x: x NOT IN ('read', 'trade', 'admin'))) = 0 AS ok FROM t")
 def _(s, d):
-    n = F.col("c_custkey")
-    return src.table(s, d, "customer").select(n.alias("id"), catalog.scopes_ok(F.when(n % 4 == 0, F.array(F.lit("read"), F.lit("root"))).otherwise(F.array(F.lit("read"))), ("read", "trade", "admin")).alias("ok"))
+    n = F.col("c_custkey") % 4
+    a = lambda *x: F.array(*map(F.lit, x))
+    scopes = F.when(n == 0, a("read", "root")).when(n == 1, a("trade", "admin")).when(n == 2, a("Read")).otherwise(F.array().cast("array<string>"))
+    return src.table(s, d, "customer").select(F.col("c_custkey").alias("id"), catalog.scopes_ok(scopes, ("read", "trade", "admin")).alias("ok"))
 
 
 @query("etag_hash", "SELECT c_custkey AS id, substr(sha256(c_name), 1, 16) AS etag, sha1(c_name) AS sha1 FROM customer")
@@ -418,11 +425,16 @@ def _(s, d):
     return src.table(s, d, "pages").select("page_id", validate.https_url(F.col("url")).alias("ok"))
 
 
-@query("public_ip", "WITH ips AS (SELECT c_custkey AS id, [10, 172, 192, 8, 127, 169][c_custkey % 6 + 1] AS a, [0, 16, 168, 254, 31, 32][c_custkey % 7 % 6 + 1] AS b FROM customer) SELECT id, NOT (a IN (10, 127) OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168) OR (a = 169 AND b = 254)) AS public FROM ips")
+OCTETS = "[10, 172, 192, 8, 127, 169, 0, 198, 203, 224, 240, 256, 100]"
+#: What the first four octets of addresses that aren't public look like.
+NOT_PUBLIC = "a IN (0, 10, 127) OR a >= 240 OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168) OR (a = 192 AND b = 0 AND c IN (0, 2)) OR (a = 169 AND b = 254) OR (a = 198 AND b IN (18, 19)) OR (a = 198 AND b = 51 AND c = 100) OR (a = 203 AND b = 0 AND c = 113)"
+
+
+@query("public_ip", f"WITH ips AS (SELECT c_custkey AS id, {OCTETS}[c_custkey % 13 + 1] AS a, [0, 16, 168, 254, 31, 32, 18, 51][c_custkey % 8 + 1] AS b, [0, 2, 113, 100, 7][c_custkey % 5 + 1] AS c, c_custkey % 256 AS d FROM customer) SELECT id, a <= 255 AND NOT ({NOT_PUBLIC}) AS public FROM ips")
 def _(s, d):
     n = F.col("c_custkey")
-    pick = lambda v, i: F.element_at(F.array(*map(F.lit, v)), (i + 1).cast("int")).cast("string")
-    ip = F.concat_ws(".", pick((10, 172, 192, 8, 127, 169), n % 6), pick((0, 16, 168, 254, 31, 32), n % 7 % 6), F.lit("0"), (n % 256).cast("string"))
+    pick = lambda v: F.element_at(F.array(*map(F.lit, v)), (n % len(v) + 1).cast("int")).cast("string")
+    ip = F.concat_ws(".", pick((10, 172, 192, 8, 127, 169, 0, 198, 203, 224, 240, 256, 100)), pick((0, 16, 168, 254, 31, 32, 18, 51)), pick((0, 2, 113, 100, 7)), (n % 256).cast("string"))
     return src.table(s, d, "customer").select(n.alias("id"), validate.public_ip(ip).alias("public"))
 
 
@@ -431,10 +443,13 @@ def _(s, d):
     e = src.table(s, d, "events").select("event_id", "user_id", F.col("event_type").alias("event_name"))
     u = F.col("user_id")
     hooks = e.select("user_id").distinct().select(u, (u * 10).alias("hook_id"), (u % 3 != 0).alias("is_active"), F.when(u % 2 == 0, F.array(F.lit("purchase"), F.lit("signup"))).otherwise(F.array(F.lit("purchase"))).alias("event_types"))
-    return security.outbox(e, hooks).join(e.select("event_id"), "event_id", "left_semi")
+    return security.outbox(e, hooks)
+
+
+PADS = [bytes(b ^ pad for b in b"hook-secret".ljust(64, b"\0")).hex() for pad in (0x36, 0x5C)]
 
 
-@query("webhook_signed")
+@query("webhook_signed", f"""WITH p AS (SELECT event_id, user_id AS hook_id, '{{"data":' || event_id || ',"event":"' || event_type || '"}}' AS payload FROM events WHERE event_type = 'purchase') SELECT *, sha256(unhex('{PADS[1]}') || unhex(sha256(unhex('{PADS[0]}') || encode(payload)))) AS signature FROM p""")
 def _(s, d):
     from ..functions.keyed_hash import hmac_sha256
 
@@ -443,10 +458,23 @@ def _(s, d):
     return security.outbox(e, hooks, hmac_sha256("hook-secret"))
 
 
-@query("http_metrics", "SELECT event_type AS method, CASE WHEN event_id % 20 = 0 THEN 500 ELSE 200 END AS status, count(*) AS n, count(*) FILTER (value <= 10) AS le_10, count(*) FILTER (value <= 50) AS le_50, count(*) FILTER (value <= 100) AS le_100 FROM events GROUP BY 1, 2")
+HTTP = "req AS (SELECT ['GET', 'POST'][event_id % 2 + 1] AS method, '/' || event_type AS path, CASE WHEN event_id % 20 = 0 THEN 500 ELSE 200 END AS status, value AS latency FROM events)"
+
+
+def _requests(s, d):
+    e = src.table(s, d, "events")
+    n = F.col("event_id")
+    return e.select(F.when(n % 2 == 0, "GET").otherwise("POST").alias("method"), F.concat(F.lit("/"), "event_type").alias("path"), F.when(n % 20 == 0, 500).otherwise(200).alias("status"), F.col("value").alias("latency"))
+
+
+@query("http_metrics", f"WITH {HTTP} SELECT method, path, status, count(*) AS n FROM req GROUP BY ALL")
+def _(s, d):
+    return security.http_counts(_requests(s, d))
+
+
+@query("http_latency", f"WITH {HTTP} SELECT method, path, count(*) AS n, count(*) FILTER (latency <= 10) AS le_10, count(*) FILTER (latency <= 50) AS le_50, count(*) FILTER (latency <= 100) AS le_100 FROM req GROUP BY ALL")
 def _(s, d):
-    e = src.table(s, d, "events").select(F.col("event_type").alias("method"), F.when(F.col("event_id") % 20 == 0, 500).otherwise(200).alias("status"), F.col("value").alias("latency"))
-    return security.http_metrics(e)
+    return security.http_latency(_requests(s, d))
 
 
 @query("rate_limit", "SELECT event_id AS request_id, count(*) OVER w AS seen, count(*) OVER w <= 3 AS allowed FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 6 HOURS PRECEDING AND CURRENT ROW)")
@@ -454,7 +482,7 @@ def _(s, d):
     return security.rate_limited(src.table(s, d, "events").select(F.col("event_id").alias("request_id"), F.col("user_id").alias("key"), F.col("ts").alias("at")), 21_600, 3)
 
 
-@query("lockout", "WITH att AS (SELECT user_id AS key, list({'t': epoch(ts), 'f': event_type = 'error', 'until': CAST(0 AS DOUBLE), 'times': CAST([] AS DOUBLE[]), 'locks': 0, 'refused': 0} ORDER BY ts, event_id) AS l FROM events GROUP BY 1), z AS (SELECT key, list_reduce(l, lambda a, x: CASE WHEN x.t < a.until THEN {'t': x.t, 'f': x.f, 'until': a.until, 'times': a.times, 'locks': a.locks, 'refused': a.refused + 1} WHEN x.f AND len(list_filter(a.times, lambda z: z >= x.t - 86400)) + 1 >= 3 THEN {'t': x.t, 'f': x.f, 'until': x.t + 21600, 'times': CAST([] AS DOUBLE[]), 'locks': a.locks + 1, 'refused': a.refused} WHEN x.f THEN {'t': x.t, 'f': x.f, 'until': a.until, 'times': list_append(list_filter(a.times, lambda z: z >= x.t - 86400), x.t), 'locks': a.locks, 'refused': a.refused} ELSE {'t': x.t, 'f': x.f, 'until': CAST(0 AS DOUBLE), 'times': CAST([] AS DOUBLE[]), 'locks': a.locks, 'refused': a.refused} END, {'t': CAST(0 AS DOUBLE), 'f': FALSE, 'until': CAST(0 AS DOUBLE), 'times': CAST([] AS DOUBLE[]), 'locks': 0, 'refused': 0}) AS z FROM att) SELECT key, z.locks AS locks, z.refused AS refused FROM z")
+@query("lockout", "WITH att AS (SELECT user_id AS key, list({'t': epoch(ts), 'f': event_type = 'error', 'until': CAST(0 AS DOUBLE), 'times': CAST([] AS DOUBLE[]), 'locks': 0, 'refused': 0} ORDER BY ts, event_id) AS l FROM events GROUP BY 1), z AS (SELECT key, list_reduce(l, lambda a, x: CASE WHEN x.t < a.until THEN {'t': x.t, 'f': x.f, 'until': a.until, 'times': a.times, 'locks': a.locks, 'refused': a.refused + 1} WHEN x.f AND len(list_filter(a.times, lambda z: z > x.t - 86400)) + 1 >= 3 THEN {'t': x.t, 'f': x.f, 'until': x.t + 21600, 'times': CAST([] AS DOUBLE[]), 'locks': a.locks + 1, 'refused': a.refused} WHEN x.f THEN {'t': x.t, 'f': x.f, 'until': a.until, 'times': list_append(list_filter(a.times, lambda z: z > x.t - 86400), x.t), 'locks': a.locks, 'refused': a.refused} ELSE {'t': x.t, 'f': x.f, 'until': CAST(0 AS DOUBLE), 'times': CAST([] AS DOUBLE[]), 'locks': a.locks, 'refused': a.refused} END, {'t': CAST(0 AS DOUBLE), 'f': FALSE, 'until': CAST(0 AS DOUBLE), 'times': CAST([] AS DOUBLE[]), 'locks': 0, 'refused': 0}) AS z FROM att) SELECT key, z.locks AS locks, z.refused AS refused FROM z")
 def _(s, d):
     return security.lockouts(src.table(s, d, "events").select(F.col("event_id").alias("attempt_id"), F.col("user_id").alias("key"), F.col("ts").alias("at"), (F.col("event_type") == "error").alias("failed")), 3, 86_400, 21_600)
 
@@ -481,9 +509,9 @@ def _(s, d):
     return catalog.counts(catalog.exchanges(s), _catalogue(s, d))
 
 
-@query("catalog_search", f"WITH {TICKERS} SELECT ordinal, ticker FROM cat WHERE contains(ticker, 'UT') OR contains(ticker, 'AU1') AND FALSE ORDER BY ordinal LIMIT 20")
+@query("catalog_search", f"WITH {TICKERS}, hits AS (SELECT ordinal, ticker, {EXCHANGE} AS exchange FROM cat WHERE contains(ticker, 'UT') ORDER BY ordinal LIMIT 20) SELECT *, (SELECT count(*) FROM hits) AS total FROM hits")
 def _(s, d):
-    return catalog.search(_catalogue(s, d), " ut ").select("ordinal", "ticker")
+    return catalog.search(_catalogue(s, d), " ut ").select("ordinal", "ticker", "exchange", "total")
 
 
 @query("catalog_filter", f"WITH {TICKERS} SELECT ordinal, ticker FROM cat WHERE contains(lower(ticker), 'mac') AND {EXCHANGE} = 'TSE'")
@@ -498,11 +526,18 @@ def _(s, d):
     return catalog.grouped(c, groups)
 
 
-@query("market_status")
+#: Minutes from UTC of the exchanges in January, where the events lie (Sydney has summer time then), and their hours.
+OFFSETS = "(VALUES ('US', -300, 570, 960), ('NSE', 330, 555, 930), ('LSE', 0, 480, 990), ('XETRA', 60, 540, 1050), ('TSE', 540, 540, 930), ('HKEX', 480, 570, 960), ('ASX', 660, 600, 960), ('TSX', -300, 570, 960), ('CRYPTO', 0, NULL, NULL)) x(exchange, off, opens, closes)"
+
+
+@query("market_status", f"""WITH e AS (SELECT event_id, ts, ['US', 'NSE', 'LSE', 'XETRA', 'TSE', 'HKEX', 'ASX', 'TSX', 'CRYPTO'][event_id % 9 + 1] AS exchange FROM events),
+ l AS (SELECT event_id, exchange, date_trunc('second', ts + to_minutes(off)) AS t, opens * 60 AS o, closes * 60 AS c FROM e JOIN {OFFSETS} USING (exchange)), s AS (SELECT *, isodow(t) >= 6 AS weekend, hour(t) * 3600 + minute(t) * 60 + second(t) AS x FROM l)
+ SELECT event_id, exchange, CASE WHEN o IS NULL THEN 'open' WHEN weekend THEN 'closed' WHEN x < o THEN 'pre' WHEN x <= c THEN 'open' ELSE 'closed' END AS status, CASE WHEN o IS NULL THEN '24/7 OPEN' WHEN weekend THEN 'WEEKEND' WHEN x < o THEN 'PRE-MARKET' WHEN x <= c THEN 'OPEN' ELSE 'CLOSED' END AS label,
+ CAST(CASE WHEN o IS NULL OR weekend THEN NULL WHEN x < o THEN (o - x) // 60 WHEN x <= c THEN (c - x) // 60 END AS INT) AS minutes FROM s""")
 def _(s, d):
     times = src.table(s, d, "events").select(F.col("ts").alias("at"), "event_id")
     x = catalog.exchanges(s)
-    return catalog.market_status(times.withColumn("exchange", F.element_at(F.array(*(F.lit(e[0]) for e in catalog.EXCHANGES)), (F.col("event_id") % 9 + 1).cast("int"))).join(F.broadcast(x), "exchange")).select("event_id", "exchange", "status", "minutes")
+    return catalog.market_status(times.withColumn("exchange", F.element_at(F.array(*(F.lit(e[0]) for e in catalog.EXCHANGES)), (F.col("event_id") % 9 + 1).cast("int"))).join(F.broadcast(x), "exchange")).select("event_id", "exchange", "status", "label", "minutes")
 
 
 @query("ticker_valid", f"WITH {TICKERS}, t AS (SELECT ordinal, CASE WHEN ordinal % 5 = 0 THEN ticker || '$' ELSE ' ' || lower(ticker) END AS raw FROM cat) SELECT ordinal, regexp_full_match(upper(trim(raw)), '[A-Z0-9.\\-]{{1,20}}') AS ok FROM t")
@@ -511,26 +546,42 @@ def _(s, d):
     return _catalogue(s, d).select("ordinal", validate.ticker(raw).alias("ok"))
 
 
+#: Passwords of all sorts: with and without the signs that count, runs of four, a common one.
+WORDS = ("Secret!pass", "nouppercase-", "aaaa-Runs-9", "User-pass#", "Blank sign ", "Straße€Secret", "QWERTY-common-")
+SIGN_CLASS = validate.SIGNS.replace("'", "''")
+
+
 def _passwords(s, d):
     n = F.col("c_custkey")
-    p = F.concat(F.element_at(F.array(*map(F.lit, ("Secret!pass", "nouppercase-", "aaaa-Runs-9", "User-pass#"))), (n % 4 + 1).cast("int")), n.cast("string"), F.repeat(F.lit("xY"), (n % 3).cast("int")))
+    p = F.when(n % 11 == 0, "").otherwise(F.concat(F.element_at(F.array(*map(F.lit, WORDS)), (n % 7 + 1).cast("int")), (n % 1000).cast("string"), F.repeat(F.lit("xY"), (n % 3).cast("int"))))
     return src.table(s, d, "customer").select(n.alias("password_id"), p.alias("password"), F.concat(F.lit("user"), (n % 10).cast("string"), F.lit("@mail.example.com")).alias("email"))
 
 
-@query("password_policy", """WITH p AS (SELECT c_custkey AS id, ['Secret!pass', 'nouppercase-', 'aaaa-Runs-9', 'User-pass#'][c_custkey % 4 + 1] || c_custkey || repeat('xY', CAST(c_custkey % 3 AS INT)) AS p, 'user' || (c_custkey % 10) AS l FROM customer), r AS (SELECT *, len(p) >= 14 AS a, regexp_matches(p, '[a-z]') AS b, regexp_matches(p, '[A-Z]') AS c, regexp_matches(p, '[0-9]') AS d, regexp_matches(p, '[^A-Za-z0-9]') AS e FROM p)
- SELECT id AS password_id, a AND len(p) <= 128 AND b AND c AND d AND e AND NOT contains(lower(p), l) AND len(list_filter(range(1, len(p) - 2), lambda i: p[i] = p[i + 1] AND p[i] = p[i + 2] AND p[i] = p[i + 3])) = 0 AS ok, CAST(greatest(0, CAST(a AS INT) + CAST(b AS INT) + CAST(c AS INT) + CAST(d AS INT) + CAST(e AS INT) - 1) AS INT) AS strength FROM r""")
+PASSWORDS = f"""p AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 11 = 0 THEN '' ELSE {list(WORDS)}[c_custkey % 7 + 1] || (c_custkey % 1000) || repeat('xY', CAST(c_custkey % 3 AS INT)) END AS p, 'user' || (c_custkey % 10) AS l FROM customer),
+ r AS (SELECT *, len(p) >= 14 AS a, regexp_matches(p, '[a-z]') AS b, regexp_matches(p, '[A-Z]') AS c, regexp_matches(p, '[0-9]') AS d, regexp_matches(p, '{SIGN_CLASS}') AS e, len(list_filter(range(1, len(p) - 2), lambda i: p[i] = p[i + 1] AND p[i] = p[i + 2] AND p[i] = p[i + 3])) = 0 AS f FROM p),
+ n AS (SELECT *, CAST(a AS INT) + CAST(b AS INT) + CAST(c AS INT) + CAST(d AS INT) + CAST(e AS INT) + CAST(f AS INT) AS n FROM r)"""
+
+
+@query("password_policy", f"WITH {PASSWORDS} SELECT id AS password_id, a AND len(p) <= 128 AND b AND c AND d AND e AND f AND NOT contains(lower(p), l) AS ok, CASE WHEN p = '' THEN 0 WHEN n <= 2 THEN 1 WHEN n <= 4 THEN 2 WHEN n = 5 THEN 3 ELSE 4 END AS strength FROM n")
 def _(s, d):
     return _passwords(s, d).select("password_id", validate.password_ok(F.col("password"), F.col("email")).alias("ok"), validate.strength(F.col("password")).alias("strength"))
 
 
-@query("email_valid", "SELECT c_custkey AS id FROM customer WHERE c_custkey % 3 <> 0 AND c_custkey % 5 <> 0")
+@query("password_common", f"WITH {PASSWORDS} SELECT id AS password_id FROM p WHERE lower(p) NOT IN ('qwerty-common-6', 'qwerty-common-13', 'user-pass#3')")
+def _(s, d):
+    common = s.createDataFrame([("Qwerty-Common-6",), ("qwerty-common-13",), ("user-pass#3",), ("user-pass#3",)], "password string")
+    return validate.uncommon(_passwords(s, d), common).select("password_id")
+
+
+@query("email_valid", "WITH m AS (SELECT c_custkey AS id, lower(trim(' U' || c_custkey || ['@Bad.example', '@nodot', '@Good.example', '.no.at', '@a@bad.example'][c_custkey % 5 + 1])) AS mail FROM customer) SELECT id FROM m WHERE contains(mail, '@') AND contains(list_last(string_split(mail, '@')), '.') AND list_last(string_split(mail, '@')) NOT IN ('bad.example', 'trash.example')")
 def _(s, d):
     n = F.col("c_custkey")
-    mail = F.concat(F.lit(" U"), n.cast("string"), F.when(n % 3 == 0, "@Bad.example").when(n % 5 == 0, "@nodot").otherwise("@Good.example"))
-    return validate.unblocked(src.table(s, d, "customer").select(n.alias("id"), mail.alias("email")), s.createDataFrame([("bad.example",)], "domain string")).select("id")
+    mail = F.concat(F.lit(" U"), n.cast("string"), F.element_at(F.array(*map(F.lit, ("@Bad.example", "@nodot", "@Good.example", ".no.at", "@a@bad.example"))), (n % 5 + 1).cast("int")))
+    blocked = s.createDataFrame([("bad.example",), ("trash.example",)], "domain string")
+    return validate.unblocked(src.table(s, d, "customer").select(n.alias("id"), mail.alias("email")), blocked).select("id")
 
 
-@query("breach_count", "SELECT c_custkey AS password_id, CASE WHEN c_custkey % 3 = 0 THEN c_custkey * 2 ELSE 0 END AS count FROM customer")
+@query("breach_count", "WITH p AS (SELECT c_custkey AS id, upper(sha1('pw' || c_custkey)) AS h FROM customer), f AS (SELECT substr(h, 1, 5) AS prefix, substr(h, 6) || ':' || (id * 2) AS line FROM p WHERE id % 3 = 0) SELECT id AS password_id, CAST(coalesce(sum(CAST(split_part(line, ':', 2) AS BIGINT)), 0) AS BIGINT) AS count FROM p LEFT JOIN f ON prefix = substr(h, 1, 5) AND split_part(line, ':', 1) = substr(h, 6) GROUP BY 1")
 def _(s, d):
     n = F.col("c_custkey")
     p = src.table(s, d, "customer").select(n.alias("password_id"), F.concat(F.lit("pw"), n.cast("string")).alias("password"))
@@ -539,8 +590,146 @@ def _(s, d):
     return validate.breach_count(p, feed)
 
 
-@query("watchlist_ops", "SELECT c_custkey AS id, ['AAPL', 'TSLA', 'AAPL'] AS valid, CASE WHEN c_custkey % 2 = 0 THEN ['AAPL', 'MSFT'] ELSE ['AAPL'] END AS added, ['AAPL'] AS kept, ['A', 'B'] AS parsed FROM customer")
+#: Watch lists of users: tickers by the customer's number, some not tracked, some too many; what they ask for; what they prefer.
+LISTS = """lists AS (SELECT c_custkey AS id, list_transform(range(1, 2 + CASE WHEN c_custkey % 17 = 0 THEN 60 ELSE c_custkey % 6 END), lambda i: 'T' || ((c_custkey * 7 + i * i) % 40)) AS list, 'T' || (c_custkey % 45) AS ticker,
+ CASE WHEN c_custkey % 4 = 0 THEN ' t1, T2 ,,t' || (c_custkey % 40) WHEN c_custkey % 4 = 1 THEN ' , ' END AS asked, [['US'], ['LSE'], ['US', 'TSE']][c_custkey % 3 + 1] AS preferred, list_transform(range(0, 40), lambda i: 'T' || i) AS tracked FROM customer)"""
+
+
+def _lists(s, d):
+    n = F.col("c_custkey")
+    size = F.when(n % 17 == 0, 60).otherwise(n % 6)
+    items = F.transform(F.sequence(F.lit(1), F.greatest(size + 1, F.lit(1)).cast("int")), lambda i: F.concat(F.lit("T"), ((n * 7 + i * i) % 40).cast("string")))
+    asked = F.when(n % 4 == 0, F.concat(F.lit(" t1, T2 ,,t"), (n % 40).cast("string"))).when(n % 4 == 1, " , ")
+    a = lambda *x: F.array(*map(F.lit, x))
+    preferred = F.when(n % 3 == 0, a("US")).when(n % 3 == 1, a("LSE")).otherwise(a("US", "TSE"))
+    return src.table(s, d, "customer").select(n.alias("id"), items.alias("list"), F.concat(F.lit("T"), (n % 45).cast("string")).alias("ticker"), asked.alias("asked"), preferred.alias("preferred"), a(*(f"T{i}" for i in range(40))).alias("tracked"))
+
+
+def _exchange_map():
+    """The exchange of every third and every fifth tracked ticker; the others' is not known."""
+    return F.create_map(*(F.lit(x) for i in range(40) if i % 3 == 0 or i % 5 == 0 for x in (f"T{i}", "LSE" if i % 3 == 0 else "TSE")))
+
+
+@query("watchlist_ops", f"""WITH {LISTS} SELECT id, list_slice(list_filter(list, lambda x: list_contains(tracked[:30], x)), 1, 50) AS valid, CASE WHEN list_contains(list, ticker) OR len(list) >= 50 THEN list ELSE list_append(list, ticker) END AS added,
+ CASE WHEN len(list_filter(list, lambda x: x <> ticker)) = 0 THEN list ELSE list_filter(list, lambda x: x <> ticker) END AS kept, list_filter(list_transform(string_split(coalesce(asked, ''), ','), lambda x: upper(trim(x))), lambda x: x <> '') AS parsed,
+ CASE WHEN NOT list_contains(tracked, ticker) THEN 'not_tracked' WHEN list_contains(list, ticker) THEN 'present' WHEN len(list) >= 50 THEN 'full' ELSE 'added' END AS add_code, CASE WHEN NOT list_contains(list, ticker) THEN 'absent' WHEN len(list_filter(list, lambda x: x <> ticker)) = 0 THEN 'last' ELSE 'removed' END AS remove_code FROM lists""")
+def _(s, d):
+    w, t = F.col("list"), F.col("ticker")
+    return _lists(s, d).select("id", catalog.only_valid(w, F.slice("tracked", 1, 30)).alias("valid"), catalog.added(w, t).alias("added"), catalog.removed(w, t).alias("kept"), catalog.parsed(F.coalesce("asked", F.lit(""))).alias("parsed"), catalog.add_code(w, t, F.col("tracked")).alias("add_code"), catalog.remove_code(w, t).alias("remove_code"))
+
+
+@query("watchlist_replace", f"WITH {LISTS}, k AS (SELECT id, list_filter(list, lambda x: list_contains(tracked[:30], x)) AS k FROM lists) SELECT id, CASE WHEN len(k) BETWEEN 1 AND 50 THEN k END AS watchlist, CASE WHEN len(k) = 0 THEN 'no_valid' WHEN len(k) > 50 THEN 'too_many' ELSE 'ok' END AS code FROM k")
 def _(s, d):
+    return _lists(s, d).withColumn("r", catalog.replaced(F.transform("list", F.lower), F.slice("tracked", 1, 30))).select("id", "r.watchlist", "r.code")
+
+
+@query("signals_wanted", f"""WITH {LISTS}, p AS (SELECT id, list, list_filter(list_transform(string_split(coalesce(asked, ''), ','), lambda x: upper(trim(x))), lambda x: x <> '') AS asked,
+ list_filter(list, lambda t: list_contains(preferred, CASE WHEN CAST(substr(t, 2) AS INT) % 3 = 0 THEN 'LSE' WHEN CAST(substr(t, 2) AS INT) % 5 = 0 THEN 'TSE' ELSE 'US' END)) AS own FROM lists)
+ SELECT id, list_sort(list_distinct(CASE WHEN len(asked) > 0 THEN asked WHEN len(own) > 0 THEN own ELSE list END)) AS wanted FROM p""")
+def _(s, d):
+    return _lists(s, d).select("id", catalog.wanted(F.col("asked"), F.col("list"), F.col("preferred"), _exchange_map()).alias("wanted"))
+
+
+@query("watchlist_exchange", f"WITH {LISTS} SELECT id, list_sort(list_distinct(list_filter(list, lambda x: CAST(substr(x, 2) AS INT) % 3 = 0))) AS listed FROM lists")
+def _(s, d):
+    return _lists(s, d).select("id", catalog.on_exchange(F.col("list"), F.array(*(F.lit(f"T{i}") for i in range(0, 40, 3)))).alias("listed"))
+
+
+@query("preferences_update", """WITH u AS (SELECT c_custkey AS user_id, ['US'] AS old, 'UTC' AS tz, CASE c_custkey % 4 WHEN 0 THEN ['lse', 'XXX'] WHEN 1 THEN ['nowhere'] WHEN 2 THEN ['TSE', 'us'] END AS new, CASE c_custkey % 5 WHEN 0 THEN 'Europe/Berlin' WHEN 1 THEN 'Mars/Base' WHEN 2 THEN 'Asia/Tokyo' END AS zone FROM customer),
+ k AS (SELECT *, list_filter(list_transform(new, lambda x: upper(x)), lambda x: x IN ('US', 'NSE', 'LSE', 'XETRA', 'TSE', 'HKEX', 'ASX', 'TSX', 'CRYPTO')) AS k FROM u),
+ c AS (SELECT *, CASE WHEN new IS NOT NULL AND len(k) = 0 THEN 'no_exchange' WHEN zone = 'Mars/Base' THEN 'bad_timezone' ELSE 'ok' END AS code FROM k)
+ SELECT user_id, CASE WHEN code = 'ok' THEN coalesce(k, old) ELSE old END AS preferred_exchanges, CASE WHEN code = 'ok' THEN coalesce(zone, tz) ELSE tz END AS user_timezone, code FROM c""")
+def _(s, d):
+    import zoneinfo
+
+    n = F.col("c_custkey")
     a = lambda *x: F.array(*map(F.lit, x))
+    rows = src.table(s, d, "customer").select(n.alias("user_id"), a("US").alias("preferred_exchanges"), F.lit("UTC").alias("user_timezone"), F.when(n % 4 == 0, a("lse", "XXX")).when(n % 4 == 1, a("nowhere")).when(n % 4 == 2, a("TSE", "us")).alias("new_exchanges"), F.when(n % 5 == 0, "Europe/Berlin").when(n % 5 == 1, "Mars/Base").when(n % 5 == 2, "Asia/Tokyo").alias("new_timezone"))
+    return catalog.preferences(rows, tuple(sorted(zoneinfo.available_timezones())))
+
+
+@query("catalog_grouped_filter", f"WITH {TICKERS}, g AS (SELECT ticker, CASE WHEN ticker LIKE 'AUT%' THEN 'Cars' WHEN ticker LIKE 'BUI%' THEN 'Car homes' END AS label FROM cat) SELECT label, ticker FROM g WHERE label IS NOT NULL AND (contains(lower(ticker), 'cars') OR contains(lower(label), 'cars'))")
+def _(s, d):
+    c = _catalogue(s, d).select("ticker")
+    groups = c.select("ticker", F.when(F.col("ticker").startswith("AUT"), "Cars").when(F.col("ticker").startswith("BUI"), "Car homes").alias("label")).where("label is not null")
+    return catalog.grouped_filter(c, groups, " CARS ")
+
+
+@query("catalog_visible", f"WITH {TICKERS} SELECT count(*) AS visible FROM cat WHERE contains(lower(ticker), 'mac') AND {EXCHANGE} = 'TSE'")
+def _(s, d):
+    return catalog.visible(_catalogue(s, d), "Mac", "TSE")
+
+
+@query("orders_all", f"WITH {OB} SELECT * FROM ob ORDER BY submitted_at DESC, order_id DESC")
+def _(s, d):
+    return orders.newest_first(src.orders_book(s, d), "order_id", "submitted_at")
+
+
+@query("keys_newest", f"WITH {KEYS} SELECT key_id, user_id, algorithm, created_at FROM keys ORDER BY created_at DESC, key_id DESC")
+def _(s, d):
+    return orders.newest_first(src.key_pairs(s, d), "key_id").select("key_id", "user_id", "algorithm", "created_at")
+
+
+@query("order_point_read", f"WITH {OB} SELECT * FROM ob WHERE order_id = 7")
+def _(s, d):
+    return src.point_read(src.orders_book(s, d), "order_id", 7)
+
+
+@query("order_payload", f"""WITH {CANDS}, {KEYS}, a AS (SELECT user_id, max(key_id) AS key_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, key_id DESC) AS r FROM keys WHERE is_active AND algorithm = 'ML-DSA-65') WHERE r = 1 GROUP BY 1),
+ p AS (SELECT order_id, user_id, side || ':' || asset || ':' || CAST(quantity AS VARCHAR) || ':' || order_type || ':' || coalesce(CAST(round(limit_price, 4) AS VARCHAR), 'None') || ':' || coalesce(CAST(round(stop_price, 4) AS VARCHAR), 'None') || ':' || time_in_force AS payload FROM cands)
+ SELECT order_id, payload, CASE WHEN key_id IS NOT NULL THEN sha256(key_id || '|' || payload) END AS signature FROM p LEFT JOIN a USING (user_id)""")
+def _(s, d):
+    keys = security.latest_keys(src.key_pairs(s, d).where("algorithm = 'ML-DSA-65'")).select("user_id", "key_id")
+    priced = src.order_candidates(s, d).withColumns({c: F.round(c, 4) for c in ("limit_price", "stop_price")})
+    return orders.signed(priced, keys, lambda key, text: F.sha2(F.concat_ws("|", key.cast("string"), text), 256))
+
+
+@query("backtest_bounds", "WITH r AS (SELECT c_custkey AS request_id, c_custkey % 120 AS fast_window, c_custkey * 7 % 300 AS slow_window FROM customer) SELECT request_id, CASE WHEN fast_window NOT BETWEEN 2 AND 100 THEN 'fast_window' WHEN slow_window NOT BETWEEN 5 AND 250 THEN 'slow_window' WHEN slow_window <= fast_window THEN 'order' ELSE '' END AS error FROM r")
+def _(s, d):
+    n = F.col("c_custkey")
+    return orders.window_bounds(src.table(s, d, "customer").select(n.alias("request_id"), (n % 120).alias("fast_window"), (n * 7 % 300).alias("slow_window")))
+
+
+@query("backtest_last", "SELECT o_orderkey AS run_id, o_custkey % 20 AS user_id, CAST(row_number() OVER (PARTITION BY o_custkey % 20 ORDER BY o_orderdate DESC, o_orderkey DESC) AS INT) AS place FROM orders QUALIFY place <= 20")
+def _(s, d):
+    runs = src.table(s, d, "orders").select(F.col("o_orderkey").alias("run_id"), (F.col("o_custkey") % 20).alias("user_id"), F.col("o_orderdate").alias("created_at"))
+    return backtest.last_runs(runs).select("run_id", "user_id", "place")
+
+
+@query("traded_assets", f"WITH {TRADES} SELECT user_id, list_sort(list_distinct(list(asset))) AS assets, CAST(count(DISTINCT asset) AS INT) AS n_assets FROM trades GROUP BY 1")
+def _(s, d):
+    return ledger.traded_assets(src.trades(s, d))
+
+
+@query("key_rotation_applied", f"""WITH {KEYS}, w AS (SELECT user_id, algorithm, 1000000000 + user_id AS new_key_id FROM (SELECT DISTINCT user_id, algorithm FROM keys) WHERE user_id % 3 = 0 AND algorithm = 'ML-KEM-768'),
+ l AS (SELECT user_id, algorithm, rotation_count FROM keys WHERE is_active QUALIFY row_number() OVER (PARTITION BY user_id, algorithm ORDER BY created_at DESC, key_id DESC) = 1)
+ SELECT key_id, user_id, algorithm, is_active AND new_key_id IS NULL AS is_active, rotation_count, created_at, CASE WHEN is_active AND new_key_id IS NOT NULL THEN TIMESTAMP '{AS_OF}' END AS revoked_at FROM keys LEFT JOIN w USING (user_id, algorithm)
+ UNION ALL SELECT new_key_id, user_id, algorithm, TRUE, coalesce(rotation_count + 1, 0), TIMESTAMP '{AS_OF}', NULL FROM w LEFT JOIN l USING (user_id, algorithm)""")
+def _(s, d):
+    keys = src.key_pairs(s, d)
+    wanted = keys.where("user_id % 3 = 0 and algorithm = 'ML-KEM-768'").select("user_id", "algorithm").distinct().withColumn("new_key_id", F.lit(1_000_000_000).cast("long") + F.col("user_id"))
+    return security.rotation(keys, wanted, AS_OF)
+
+
+@query("secret_round_trip", "SELECT c_custkey AS id, TRUE AS marked, CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE 'plain' END AS opened, CAST(NULL AS VARCHAR) AS with_other_key, base64(encode(c_name)) AS b64, c_name AS unb64 FROM customer")
+def _(s, d):
+    n, name, key = F.col("c_custkey"), F.col("c_name"), "0123456789abcdef"
+    stored = F.when(n % 2 == 0, security.protected(name, key)).otherwise("plain")
+    c = src.table(s, d, "customer").withColumn("stored", stored)
+    shut = security.unprotected(security.protected(name, key), "fedcba9876543210")
+    return c.select(n.alias("id"), ((n % 2 == 1) | F.col("stored").startswith("enc:")).alias("marked"), security.unprotected(F.col("stored"), key).alias("opened"), shut.alias("with_other_key"), F.base64(name.cast("binary")).alias("b64"), F.unbase64(F.base64(name.cast("binary"))).cast("string").alias("unb64"))
+
+
+@query("snapshot_age", "SELECT c_custkey AS id, CASE WHEN c_custkey % 400 < 60 THEN '(' || (c_custkey % 400) || 's ago)' ELSE '(' || (c_custkey % 400 // 60) || 'm ' || (c_custkey % 400 % 60) || 's ago)' END AS age FROM customer")
+def _(s, d):
+    n = F.col("c_custkey")
+    return src.table(s, d, "customer").select(n.alias("id"), catalog.age_label((n % 400).cast("double")).alias("age"))
+
+
+@query("etag_conditional", "WITH t AS (SELECT c_custkey AS id, substr(sha256('2024-01-01' || (c_custkey % 50)), 1, 16) AS etag, c_custkey % 2 = 0 AS same, c_name AS body FROM customer) SELECT id, CASE WHEN same THEN 304 ELSE 200 END AS status, etag, CASE WHEN NOT same THEN body END AS body FROM t")
+def _(s, d):
     n = F.col("c_custkey")
-    return src.table(s, d, "customer").select(n.alias("id"), catalog.only_valid(a("aapl ", "zzz", "TSLA", "AAPL"), a("AAPL", "TSLA")).alias("valid"), catalog.added(a("AAPL"), F.when(n % 2 == 0, "MSFT").otherwise("AAPL")).alias("added"), catalog.removed(a("AAPL"), F.lit("AAPL")).alias("kept"), catalog.parsed(F.lit(" a, b,,")).alias("parsed"))
+    b = src.table(s, d, "customer").select(n.alias("id"), F.lit("2024-01-01").alias("generated_at"), (n % 50).alias("n_assets"), F.col("c_name").alias("body"))
+    old = F.left(F.sha2(F.concat(F.lit("2024-01-01"), ((n + n % 2) % 50).cast("string")), 256), F.lit(16))
+    held = b.join(src.table(s, d, "customer").select(n.alias("id"), F.when(n % 4 != 1, old).alias("held")), "id")
+    return sinks.conditional(held, "held").select("id", "status", "etag", "body")

@@ -21,8 +21,8 @@ def issues(spark: SparkSession, path: str) -> DataFrame:
 
 
 def setting(name: str, default: str | None = None) -> str | None:
-    """The environment's value, else the text of the file that NAME_FILE names, else the default."""
-    if (value := os.environ.get(name)) is not None:
+    """The environment's value unless empty, else the text of the file that NAME_FILE names, else the default."""
+    if value := os.environ.get(name):
         return value
     if path := os.environ.get(f"{name}_FILE"):
         with open(path, encoding="utf-8") as f:

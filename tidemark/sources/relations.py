@@ -66,13 +66,14 @@ def order_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("event_type").isin("purchase", "click"), "buy").otherwise("sell").alias("side"), (1 + F.col("event_id") % 5).cast("double").alias("quantity"), kind.alias("order_type"),
         F.when(kind.isin("limit", "stop_limit") & ~missing, F.col("value") * 1.02).alias("limit_price"), F.when(kind.isin("stop", "stop_limit") & ~missing, F.col("value") * 0.98).alias("stop_price"),
         F.element_at(F.array(*map(F.lit, ("day", "gtc", "ioc"))), (F.col("event_id") % 3 + 1).cast("int")).alias("time_in_force"), F.col("ts").alias("submitted_at"),
+        F.element_at(F.array(*map(F.lit, ("ACCEPTED", "PENDING", "FILLED", "SUBMITTED", "CANCELLED", "ACCEPTED"))), (F.col("event_id") % 6 + 1).cast("int")).alias("status"), F.when(F.col("event_id") % 7 == 0, F.concat(F.lit("b"), F.col("event_id").cast("string"))).alias("broker_order_id"),
     )
 
 
 def orders_book(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.when(F.col("o_orderstatus") == "F", "FILLED").when(F.col("o_orderstatus") == "O", "ACCEPTED").otherwise("PENDING")
     o = table(spark, sf_dir, "orders")
-    return o.select(F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("user_id"), status.alias("status"), F.col("o_totalprice").alias("price"), F.col("o_orderpriority").alias("side"), F.col("o_orderdate").alias("submitted_at"))
+    return o.select(F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("user_id"), F.concat(F.lit("K"), (F.col("o_custkey") % 10).cast("string")).alias("asset"), status.alias("status"), F.col("o_totalprice").alias("price"), F.col("o_orderpriority").alias("side"), F.col("o_orderdate").alias("submitted_at"))
 
 
 def key_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,3 +87,8 @@ def key_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def audit_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "props")
     return e.select(F.col("event_id").alias("log_id"), "user_id", F.upper("event_type").alias("action"), F.col("props").alias("metadata"), F.col("ts").alias("created_at"))
+
+
+def point_read(rows: DataFrame, key: str, value: int | str) -> DataFrame:
+    """The row with the key: an equality that reaches the scan, so row groups without the value aren't read."""
+    return rows.where(F.col(key) == F.lit(value))

@@ -19,20 +19,30 @@ def read_stream(spark: SparkSession, path: str, schema: str, time: str = "ts", d
     return reader.parquet(path).withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay)
 
 
-def push(bars: DataFrame, sink: Callable[[DataFrame], None], all_bars: Callable[[], DataFrame], every: str = "30 seconds"):
-    """On each trigger with new bars the signals are computed anew from the whole table and handed to the sink as a snapshot; the watch list applies there, exchange preferences don't."""
+def push(bars: DataFrame, sink: Callable[[DataFrame], None], all_bars: Callable[[], DataFrame], every: str = "30 seconds", watchlist: Callable[[], DataFrame] | None = None):
+    """On each trigger with new bars the signals are computed anew from the whole table and handed to the sink as a snapshot: all of them, or (user_id, signal...) of what each user watches if there is a watchlist(user_id, asset). Exchange preferences don't apply."""
 
     def snapshot(batch: DataFrame, _: int) -> None:
         if not batch.isEmpty():
-            sink(signals.compute(all_bars()))
+            found = signals.compute(all_bars())
+            sink(found if watchlist is None else signals.watched(found, watchlist().select("user_id", "asset", F.lit(False).alias("preferred"))))
 
     return bars.writeStream.foreachBatch(snapshot).trigger(processingTime=every)
 
 
+def keep(state: GroupState, value: tuple, until: float) -> None:
+    """The key's new state, which goes when the watermark passes until (in seconds)."""
+    state.update(value)
+    state.setTimeoutTimestamp(max(int(until * 1000), state.getCurrentWatermarkMs()) + 1)
+
+
 def fixed_windows(requests: DataFrame, seconds: int, limit: int) -> DataFrame:
     """Counts by key in windows that begin with the key's first request and last `seconds` (an INCR with expiry): request_id, seen, allowed."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         start, n = state.get if state.exists else (0.0, 0)
         for rows in batches:
             rows, out = rows.sort_values(["t", "request_id"]), []
@@ -42,16 +52,39 @@ def fixed_windows(requests: DataFrame, seconds: int, limit: int) -> DataFrame:
                 n += 1
                 out.append((r.request_id, n, n <= limit))
             yield pd.DataFrame(out, columns=["request_id", "seen", "allowed"])
-        state.update((start, n))
+        keep(state, (start, n), start + seconds)
+
+    keyed = requests.select("key", "request_id", "ts", F.col("ts").cast("double").alias("t"))
+    return keyed.groupBy("key").applyInPandasWithState(step, "request_id long, seen long, allowed boolean", "start double, n long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def sliding_windows(requests: DataFrame, seconds: int, limit: int) -> DataFrame:
+    """request_id, seen, allowed: requests of the key in the trailing window, both ends included; refused ones count. The state holds the times of one window."""
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        times = list(state.get[0]) if state.exists else []
+        for rows in batches:
+            rows, out = rows.sort_values(["t", "request_id"]), []
+            for r in rows.itertuples():
+                times = [z for z in times if z >= r.t - seconds] + [r.t]
+                out.append((r.request_id, len(times), len(times) <= limit))
+            yield pd.DataFrame(out, columns=["request_id", "seen", "allowed"])
+        keep(state, (times,), max(times, default=0.0) + seconds)
 
-    keyed = requests.select("key", "request_id", F.col("ts").cast("double").alias("t"))
-    return keyed.groupBy("key").applyInPandasWithState(step, "request_id long, seen long, allowed boolean", "start double, n long", "append", GroupStateTimeout.NoTimeout)
+    keyed = requests.select("key", "request_id", "ts", F.col("ts").cast("double").alias("t"))
+    return keyed.groupBy("key").applyInPandasWithState(step, "request_id long, seen long, allowed boolean", "times array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def lockout(attempts: DataFrame, failures: int = 5, window: int = 900, lock: int = 900) -> DataFrame:
     """attempt_id, outcome (ok, failed, locked, refused): failures within the window lock the key and clear the list; a success clears both."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         until, times = state.get if state.exists else (0.0, [])
         times = list(times)
         for rows in batches:
@@ -63,15 +96,15 @@ def lockout(attempts: DataFrame, failures: int = 5, window: int = 900, lock: int
                     until, times = 0.0, []
                     out.append((r.attempt_id, "ok"))
                 else:
-                    times = [z for z in times if z >= r.t - window] + [r.t]
+                    times = [z for z in times if z > r.t - window] + [r.t]
                     if len(times) >= failures:
                         until, times = r.t + lock, []
                     out.append((r.attempt_id, "locked" if not times else "failed"))
             yield pd.DataFrame(out, columns=["attempt_id", "outcome"])
-        state.update((until, times))
+        keep(state, (until, times), max(until, max(times, default=0.0) + window))
 
-    keyed = attempts.select("key", "attempt_id", F.col("ts").cast("double").alias("t"), "failed")
-    return keyed.groupBy("key").applyInPandasWithState(step, "attempt_id long, outcome string", "until double, times array<double>", "append", GroupStateTimeout.NoTimeout)
+    keyed = attempts.select("key", "attempt_id", "ts", F.col("ts").cast("double").alias("t"), "failed")
+    return keyed.groupBy("key").applyInPandasWithState(step, "attempt_id long, outcome string", "until double, times array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def replay_guard(requests: DataFrame, nonce: str = "nonce") -> DataFrame:
