@@ -71,3 +71,20 @@ def test_language_keeps_clear_mixed_texts(spark, tmp_path):
     want = Counter(i for i, _, _ in [*plain, *mixed])
     assert Counter(r["doc_id"] for r in language(spark, docs, str(tmp_path)).collect()) == want
     assert Counter(r["doc_id"] for r in language(spark, docs.withColumn("lang", F.lit(None).cast("string")), str(tmp_path)).collect()) == want
+
+
+def test_near_duplicates_of_repeated_and_missing_ids(spark, tmp_path):
+    """Two texts under one id are two documents; rows without an id are compared like others; names that the stages use themselves may come in."""
+    r = random.Random(8)
+    a, b, c, d = (fixtures.text_of(r, "en", 120) for _ in range(4))
+    rows = [(1, a), (1, b), (1, a), (2, a + " end"), (None, b + " end"), (None, c), (None, c + " end"), (9, d), (None, d), (7, ""), (7, ""), (None, None)]
+    clash = ["_key", "_place", "_copy", "_lang_pred", "_lang_score", "_lang_certainty", "_mix_id", "_mix_tie", "_mix_slot", "_mix_place", "_mix_hash", "node", "root", "slot"]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, *("x" for _ in clash)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{x} string" for x in clash))
+    stages = dict(corpus_pipeline.STAGES)
+    found = stages["near_duplicates"](spark, docs, str(tmp_path))
+    got = Counter((x["doc_id"], x["text"]) for x in found.collect())
+    third = [x for x in got if x[0] is None and x[1] and x[1].startswith(c)]
+    assert len(third) == 1 and got == Counter([(1, a), (1, b), third[0], (9, d), (7, ""), (None, None)])
+    for name in ("language", "secrets", "mixing"):
+        out = stages[name](spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and all(x[5:] == ("x",) * len(clash) for x in out.collect())

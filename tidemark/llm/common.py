@@ -42,6 +42,17 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores added until no column of df has it."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """df, written once as Parquet in the shared folder and read back: lost executors cost no earlier stage."""
     path = work_path(df.sparkSession, name)

@@ -196,8 +196,8 @@ def identify(docs: DataFrame, learn_from: Column | None = None, train_docs: int
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).transform(common.in_batches, run, "doc_id long, lang_pred string, score double, spans array<struct<start: long, end: long, lang: string>>")
 
 
-def identify_rows(docs: DataFrame, train_docs: int = 5000, penalty: float = 15.0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """docs with _lang_pred, _lang_score and _lang_certainty beside each row; all columns stay as they are."""
+def identify_rows(docs: DataFrame, names: tuple[str, str, str] = ("_lang_pred", "_lang_score", "_lang_certainty"), train_docs: int = 5000, penalty: float = 15.0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """docs with the prediction, its score and the certainty of the spans beside each row, under names that docs doesn't have yet; all columns stay as they are."""
     model = train(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")), train_docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,6 +207,6 @@ def identify_rows(docs: DataFrame, train_docs: int = 5000, penalty: float = 15.0
             for i, j, _, _ in common.slices(texts):
                 lang, score, _, sure = zip(*label(texts.slice(i, j - i).to_pylist(), model, penalty), strict=True)
                 part = batch.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(sure, pa.float64())], [*part.schema.names, "_lang_pred", "_lang_score", "_lang_certainty"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(sure, pa.float64())], [*part.schema.names, *names])
 
-    return docs.transform(common.in_batches, run, T.StructType([*docs.schema.fields, T.StructField("_lang_pred", T.StringType()), T.StructField("_lang_score", T.DoubleType()), T.StructField("_lang_certainty", T.DoubleType())]))
+    return docs.transform(common.in_batches, run, T.StructType([*docs.schema.fields, *(T.StructField(n, t) for n, t in zip(names, (T.StringType(), T.DoubleType(), T.DoubleType()), strict=True))]))

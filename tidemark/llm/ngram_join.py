@@ -35,7 +35,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -127,15 +127,22 @@ def sketch(shingles: np.ndarray) -> bytes:
     return np.minimum(np.bincount(part, minlength=SKETCH), 255).astype(np.uint8).tobytes()
 
 
+def row_key(id_col: str, text_col: str) -> Column:
+    """A hash of a row's id and text."""
+    text = F.col(text_col).cast("string")
+    return F.xxhash64(F.col(id_col).cast("long"), F.col(id_col).isNull(), text, text.isNull())
+
+
 def sets(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """For each document its number of shingles, the digest of its set and its sketch."""
+    """For each document its key, its number of shingles, the digest of its set and its sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = list(shingle_sets(batch.column(1), k))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array([digest(s) for s in found], pa.int64()), pa.array([sketch(s) for s in found], pa.binary())], ["doc_id", "n_shingles", "node", "sketch"])
+            found = list(shingle_sets(batch.column(2), k))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in found], pa.int64()), pa.array([digest(s) for s in found], pa.int64()), pa.array([sketch(s) for s in found], pa.binary())], ["doc_id", "key", "n_shingles", "node", "sketch"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).transform(common.in_batches, run, "doc_id long, n_shingles long, node long, sketch binary")
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("key"), F.col(text_col).cast("string").alias("text"))
+    return slim.transform(common.in_batches, run, "doc_id long, key long, n_shingles long, node long, sketch binary")
 
 
 def signed(docs: DataFrame, k: int, threshold: int, text_col: str = "text", hot: int = HOT, enumerated: int = 8) -> DataFrame:
@@ -425,8 +432,8 @@ def linked_components(members: DataFrame, shingles: DataFrame, sizes: DataFrame,
     return roots if across.isEmpty() else components(links.union(across))
 
 
-def jaccard_join(docs: DataFrame, k: int = 5, threshold: int = 80, id_col: str = "doc_id", text_col: str = "text", enumerated: int = 8, sketched: int = SKETCHED, paired: int = PAIRED, hot: int = HOT, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
-    """doc_id, n_shingles, component_id: the classes of documents that links of threshold per cent or more form. The parameters from enumerated on (see Bands, viable, linked_components, signed, shingles_of) decide speed, never the result."""
+def classified(docs: DataFrame, k: int, threshold: int, id_col: str = "doc_id", text_col: str = "text", enumerated: int = 8, sketched: int = SKETCHED, paired: int = PAIRED, hot: int = HOT, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+    """doc_id, key, n_shingles, root (of the row's class; null for a text without words), component_id."""
     per_doc = common.saved(sets(docs, k, id_col, text_col), "sets")
     equal = {"n_shingles": F.min("n_shingles"), "sketch": F.min("sketch")}  # the same for all documents of a node
     classes = common.saved(per_doc.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), *(c.alias(n) for n, c in equal.items())), "classes")
@@ -436,5 +443,23 @@ def jaccard_join(docs: DataFrame, k: int = 5, threshold: int = 80, id_col: str =
     roots = linked_components(members, shingles, classes, common.saved(clusters(members), "clusters"), threshold, paired)
     named = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    of_node = named.join(least, "root").select("node", "component_id")
-    return per_doc.where("n_shingles > 0").join(of_node, "node").select("doc_id", "n_shingles", "component_id").unionByName(per_doc.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    of_node = named.join(least, "root").select("node", "root", "component_id")
+    alone = per_doc.where("n_shingles = 0").select("doc_id", "key", "n_shingles", F.lit(None).cast("long").alias("root"), F.col("doc_id").alias("component_id"))
+    return per_doc.where("n_shingles > 0").join(of_node, "node").select("doc_id", "key", "n_shingles", "root", "component_id").unionByName(alone)
+
+
+def jaccard_join(docs: DataFrame, k: int = 5, threshold: int = 80, id_col: str = "doc_id", text_col: str = "text", **speed: int) -> DataFrame:
+    """doc_id, n_shingles, component_id: the classes of documents that links of threshold per cent or more form. speed: the parameters of `classified` from enumerated on (see Bands, viable, linked_components, signed, shingles_of), which never decide the result."""
+    return classified(docs, k, threshold, id_col, text_col, **speed).select("doc_id", "n_shingles", "component_id")
+
+
+def first_of_classes(docs: DataFrame, k: int = 5, threshold: int = 80, id_col: str = "doc_id", text_col: str = "text", **speed: int) -> DataFrame:
+    """The rows of docs, one for each class: that with the smallest id, rows without one last, then by a hash of the text. Of rows with equal id and text one stays; texts without words are classes of their own. All columns stay."""
+    found = classified(docs, k, threshold, id_col, text_col, **speed)
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("first")
+    (key,) = common.fresh(docs, "_key")
+    keep = found.groupBy("root", F.when(F.col("root").isNull(), F.col("key")).alias("own")).agg(first).select(F.col("first.key").alias(key)).distinct()
+    same = Window.partitionBy(key, id_col).orderBy(key)
+    (place,) = common.fresh(docs, "_place")
+    kept = docs.withColumn(key, row_key(id_col, text_col)).join(keep, key, "left_semi")
+    return kept.withColumn(place, F.row_number().over(same)).where(F.col(place) == 1).select(docs.columns)

@@ -121,9 +121,10 @@ def mix(docs: DataFrame, weights: dict[str, int] | None = None, power: float = 0
 def mixed(docs: DataFrame, partitions: int = 0, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents in the order of their slots: over files and within each, past the end of the mix too. Only sources that the caller gave no weight are left out. All columns stay."""
     order = mix(docs, id_col=id_col, text_col=text_col, **options).where("slot is not null")
-    order = order.groupBy(F.col("doc_id").alias("_mix_id"), F.col("tie").alias("_mix_tie")).agg(F.min(F.struct("slot", "place")).alias("_mix_at"))
-    order = common.saved(order.select("_mix_id", "_mix_tie", F.col("_mix_at.slot").alias("_mix_slot"), F.col("_mix_at.place").alias("_mix_place")), "order")
-    tied = docs.withColumn("_mix_hash", F.xxhash64(F.col(text_col).cast("string")))
-    found = tied.join(order, F.col(id_col).cast("long").eqNullSafe(F.col("_mix_id")) & (F.col("_mix_hash") == F.col("_mix_tie")))
-    found = found.repartitionByRange(partitions, "_mix_slot", "_mix_place") if partitions else found.repartitionByRange("_mix_slot", "_mix_place")
-    return found.sortWithinPartitions("_mix_slot", "_mix_place").drop("_mix_id", "_mix_tie", "_mix_slot", "_mix_place", "_mix_hash")
+    own, tie, slot, place, text = common.fresh(docs, "_mix_id", "_mix_tie", "_mix_slot", "_mix_place", "_mix_hash")
+    order = order.groupBy(F.col("doc_id").alias(own), F.col("tie").alias(tie)).agg(F.min(F.struct("slot", "place")).alias("at"))
+    order = common.saved(order.select(own, tie, F.col("at.slot").alias(slot), F.col("at.place").alias(place)), "order")
+    tied = docs.withColumn(text, F.xxhash64(F.col(text_col).cast("string")))
+    found = tied.join(order, F.col(id_col).cast("long").eqNullSafe(F.col(own)) & (F.col(text) == F.col(tie)))
+    found = found.repartitionByRange(partitions, slot, place) if partitions else found.repartitionByRange(slot, place)
+    return found.sortWithinPartitions(slot, place).drop(own, tie, slot, place, text)

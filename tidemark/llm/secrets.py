@@ -137,6 +137,21 @@ def counted(tokens: list[str]) -> np.ndarray:
     return out
 
 
+def counts_of(batches: Iterator[list[str]], label: int) -> pa.RecordBatch:
+    """How often each trigram comes in the batches' tokens, as rows (label, gram, n)."""
+    total, held, size = np.zeros(N**3, np.int64), [], 0
+    for tokens in batches:
+        held += [trigrams(t) for t in tokens]
+        size += sum(map(len, tokens))
+        if size > 1_000_000:
+            total += np.bincount(np.concatenate(held), minlength=N**3)
+            held, size = [], 0
+    if held:
+        total += np.bincount(np.concatenate(held), minlength=N**3)
+    at = np.flatnonzero(total)
+    return pa.RecordBatch.from_arrays([pa.array([label] * len(at), pa.int32()), pa.array(at, pa.int32()), pa.array(total[at])], ["label", "gram", "n"])
+
+
 def log_chances(counts: np.ndarray) -> np.ndarray:
     """Second-order log chances, backed off to first order, to the single character, to the uniform."""
     c3 = counts.reshape(N, N, N).astype(float)
@@ -150,24 +165,16 @@ def log_chances(counts: np.ndarray) -> np.ndarray:
 def train(docs: DataFrame, spans: DataFrame, sample_docs: int = 5000, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
     """Log-likelihood ratios by trigram. sample_docs: about how many documents' words are the ordinary samples (the bound of the training sample, by a hash of the id)."""
 
+    def plain(text: str) -> list[str]:
+        found = WORD.findall(HEX.sub(" ", ACCESS.sub(" ", ASSIGN.sub(" ", text))))
+        # What may be judged isn't learned: long parts, and long runs of letters and digits.
+        return [p for w in dict.fromkeys(found) if len(w) < LEAST or not mixed(w) for p in ([w] if len(w) < LEAST else PART.findall(w)) if 4 <= len(p) < LEAST]
+
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(N**3, np.int64)
-        for batch in batches:
-            for text in common.texts_of(batch.column(0)).to_pylist():
-                found = WORD.findall(HEX.sub(" ", ACCESS.sub(" ", ASSIGN.sub(" ", text))))
-                # What may be judged isn't learned: long parts, and long runs of letters and digits.
-                if plain := [p for w in dict.fromkeys(found) if len(w) < LEAST or not mixed(w) for p in ([w] if len(w) < LEAST else PART.findall(w)) if 4 <= len(p) < LEAST]:
-                    total += np.bincount(np.concatenate([trigrams(w) for w in plain]), minlength=N**3)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array([0] * len(at), pa.int32()), pa.array(at, pa.int32()), pa.array(total[at])], ["label", "gram", "n"])
+        yield counts_of((plain(text) for batch in batches for text in common.texts_of(batch.column(0)).to_pylist()), 0)
 
     def secrets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(N**3, np.int64)
-        for batch in batches:
-            for value in batch.column(0).to_pylist():
-                total += np.bincount(trigrams(value), minlength=N**3)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array([1] * len(at), pa.int32()), pa.array(at, pa.int32()), pa.array(total[at])], ["label", "gram", "n"])
+        yield counts_of((batch.column(0).to_pylist() for batch in batches), 1)
 
     n = docs.count()
     schema = "label int, gram int, n long"
