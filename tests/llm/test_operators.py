@@ -303,6 +303,8 @@ def test_quality(spark):
     assert all(0 <= x["score"] <= 1 and x["predicted"] == int(x["score"] >= 0.3) for x in found)
     assert {x["score"] for x in quality_pu.score_quality(docs, marks.where("false")).collect()} == {0.5}
     assert quality_pu.score_quality(docs.where("false"), marks).collect() == []
+    again = quality_pu.score_quality(docs.repartition(5, "text"), marks.repartition(3), learn_from=queries.fold(5) != 0).collect()
+    assert Counter((x["doc_id"], x["score"]) for x in again) == Counter((x["doc_id"], x["score"]) for x in found)
 
 
 def test_class_prior():

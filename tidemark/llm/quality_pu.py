@@ -126,15 +126,15 @@ def train(positives: np.ndarray, unlabelled: np.ndarray) -> tuple[Classifier | N
     return Classifier(both).fit(positives, unlabelled, prior), prior
 
 
-def figures_of(docs: DataFrame) -> np.ndarray:
-    """The figures of a bounded sample, on the driver."""
+def figures_of(docs: DataFrame, most: int) -> np.ndarray:
+    """The figures of a bounded sample (most rows at most, equal ones once), on the driver, in the order of a hash: the same however the table is partitioned."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = figures(batch.column(0))
-            yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.list_(pa.float32()))], ["figures"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(figures(batch.column(1))), pa.list_(pa.float32()))], ["key", "figures"])
 
-    found = docs.select("text").transform(common.in_batches, run, "figures array<float>").toPandas()["figures"]
+    rows = docs.select(F.xxhash64("doc_id", "text").alias("key"), "text").dropDuplicates(["key"])
+    found = rows.transform(common.in_batches, run, "key long, figures array<float>").orderBy("key").limit(most).toPandas()["figures"]
     return np.stack(found.to_list()) if len(found) else np.zeros((0, FIGURES), np.float32)
 
 
@@ -146,8 +146,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, learn_from: Column | None
     good = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).alias("label")).where(F.col("label") == 1).where(usable).select("doc_id").distinct()
     n_good, n_all = good.count(), slim.count()
     chosen = good.where(near < sample_docs / max(n_good, 1))  # about sample_docs ids at most, so small enough for every executor
-    positives = figures_of(slim.join(F.broadcast(chosen), "doc_id", "left_semi"))
-    unlabelled = figures_of(slim.where(usable).where(1 - near <= sample_docs / max(n_all, 1)))
+    positives = figures_of(slim.join(F.broadcast(chosen), "doc_id", "left_semi"), 2 * sample_docs)
+    unlabelled = figures_of(slim.where(usable).where(1 - near <= sample_docs / max(n_all, 1)), 2 * sample_docs)
     model, _ = train(positives, unlabelled)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
