@@ -199,6 +199,19 @@ def test_bpe_on_random_strings():
     assert own.encode("a" * 20_000) == library.encode("a" * 20_000, add_special_tokens=False).ids
 
 
+def test_bpe_on_all_code_points():
+    """Each code point of the planes that have any, alone, within a word, and as a mark beside marks."""
+    import random
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, own, r = Tokenizer.from_file(path), bpe.Vocabulary(path), random.Random(9)
+    points = [chr(p) for p in (*range(0xD800), *range(0xE000, 0xE100), *range(0xF900, 0x11200), *range(0x11200, 0x1FC00), *range(0x323A0, 0x33500, 7), *range(0xE0000, 0xE01F0, 5))]
+    texts = [f"{c} a{c}b 1{c}{c} '{c}s\u0301{c}\u0323 !{c}" for c in points]
+    texts += ["".join(r.choice(points) if r.random() < 0.5 else r.choice("ab'st 1!\u0301") for _ in range(12)) for _ in range(20_000)]
+    for text, want in zip(texts, library.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+        assert own.encode(text) == want.ids, ascii(text)
+
+
 @pytest.mark.parametrize("parts", [{"a": 1}, {"a": 5, "b": 3, "c": 2}, {"a": 500, **{f"s{i}": 10 for i in range(50)}}, {"a": 7, "b": 7}, {"x": 997, "y": 2, "z": 1}])
 def test_schedule_deviates_by_less_than_a_block(parts):
     total, seen = sum(parts.values()), Counter()

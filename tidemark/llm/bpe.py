@@ -9,6 +9,8 @@ are enough: a sequence of tokens is what the merges give if each pair of neighbo
 The vocabulary is a word-end BPE file of the tokenizers library (a path is a parameter; in the file, ids follow the order of merges):
 texts are composed (NFC) and put in lower case, white space is dropped, words are split by the file's pattern, bytes stand for characters and the last byte of a word carries
 the end mark. Special tokens found in a text keep their own ids. The file has no decoder, so decoding joins tokens by single spaces.
+Texts with code points on which Unicode versions differ (see unsettled) are composed and put in lower case by the library's
+normalizers, and such code points are split by the library's classes.
 
 Defined cases: null or empty text: no ids, decoded to the empty string. Texts of any length are read whole; repeated rows
 are encoded each for itself. Other columns are ignored.
@@ -28,6 +30,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Regex, normalizers, pre_tokenizers
 
 from . import common
 
@@ -51,6 +54,32 @@ def byte_characters() -> list[str]:
     return table
 
 
+@cache
+def unsettled() -> re.Pattern:
+    """Code points on which Python's and the library's Unicode tables may differ: those that Python doesn't know, and combining or composed ones younger than Unicode 3.2 (older ones keep their normal forms for good)."""
+
+    def differs(c: str) -> bool:
+        known = unicodedata.category(c)
+        return known == "Cn" or known != "Cs" and (unicodedata.combining(c) > 0 or unicodedata.decomposition(c) != "") and unicodedata.ucd_3_2_0.category(c) == "Cn"
+
+    found = np.flatnonzero(np.fromiter((differs(chr(p)) for p in range(0x110000)), bool, 0x110000))
+    cuts = np.flatnonzero(np.diff(found) > 1)
+    runs = zip(found[np.append(0, cuts + 1)].tolist(), found[np.append(cuts, len(found) - 1)].tolist(), strict=True)
+    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs) + "]")
+
+
+@cache
+def stand_in(point: str) -> str:
+    """A plain character of the class that the library gives a code point: letter, number or neither."""
+    for name, plain in ((r"\p{L}", "x"), (r"\p{N}", "0")):
+        if not pre_tokenizers.Split(Regex(name), "removed").pre_tokenize_str(point):
+            return plain
+    return "!"
+
+
+LIBRARY_FORM = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
+
+
 class Vocabulary:
     """Tables of one vocabulary file: splits, merged pairs, the automaton, next shorter tokens and decoding offsets."""
 
@@ -177,7 +206,12 @@ class Vocabulary:
     def chunk(self, text: str) -> list[int]:
         """The ids of a piece of normalized text without white space."""
         ids: list[int] = []
-        for w in self.pattern.findall(text):
+        if text.isascii() or not unsettled().search(text):
+            words = self.pattern.findall(text)
+        else:
+            shown = unsettled().sub(lambda m: stand_in(m[0]), text)
+            words = [text[m.start() : m.end()] for m in self.pattern.finditer(shown)]
+        for w in words:
             found = self.seen_words.get(w)
             if found is None:
                 own = w.encode("utf-8")
@@ -201,7 +235,12 @@ class Vocabulary:
         return self._ordinary(text)
 
     def _ordinary(self, text: str) -> list[int]:
-        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        if text.isascii():
+            text = text.lower()
+        elif unsettled().search(text):
+            text = LIBRARY_FORM.normalize_str(text)
+        else:
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
         seen, ids = self.seen, []
         # The separators U+001C to U+001F are white space to Python, but not to the file's pattern.
         for piece in ODD_SPACE.split(text) if SEPARATORS.search(text) else text.split():
