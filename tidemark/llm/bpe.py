@@ -56,16 +56,16 @@ def byte_characters() -> list[str]:
 
 @cache
 def unsettled() -> re.Pattern:
-    """Code points on which Python's and the library's Unicode tables may differ: those that Python doesn't know, and combining or composed ones younger than Unicode 3.2 (older ones keep their normal forms for good)."""
+    """Code points on which Python's and the library's Unicode tables may differ: those that Python doesn't know, combining or composed ones younger than Unicode 3.2 (older ones keep their normal forms for good), and all beyond the first plane (a search for one range is fast, for many it isn't)."""
 
     def differs(c: str) -> bool:
         known = unicodedata.category(c)
         return known == "Cn" or known != "Cs" and (unicodedata.combining(c) > 0 or unicodedata.decomposition(c) != "") and unicodedata.ucd_3_2_0.category(c) == "Cn"
 
-    found = np.flatnonzero(np.fromiter((differs(chr(p)) for p in range(0x110000)), bool, 0x110000))
+    found = np.flatnonzero(np.fromiter((differs(chr(p)) for p in range(0x10000)), bool, 0x10000))
     cuts = np.flatnonzero(np.diff(found) > 1)
     runs = zip(found[np.append(0, cuts + 1)].tolist(), found[np.append(cuts, len(found) - 1)].tolist(), strict=True)
-    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs) + "]")
+    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs) + "\\U00010000-\\U0010ffff]")
 
 
 @cache
