@@ -133,6 +133,71 @@ def test_mixed_language_spans(spark, docs):
     assert [s["lang"] for s in row["spans"]] == ["en", "ru", "de"]
 
 
+def plain_words(text):
+    """The words of a text, as lists of (trigram bucket, script)."""
+    low = [c.lower() if len(c.lower()) == 1 else c for c in text]
+    script = [language_id.NAMES.index([n for a, n in language_id.SCRIPTS if a <= ord(c)][-1]) if c.isalpha() else -1 for c in low]
+    words = []
+    for i, c in enumerate(low):
+        if script[i] < 0:
+            continue
+        new = i == 0 or script[i - 1] != script[i]
+        prev = 0 if new else ord(low[i - 1])
+        nxt = ord(low[i + 1]) if i + 1 < len(low) and script[i + 1] == script[i] else 0
+        key = np.array([prev << 42 | ord(c) << 21 | nxt], np.uint64)
+        if new:
+            words.append([])
+        words[-1].append((int(common.mix(key)[0]) >> 48, script[i]))
+    return words
+
+
+def plain_languages(train, texts, penalty=15.0):
+    """(language, score) of each text: counts in dictionaries and every step of the path search."""
+    langs = sorted({lang for _, lang in train})
+    counts, scripts = {x: Counter() for x in langs}, {x: Counter() for x in langs}
+    for text, lang in train:
+        for w in plain_words(text):
+            counts[lang].update(b for b, _ in w)
+            scripts[lang].update(s for _, s in w)
+    total = {x: sum(counts[x].values()) for x in langs}
+    allowed = {s: [x for x in langs if scripts[x][s] / max(total[x], 1) >= 0.005] or langs for s in range(len(language_id.NAMES))}
+    out = []
+    for text in texts:
+        words = plain_words(text)
+        if not words:
+            out.append(("und", 0.0))
+            continue
+        rows = [[sum(np.log((counts[x][b] + 0.05) / (total[x] + 0.05 * language_id.BUCKETS)) - 25 * (x not in allowed[s]) for b, s in w) for x in langs] for w in words]
+        state, back = list(rows[0]), []
+        for row in rows[1:]:
+            k = state.index(max(state))
+            step = [i if state[i] >= state[k] - penalty else k for i in range(len(langs))]
+            state = [max(state[i], state[k] - penalty) + row[i] for i in range(len(langs))]
+            back.append(step)
+        path = [state.index(max(state))]
+        for step in reversed(back):
+            path.append(step[path[-1]])
+        held = Counter()
+        for w, k in zip(words, reversed(path), strict=True):
+            held[k] += len(w)
+        best = min(held, key=lambda k: (-held[k], k))
+        sums = [sum(r[k] for r in rows) for k in range(len(langs))]
+        out.append((langs[best], held[best] / sum(held.values()) / sum(np.exp(min(x - sums[best], 700)) for x in sums)))
+    return out
+
+
+def test_languages_against_a_plain_restatement(spark):
+    mixed = fixtures.text_of(__import__("random").Random(1), "en", 30) + " " + fixtures.text_of(__import__("random").Random(2), "ru", 30)
+    rows = [*ROWS, (5001, mixed, None), (5002, "ΟΔΟΣ ἀγορά", None), (5003, "İstanbul and ΟΔΟΣ", None), (5004, "漢字 かな 한국어", None)]
+    rows = [(r[0], r[1], r[2]) for r in rows if r[0] is not None]
+    found = language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), learn_from=queries.fold(3) != 1).collect()
+    train = [(t, lang) for i, t, lang in rows if t is not None and lang is not None and __import__("zlib").crc32(str(i).encode()) % 3 != 1]
+    want = sorted((i, *x) for (i, _, _), x in zip(rows, plain_languages(train, [t or "" for _, t, _ in rows]), strict=True))
+    got = sorted((r["doc_id"], r["lang_pred"], r["score"]) for r in found)
+    assert [x[:2] for x in got] == [x[:2] for x in want]
+    assert [x[2] for x in got] == pytest.approx([x[2] for x in want], rel=1e-3, abs=1e-6)
+
+
 def test_viterbi_shortcut_is_exact():
     r = np.random.default_rng(3)
     for _ in range(200):
@@ -320,6 +385,31 @@ def test_quality(spark):
     assert Counter((x["doc_id"], x["score"]) for x in again) == Counter((x["doc_id"], x["score"]) for x in found)
 
 
+@pytest.mark.parametrize("prior", [None, 0.3, 0.95])
+def test_risk_against_its_differences(prior):
+    """Steps along plain differences of the risk, one weight at a time, give the weights of the fit; a negative part turns them round."""
+    r = np.random.default_rng(4)
+    good, web = r.normal(1, 1, (40, 2)), r.normal(0, 1, (60, 2))
+    fitted = quality_pu.Classifier(np.concatenate((good, web)), bins=4)
+    p, u, w, turned = fitted.cells(good), fitted.cells(web), np.zeros_like(fitted.weights), 0
+    loss = lambda z, label: np.log1p(np.exp(-z if label else z)).mean()
+
+    def parts(w):
+        zp, zu = w[p].sum(1) + w[-1], w[u].sum(1) + w[-1]
+        return (loss(zp, 1), loss(zu, 0)) if prior is None else (prior * loss(zp, 1), loss(zu, 0) - prior * loss(zp, 0))
+
+    m, v = np.zeros_like(w), np.zeros_like(w)
+    for t in range(1, 61):
+        good_part, rest = parts(w)
+        own = (lambda x: sum(parts(x))) if rest >= 0 or prior is None else (lambda x: -parts(x)[1])
+        turned += prior is not None and rest < 0
+        g = np.array([(own(w + e) - own(w - e)) / 2e-5 for e in 1e-5 * np.eye(len(w))]) + 0.00001 * w
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        w = w - 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    assert fitted.fit(good, web, prior, steps=60).weights == pytest.approx(w, abs=0.02)
+    assert (turned > 0) == (prior is not None)
+
+
 def test_class_prior():
     r = np.random.default_rng(0)
     p, n = r.beta(8, 2, 4000), r.beta(2, 8, 4000)

@@ -51,7 +51,8 @@ def letters(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
     joined = "\0".join(texts) + "\0"
     # Letters are compared in lower case; the few whose lower case is longer stay as they are.
-    low = joined.lower()
+    # (A final sigma isn't told apart: what one text holds never depends on the others.)
+    low = joined.replace("Σ", "σ").lower()
     if len(low) != len(joined):
         low = "".join(c if len(c.lower()) != 1 else c.lower() for c in joined)
     points = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32)
