@@ -21,7 +21,8 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import ahocorasick
@@ -34,9 +35,11 @@ from tokenizers import Regex, normalizers, pre_tokenizers
 
 from . import common
 
-#: Chunks between white space whose ids a worker remembers, twice over: when so many are new, the older half that wasn't met again is forgotten.
-REMEMBERED = 120_000
+#: Chunks between white space whose ids a worker remembers (about 110 MB when full), twice over: when so many are new, the older half that wasn't met again is forgotten.
+REMEMBERED = 300_000
 LONGEST_REMEMBERED = 40
+#: More than any rank of a merge.
+MANY = 1 << 60
 SEPARATORS = re.compile("[\x1c-\x1f]")
 ODD_SPACE = re.compile(r"[^\S\x1c-\x1f]+")
 
@@ -80,6 +83,23 @@ def stand_in(point: str) -> str:
 LIBRARY_FORM = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
 
 
+class Pieces(dict):
+    """The ids of chunks of text without white space, as the bytes of 32-bit numbers; encode is asked for those that aren't remembered."""
+
+    def __init__(self, encode: Callable[[str], list[int]]):
+        super().__init__()
+        self.encode, self.older = encode, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self.older.get(piece) or array("i", self.encode(piece)).tobytes()
+        if len(piece) <= LONGEST_REMEMBERED:
+            if len(self) >= REMEMBERED:
+                self.older = dict(self)
+                self.clear()
+            self[piece] = found
+        return found
+
+
 class Vocabulary:
     """Tables of one vocabulary file: splits, merged pairs, the automaton, next shorter tokens and decoding offsets."""
 
@@ -112,6 +132,7 @@ class Vocabulary:
         for i in sorted(self.symbols):
             a, b = self.split[i]
             self.reached[i] = a == i or self.reached[a] and self.reached[b] and self.compatible(a, b, i)
+        self.length = [len(self.symbols.get(i, "")) for i in range(n)]
         self.automaton = ahocorasick.Automaton()
         self.shorter: list[int] = [-1] * n
         for i, s in self.symbols.items():
@@ -130,8 +151,7 @@ class Vocabulary:
         self.bytes = np.frombuffer(b"".join(pieces), np.uint8)
         self.plain = [chr(0x4E00 + b) for b in range(256)]
         self.last = [chr(0x5E00 + b) for b in range(256)]
-        self.seen: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.pieces = Pieces(self.chunk)
         self.seen_words: dict[str, list[int]] = {}
         self.seen_pairs: dict[int, bool] = {}
 
@@ -167,40 +187,41 @@ class Vocabulary:
         whole = self.id_of.get(symbols)
         if whole is not None and self.reached[whole]:
             return [whole]
-        longest = [-1] * n
-        size = [0] * n
-        for end, (k, i) in self.automaton.iter(symbols):
-            at = end - k + 1
-            if k > size[at]:
-                size[at], longest[at] = k, i
-        dead = bytearray(n + 1)
-        out: list[int] = []
-        at, token = 0, longest[0]
-        length, seen, many = self.symbols, self.seen_pairs, 1 << 60
+        # One pass finds the longest tokens end to end; those at other places are looked for when a shorter token leads there.
+        longest, search = [-1] * n, self.automaton.iter_long
+        for end, (k, i) in search(symbols):
+            longest[end - k + 1] = i
+        dead, out = bytearray(n + 1), []
+        at, token, before = 0, longest[0], -1
+        length, shorter, seen = self.length, self.shorter, self.seen_pairs
         if len(seen) > REMEMBERED:
             seen.clear()
         while at < n:
             while token >= 0:
-                to = at + len(length[token])
-                if dead[to]:
-                    fits = False
-                elif not out:
-                    fits = True
-                else:
-                    pair = out[-1] << 32 | token
+                to = at + length[token]
+                if not dead[to]:
+                    if before < 0:
+                        break
+                    pair = before << 20 | token
                     fits = seen.get(pair)
                     if fits is None:
-                        fits = seen[pair] = self.compatible(out[-1], token, many)
-                if fits:
-                    out.append(token)
-                    at = to
-                    token = longest[at] if at < n else -1
-                    break
-                token = self.shorter[token]
+                        fits = seen[pair] = self.compatible(before, token, MANY)
+                    if fits:
+                        break
+                token = shorter[token]
+            if token >= 0:
+                out.append(token)
+                at, before = to, token
+                if at < n:
+                    token = longest[at]
+                    if token < 0:
+                        token = longest[at] = next(search(symbols, at))[1][1]
             else:
                 dead[at] = 1
                 token = out.pop()
-                at -= len(length[token])
+                at -= length[token]
+                before = out[-1] if out else -1
+                token = shorter[token]
         return out
 
     def chunk(self, text: str) -> list[int]:
@@ -223,37 +244,27 @@ class Vocabulary:
             ids += found
         return ids
 
-    def encode(self, text: str) -> list[int]:
-        if "<|" in text:
-            ids: list[int] = []
-            for part in self.special_pattern.split(text):
-                if part in self.special:
-                    ids.append(self.special[part])
-                elif part:
-                    ids += self._ordinary(part)
-            return ids
-        return self._ordinary(text)
-
-    def _ordinary(self, text: str) -> list[int]:
+    def encode(self, text: str) -> np.ndarray:
+        if "<|" not in text:
+            return np.frombuffer(self._ordinary(text), np.int32)
+        ids: list[bytes] = []
+        for part in self.special_pattern.split(text):
+            if part in self.special:
+                ids.append(array("i", [self.special[part]]).tobytes())
+            elif part:
+                ids.append(self._ordinary(part))
+        return np.frombuffer(b"".join(ids), np.int32)
+
+    def _ordinary(self, text: str) -> bytes:
         if text.isascii():
             text = text.lower()
         elif unsettled().search(text):
             text = LIBRARY_FORM.normalize_str(text)
         else:
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-        seen, ids = self.seen, []
         # The separators U+001C to U+001F are white space to Python, but not to the file's pattern.
-        for piece in ODD_SPACE.split(text) if SEPARATORS.search(text) else text.split():
-            found = seen.get(piece)
-            if found is None:
-                found = self.older.get(piece) or tuple(self.chunk(piece))
-                if len(piece) <= LONGEST_REMEMBERED:
-                    if len(seen) >= REMEMBERED:
-                        self.older, self.seen = seen, {}
-                        seen = self.seen
-                    seen[piece] = found
-            ids += found
-        return ids
+        pieces = ODD_SPACE.split(text) if SEPARATORS.search(text) else text.split()
+        return b"".join(map(self.pieces.__getitem__, pieces))
 
     def decode(self, ids: np.ndarray, starts: np.ndarray) -> list[str]:
         """The text of each run of ids; starts has one more entry than there are runs."""
@@ -289,7 +300,7 @@ def encode(docs: DataFrame, path: str, decoded: bool = False, id_col: str = "doc
         for batch in batches:
             texts = common.texts_of(batch.column(1))
             for i, j, _, _ in common.slices(texts):
-                found = [np.array(vocab.encode(t), np.int32) for t in texts.slice(i, j - i).to_pylist()]
+                found = [vocab.encode(t) for t in texts.slice(i, j - i).to_pylist()]
                 ends, flat = np.cumsum([0] + [len(x) for x in found]), np.concatenate(found)
                 columns = [batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))]
                 if decoded:
