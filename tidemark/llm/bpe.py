@@ -35,8 +35,8 @@ from tokenizers import Regex, normalizers, pre_tokenizers
 
 from . import common
 
-#: Chunks between white space whose ids a worker remembers (about 110 MB when full), twice over: when so many are new, the older half that wasn't met again is forgotten.
-REMEMBERED = 300_000
+#: Chunks between white space whose ids a worker remembers (about 60 MB when full), twice over: when so many are new, the older half that wasn't met again is forgotten.
+REMEMBERED = 150_000
 LONGEST_REMEMBERED = 40
 #: More than any rank of a merge.
 MANY = 1 << 60
@@ -152,7 +152,6 @@ class Vocabulary:
         self.plain = [chr(0x4E00 + b) for b in range(256)]
         self.last = [chr(0x5E00 + b) for b in range(256)]
         self.pieces = Pieces(self.chunk)
-        self.seen_words: dict[str, list[int]] = {}
         self.seen_pairs: dict[int, bool] = {}
 
     def _symbols(self, text: str) -> str:
@@ -233,15 +232,8 @@ class Vocabulary:
             shown = unsettled().sub(lambda m: stand_in(m[0]), text)
             words = [text[m.start() : m.end()] for m in self.pattern.finditer(shown)]
         for w in words:
-            found = self.seen_words.get(w)
-            if found is None:
-                own = w.encode("utf-8")
-                found = self.word("".join([self.plain[b] for b in own[:-1]]) + self.last[own[-1]])
-                if len(w) <= LONGEST_REMEMBERED:
-                    if len(self.seen_words) >= REMEMBERED:
-                        self.seen_words.clear()
-                    self.seen_words[w] = found
-            ids += found
+            own = w.encode("utf-8")
+            ids += self.word("".join([self.plain[b] for b in own[:-1]]) + self.last[own[-1]])
         return ids
 
     def encode(self, text: str) -> np.ndarray:
