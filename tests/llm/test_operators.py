@@ -2,6 +2,7 @@ import base64
 import hashlib
 import zipfile
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -277,15 +278,45 @@ def test_bpe_on_all_code_points():
         assert own.encode(text).tolist() == want.ids, ascii(text)
 
 
-@pytest.mark.parametrize("parts", [{"a": 1}, {"a": 5, "b": 3, "c": 2}, {"a": 500, **{f"s{i}": 10 for i in range(50)}}, {"a": 7, "b": 7}, {"x": 997, "y": 2, "z": 1}])
-def test_schedule_deviates_by_less_than_a_block(parts):
-    total, seen = sum(parts.values()), Counter()
-    slots = pfair_mix.schedule(parts)
+WEIGHTS = [{"a": 1}, {"a": 5, "b": 3, "c": 2}, {"a": 500, **{f"s{i}": 10 for i in range(50)}}, {"a": 7, "b": 7}, {"x": 997, "y": 2, "z": 1}]
+
+
+def target(parts, t):
+    """What the target has sent of each source at slot t, by a walk from one source's end to the next."""
+    sent, at = dict.fromkeys(parts, Fraction(0)), Fraction(0)
+    while at < t:
+        going = {s: w for s, (w, n) in parts.items() if sent[s] < n}
+        step = min([t - at] + [(parts[s][1] - sent[s]) * sum(going.values()) / w for s, w in going.items()])
+        for s, w in going.items():
+            sent[s] += step * w / sum(going.values())
+        at += step
+    return sent
+
+
+@pytest.mark.parametrize("weights", WEIGHTS)
+@pytest.mark.parametrize("run_out", [False, True])
+def test_schedule_deviates_by_less_than_a_block(weights, run_out):
+    """While all sources last, and when some run out within the frame, one after the other."""
+    parts = {s: (w, max(1, w * (i % 7 + 1) // 7) if run_out else w) for i, (s, w) in enumerate(weights.items())}
+    seen, slots = Counter(), pfair_mix.schedule(parts)
     for t, (source, k) in enumerate(slots, 1):
         assert k == seen[source]
         seen[source] += 1
-        assert all(abs(seen[s] * total - t * n) < total for s, n in parts.items())
-    assert seen == Counter(parts)
+        assert all(abs(seen[s] - x) < 1 for s, x in target(parts, t).items())
+    assert seen == Counter({s: n for s, (_, n) in parts.items()})
+
+
+def test_schedule_of_many_random_parts():
+    import random
+
+    r = random.Random(12)
+    for _ in range(300):
+        weights = {f"s{i}": r.randrange(1, 40) for i in range(r.randrange(1, 9))}
+        parts = {s: (w, r.randrange(1, w + 1)) for s, w in weights.items()}
+        seen = Counter()
+        for t, (source, _) in enumerate(pfair_mix.schedule(parts), 1):
+            seen[source] += 1
+            assert all(abs(seen[s] - x) < 1 for s, x in target(parts, t).items())
 
 
 def test_mix(spark, docs, empty):
@@ -306,9 +337,17 @@ def test_mix(spark, docs, empty):
     # The brute force: simulate frame by frame.
     expected, f = [], 0
     while any(n > f * weights[s] for s, n in blocks.items()):
-        expected += [s for s, _ in pfair_mix.schedule({s: min(weights[s], n - f * weights[s]) for s, n in blocks.items() if n > f * weights[s]})]
+        expected += [s for s, _ in pfair_mix.schedule({s: (weights[s], min(weights[s], n - f * weights[s])) for s, n in blocks.items() if n > f * weights[s]})]
         f += 1
     assert order == expected
+    # On target all along, also where sources have run out; and the mix ends when less than half of the weight is left.
+    seen = Counter()
+    for t, s in enumerate(order, 1):
+        seen[s] += 1
+        assert all(abs(seen[x] - y) < 1 for x, y in target({s: (weights[s], n) for s, n in blocks.items()}, t).items())
+    ends = {s: Fraction(n, weights[s]) for s, n in blocks.items()}
+    last = min(e for e in ends.values() if sum(weights[s] for s in ends if ends[s] > e) < 5)
+    assert all(r["in_mix"] == (r["slot"] is not None and Fraction(r["block"], weights[r["source"]]) < last) for r in found)
     assert pfair_mix.mix(empty, weights).collect() == [] and pfair_mix.mix(empty).collect() == []
 
 

@@ -1,19 +1,19 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Each source is cut into blocks. Its k-th block has a release time floor((k - 1) / share) and a deadline ceil(k / share) in
-slots, and at each slot the released block with the earliest deadline goes first. On one line of slots with shares that sum to
-1 this keeps every source within less than one block of its target at every slot.
-
-Weights are whole numbers, so the schedule repeats: in a frame of as many slots as the weights sum to, each source
-has as many blocks as its weight, and all are exactly on target at its end. So frames are independent of each other: one schedule is made for
-each composition of a frame, and all blocks find their slot by a join. When a source runs out within a frame, that frame's
-shares are what each source still has for it, and later frames go on with the others; there are no more than twice as many compositions as sources.
+Each source is cut into blocks. The target is a flow: at time v a source with weight w has sent min(w * v, its blocks), and the flow of all
+sources together at v is the slot of v. Block k of a source (from 0) is released at the slot of k / w, rounded down, and due at the slot of (k + 1) / w,
+rounded up; at each slot the released block with the earliest deadline goes first. The blocks that are released and due within some slots flow within them, so they are never more than these slots,
+and the order keeps all deadlines: at every slot each source is within less than one block of its target. While no source has run out, a block's times are floor(k / share) and ceil((k + 1) / share);
+from the moment at which one runs out, the others share its slots by their weights.
+
+Weights are whole numbers, so at each whole time v all sources are exactly on target. The blocks of the time from v to v + 1 are a frame, frames are independent of each other, and one schedule is made for
+each composition of a frame; all blocks find their slot by a join. There are no more than twice as many compositions as sources.
 Frame f begins at the slot that is the sum over sources of min(blocks, f * weight). (The plan of compositions is made on the driver; it grows with the square of the number of sources, not with their rows.)
 
 A document's block comes from a running sum of its length within its source, in the order of a hash of its id. Sums are taken first over
 hash ranges of each source, then within each range, so no task holds a source as a whole.
 
-The mix lasts while sources with min_live of the target weight still have blocks; what over-represented sources have left is marked
+The mix lasts until the time at which the sources that still have blocks are less than min_live of the target weight; blocks released from then on are marked
 in_mix = false. Nothing is dropped by the operator.
 
 Defined cases: null text has length 0; null source is a source of its own (empty name). Sources without a target weight, or with
@@ -22,8 +22,11 @@ weight 0, are not in the mix: slot null. Repeated rows stay; ties of hash and id
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
+from fractions import Fraction
 from heapq import heappop, heappush
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -32,20 +35,36 @@ from pyspark.sql import functions as F
 from . import common
 
 
-def schedule(parts: dict[str, int]) -> list[tuple[str, int]]:
-    """(source, k) for each slot of a frame that has parts[source] blocks of each; k from 0. Whole-number arithmetic throughout."""
-    total = sum(parts.values())
+def flow(parts: dict[str, tuple[int, int]]) -> Callable[[int, int], tuple[int, int]]:
+    """parts: weight and blocks of each source. A function of a time k / w in the frame: the slot of that time, as numerator and denominator."""
+    ends = sorted((Fraction(n, w), w, n) for w, n in parts.values())
+    times = [end for end, _, _ in ends]
+    gone = [0, *accumulate(n for _, _, n in ends)]
+    going = [0, *accumulate(w for _, w, _ in ends)]
+
+    def slot(k: int, w: int) -> tuple[int, int]:
+        i = bisect_right(times, Fraction(k, w))
+        return gone[i] * w + (going[-1] - going[i]) * k, w
+
+    return slot
+
+
+def schedule(parts: dict[str, tuple[int, int]]) -> list[tuple[str, int]]:
+    """(source, k) for each slot of a frame; parts: weight of each source, and how many blocks it has for the frame (its weight at most); k from 0. Whole-number arithmetic throughout."""
+    total, slot = sum(n for _, n in parts.values()), flow(parts)
     waiting: list[list[tuple[int, str, int]]] = [[] for _ in range(total + 1)]  # by release: (deadline, source, k)
-    for source, n in parts.items():
+    for source, (w, n) in parts.items():
+        upto, unit = slot(0, w)
         for k in range(n):
-            waiting[k * total // n].append((-(-(k + 1) * total // n), source, k))
+            release, (upto, unit) = upto // unit, slot(k + 1, w)
+            waiting[release].append((-(-upto // unit), source, k))
     ready: list[tuple[int, str, int]] = []
     out = []
-    for slot in range(total):
-        for block in waiting[slot]:
+    for at in range(total):
+        for block in waiting[at]:
             heappush(ready, block)
         deadline, source, k = heappop(ready)
-        if deadline <= slot:
+        if deadline <= at:
             raise ValueError("the parts can't be scheduled")
         out.append((source, k))
     return out
@@ -90,20 +109,22 @@ def mix(docs: DataFrame, weights: dict[str, int] | None = None, power: float = 0
     live = {s: w for s, w in weights.items() if w > 0 and counts.get(s)}
     cuts = sorted({c for s, w in live.items() for c in (counts[s] // w, counts[s] // w + 1)} | {0}) if live else []
     whole = sum(weights[s] for s in live)
-    # The first frame in which sources with too little weight are left.
-    last = min((f for f in cuts if sum(w for s, w in live.items() if counts[s] > f * w) < min_live * whole), default=0)
+    # The time at which too little weight is left, as blocks over weight; 0 if there is nothing to mix.
+    ends = sorted((Fraction(counts[s], w), w) for s, w in live.items())
+    left = [whole - gone for gone in accumulate(w for _, w in ends)]
+    last = next((end for (end, _), rest in zip(ends, left, strict=True) if rest < min_live * whole), ends[-1][0] if ends else Fraction(0))
 
-    frames = [(f, int(sum(min(counts[s], f * w) for s, w in live.items())), [(s, min(w, counts[s] - f * w)) for s, w in live.items() if counts[s] > f * w]) for f in cuts]
+    frames = [(f, int(sum(min(counts[s], f * w) for s, w in live.items())), [(s, w, min(w, counts[s] - f * w)) for s, w in live.items() if counts[s] > f * w]) for f in cuts]
 
     def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, begin, parts in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
-                slots = schedule({p["source"]: p["n"] for p in parts})
+                slots = schedule({p["source"]: (p["weight"], p["n"]) for p in parts})
                 n = len(slots)
                 yield pa.RecordBatch.from_arrays([pa.array([first] * n, pa.int64()), pa.array([s for s, _ in slots], pa.string()), pa.array([k for _, k in slots], pa.int64()), pa.array(range(begin, begin + n), pa.int64()), pa.array([n] * n, pa.int64())], ["cut", "source", "k", "first_slot", "length"])
 
-    schema = "cut long, begin long, parts array<struct<source: string, n: long>>"
-    work = spark.createDataFrame([(f, begin, [{"source": s, "n": n} for s, n in parts]) for f, begin, parts in frames if parts], schema).repartition(max(1, min(len(frames), 64)))
+    schema = "cut long, begin long, parts array<struct<source: string, weight: long, n: long>>"
+    work = spark.createDataFrame([(f, begin, [{"source": s, "weight": w, "n": n} for s, w, n in parts]) for f, begin, parts in frames if parts], schema).repartition(max(1, min(len(frames), 64)))
     slots = work.transform(common.in_batches, plan, "cut long, source string, k long, first_slot long, length long")
 
     # A frame is composed like the last cut at or before it.
@@ -112,7 +133,8 @@ def mix(docs: DataFrame, weights: dict[str, int] | None = None, power: float = 0
     framed = numbered.join(weight, "source").withColumns({"frame": F.floor(F.col("block") / F.col("weight")).cast("long"), "k": F.col("block") % F.col("weight")})
     framed = framed.withColumn("cut", F.array_max(F.filter(of_cut, lambda c: c <= F.col("frame"))))
     slot = F.col("first_slot") + (F.col("frame") - F.col("cut")) * F.col("length")
-    slotted = framed.join(slots, ["cut", "source", "k"]).select("source", "raw", "block", "frame", slot.alias("slot"), (F.col("frame") < last).alias("in_mix"))
+    in_mix = F.col("block") * F.lit(last.denominator) < F.col("weight") * F.lit(last.numerator)
+    slotted = framed.join(slots, ["cut", "source", "k"]).select("source", "raw", "block", "frame", slot.alias("slot"), in_mix.alias("in_mix"))
     # Order within a block: by range, then by place in it.
     place = F.col("range").cast("long") * (1 << 40) + F.col("at")
     return rows.join(slotted, ["source", "raw"], "left").select("doc_id", "source", "tie", "block", "frame", "slot", place.alias("place"), F.coalesce("in_mix", F.lit(False)).alias("in_mix"))
