@@ -80,4 +80,70 @@ WITH RECURSIVE d AS (
 SELECT doc_id, CAST(len(g) AS BIGINT) AS n_shingles, component_id FROM s JOIN (SELECT doc_id, min(root) AS component_id FROM reach GROUP BY 1) USING (doc_id)
 """
 
-ORACLE_SQL = {"op4_warc": WARC, "op7_line_rules": LINES, "op8_knn_join": KNN, "op10_ngram_join": JACCARD}
+CODES = """
+WITH kept AS (
+    SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v, row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), parts AS MATERIALIZED (
+    SELECT r, vec_id, label, p, len(v) // 8 AS w, v[p * (len(v) // 8) + 1 : (p + 1) * (len(v) // 8)] AS x FROM kept, range(8) AS t(p)
+), b0 AS MATERIALIZED (
+    SELECT p, r - 1 AS e, x AS c FROM parts WHERE r <= 16
+)""" + "".join(
+    f""", a{k} AS MATERIALIZED (
+    SELECT r, parts.p, any_value(x) AS x, any_value(w) AS w, min(16 * CAST(list_sum(list_transform(range(1, w + 1), lambda i: (x[i] - c[i]) * (x[i] - c[i]))) AS BIGINT) + e) AS m FROM parts JOIN b{k} USING (p) GROUP BY r, parts.p
+)"""
+    + ("" if k == 6 else f""", s{k} AS (
+    SELECT p, m % 16 AS e, i, CAST(sum(x[i]) AS BIGINT) AS s, count(*) AS n FROM (SELECT *, unnest(range(1, w + 1)) AS i FROM a{k}) GROUP BY 1, 2, 3
+), b{k + 1} AS MATERIALIZED (
+    SELECT p, e, coalesce(f.c, b{k}.c) AS c FROM b{k} LEFT JOIN (SELECT p, e, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c FROM s{k} GROUP BY 1, 2) AS f USING (p, e)
+)""")
+    for k in range(7)
+) + """, coded AS (
+    SELECT vec_id, any_value(label) AS label, string_agg('0' || substr('0123456789abcdef', CAST(m % 16 AS INT) + 1, 1), '' ORDER BY p) AS code, CAST(sum(m // 16) AS BIGINT) AS error FROM a6 JOIN (SELECT r, p, vec_id, label FROM parts) USING (r, p) GROUP BY r, vec_id
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+    (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) FROM b6) AS codebooks_sha256
+FROM coded
+"""
+
+TURNS = r"""
+WITH RECURSIVE keyed AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations
+), hashed AS (
+    SELECT *, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(k) + 1), lambda i: CAST(ascii(k[i]) AS BIGINT))),
+        lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda z, j: xor(z >> 1, 3988292384 * (z & 1))))) % 20 AS what FROM keyed
+), damaged AS (
+    SELECT conv_id, turn, CASE WHEN what = 4 THEN 'user' ELSE role END AS role, CASE what WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, copy
+    FROM hashed, range(2) AS t(copy) WHERE what <> 0 AND (copy = 0 OR what = 3)
+), numbered AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS last_char, left(role, 1) AS initial FROM damaged
+), faulty AS (
+    SELECT *, CASE WHEN last_char = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN last_char NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+        lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS pair FROM numbered
+), told AS (
+    SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+        count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM faulty GROUP BY 1
+), ways AS (
+    -- w: for each grammar state (nothing, after s, after u, after a) the cheapest way to the end as (cost, edits, repaired lines)
+    SELECT conv_id, n AS i, [{'c': 0, 's': '', 't': ''}, {'c': 6, 's': 'II', 't': 'user:' || chr(10) || 'assistant:' || chr(10)}, {'c': 3, 's': 'I', 't': 'assistant:' || chr(10)}, {'c': 0, 's': '', 't': ''}] AS w FROM told
+    UNION ALL
+    SELECT conv_id, i - 1, list_transform([1, 2, 3, 4], lambda q: list_min([a[q], {'c': 3 + b[[3, 3, 4, 3][q]].c, 's': 'I' || b[[3, 3, 4, 3][q]].s, 't': CASE WHEN q = 3 THEN 'assistant:' ELSE 'user:' END || chr(10) || b[[3, 3, 4, 3][q]].t}])) AS w
+    FROM (
+        SELECT conv_id, i, a, list_transform([1, 2, 3, 4], lambda q: list_min([a[q], {'c': 3 + a[[3, 3, 4, 3][q]].c, 's': 'I' || a[[3, 3, 4, 3][q]].s, 't': CASE WHEN q = 3 THEN 'assistant:' ELSE 'user:' END || chr(10) || a[[3, 3, 4, 3][q]].t}])) AS b
+        FROM (
+            SELECT ways.conv_id, ways.i, list_transform([1, 2, 3, 4], lambda q: list_min([
+                {'c': 4 + w[q].c, 's': 'D' || w[q].s, 't': w[q].t},
+                CASE WHEN fault IN ('', 'truncated') AND ((initial = 's' AND q = 1) OR (initial = 'u' AND q <> 3) OR (initial = 'a' AND q = 3)) THEN
+                    {'c': more + w[CASE WHEN initial = 's' THEN 2 ELSE [3, 3, 4, 3][q] END].c, 's': 'K' || w[CASE WHEN initial = 's' THEN 2 ELSE [3, 3, 4, 3][q] END].s, 't': role || ':' || text || chr(10) || w[CASE WHEN initial = 's' THEN 2 ELSE [3, 3, 4, 3][q] END].t} END,
+                CASE WHEN fault IN ('', 'truncated') THEN
+                    {'c': 3 + more + w[[3, 3, 4, 3][q]].c, 's': 'R' || w[[3, 3, 4, 3][q]].s, 't': CASE WHEN q = 3 THEN 'assistant:' ELSE 'user:' END || text || chr(10) || w[[3, 3, 4, 3][q]].t} END])) AS a
+            FROM ways JOIN (SELECT *, CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END AS more FROM faulty) AS f ON f.conv_id IS NOT DISTINCT FROM ways.conv_id AND f.i = ways.i
+        )
+    )
+)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+    CAST(coalesce(w[1].c, 0) AS BIGINT) AS cost, coalesce(w[1].s, '') AS audit, sha256(coalesce(left(w[1].t, length(w[1].t) - 1), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) AS c LEFT JOIN told ON told.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN ways ON ways.conv_id IS NOT DISTINCT FROM c.conv_id AND ways.i = 0
+"""
+
+ORACLE_SQL = {"op11_turn_repair": TURNS, "op12_vector_codes": CODES, "op4_warc": WARC, "op7_line_rules": LINES, "op8_knn_join": KNN, "op10_ngram_join": JACCARD}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, knn_join, language_id, line_rules, ngram_join, pfair_mix, pii, quality_pu, secrets, warc_zip
+from . import bpe, knn_join, language_id, line_rules, ngram_join, pfair_mix, pii, quality_pu, secrets, sharding, turn_repair, vector_codes, warc_zip
 from .common import read, work_path
 from .oracle import ORACLE_SQL  # noqa: F401
 
@@ -80,4 +80,16 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_join(read(spark, sf_dir, "documents"), k=4, threshold=85)
 
 
-QUERIES = {"op1_pii": op1_pii, "op2_secrets": op2_secrets, "op3_language_id": op3_language_id, "op4_warc": op4_warc, "op5_bpe": op5_bpe, "op6_pfair_mix": op6_pfair_mix, "op7_line_rules": op7_line_rules, "op8_knn_join": op8_knn_join, "op9_quality": op9_quality, "op10_ngram_join": op10_ngram_join}
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.repair(read(spark, sf_dir, "conversations"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(read(spark, sf_dir, "embeddings"), parts=8, entries=16, rounds=6, scale=4096.0)
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.pack(read(spark, sf_dir, "documents"), shards=16)
+
+
+QUERIES = {"op1_pii": op1_pii, "op2_secrets": op2_secrets, "op3_language_id": op3_language_id, "op4_warc": op4_warc, "op5_bpe": op5_bpe, "op6_pfair_mix": op6_pfair_mix, "op7_line_rules": op7_line_rules, "op8_knn_join": op8_knn_join, "op9_quality": op9_quality, "op10_ngram_join": op10_ngram_join, "op11_turn_repair": op11_turn_repair, "op12_vector_codes": op12_vector_codes, "op13_sharding": op13_sharding}
