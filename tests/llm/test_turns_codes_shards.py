@@ -272,7 +272,7 @@ def test_shards(spark, quanta, fine, block_bits):
     sums = shards_hold(rows, got, 4)
     sizes, counts = zip(*sums.values())
     if quanta > 16:
-        assert max(sizes) - min(sizes) <= 0.02 * max(sizes) and max(counts) - min(counts) <= 0.15 * max(counts)
+        assert max(sizes) - min(sizes) <= 0.02 * max(sizes) and max(counts) <= 1.6 * sum(counts) / 4  # a third of all rows has few bytes
     of = defaultdict(set)
     for g in got:
         of[g["size"], g["text_crc32"]].add(g["shard"])
