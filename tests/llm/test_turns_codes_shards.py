@@ -283,7 +283,7 @@ def test_shards_query(spark, tmp_path):
     rows = text_rows(300, 2)
     folder = write(spark, tmp_path, "documents", rows, "doc_id long, text string")
     sizes = [b for b, _ in shards_hold(rows, queries.op13_sharding(spark, folder).collect(), 16).values()]
-    assert len(sizes) == 16 and sorted(sizes)[-2] - min(sizes) <= 0.1 * sum(sizes) / 16  # one text alone is nearly a shard
+    assert len(sizes) == 16 and sorted(sizes)[-2] - min(sizes) <= 0.2 * sum(sizes) / 16  # one text alone is nearly a shard
 
 
 def test_shards_of_nothing(spark):

@@ -66,21 +66,17 @@ def nearest(x: np.ndarray, book: np.ndarray) -> tuple[np.ndarray, np.ndarray, in
     n, d = x.shape
     if not d:
         return np.zeros(n, np.int64), np.zeros(n, np.int64), 0
-    x_norm, book_norm = (x * x).sum(1).astype(float), (book * book).sum(1).astype(float)
-    rows, entries = np.repeat(np.arange(n), len(book)), np.tile(np.arange(len(book)), n)
-    bound, best, count = np.zeros(0), None, 1
-    while count <= d:
+    slack = 1.0 + 1e-12 * ((x * x).sum(1).astype(float)[:, None] + (book * book).sum(1).astype(float))
+    (s, r, w), (t, q, _) = segments(x, 1), segments(book, 1)
+    bound = (s - t.T) ** 2 / w + (r - q.T) ** 2
+    best = ((x - book[bound.argmin(1)]) ** 2).sum(1)  # the exact distance to the entry with the least coarse bound
+    rows, entries = np.nonzero(bound - slack <= best[:, None])
+    count = 2
+    while 2 * count <= d:  # a level of single components would cost as much as the exact distances
         (s, r, w), (t, q, _) = segments(x, count), segments(book, count)
-        bound = (((s[rows] - t[entries]) ** 2) / w + (r[rows] - q[entries]) ** 2).sum(1)
-        if best is None:  # the exact distance to the entry with the least coarse bound
-            guess = bound.reshape(n, -1).argmin(1)
-            best = ((x - book[guess]) ** 2).sum(1)
-        slack = 1.0 + 1e-12 * (x_norm[rows] + book_norm[entries])
-        open_ = bound - slack <= best[rows]
-        rows, entries = rows[open_], entries[open_]
-        count *= 2
-        if count * 2 > d:  # a finer level costs as much as the exact distances
-            break
+        bound = ((s[rows] - t[entries]) ** 2 / w + (r[rows] - q[entries]) ** 2).sum(1)
+        open_ = bound - slack[rows, entries] <= best[rows]
+        rows, entries, count = rows[open_], entries[open_], 2 * count
     exact = ((x[rows] - book[entries]) ** 2).sum(1)
     table = np.full((n, len(book)), np.iinfo(np.int64).max)
     table[rows, entries] = exact
