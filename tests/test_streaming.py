@@ -1,5 +1,8 @@
+from collections import Counter
+
 from pyspark.sql import functions as F
 
+from tidemark.operators import security
 from tidemark.streaming import stateful
 
 
@@ -29,12 +32,10 @@ def test_fixed_windows(spark, tmp_path):
     assert got == {0: (1, True), 1: (2, True), 2: (3, False), 3: (1, True), 4: (1, True)}
 
 
-def test_replay_guard_and_fills(spark, tmp_path):
+def test_replay_guard(spark, tmp_path):
     rows = [("A", "n1", 100.0, "2024-01-01 00:00:00"), ("A", "n1", 90.0, "2024-01-01 00:00:01"), ("A", "n2", 80.0, "2024-01-01 00:00:02")]
     s = source(spark, tmp_path, rows, "asset string, nonce string, price double, ts string")
     assert sorted(r["nonce"] for r in run(stateful.replay_guard(s))) == ["n1", "n2"]
-    resting = spark.createDataFrame([(7, "A", "buy", "limit", 85.0, None)], "order_id long, asset string, side string, order_type string, limit_price double, stop_price double")
-    assert [(r["order_id"], r["filled_price"]) for r in run(stateful.fills(s, resting))] == [(7, 85.0)]
 
 
 def test_sliding_windows(spark, tmp_path):
@@ -67,3 +68,32 @@ def test_push(spark, tmp_path):
     q = stateful.push(s, lambda df: got.append(df.select("user_id", "asset").collect()), lambda: table, watchlist=lambda: watch).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert [tuple(r) for r in got[-1]] == [(7, "B")]
+
+
+def test_limits_of_a_key_with_more_rows_than_a_batch(spark, tmp_path):
+    """25,000 requests of one key, stored newest first: batches of a trigger come in no order."""
+    rows = spark.range(25_000).select(F.lit("u").alias("key"), F.col("id").alias("request_id"), F.timestamp_seconds(F.lit(1_704_067_200) + F.col("id")).cast("timestamp_ntz").alias("ts"), (F.col("id") % 3 > 0).alias("failed"))
+    rows.coalesce(1).sortWithinPartitions(F.desc("request_id")).write.parquet(str(tmp_path / "in"))
+    s = stateful.read_stream(spark, str(tmp_path / "in"), "key string, request_id long, ts timestamp_ntz, failed boolean")
+    want = {r["request_id"]: (r["seen"], r["allowed"]) for r in security.rate_limited(rows.withColumnRenamed("ts", "at"), 60, 30).collect()}
+    got = {r["request_id"]: (r["seen"], r["allowed"]) for r in run(stateful.sliding_windows(s, 60, 30))}
+    assert got == want and max(n for n, _ in got.values()) == 61
+    fixed = {r["request_id"]: r["seen"] for r in run(stateful.fixed_windows(s, 60, 30))}
+    assert fixed == {i: i % 60 + 1 for i in range(25_000)}
+    attempts = rows.withColumnRenamed("request_id", "attempt_id")
+    locks = Counter(r["outcome"] for r in run(stateful.lockout(s.withColumnRenamed("request_id", "attempt_id"), 2, 100, 50)))
+    batch = security.lockouts(attempts.withColumnRenamed("ts", "at"), 2, 100, 50).first()
+    assert (locks["locked"], locks["refused"]) == (batch["locks"], batch["refused"])
+
+
+def test_sliding_windows_over_triggers_and_late_requests(spark, tmp_path):
+    path, times = str(tmp_path / "in"), ([0, 5, 9], [3, 12, 14], [13])
+    (tmp_path / "in").mkdir()
+    q, got = stateful.sliding_windows(stateful.read_stream(spark, path, "key string, request_id long, ts timestamp_ntz"), 10, 2), {}
+    out = str(tmp_path / "out")
+    for part in times:
+        df = spark.createDataFrame([("u", t, f"2024-01-01 00:00:{t:02d}") for t in part], "key string, request_id long, ts string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+        df.coalesce(1).write.mode("append").parquet(path)
+        q.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(120)
+    got = {r["request_id"]: r["seen"] for r in spark.read.parquet(out).collect()}
+    assert got == {0: 1, 5: 2, 9: 3, 3: 2, 12: 4, 14: 4, 13: 5}

@@ -1,15 +1,17 @@
-"""Streaming forms: the push of latest signals, rate limits, lockouts, replay guard and fills of resting orders on price ticks."""
+"""Streaming forms: the push of latest signals, rate limits, lockouts, replay guard."""
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators import orders, signals
+from ..operators import signals
 
 
 def read_stream(spark: SparkSession, path: str, schema: str, time: str = "ts", delay: str = "10 minutes", glob: str | None = None) -> DataFrame:
@@ -36,6 +38,11 @@ def keep(state: GroupState, value: tuple, until: float) -> None:
     state.setTimeoutTimestamp(max(int(until * 1000), state.getCurrentWatermarkMs()) + 1)
 
 
+def in_order(batches: Iterator[pd.DataFrame], by: str) -> pd.DataFrame:
+    """All rows that a key has in a trigger, by time; they come in several batches, which are in no order."""
+    return pd.concat(list(batches)).sort_values(["t", by], ignore_index=True)
+
+
 def fixed_windows(requests: DataFrame, seconds: int, limit: int) -> DataFrame:
     """Counts by key in windows that begin with the key's first request and last `seconds` (an INCR with expiry): request_id, seen, allowed."""
 
@@ -44,35 +51,37 @@ def fixed_windows(requests: DataFrame, seconds: int, limit: int) -> DataFrame:
             state.remove()
             return
         start, n = state.get if state.exists else (0.0, 0)
-        for rows in batches:
-            rows, out = rows.sort_values(["t", "request_id"]), []
-            for r in rows.itertuples():
-                if n == 0 or r.t >= start + seconds:
-                    start, n = r.t, 0
-                n += 1
-                out.append((r.request_id, n, n <= limit))
-            yield pd.DataFrame(out, columns=["request_id", "seen", "allowed"])
+        rows = in_order(batches, "request_id")
+        times, seen, i = rows["t"].to_numpy(), np.zeros(len(rows), np.int64), 0
+        while i < len(times):
+            if n == 0 or times[i] >= start + seconds:
+                start, n = float(times[i]), 0
+            end = max(i + 1, int(np.searchsorted(times, start + seconds, "left")))
+            seen[i:end] = np.arange(n + 1, n + 1 + end - i)
+            n, i = n + end - i, end
+        yield pd.DataFrame({"request_id": rows["request_id"], "seen": seen, "allowed": seen <= limit})
         keep(state, (start, n), start + seconds)
 
     keyed = requests.select("key", "request_id", "ts", F.col("ts").cast("double").alias("t"))
     return keyed.groupBy("key").applyInPandasWithState(step, "request_id long, seen long, allowed boolean", "start double, n long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def sliding_windows(requests: DataFrame, seconds: int, limit: int) -> DataFrame:
-    """request_id, seen, allowed: requests of the key in the trailing window, both ends included; refused ones count. The state holds the times of one window."""
+def sliding_windows(requests: DataFrame, seconds: int, limit: int, late: int = 600) -> DataFrame:
+    """request_id, seen, allowed: requests of the key in the trailing window, both ends included; refused ones count. The state holds the times of one window, and of the `late` seconds before it for requests that come late."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        times = list(state.get[0]) if state.exists else []
-        for rows in batches:
-            rows, out = rows.sort_values(["t", "request_id"]), []
-            for r in rows.itertuples():
-                times = [z for z in times if z >= r.t - seconds] + [r.t]
-                out.append((r.request_id, len(times), len(times) <= limit))
-            yield pd.DataFrame(out, columns=["request_id", "seen", "allowed"])
-        keep(state, (times,), max(times, default=0.0) + seconds)
+        before = np.array(state.get[0] if state.exists else [], float)
+        rows = in_order(batches, "request_id")
+        times = rows["t"].to_numpy()
+        known = np.searchsorted(before, times, "right") - np.searchsorted(before, times - seconds, "left")
+        seen = known + np.arange(1, len(times) + 1) - np.searchsorted(times, times - seconds, "left")
+        yield pd.DataFrame({"request_id": rows["request_id"], "seen": seen, "allowed": seen <= limit})
+        both = np.sort(np.concatenate([before, times]))
+        both = both[both >= both[-1] - seconds - late]
+        keep(state, (both.tolist(),), float(both[-1]) + seconds)
 
     keyed = requests.select("key", "request_id", "ts", F.col("ts").cast("double").alias("t"))
     return keyed.groupBy("key").applyInPandasWithState(step, "request_id long, seen long, allowed boolean", "times array<double>", "append", GroupStateTimeout.EventTimeTimeout)
@@ -85,23 +94,26 @@ def lockout(attempts: DataFrame, failures: int = 5, window: int = 900, lock: int
         if state.hasTimedOut:
             state.remove()
             return
-        until, times = state.get if state.exists else (0.0, [])
-        times = list(times)
-        for rows in batches:
-            rows, out = rows.sort_values(["t", "attempt_id"]), []
-            for r in rows.itertuples():
-                if r.t < until:
-                    out.append((r.attempt_id, "refused"))
-                elif not r.failed:
-                    until, times = 0.0, []
-                    out.append((r.attempt_id, "ok"))
-                else:
-                    times = [z for z in times if z > r.t - window] + [r.t]
-                    if len(times) >= failures:
-                        until, times = r.t + lock, []
-                    out.append((r.attempt_id, "locked" if not times else "failed"))
-            yield pd.DataFrame(out, columns=["attempt_id", "outcome"])
-        keep(state, (until, times), max(until, max(times, default=0.0) + window))
+        until, held = state.get if state.exists else (0.0, [])
+        times, out = deque(held), []
+        rows = in_order(batches, "attempt_id")
+        for t, failed in zip(rows["t"].tolist(), rows["failed"].tolist()):
+            if t < until:
+                out.append("refused")
+            elif not failed:
+                until = 0.0
+                times.clear()
+                out.append("ok")
+            else:
+                while times and times[0] <= t - window:
+                    times.popleft()
+                times.append(t)
+                out.append("failed")
+                if len(times) >= failures:
+                    until, out[-1] = t + lock, "locked"
+                    times.clear()
+        yield pd.DataFrame({"attempt_id": rows["attempt_id"], "outcome": out})
+        keep(state, (until, list(times)), max(until, max(times, default=0.0) + window))
 
     keyed = attempts.select("key", "attempt_id", "ts", F.col("ts").cast("double").alias("t"), "failed")
     return keyed.groupBy("key").applyInPandasWithState(step, "attempt_id long, outcome string", "until double, times array<double>", "append", GroupStateTimeout.EventTimeTimeout)
@@ -112,13 +124,6 @@ def replay_guard(requests: DataFrame, nonce: str = "nonce") -> DataFrame:
     return requests.dropDuplicatesWithinWatermark([nonce])
 
 
-def fills(ticks: DataFrame, resting: DataFrame) -> DataFrame:
-    """Price ticks against a table of resting orders: an order that a tick fills comes out with its price. Consumers keep the first fill of an order."""
-    j = ticks.select("asset", "ts", F.col("price").alias("last")).join(resting, "asset")
-    f = orders.fill(F.col("side"), F.col("order_type"), F.col("last"), F.col("limit_price"), F.col("stop_price"))
-    return j.withColumn("f", f).where("f.status = 'FILLED'").select("order_id", "ts", F.col("f.filled_price").alias("filled_price"))
-
-
 def request_counts(requests: DataFrame, every: str = "1 minute") -> DataFrame:
     """Counts of requests by key in tumbling windows of event time."""
     return requests.groupBy(F.window("ts", every), "key").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "key", "n")
