@@ -11,6 +11,8 @@ PRIVATE = (
     "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "240.0.0.0/4",
 )
 PRIVATE_6 = r"^(::1?$|::ffff:|64:ff9b:1:|100::|2001:(0|1?[0-9a-f]{1,2})?:|2001:db8:|2002:|f[cd][0-9a-f]{2}:|fe[89ab][0-9a-f]:)"
+#: Addresses in these blocks that are public all the same (192.0.0.9, 192.0.0.10).
+PUBLIC = (3221225481, 3221225482)
 #: Fixed value: the signs that count in a password.
 SIGNS = r"""[!@#$%^&*()\-_=+\[\]{};:'",.<>?/\\|`~]"""
 
@@ -30,17 +32,25 @@ def ip_number(ip: Column) -> Column:
     return sum((F.get(p, i).try_cast("long") * (1 << (24 - 8 * i)) for i in range(1, 4)), F.get(p, 0).try_cast("long") * (1 << 24))
 
 
+def public_ip4(ip: Column) -> Column:
+    def outside(n: Column) -> Column:
+        out = F.lit(True)
+        for block in PRIVATE:
+            base, bits = block.split("/")
+            a, b, c, d = map(int, base.split("."))
+            low = (a << 24) + (b << 16) + (c << 8) + d
+            out = out & ~n.between(low, low + (1 << (32 - int(bits))) - 1)
+        return out | n.isin(*PUBLIC)
+
+    valid = ip.rlike(r"^((25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(\.|$)){4}$") & ~ip.endswith(".")
+    return valid & F.forall(F.array(ip_number(ip)), outside)  # the number is worked out once
+
+
 def public_ip(ip: Column) -> Column:
-    """A valid address that is no private, loopback or link-local one. IPv6 addresses are expected in their short form."""
-    n = ip_number(ip)
-    four = ip.rlike(r"^((25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(\.|$)){4}$") & ~ip.endswith(".")
-    for block in PRIVATE:
-        base, bits = block.split("/")
-        a, b, c, d = map(int, base.split("."))
-        low = (a << 24) + (b << 16) + (c << 8) + d
-        four = four & ~n.between(low, low + (1 << (32 - int(bits))) - 1)
-    six = ip.rlike(r"^[0-9A-Fa-f:]+$") & ~F.lower(ip).rlike(PRIVATE_6)
-    return F.coalesce(F.when(ip.contains(":"), six).otherwise(four), F.lit(False))
+    """A valid address that is no private, loopback or link-local one. IPv6 addresses are expected in their short form; one that maps an IPv4 address counts as that."""
+    bare = F.regexp_replace(ip, r"(?i)^::ffff:(?=[0-9]+\.)", "")
+    six = bare.rlike(r"^[0-9A-Fa-f:]+$") & ~F.lower(bare).rlike(PRIVATE_6)
+    return F.coalesce(F.when(bare.contains(":"), six).otherwise(public_ip4(bare)), F.lit(False))
 
 
 def public_https(url: Column, ip: Column) -> Column:
@@ -75,18 +85,20 @@ def strength(password: Column) -> Column:
 
 def unblocked(emails: DataFrame, blocked: DataFrame) -> DataFrame:
     """Rows whose e-mail's domain has a dot and is not in blocked(domain)."""
-    domain = F.substring_index(F.lower(F.trim("email")), "@", -1)
+    domain = F.regexp_extract(F.lower(F.trim("email")), "^[^@]*@(.*)$", 1)  # all after the first @
     e = emails.withColumn("domain", domain).where(F.col("domain").contains(".") & F.col("email").contains("@"))
     return e.join(blocked, "domain", "left_anti")
 
 
-def breach_count(passwords: DataFrame, ranges: DataFrame) -> DataFrame:
-    """password_id, count: how often the feed (prefix, line = suffix:count) lists the password's SHA-1; 0 if it doesn't."""
+def breach_count(passwords: DataFrame, ranges: DataFrame, fetched: DataFrame | None = None) -> DataFrame:
+    """password_id, count: how often the feed (prefix, line = suffix:count) lists the password's SHA-1; 0 if it doesn't. If fetched(prefix) tells which ranges could be read, -1 for passwords of the others."""
     sha = F.upper(F.sha1(F.col("password").cast("binary")))
     parts = F.split("line", ":")
     feed = ranges.select("prefix", F.get(parts, 0).alias("suffix"), F.get(parts, 1).cast("long").alias("n"))
     p = passwords.select("password_id", F.left(sha, F.lit(5)).alias("prefix"), F.substring(sha, 6, 35).alias("suffix"))
-    return p.join(feed, ["prefix", "suffix"], "left").groupBy("password_id").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("count"))
+    p = p.withColumn("known", F.lit(True)) if fetched is None else p.join(fetched.select("prefix", F.lit(True).alias("known")).distinct(), "prefix", "left")
+    found = p.join(feed, ["prefix", "suffix"], "left").groupBy("password_id").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.every(F.coalesce("known", F.lit(False))).alias("known"))
+    return found.select("password_id", F.when(F.col("known"), F.col("n")).otherwise(-1).alias("count"))
 
 
 def time_zone(name: Column, known: tuple[str, ...]) -> Column:

@@ -46,7 +46,7 @@ def counts(exchanges_: DataFrame, catalogue: DataFrame) -> DataFrame:
 
 
 def market_status(rows: DataFrame, at: str = "at") -> DataFrame:
-    """rows (with exchange, tz, opens, closes and a UTC time) with status, label and minutes: pre before the opening, open up to and including the closing second, else closed; whole minutes to the opening or to the close."""
+    """rows (with exchange, tz, opens, closes and a UTC time) with status, label, minutes and local_time (HH:mm; null for what never closes): pre before the opening, open up to and including the closing second, else closed; whole minutes to the opening or to the close."""
     local = F.convert_timezone(F.lit("UTC"), F.col("tz"), F.col(at).cast("timestamp_ntz"))
     second = F.hour(local) * 3600 + F.minute(local) * 60 + F.second(local)
     opens, closes = F.col("opens") * 60, F.col("closes") * 60
@@ -55,7 +55,7 @@ def market_status(rows: DataFrame, at: str = "at") -> DataFrame:
     none = F.lit(None).cast("int")
     left = case(none, none, F.floor((opens - second) / 60), F.floor((closes - second) / 60), none)
     texts = (case(*map(F.lit, x)) for x in (("open", "closed", "pre", "open", "closed"), ("24/7 OPEN", "WEEKEND", "PRE-MARKET", "OPEN", "CLOSED")))
-    return rows.withColumns(dict(zip(("status", "label"), texts, strict=True))).withColumn("minutes", left.cast("int"))
+    return rows.withColumns(dict(zip(("status", "label"), texts, strict=True))).withColumn("minutes", left.cast("int")).withColumn("local_time", F.when(~always, F.date_format(local, "HH:mm")))
 
 
 def grouped(catalogue: DataFrame, groups: DataFrame) -> DataFrame:

@@ -53,10 +53,13 @@ def sweep(candidates: DataFrame, prices: DataFrame) -> DataFrame:
 
 
 def open_before(seconds: int) -> Column:
-    """How many open orders with the same user, asset, side and quantity the seconds before hold (needs t, seconds of submitted_at): a range window instead of a join of pairs."""
-    w = Window.partitionBy("user_id", "asset", "side", "quantity").orderBy("t").rangeBetween(-seconds, 0)
+    """How many open orders with the same user, asset, side and quantity were stored within the seconds before (needs t, seconds of submitted_at, and order_id): a range window instead of a join of pairs. Orders of one instant are stored in order of their ids, so those that are stored later are taken off again."""
+    same = Window.partitionBy("user_id", "asset", "side", "quantity")
     is_open = F.col("status").isin(*OPEN).cast("int")
-    return F.sum(is_open).over(w) - is_open
+    within = F.sum(is_open).over(same.orderBy("t").rangeBetween(-seconds, 0))
+    at_once = Window.partitionBy("user_id", "asset", "side", "quantity", "t")
+    later = F.sum(is_open).over(at_once) - F.sum(is_open).over(at_once.orderBy("order_id").rowsBetween(Window.unboundedPreceding, -1))
+    return within - F.coalesce(later, F.sum(is_open).over(at_once))
 
 
 def duplicates(orders: DataFrame, seconds: int = 30) -> DataFrame:

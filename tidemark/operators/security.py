@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import validate
+from .versions import Outbox
+
 MAX_AGE, WARN = 90, 14
 LEVELS = ("GREEN", "YELLOW", "RED")
 
@@ -99,7 +102,46 @@ def api_key_check(requests: DataFrame, keys: DataFrame, as_of: str) -> DataFrame
 
 
 def etag(text: Column) -> Column:
-    return F.left(F.sha2(text, 256), F.lit(16))
+    """The entity tag: the first 16 hexadecimal digits of the SHA-1."""
+    return F.left(F.sha1(text.cast("binary")), F.lit(16))
+
+
+def deliverable(hooks: DataFrame, addresses: DataFrame) -> DataFrame:
+    """Active hooks whose url is HTTPS and whose host resolves to public addresses only. addresses(host, ip): what hosts resolve to; a host without an address can't be reached."""
+    known = addresses.groupBy("host").agg(F.every(validate.public_ip(F.col("ip"))).alias("public"))
+    ours = hooks.where("is_active").where(validate.https_url(F.col("url"))).withColumn("host", F.lower(F.try_parse_url("url", F.lit("HOST"))))
+    return ours.join(known.where("public").select("host"), "host", "left_semi").drop("host")
+
+
+def deliver(events: DataFrame, hooks: Callable[[], DataFrame], outbox_: Outbox, checkpoint: str, sign: Callable[[Column], Column] | None = None, source: str = "webhooks"):
+    """A stream of events into the outbox: each batch is matched with the hooks of its time and appended under its id, so a batch that is run again leaves the outbox as it is. The caller sets the trigger and starts it."""
+
+    def put(batch: DataFrame, batch_id: int) -> None:
+        outbox_.put(outbox(batch, hooks(), sign), batch_id, source)
+
+    return events.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
+
+
+def audit_list(logs: DataFrame, users: DataFrame, user: int, n: int = 50) -> DataFrame:
+    """One user's newest n entries (verified, with signature) as they are shown: e-mail, a preview of the signature, whether it holds, times as ISO text."""
+    own = logs.where(F.col("user_id") == user).orderBy(F.desc("created_at"), F.desc("log_id")).limit(n)
+    preview = F.concat(F.left(F.coalesce("signature", F.lit("")), F.lit(24)), F.lit("..."))
+    return own.join(users, "user_id", "left").select("log_id", "action", "metadata", F.col("email").alias("user_email"), preview.alias("signature_preview"), "verified", F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss").alias("created_at"))
+
+
+def compliance_report(keys: DataFrame, logs: DataFrame, user: int, as_of: str, frameworks: tuple[str, ...], n: int = 100) -> DataFrame:
+    """One row: the evidence about one user as a JSON document, the state of the keys and the newest n entries (verified) of the audit log."""
+    health = key_health(keys.where(F.col("user_id") == user), as_of)
+    key = F.struct("key_id", "algorithm", F.col("due").alias("days_until_rotation_due"), F.col("level").alias("status"))
+    block = threat(health).select("threat", "score", "expiring")
+    listed = health.agg(F.array_sort(F.collect_list(key)).alias("keys"))
+    audit = compliance(logs.where(F.col("user_id") == user).orderBy(F.desc("created_at"), F.desc("log_id")).limit(n))
+    one = listed.join(block, how="left").join(audit)  # one row each
+    empty = F.struct(F.lit("GREEN").alias("threat_level"), F.lit(100).alias("safety_score"), F.lit(0).cast("long").alias("expiring_keys"))
+    state = F.when(F.col("threat").isNotNull(), F.struct(F.col("threat").alias("threat_level"), F.col("score").alias("safety_score"), F.col("expiring").alias("expiring_keys"))).otherwise(empty)
+    counts = F.struct(F.col("entries").alias("entries_reviewed"), F.coalesce("verified", F.lit(0).cast("long")).alias("signatures_verified"), "all_verified")
+    body = F.struct(F.lit(as_of).alias("generated_at"), F.array(*map(F.lit, frameworks)).alias("frameworks"), F.struct(state["threat_level"].alias("threat_level"), state["safety_score"].alias("safety_score"), state["expiring_keys"].alias("expiring_keys"), "keys").alias("key_health"), counts.alias("audit_log"))
+    return one.select(F.lit(user).cast("long").alias("user_id"), F.to_json(body).alias("body"))
 
 
 def outbox(events: DataFrame, hooks: DataFrame, sign: Callable[[Column], Column] | None = None) -> DataFrame:

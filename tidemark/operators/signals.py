@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,6 +90,11 @@ def single(bars: DataFrame, least: int = 50) -> DataFrame:
     return f.withColumn("s", score(F.col("spin"), F.col("rsi"))).select("asset", F.col("s.signal_type").alias("signal_type"), F.round("s.confidence", 4).alias("confidence"), F.round("spin", 4).alias("spin"))
 
 
+def single_of(bars: DataFrame, ticker: str, least: int = 50, normal: Callable[[str], str] = str.upper) -> DataFrame:
+    """The signal of one ticker from its own bars: an equality on the normalised name that reaches the scan."""
+    return single(bars.where(F.col("asset") == normal(ticker.strip())), least)
+
+
 def watched(signals: DataFrame, watchlist: DataFrame) -> DataFrame:
     """(user_id, signal...) of the assets that each user watches; watchlist has user_id, asset, preferred. If no watched asset is preferred, the whole list holds."""
     w = Window.partitionBy("user_id")

@@ -301,7 +301,7 @@ def _(s, d):
 
 
 IS_OPEN = "CASE WHEN status IN ('PENDING', 'ACCEPTED', 'SUBMITTED') THEN 1 ELSE 0 END"
-NEAR = f"near AS (SELECT order_id, sum({IS_OPEN}) OVER (PARTITION BY user_id, asset, side, quantity ORDER BY submitted_at RANGE BETWEEN INTERVAL 6 HOURS PRECEDING AND CURRENT ROW) - {IS_OPEN} AS near FROM cands)"
+NEAR = f"near AS (SELECT order_id, sum({IS_OPEN}) OVER (PARTITION BY user_id, asset, side, quantity ORDER BY submitted_at RANGE BETWEEN INTERVAL 6 HOURS PRECEDING AND CURRENT ROW) - (SELECT coalesce(sum({IS_OPEN}), 0) FROM cands AS x WHERE (x.user_id, x.asset, x.side, x.quantity, x.submitted_at) = (cands.user_id, cands.asset, cands.side, cands.quantity, cands.submitted_at) AND x.order_id >= cands.order_id) AS near FROM cands)"
 
 
 @query("duplicate_orders", f"WITH {CANDS}, {NEAR} SELECT order_id FROM near WHERE near > 0")
@@ -415,7 +415,7 @@ def _(s, d):
     return src.table(s, d, "customer").select(F.col("c_custkey").alias("id"), catalog.scopes_ok(scopes, ("read", "trade", "admin")).alias("ok"))
 
 
-@query("etag_hash", "SELECT c_custkey AS id, substr(sha256(c_name), 1, 16) AS etag, sha1(c_name) AS sha1 FROM customer")
+@query("etag_hash", "SELECT c_custkey AS id, substr(sha1(c_name), 1, 16) AS etag, sha1(c_name) AS sha1 FROM customer")
 def _(s, d):
     return src.table(s, d, "customer").select(F.col("c_custkey").alias("id"), security.etag(F.col("c_name")).alias("etag"), F.sha1(F.col("c_name").cast("binary")).alias("sha1"))
 
@@ -533,11 +533,11 @@ OFFSETS = "(VALUES ('US', -300, 570, 960), ('NSE', 330, 555, 930), ('LSE', 0, 48
 @query("market_status", f"""WITH e AS (SELECT event_id, ts, ['US', 'NSE', 'LSE', 'XETRA', 'TSE', 'HKEX', 'ASX', 'TSX', 'CRYPTO'][event_id % 9 + 1] AS exchange FROM events),
  l AS (SELECT event_id, exchange, date_trunc('second', ts + to_minutes(off)) AS t, opens * 60 AS o, closes * 60 AS c FROM e JOIN {OFFSETS} USING (exchange)), s AS (SELECT *, isodow(t) >= 6 AS weekend, hour(t) * 3600 + minute(t) * 60 + second(t) AS x FROM l)
  SELECT event_id, exchange, CASE WHEN o IS NULL THEN 'open' WHEN weekend THEN 'closed' WHEN x < o THEN 'pre' WHEN x <= c THEN 'open' ELSE 'closed' END AS status, CASE WHEN o IS NULL THEN '24/7 OPEN' WHEN weekend THEN 'WEEKEND' WHEN x < o THEN 'PRE-MARKET' WHEN x <= c THEN 'OPEN' ELSE 'CLOSED' END AS label,
- CAST(CASE WHEN o IS NULL OR weekend THEN NULL WHEN x < o THEN (o - x) // 60 WHEN x <= c THEN (c - x) // 60 END AS INT) AS minutes FROM s""")
+ CAST(CASE WHEN o IS NULL OR weekend THEN NULL WHEN x < o THEN (o - x) // 60 WHEN x <= c THEN (c - x) // 60 END AS INT) AS minutes, CASE WHEN o IS NOT NULL THEN strftime(t, '%H:%M') END AS local_time FROM s""")
 def _(s, d):
     times = src.table(s, d, "events").select(F.col("ts").alias("at"), "event_id")
     x = catalog.exchanges(s)
-    return catalog.market_status(times.withColumn("exchange", F.element_at(F.array(*(F.lit(e[0]) for e in catalog.EXCHANGES)), (F.col("event_id") % 9 + 1).cast("int"))).join(F.broadcast(x), "exchange")).select("event_id", "exchange", "status", "label", "minutes")
+    return catalog.market_status(times.withColumn("exchange", F.element_at(F.array(*(F.lit(e[0]) for e in catalog.EXCHANGES)), (F.col("event_id") % 9 + 1).cast("int"))).join(F.broadcast(x), "exchange")).select("event_id", "exchange", "status", "label", "minutes", "local_time")
 
 
 @query("ticker_valid", f"WITH {TICKERS}, t AS (SELECT ordinal, CASE WHEN ordinal % 5 = 0 THEN ticker || '$' ELSE ' ' || lower(ticker) END AS raw FROM cat) SELECT ordinal, regexp_full_match(upper(trim(raw)), '[A-Z0-9.\\-]{{1,20}}') AS ok FROM t")
@@ -573,7 +573,7 @@ def _(s, d):
     return validate.uncommon(_passwords(s, d), common).select("password_id")
 
 
-@query("email_valid", "WITH m AS (SELECT c_custkey AS id, lower(trim(' U' || c_custkey || ['@Bad.example', '@nodot', '@Good.example', '.no.at', '@a@bad.example'][c_custkey % 5 + 1])) AS mail FROM customer) SELECT id FROM m WHERE contains(mail, '@') AND contains(list_last(string_split(mail, '@')), '.') AND list_last(string_split(mail, '@')) NOT IN ('bad.example', 'trash.example')")
+@query("email_valid", "WITH m AS (SELECT c_custkey AS id, lower(trim(' U' || c_custkey || ['@Bad.example', '@nodot', '@Good.example', '.no.at', '@a@bad.example'][c_custkey % 5 + 1])) AS mail FROM customer) SELECT id FROM m WHERE contains(mail, '@') AND contains(substr(mail, strpos(mail, '@') + 1), '.') AND substr(mail, strpos(mail, '@') + 1) NOT IN ('bad.example', 'trash.example')")
 def _(s, d):
     n = F.col("c_custkey")
     mail = F.concat(F.lit(" U"), n.cast("string"), F.element_at(F.array(*map(F.lit, ("@Bad.example", "@nodot", "@Good.example", ".no.at", "@a@bad.example"))), (n % 5 + 1).cast("int")))
@@ -726,10 +726,10 @@ def _(s, d):
     return src.table(s, d, "customer").select(n.alias("id"), catalog.age_label((n % 400).cast("double")).alias("age"))
 
 
-@query("etag_conditional", "WITH t AS (SELECT c_custkey AS id, substr(sha256('2024-01-01' || (c_custkey % 50)), 1, 16) AS etag, c_custkey % 2 = 0 AS same, c_name AS body FROM customer) SELECT id, CASE WHEN same THEN 304 ELSE 200 END AS status, etag, CASE WHEN NOT same THEN body END AS body FROM t")
+@query("etag_conditional", "WITH t AS (SELECT c_custkey AS id, substr(sha1('2024-01-01' || (c_custkey % 50)), 1, 16) AS etag, c_custkey % 2 = 0 AS same, c_name AS body FROM customer) SELECT id, CASE WHEN same THEN 304 ELSE 200 END AS status, etag, CASE WHEN NOT same THEN body END AS body FROM t")
 def _(s, d):
     n = F.col("c_custkey")
     b = src.table(s, d, "customer").select(n.alias("id"), F.lit("2024-01-01").alias("generated_at"), (n % 50).alias("n_assets"), F.col("c_name").alias("body"))
-    old = F.left(F.sha2(F.concat(F.lit("2024-01-01"), ((n + n % 2) % 50).cast("string")), 256), F.lit(16))
+    old = security.etag(F.concat(F.lit("2024-01-01"), ((n + n % 2) % 50).cast("string")))
     held = b.join(src.table(s, d, "customer").select(n.alias("id"), F.when(n % 4 != 1, old).alias("held")), "id")
     return sinks.conditional(held, "held").select("id", "status", "etag", "body")

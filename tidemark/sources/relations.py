@@ -40,8 +40,12 @@ def key_of(props: str = "props") -> Column:
 
 
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", "props")
-    return e.select(
+    return trades_of(table(spark, sf_dir, "events"))
+
+
+def trades_of(events: DataFrame) -> DataFrame:
+    """Trades of a table or stream of events."""
+    return events.select(
         F.col("event_id").alias("trade_id"), "user_id", F.concat(F.lit("K"), (key_of() % 10).cast("string")).alias("asset"),
         F.when(F.col("event_type").isin("purchase", "click"), "buy").otherwise("sell").alias("side"), (1 + F.col("event_id") % 5).cast("double").alias("quantity"),
         F.col("value").alias("filled_price"), F.when(F.col("event_type") == "error", "REJECTED").otherwise("FILLED").alias("status"), F.col("ts").alias("filled_at"),
@@ -58,10 +62,14 @@ def last_price(ticks: DataFrame) -> DataFrame:
 
 
 def order_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", "props")
+    return candidates_of(table(spark, sf_dir, "events"))
+
+
+def candidates_of(events: DataFrame) -> DataFrame:
+    """Orders of a table or stream of events."""
     kind = F.element_at(F.array(*map(F.lit, ("market", "limit", "stop", "stop_limit"))), (F.col("event_id") % 4 + 1).cast("int"))
     missing = F.col("event_id") % 17 == 0
-    return t.select(
+    return events.select(
         F.col("event_id").alias("order_id"), "user_id", F.concat(F.lit("K"), (key_of() % 10).cast("string")).alias("asset"),
         F.when(F.col("event_type").isin("purchase", "click"), "buy").otherwise("sell").alias("side"), (1 + F.col("event_id") % 5).cast("double").alias("quantity"), kind.alias("order_type"),
         F.when(kind.isin("limit", "stop_limit") & ~missing, F.col("value") * 1.02).alias("limit_price"), F.when(kind.isin("stop", "stop_limit") & ~missing, F.col("value") * 0.98).alias("stop_price"),
