@@ -83,26 +83,27 @@ def judged(token: str, ratio: np.ndarray, threshold: float) -> list[tuple[int, i
     """(start, end, score) in the token of what the models call random: the token, or else the maximal runs of its parts."""
     if mixed(token) and (score := float(ratio[trigrams(token)].mean())) >= threshold:
         return [(0, len(token), score)]
-    # Runs of parts with the largest sums over the threshold (Ruzzo and Tompa): (start, end, sum, characters, sum before, sum after).
-    runs: list[tuple[int, int, float, int, float, float]] = []
-    total = 0.0
+    # Runs of parts with the largest sums over the threshold (Ruzzo and Tompa), in linear time. A run: start, end, the sum and the characters before it, those after it, and
+    # the place of the last run with a smaller sum before it (runs between need not be looked at again).
+    runs: list[tuple[int, int, float, int, float, int, int]] = []
+    total, chars = 0.0, 0
     for m in PART.finditer(token):
         found, n = float(ratio[trigrams(m[0])].sum()), m.end() - m.start()
         before, total = total, total + found - threshold * n
+        chars += n
         if total <= before:
             continue
-        run, j = (m.start(), m.end(), found, n, before, total), len(runs) - 1
-        while j >= 0:
-            while j >= 0 and runs[j][4] >= run[4]:
-                j -= 1
-            if j < 0 or runs[j][5] >= run[5]:
+        start, low, behind, j = m.start(), before, chars - n, len(runs) - 1
+        while True:
+            while j >= 0 and runs[j][2] >= low:
+                j = runs[j][6]
+            if j < 0 or runs[j][4] >= total:
                 break
-            n = sum(len(p[0]) for p in PART.finditer(token, runs[j][0], run[1]))
-            run = (runs[j][0], run[1], run[5] - runs[j][4] + threshold * n, n, runs[j][4], run[5])
+            start, _, low, behind, _, _, left = runs[j]
             del runs[j:]
-            j -= 1
-        runs.append(run)
-    return [(a, b, max(found / n, threshold)) for a, b, found, n, _, _ in runs if b - a >= LEAST]
+            j = left
+        runs.append((start, m.end(), low, behind, total, chars, j))
+    return [(a, b, max((high - low + threshold * (after - behind)) / (after - behind), threshold)) for a, b, low, behind, high, after, _ in runs if b - a >= LEAST]
 
 
 SPAN = "array<struct<start: long, end: long, kind: string, value: string>>"
