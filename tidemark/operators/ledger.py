@@ -2,32 +2,105 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import Any
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.series import edge
+from ..work import work_path
 from .orders import text_of
 
 START = 100_000.0
 
 
-def book(trades: DataFrame) -> DataFrame:
-    """(user_id, asset, quantity, cost, realized, wins, closed): the average-cost fold of each book. A sell closes at most what is held; each sell while something is held is a closed trade."""
+#: Trades of one book that are folded in one row; longer books are cut in blocks of as many.
+BLOCK_ROWS = 100_000
+BOOK = ["user_id", "asset"]
+
+
+def book(trades: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(user_id, asset, quantity, cost, realized, wins, closed): the average-cost fold of each book. A sell closes at most what is held; each sell while something is held is a closed trade. Books of more than block_rows trades are folded in blocks."""
+    rows = trades.where("status = 'FILLED'").select("user_id", "asset", "filled_at", "trade_id", F.col("side").alias("s"), F.col("quantity").cast("double").alias("x"), F.coalesce(F.col("filled_price"), F.lit(0.0)).alias("p"))
+    long_ = rows.groupBy(*BOOK).agg(F.count("*").alias("n")).where(F.col("n") > block_rows).select(*BOOK)
+    if long_.isEmpty():
+        return _named(_whole(rows))
+    return _named(_whole(rows.join(long_, BOOK, "left_anti")).unionByName(_in_blocks(rows.join(long_, BOOK, "left_semi"), block_rows)))
+
+
+def _named(folded: DataFrame) -> DataFrame:
+    return folded.select(*BOOK, F.col("z.q").alias("quantity"), F.col("z.c").alias("cost"), F.col("z.r").alias("realized"), F.col("z.w").alias("wins"), F.col("z.n").alias("closed"))
+
+
+def _step(a: Column, t: Column) -> Column:
+    zero = F.lit(0.0)
+    avg = F.when(a["q"] > 0, a["c"] / F.greatest(a["q"], F.lit(1e-300))).otherwise(0.0)
+    sold = F.least(t["x"], a["q"])
+    rest = a["q"] - sold
+    bought = F.struct((a["q"] + t["x"]).alias("q"), (a["c"] + t["x"] * t["p"]).alias("c"), a["r"].alias("r"), a["w"].alias("w"), a["n"].alias("n"))
+    held = a["q"] > 0
+    after = F.struct(rest.alias("q"), (avg * F.greatest(rest, zero)).alias("c"), (a["r"] + (t["p"] - avg) * sold).alias("r"), (a["w"] + F.when(held & (t["p"] > avg), 1).otherwise(0)).alias("w"), (a["n"] + F.when(held, 1).otherwise(0)).alias("n"))
+    return F.when(t["s"] == "buy", bought).otherwise(after)
+
+
+def _fold(rows: Column, q: Column, c: Column) -> Column:
+    return F.aggregate(rows, F.struct(q.alias("q"), c.alias("c"), F.lit(0.0).alias("r"), F.lit(0).alias("w"), F.lit(0).alias("n")), _step)
+
+
+def _whole(rows: DataFrame) -> DataFrame:
     zero = F.lit(0.0)
-    rows = F.array_sort(F.collect_list(F.struct("filled_at", "trade_id", F.col("side").alias("s"), F.col("quantity").cast("double").alias("x"), F.coalesce(F.col("filled_price"), zero).alias("p"))))
-
-    def step(a: Column, t: Column) -> Column:
-        avg = F.when(a["q"] > 0, a["c"] / F.greatest(a["q"], F.lit(1e-300))).otherwise(0.0)
-        sold = F.least(t["x"], a["q"])
-        rest = a["q"] - sold
-        bought = F.struct((a["q"] + t["x"]).alias("q"), (a["c"] + t["x"] * t["p"]).alias("c"), a["r"].alias("r"), a["w"].alias("w"), a["n"].alias("n"))
-        held = a["q"] > 0
-        after = F.struct(rest.alias("q"), (avg * F.greatest(rest, zero)).alias("c"), (a["r"] + (t["p"] - avg) * sold).alias("r"), (a["w"] + F.when(held & (t["p"] > avg), 1).otherwise(0)).alias("w"), (a["n"] + F.when(held, 1).otherwise(0)).alias("n"))
-        return F.when(t["s"] == "buy", bought).otherwise(after)
-
-    start = F.struct(zero.alias("q"), zero.alias("c"), zero.alias("r"), F.lit(0).alias("w"), F.lit(0).alias("n"))
-    folded = trades.where("status = 'FILLED'").groupBy("user_id", "asset").agg(F.aggregate(rows, start, step).alias("z"))
-    return folded.select("user_id", "asset", F.col("z.q").alias("quantity"), F.col("z.c").alias("cost"), F.col("z.r").alias("realized"), F.col("z.w").alias("wins"), F.col("z.n").alias("closed"))
+    return rows.groupBy(*BOOK).agg(_fold(F.array_sort(F.collect_list(F.struct("filled_at", "trade_id", "s", "x", "p"))), zero, zero).alias("z"))
+
+
+def _clamp(a: Column, t: Column) -> Column:
+    """A block's effect on the quantity, q -> max(lo, q + add): such maps are closed under composition."""
+    buy = t["s"] == "buy"
+    return F.struct(F.when(buy, a["add"] + t["x"]).otherwise(a["add"] - t["x"]).alias("add"), F.when(buy, a["lo"] + t["x"]).otherwise(F.greatest(F.lit(0.0), a["lo"] - t["x"])).alias("lo"))
+
+
+def _affine(a: Column, t: Column) -> Column:
+    """A block's effect on the cost, c -> m * c + b, once the quantity at its start is known."""
+    rest = a["q"] - F.least(t["x"], a["q"])
+    share = F.when(a["q"] > 0, rest / F.greatest(a["q"], F.lit(1e-300))).otherwise(0.0)
+    bought = F.struct((a["q"] + t["x"]).alias("q"), a["m"].alias("m"), (a["b"] + t["x"] * t["p"]).alias("b"))
+    return F.when(t["s"] == "buy", bought).otherwise(F.struct(rest.alias("q"), (a["m"] * share).alias("m"), (a["b"] * share).alias("b")))
+
+
+def _starts(blocks: DataFrame, step: Callable[[float, Any], float], name: str) -> DataFrame:
+    """A value at the start of each block, from 0 at the first of a book: one row a block goes through one task a book."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows, value, out = rows.sort_values("block"), 0.0, []
+        for r in rows.itertuples():
+            out.append(value)
+            value = step(value, r)
+        return rows[[*BOOK, "block"]].assign(**{name: out})
+
+    kinds = ", ".join(f"{c} {blocks.schema[c].dataType.simpleString()}" for c in [*BOOK, "block"])
+    return blocks.groupBy(*BOOK).applyInPandas(run, f"{kinds}, {name} double")
+
+
+def _in_blocks(rows: DataFrame, block_rows: int) -> DataFrame:
+    """The fold of long books. Trades are sorted by ranges of (book, time), so a book lies in many tasks, and cut into blocks by their place in that order. Three passes over the blocks: what each does to the quantity, what to
+    the cost, and the fold proper from the state at its start. Between them only one row a block is gathered by book."""
+    spark, key = rows.sparkSession, [*BOOK, "block"]
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        path = work_path(spark, name)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    placed = kept(rows.orderBy(*BOOK, "filled_at", "trade_id").withColumn("row", F.monotonically_increasing_id()), "books")
+    cut = placed.withColumn("block", F.floor(F.col("row") / block_rows)).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("row", "s", "x", "p"))).alias("rows"))
+    cut = kept(cut, "book-blocks")
+    clamps = cut.select(*key, F.aggregate("rows", F.struct(F.lit(0.0).alias("add"), F.lit(float("-inf")).alias("lo")), _clamp).alias("z")).select(*key, "z.add", "z.lo")
+    with_q = cut.join(_starts(clamps, lambda q, r: max(r.lo, q + r.add), "q"), key)
+    lines = with_q.select(*key, F.aggregate("rows", F.struct(F.col("q").alias("q"), F.lit(1.0).alias("m"), F.lit(0.0).alias("b")), _affine).alias("z")).select(*key, "z.m", "z.b")
+    done = with_q.join(_starts(lines, lambda c, r: r.m * c + r.b, "c"), key).select(*key, _fold(F.col("rows"), F.col("q"), F.col("c")).alias("z"))
+    total = F.struct(F.max_by("z.q", "block").alias("q"), F.max_by("z.c", "block").alias("c"), F.sum("z.r").alias("r"), F.sum("z.w").cast("int").alias("w"), F.sum("z.n").cast("int").alias("n"))
+    return done.groupBy(*BOOK).agg(total.alias("z"))
 
 
 def positions(trades: DataFrame) -> DataFrame:

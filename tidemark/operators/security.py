@@ -161,12 +161,29 @@ def http_latency(requests: DataFrame, buckets: tuple[float, ...] = (10.0, 50.0,
     return requests.groupBy("method", "path").agg(F.count("*").alias("n"), *(F.count_if(F.col("latency") <= b).alias(f"le_{int(b)}") for b in buckets))
 
 
-def rate_limited(requests: DataFrame, seconds: int, limit: int) -> DataFrame:
-    """request_id, seen, allowed: requests of the key in the trailing window, both ends included; refused ones count."""
-    t = F.col("at").cast("timestamp").cast("double")
-    w = Window.partitionBy("key").orderBy("t").rangeBetween(-seconds, 0)
-    r = requests.withColumn("t", t).withColumn("seen", F.count("*").over(w))
-    return r.select("request_id", "seen", (F.col("seen") <= limit).alias("allowed"))
+def rate_limited(requests: DataFrame, seconds: int, limit: int, parts: int = 8) -> DataFrame:
+    """request_id, seen, allowed: requests of the key in the trailing window, both ends included; refused ones count.
+
+    Time is cut in buckets, `parts` a window, so a key with most of the rows is dealt over its buckets: a request sees those of its own bucket up to it, all of the parts - 1 buckets before (sums over one row a bucket), and of the bucket at the
+    window's far edge those that are young enough. For these, each request is counted a second time, `seconds` later: it is out for the requests after that."""
+    micros = F.unix_micros(F.col("at").cast("timestamp"))
+    width, odd = divmod(seconds * 1_000_000, parts)
+    if odd:
+        raise ValueError("parts has to divide the window's microseconds")
+    bucket = lambda t: F.floor(t / width).cast("long")
+    r = requests.select("request_id", "key", micros.alias("t"))
+    counts = r.groupBy("key", bucket(F.col("t")).alias("b")).agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("key").orderBy("b").rangeBetween(-(parts - 1), -1))
+    edge = F.sum("n").over(Window.partitionBy("key").orderBy("b").rangeBetween(-parts, -parts))
+    # Buckets of the sums: those that hold requests.
+    sums = counts.select(F.col("key").alias("of_key"), F.col("b").alias("of_b"), F.coalesce(before, F.lit(0)).alias("before"), F.coalesce(edge, F.lit(0)).alias("edge"))
+    own = r.select("request_id", "key", "t", bucket(F.col("t")).alias("b"), F.lit(0).alias("out"))
+    out = r.select(F.lit(None).cast(r.schema["request_id"].dataType).alias("request_id"), "key", (F.col("t") + seconds * 1_000_000).alias("t"), (bucket(F.col("t")) + parts).alias("b"), F.lit(1).alias("out"))
+    both = Window.partitionBy("key", "b")
+    upto = F.sum(1 - F.col("out")).over(both.orderBy("t").rangeBetween(Window.unboundedPreceding, 0))
+    gone = F.sum("out").over(both.orderBy("t", "out").rowsBetween(Window.unboundedPreceding, 0))
+    seen = own.unionByName(out).withColumns({"upto": upto, "gone": gone}).where("out = 0").join(sums, F.col("key").eqNullSafe(F.col("of_key")) & (F.col("b") == F.col("of_b")))
+    return seen.select("request_id", (F.col("upto") + F.col("before") + F.col("edge") - F.col("gone")).alias("seen")).withColumn("allowed", F.col("seen") <= limit)
 
 
 def lockouts(attempts: DataFrame, failures: int, window: int, lock: int) -> DataFrame:
