@@ -80,6 +80,11 @@ def compute(bars: DataFrame, least: int = 50) -> DataFrame:
     enough = series.closes(bars).where(F.size("closes") >= least)
     f = series.features_of(enough)
     state = spins(coupling(series.tails_of(enough)), field(f.select("asset", "momentum")))
+    return records(f, state)
+
+
+def records(f: DataFrame, state: DataFrame) -> DataFrame:
+    """The records of assets with their features and spins."""
     s = f.join(state, "asset").withColumn("s", score(F.col("spin"), F.col("rsi")))
     return s.select("asset", F.col("s.signal_type").alias("signal_type"), F.round("s.confidence", 4).alias("confidence"), F.round("spin", 4).alias("spin"), F.round("last_price", 2).alias("last_price"), F.round("rsi", 4).alias("rsi"), F.round("macd_histogram", 4).alias("macd_histogram"), F.round("momentum", 4).alias("momentum"), F.round("bb_width", 4).alias("bb_width"), F.lit(200).alias("sba_iterations"))
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import ledger, orders, security, signals, sinks, versions
+from ..operators import ledger, many_assets, security, signals, sinks, versions
+from ..functions import series
 from ..sources import relations as src
 from ..streaming import metrics, resting, sessions, stateful
 from ..streaming.runs import run_once
@@ -176,3 +177,19 @@ def _(s, d):
 @query("signal_one_ticker", f"WITH {q.RSI}, {q.MOMENTUM}, p AS (SELECT asset, tanh(5 * momentum) AS spin, rsi FROM mom JOIN rsi USING (asset) WHERE asset = 'Brand#23') SELECT asset, {q.SCORED} FROM p")
 def _(s, d):
     return signals.single_of(src.bars(s, d), " brand#23", normal=str.title)
+
+
+TYPED = lambda sql: sql.replace("p_brand", "p_size")
+
+
+@query("corr_matrix_tiles", f"WITH {TYPED(q.COUPLING)} SELECT i, j, round(v, 8) AS v FROM coupling")
+def _(s, d):
+    """The correlation of 50 assets by tiles of about 20."""
+    return many_assets.coupling_in_tiles(signals.tail_returns(src.bars(s, d, by="p_size")), 20).select("i", "j", F.round("v", 8).alias("v"))
+
+
+@query("spins_by_factors", f"WITH RECURSIVE {TYPED(q.SPINS)} SELECT asset, round(spin, 6) AS spin FROM spins")
+def _(s, d):
+    b = src.bars(s, d, by="p_size")
+    m = series.closes(b).select("asset", series.momentum(F.col("closes")).alias("momentum"))
+    return many_assets.spins_by_factors(many_assets.factors(signals.tail_returns(b)), signals.field(m)).select("asset", F.round("spin", 6).alias("spin"))
