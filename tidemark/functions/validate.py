@@ -61,7 +61,7 @@ def password_rules(password: Column, email: Column) -> Column:
     """struct of the policy's rules, each true where it holds."""
     local = F.lower(F.substring_index(email, "@", 1))
     return F.struct(
-        F.length(password).between(14, 128).alias("length"), password.rlike("[a-z]").alias("lower"), password.rlike("[A-Z]").alias("upper"), password.rlike("[0-9]").alias("digit"), password.rlike(SIGNS).alias("sign"),
+        F.length(password).between(14, 128).alias("length"), password.rlike("[a-z]").alias("lower"), password.rlike("[A-Z]").alias("upper"), password.rlike(r"\p{Nd}").alias("digit"), password.rlike(SIGNS).alias("sign"),
         (~password.rlike(r"(.)\1{3,}")).alias("no_runs"), (~((F.length(local) >= 4) & F.contains(F.lower(password), local))).alias("no_local_part"),
     )
 

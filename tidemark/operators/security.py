@@ -101,6 +101,19 @@ def api_key_check(requests: DataFrame, keys: DataFrame, as_of: str) -> DataFrame
     return j.select("request_id", F.coalesce(ok, F.lit(False)).alias("allowed"))
 
 
+def api_key(entropy: Column, label: str = "tk_", shown: int = 11) -> Column:
+    """struct(raw, key_prefix, key_hash) of a new key: its bytes as URL-safe base64 without padding after a label; the beginning that is shown, and the SHA-256 that is kept."""
+    raw = F.concat(F.lit(label), F.translate(F.base64(entropy), "+/=", "-_"))
+    return F.struct(raw.alias("raw"), F.left(raw, F.lit(shown)).alias("key_prefix"), F.sha2(raw, 256).alias("key_hash"))
+
+
+def html_escaped(text: Column) -> Column:
+    """Text that may stand in HTML, in quotes too."""
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        text = F.replace(text, F.lit(sign), F.lit(name))
+    return text
+
+
 def etag(text: Column) -> Column:
     """The entity tag: the first 16 hexadecimal digits of the SHA-1."""
     return F.left(F.sha1(text.cast("binary")), F.lit(16))

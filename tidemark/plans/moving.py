@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -193,3 +195,69 @@ def _(s, d):
     b = src.bars(s, d, by="p_size")
     m = series.closes(b).select("asset", series.momentum(F.col("closes")).alias("momentum"))
     return many_assets.spins_by_factors(many_assets.factors(signals.tail_returns(b)), signals.field(m)).select("asset", F.round("spin", 6).alias("spin"))
+
+
+@query("stream_fixed_windows", "WITH RECURSIVE r AS (SELECT event_id, user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events), w AS (SELECT event_id, user_id, i, ts AS start, 1::BIGINT AS seen FROM r WHERE i = 1 UNION ALL SELECT r.event_id, r.user_id, r.i, CASE WHEN r.ts >= w.start + INTERVAL 6 HOURS THEN r.ts ELSE w.start END, CASE WHEN r.ts >= w.start + INTERVAL 6 HOURS THEN 1 ELSE w.seen + 1 END FROM w JOIN r ON r.user_id = w.user_id AND r.i = w.i + 1) SELECT event_id AS request_id, seen, seen <= 2 AS allowed FROM w")
+def _(s, d):
+    stream = streamed(s, d, "events").select("ts", F.col("event_id").alias("request_id"), F.col("user_id").cast("string").alias("key"))
+    return run_once(stateful.fixed_windows(stream, 21_600, 2), "windows")
+
+
+@query("stream_lockout", q.ORACLE_SQL["lockout"])
+def _(s, d):
+    """The lockout on a stream of attempts, counted by key as the batch query counts."""
+    stream = streamed(s, d, "events").select("ts", F.col("event_id").alias("attempt_id"), F.col("user_id").cast("string").alias("key"), (F.col("event_type") == "error").alias("failed"))
+    found = run_once(stateful.lockout(stream, 3, 86_400, 21_600), "lockout").join(src.table(s, d, "events").select(F.col("event_id").alias("attempt_id"), F.col("user_id").alias("key")), "attempt_id")
+    return found.groupBy("key").agg(F.count_if(F.col("outcome") == "locked").cast("int").alias("locks"), F.count_if(F.col("outcome") == "refused").cast("int").alias("refused"))
+
+
+@query("stream_push", f"WITH RECURSIVE {q.SIGNALS} SELECT * FROM signals")
+def _(s, d):
+    """The push on a stream of trades: its last snapshot, as the sink wrote it."""
+    out = work_path(s, "push")
+    ticks = streamed(s, d, "events").select("ts", "value")
+    stateful.push(ticks, lambda found: found.write.mode("overwrite").parquet(out), lambda: src.bars(s, d)).option("checkpointLocation", work_path(s, "push-state")).trigger(availableNow=True).start().awaitTermination()
+    return s.read.parquet(out)
+
+
+@query("stream_request_counts", "SELECT date_trunc('day', ts) AS start, user_id AS key, count(*) AS n FROM events GROUP BY 1, 2")
+def _(s, d):
+    stream = streamed(s, d, "events").select("ts", F.col("user_id").alias("key"))
+    end = src.table(s, d, "events").agg(F.max("ts")).first()[0]  # windows that the watermark hasn't closed are counted apart
+    closed = run_once(stateful.request_counts(stream, "1 day"), "counts").withColumn("start", F.col("start").cast("timestamp_ntz"))
+    open_ = src.table(s, d, "events").where(F.to_date("ts") >= F.lit(end - timedelta(minutes=10)).cast("date")).groupBy(F.date_trunc("day", "ts").cast("timestamp_ntz").alias("start"), F.col("user_id").alias("key")).agg(F.count("*").alias("n"))
+    return closed.unionByName(open_.join(closed.select("start").distinct(), "start", "left_anti"))
+
+
+@query("trades_appended", f"WITH {q.TRADES} SELECT asset, count(*) AS n, round(sum(filled_price), 4) AS total FROM trades GROUP BY 1")
+def _(s, d):
+    path, t = work_path(s, "trades"), src.filled(src.trades(s, d))
+    for part in (F.col("filled_at") < CUT, F.col("filled_at") >= CUT):
+        sinks.append(t.where(part), path)
+    return s.read.schema(t.schema).parquet(path).groupBy("asset").agg(F.count("*").alias("n"), F.round(F.sum("filled_price"), 4).alias("total"))
+
+
+@query("prices_as_json", f"WITH {q.TRADES}, {q.PRICES} SELECT asset, price FROM prices")
+def _(s, d):
+    path, rows = work_path(s, "prices"), src.last_price(src.filled(src.trades(s, d)))
+    sinks.json_lines(rows, path)
+    return s.read.schema(rows.schema).json(path)
+
+
+@query("snapshot_single_flight", f"WITH {q.TRADES}, {q.PRICES} SELECT asset, price FROM prices")
+def _(s, d):
+    """Two callers of one snapshot: the second reads what the first has computed."""
+    path, ask = work_path(s, "snapshot"), lambda: versions.single_flight(s, path, 3600, lambda: src.last_price(src.filled(src.trades(s, d))))
+    ask()
+    return ask()
+
+
+@query("api_keys_issued", "WITH k AS (SELECT c_custkey AS id, 'tk_' || replace(replace(rtrim(to_base64(unhex(sha256(CAST(c_custkey AS VARCHAR)))), '='), '+', '-'), '/', '_') AS raw FROM customer) SELECT id, raw, left(raw, 11) AS key_prefix, sha256(raw) AS key_hash FROM k")
+def _(s, d):
+    n = F.col("c_custkey")
+    return src.table(s, d, "customer").select(n.alias("id"), security.api_key(F.unhex(F.sha2(n.cast("string"), 256))).alias("k")).select("id", "k.*")
+
+
+@query("html_escaped", "SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;') AS body FROM pages")
+def _(s, d):
+    return src.table(s, d, "pages").select("page_id", security.html_escaped(F.col("html")).alias("body"))
