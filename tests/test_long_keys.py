@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import ledger, security
+from tidemark.operators import ledger, scans, security
 
 TRADES = "trade_id long, user_id long, asset string, side string, quantity double, filled_price double, status string, filled_at timestamp_ntz"
 
@@ -69,3 +69,66 @@ def test_limits_of_a_busy_key(spark):
     assert got == {i: (n := sum(s - 60 <= z <= s for z in times[k]), n <= 40) for i, k, s in rows}
     with pytest.raises(ValueError, match="divide"):
         security.rate_limited(df, 1, 40, 7)
+
+
+def curve_loop(rows, prices):
+    """The equity curve by the rule, trade by trade."""
+    curves, cash, held = {}, {}, {}
+    for _, user, asset, side, x, p, status, _ in sorted(rows, key=lambda r: (r[7], r[0])):
+        if status != "FILLED":
+            continue
+        signed = x if side == "buy" else -x
+        cash[user] = cash.get(user, 100_000.0) - signed * (p or 0.0)
+        own = held.setdefault(user, {})
+        own[asset] = own.get(asset, 0.0) + signed
+        curves.setdefault(user, [100_000.0]).append(cash[user] + sum(max(0.0, q) * prices.get(a, 100.0) for a, q in own.items()))
+    return curves
+
+
+@pytest.mark.parametrize("seed, block_rows", [(5, 29), (6, 400), (7, 100_000)])
+def test_curves_in_blocks(spark, seed, block_rows):
+    """Users with many trades, cut in blocks, have the curve, falls, returns and places of the plain rule."""
+    rows, prices = trades(seed, 3000), {"A": 21.5}
+    df = spark.createDataFrame(rows, TRADES.replace("timestamp_ntz", "string")).withColumn("filled_at", F.col("filled_at").cast("timestamp_ntz")).repartition(4)
+    curve = ledger.equity_curve(df, spark.createDataFrame(list(prices.items()), "asset string, price double"), block_rows=block_rows)
+    want, got = curve_loop(rows, prices), {}
+    for r in sorted(curve.collect(), key=lambda r: (r["user_id"], r["seq"])):
+        got.setdefault(r["user_id"], []).append(r["equity"])
+    assert got.keys() == want.keys() and all(got[u] == pytest.approx(want[u], rel=1e-12) for u in want)
+    returns = ledger.period_returns(curve, block_rows)
+    falls, rets = {u: [] for u in want}, {u: [(b - a) / a if a else 0.0 for a, b in zip(v, v[1:])] for u, v in got.items()}
+    for u, v in got.items():
+        peak = v[0]
+        for e in v:
+            peak = max(peak, e)
+            falls[u].append((peak - e) / peak if peak else 0.0)
+    assert {r["user_id"]: r["max_drawdown"] for r in ledger.max_drawdown(curve, block_rows).collect()} == pytest.approx({u: max(f) for u, f in falls.items()}, rel=1e-12)
+    assert {(r["user_id"], r["seq"]): r["ret"] for r in returns.collect()} == pytest.approx({(u, i + 1): x for u, v in rets.items() for i, x in enumerate(v)}, rel=1e-9, abs=1e-15)
+    var = {r["user_id"]: (r["var_95"], r["var_99"]) for r in ledger.value_at_risk(returns, 0.05, 0.01).collect()}
+    at = lambda v, p: max(0.0, -sorted(v)[min(int(p * len(v)), len(v) - 1)])
+    assert {k: x[0] for k, x in var.items()} == pytest.approx({u: at(v, 0.05) for u, v in rets.items()}, rel=1e-9, abs=1e-15)
+    assert {k: x[1] for k, x in var.items()} == pytest.approx({u: at(v, 0.01) for u, v in rets.items()}, rel=1e-9, abs=1e-15)
+
+
+@pytest.mark.parametrize("accuracy, margin", [(10_000, 2.0), (20, 0.5), (20, 0.001), (10, 1000.0)])
+def test_places_by_selection(spark, accuracy, margin):
+    """One key with most values, a third of them equal, tiny keys, a null key, NaN, infinities and nulls; also where the sketch is too coarse and its intervals miss."""
+    r, nan, inf = random.Random(8), float("nan"), float("inf")
+    rows = [(1, 0.25 if r.random() < 0.33 else r.gauss(0, 1) ** 3) for _ in range(20_000)] + [(2, 5.0)] + [(3, x) for x in (nan, -inf, 1.0, inf, None, -0.5)] + [(None, float(i)) for i in range(50)] + [(4, None)] + [(5, 7.0)] * 300
+    df = spark.createDataFrame(rows, "k int, v double").repartition(5)
+    levels, want = (0.0, 0.01, 0.05, 0.5, 1.0), {}
+    for k in (1, 2, 3, None, 5):
+        own = sorted((v for z, v in rows if z == k and v is not None), key=lambda v: (v != v, v))
+        want |= {(k, j): repr(own[min(int(p * len(own)), len(own) - 1)]) for j, p in enumerate(levels)}
+    got = scans.at_places(df, "k", "v", levels, accuracy=accuracy, margin=margin).collect()
+    assert len(got) == len(want) and {(x["k"], x["level"]): repr(x["v"]) for x in got} == want
+    assert scans.at_places(df.where("v > 1e9 and v < 2e9"), "k", "v", levels).count() == 0
+
+
+def test_selection_sorts_few_rows(spark):
+    """200,000 values of one key: what is put in order for a place is a small share, whatever lies in the key."""
+    df = spark.range(200_000).select(F.lit(1).alias("k"), (F.hash("id") / 1000.0).alias("v")).cache()
+    lo, hi = df.agg(F.percentile_approx("v", [0.0498, 0.0502], 10_000)).first()[0]
+    assert df.where(F.col("v").between(lo, hi)).count() < 200
+    exact = df.orderBy("v").collect()[10_000]["v"]
+    assert [(x["level"], x["v"]) for x in scans.at_places(df, "k", "v", (0.05,)).collect()] == [(0, exact)]

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.series import edge
 from ..work import work_path
 from .orders import text_of
+from .scans import at_places, cut, kept, running, same
 
 START = 100_000.0
 
@@ -129,35 +130,52 @@ def cash(trades: DataFrame) -> DataFrame:
     return signed(trades).groupBy("user_id").agg(c.alias("cash")).select("user_id", F.round("cash", 4).alias("cash"), F.round(F.greatest(F.lit(5000.0), F.col("cash")) * 0.05, 4).alias("cap"))
 
 
-def equity_curve(trades: DataFrame, prices: DataFrame, start: float = START) -> DataFrame:
-    """(user_id, seq, equity): the start and one point for each trade, cash plus holdings (never under 0) at the present price. Two stacked windows; a user's trades are one partition."""
-    t = signed(trades).join(prices, "asset", "left").withColumn("price", F.coalesce("price", F.lit(100.0)))
+def equity_curve(trades: DataFrame, prices: DataFrame, start: float = START, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(user_id, seq, equity): the start and one point for each trade, cash plus holdings (never under 0) at the present price. A trade without a price moves no cash. Users of up to block_rows trades are two stacked windows, others are cut in blocks."""
+    t = signed(trades).join(prices, "asset", "left").withColumns({"price": F.coalesce("price", F.lit(100.0)), "paid": F.col("x") * F.coalesce("filled_price", F.lit(0.0))}).select("user_id", "asset", "filled_at", "trade_id", "x", "paid", "price")
+    long_ = t.groupBy("user_id").agg(F.count("*").alias("n")).where(F.col("n") > block_rows).select("user_id")
+    points = _points(t, start) if long_.isEmpty() else _points(same(t, long_, ["user_id"], "left_anti"), start).unionByName(_points_in_blocks(same(t, long_, ["user_id"], "left_semi"), start, block_rows))
+    return points.unionByName(points.select("user_id").distinct().select("user_id", F.lit(0).alias("seq"), F.lit(start).alias("equity")))
+
+
+def _points(t: DataFrame, start: float) -> DataFrame:
     own, all_ = Window.partitionBy("user_id", "asset").orderBy("filled_at", "trade_id"), Window.partitionBy("user_id").orderBy("filled_at", "trade_id")
     run = lambda w: w.rowsBetween(Window.unboundedPreceding, 0)
     value = F.greatest(F.lit(0.0), F.sum("x").over(run(own))) * F.col("price")
     t = t.withColumn("value", value).withColumn("delta", F.col("value") - F.lag("value", 1, 0.0).over(own))
-    points = t.select("user_id", F.row_number().over(all_).alias("seq"), (start - F.sum(F.col("x") * F.col("filled_price")).over(run(all_)) + F.sum("delta").over(run(all_))).alias("equity"))
-    return points.unionByName(points.select("user_id").distinct().select("user_id", F.lit(0).alias("seq"), F.lit(start).alias("equity")))
+    return t.select("user_id", F.row_number().over(all_).alias("seq"), (start - F.sum("paid").over(run(all_)) + F.sum("delta").over(run(all_))).alias("equity"))
 
 
-def period_returns(curve: DataFrame) -> DataFrame:
-    """(user_id, seq, ret): 0 where the point before is 0."""
-    prev = F.lag("equity").over(Window.partitionBy("user_id").orderBy("seq"))
-    return curve.withColumn("prev", prev).where("prev is not null").select("user_id", "seq", F.coalesce(F.try_divide(F.col("equity") - F.col("prev"), F.col("prev")), F.lit(0.0)).alias("ret"))
+def _points_in_blocks(t: DataFrame, start: float, block_rows: int) -> DataFrame:
+    """The points of users with many trades: holdings, cash and places run within blocks of the user's trades, from what the blocks before leave."""
+    worth = lambda q: F.greatest(F.lit(0.0), F.coalesce(q, F.lit(0.0))) * F.col("price")
+    held = running(cut(t, ["user_id"], ["filled_at", "trade_id"], block_rows), ["user_id", "asset"], F.sum, F.col("x"), "q", "q0")
+    last = F.lag(worth(F.col("q"))).over(Window.partitionBy("user_id", "asset", "block").orderBy("row"))
+    moves = held.select("user_id", "block", "row", (worth(F.col("q")) - F.coalesce(last, worth(F.col("q0")))).alias("delta"), "paid")
+    steps = kept(moves.withColumn("move", F.col("delta") - F.col("paid")).select("user_id", "block", "row", "move"), "moves")
+    seq = running(running(steps, ["user_id"], F.sum, F.col("move"), "gain"), ["user_id"], F.sum, F.lit(1), "seq")
+    return kept(seq.select("user_id", F.col("seq").cast("int").alias("seq"), (start + F.col("gain")).alias("equity")), "points")
 
 
-def max_drawdown(curve: DataFrame) -> DataFrame:
-    peak = F.max("equity").over(Window.partitionBy("user_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
-    return curve.withColumn("peak", peak).groupBy("user_id").agg(F.max(F.when(F.col("peak") > 0, (F.col("peak") - F.col("equity")) / F.col("peak")).otherwise(0.0)).alias("max_drawdown"))
+def period_returns(curve: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(user_id, seq, ret): 0 where the point before is 0. Points are taken in blocks by seq; the last of a block also stands before the next."""
+    block = F.floor(F.col("seq") / block_rows)
+    both = F.when((F.col("seq") + 1) % block_rows == 0, F.array(block, block + 1)).otherwise(F.array(block))
+    prev = F.lag("equity").over(Window.partitionBy("user_id", "block").orderBy("seq"))
+    return curve.withColumn("block", F.explode(both)).withColumn("prev", prev).where("prev is not null").select("user_id", "seq", F.coalesce(F.try_divide(F.col("equity") - F.col("prev"), F.col("prev")), F.lit(0.0)).alias("ret"))
+
+
+def max_drawdown(curve: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """The largest fall from a peak, as a share of it; the peak runs on through blocks of points."""
+    placed = curve.select("user_id", "equity", F.col("seq").alias("row"), F.floor(F.col("seq") / block_rows).alias("block"))
+    peaked = running(placed, ["user_id"], F.max, F.col("equity"), "peak")
+    return peaked.groupBy("user_id").agg(F.max(F.when(F.col("peak") > 0, (F.col("peak") - F.col("equity")) / F.col("peak")).otherwise(0.0)).alias("max_drawdown"))
 
 
 def value_at_risk(returns: DataFrame, *levels: float) -> DataFrame:
-    """Historical: the loss at 0-based place floor(p * n) of the ascending returns, 0 at least. Places come from a window that spills, so no user's returns have to fit in a row."""
-    w = Window.partitionBy("user_id")
-    n = F.count("*").over(w)
-    placed = returns.select("user_id", "ret", (F.row_number().over(w.orderBy("ret")) - 1).alias("i"), n.alias("n"))
-    place = lambda p: F.least(F.floor(F.col("n") * p), F.col("n") - 1)
-    return placed.groupBy("user_id").agg(*(F.greatest(F.lit(0.0), -F.max(F.when(F.col("i") == place(p), F.col("ret")))).alias(f"var_{round(100 - 100 * p)}") for p in levels))
+    """Historical: the loss at 0-based place floor(p * n) of the ascending returns, 0 at least. Places are found by selection, so no user's returns are sorted or lie in one task."""
+    found = at_places(returns, "user_id", "ret", levels)
+    return found.groupBy("user_id").agg(*(F.greatest(F.lit(0.0), -F.max(F.when(F.col("level") == j, F.col("ret")))).alias(f"var_{round(100 - 100 * p)}") for j, p in enumerate(levels)))
 
 
 def round_trips(trades: DataFrame) -> DataFrame:
@@ -167,7 +185,7 @@ def round_trips(trades: DataFrame) -> DataFrame:
 
 def risk_metrics(trades: DataFrame, prices: DataFrame) -> DataFrame:
     """user_id, sharpe_ratio, max_drawdown, win_rate, total_trades, var_95, var_99; zeros but for the win rate and the count under two trades."""
-    curve = equity_curve(trades, prices)
+    curve = kept(equity_curve(trades, prices), "curve")
     returns = period_returns(curve)
     stats = returns.groupBy("user_id").agg(F.count("*").alias("n"), F.avg("ret").alias("mean"), F.coalesce(F.stddev_samp("ret"), F.lit(0.0)).alias("sd"))
     counts = trades.where("status = 'FILLED'").groupBy("user_id").agg(F.count("*").alias("total_trades"))

@@ -7,7 +7,7 @@ from datetime import timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import ledger, many_assets, security, signals, sinks, versions
+from ..operators import ledger, many_assets, scans, security, signals, sinks, versions
 from ..functions import series
 from ..sources import relations as src
 from ..streaming import metrics, resting, sessions, stateful
@@ -261,3 +261,35 @@ def _(s, d):
 @query("html_escaped", "SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;') AS body FROM pages")
 def _(s, d):
     return src.table(s, d, "pages").select("page_id", security.html_escaped(F.col("html")).alias("body"))
+
+
+#: The curve by its rule: at each trade, the cash and what each asset of the user is worth.
+EQUITY = f"""{q.TRADES}, {q.PRICES}, x AS (SELECT user_id, asset, price, CASE WHEN side = 'buy' THEN quantity ELSE -quantity END AS x, filled_price, row_number() OVER (PARTITION BY user_id ORDER BY filled_at, trade_id) AS seq FROM trades JOIN prices USING (asset)),
+ own AS (SELECT DISTINCT user_id, asset, price FROM x),
+ grid AS (SELECT x.user_id, x.seq, own.price, sum(CASE WHEN x.asset = own.asset THEN x.x ELSE 0 END) OVER (PARTITION BY x.user_id, own.asset ORDER BY x.seq) AS held FROM x JOIN own USING (user_id)),
+ worth AS (SELECT user_id, seq, sum(greatest(0, held) * price) AS worth FROM grid GROUP BY 1, 2),
+ equity AS (SELECT user_id, CAST(seq AS INT) AS seq, 100000.0 - sum(x * filled_price) OVER (PARTITION BY user_id ORDER BY seq) + worth AS equity FROM x JOIN worth USING (user_id, seq) UNION ALL SELECT DISTINCT user_id, 0, 100000.0 FROM x)"""
+BLOCK = 16  # points a block, so that most users are cut
+
+
+def _in_blocks(s: SparkSession, d: str) -> DataFrame:
+    t = src.trades(s, d)
+    return ledger.equity_curve(t, src.last_price(src.filled(t)), block_rows=BLOCK)
+
+
+@query("equity_in_blocks", f"WITH {EQUITY} SELECT user_id, seq, round(equity, 4) AS equity FROM equity")
+def _(s, d):
+    """The equity curve with users cut in blocks."""
+    return _in_blocks(s, d).select("user_id", "seq", F.round("equity", 4).alias("equity"))
+
+
+@query("falls_in_blocks", f"WITH {EQUITY}, z AS (SELECT user_id, list(equity ORDER BY seq) AS e FROM equity GROUP BY 1) SELECT user_id, round(list_max([1 - e[i] / list_max(e[1:i]) FOR i IN range(1, len(e) + 1)]), 6) AS max_drawdown FROM z")
+def _(s, d):
+    return ledger.max_drawdown(_in_blocks(s, d), BLOCK).select("user_id", F.round("max_drawdown", 6).alias("max_drawdown"))
+
+
+@query("return_places", f"WITH {EQUITY}, r AS (SELECT b.user_id, CASE WHEN a.equity = 0 THEN 0 ELSE b.equity / a.equity - 1 END AS ret FROM equity a JOIN equity b ON a.user_id = b.user_id AND a.seq + 1 = b.seq), z AS (SELECT user_id, list_sort(list(ret)) AS r, count(*) AS n FROM r GROUP BY 1), p AS (SELECT * FROM (VALUES (0, 0.01), (1, 0.05), (2, 0.5)) p(level, share)) SELECT user_id, level, round(r[CAST(least(floor(n * share), n - 1) AS INT) + 1], 8) + 0.0 AS ret FROM z, p")
+def _(s, d):
+    """Historical quantiles of each user's returns, by selection."""
+    found = scans.at_places(ledger.period_returns(_in_blocks(s, d), BLOCK), "user_id", "ret", (0.01, 0.05, 0.5))
+    return found.select("user_id", "level", (F.round("ret", 8) + 0.0).alias("ret"))

@@ -63,6 +63,14 @@ CROSS = BARS + """, m AS (SELECT asset, d, close, row_number() OVER o - 1 AS i,
  c1 AS (SELECT *, sum(CAST(up AS INT)) OVER (PARTITION BY asset ORDER BY d) AS trip FROM c0), c2 AS (SELECT *, above AND trip > 0 AS held FROM c1),
  c3 AS (SELECT *, coalesce(lag(held) OVER (PARTITION BY asset ORDER BY d), FALSE) AS before, lag(close) OVER (PARTITION BY asset ORDER BY d) AS prev FROM c2),
  bt AS (SELECT *, 100000 * exp(sum(ln(CASE WHEN before THEN close / prev ELSE 1 END)) OVER (PARTITION BY asset ORDER BY d)) AS equity FROM c3)"""
+#: The backtest by its loop, bar by bar: cash or shares, and the curve so far.
+_AT = "{{'p': x.p, 'was': x.was, 'now': x.now, 'pos': {}, 'cash': {}, 'shares': {}, 'entry': {}, 'wins': {}, 'closed': {}, 'curve': list_append(b.curve, {})}}"
+_BUY = _AT.format("TRUE", "0.0::DOUBLE", "b.cash / x.p", "x.p", "b.wins", "b.closed", "b.cash / x.p * x.p")
+_SELL = _AT.format("FALSE", "b.shares * x.p", "0.0::DOUBLE", "b.entry", "b.wins + CAST(b.shares * x.p > b.shares * b.entry AS INT)", "b.closed + 1", "b.shares * x.p")
+_STAY = _AT.format("b.pos", "b.cash", "b.shares", "b.entry", "b.wins", "b.closed", "b.cash + b.shares * x.p")
+_FIRST = "'pos': FALSE, 'cash': 100000.0::DOUBLE, 'shares': 0.0::DOUBLE, 'entry': 0.0::DOUBLE, 'wins': 0, 'closed': 0, 'curve': []::DOUBLE[]}"
+LOOP = CROSS + f""", w AS (SELECT asset, i, close, f > s AS now, lag(f > s) OVER (PARTITION BY asset ORDER BY d) AS was FROM m WHERE n > 52),
+ z AS (SELECT asset, arg_max(close, i) AS last_close, list_reduce(list({{'p': close, 'was': was, 'now': now, {_FIRST} ORDER BY i) FILTER (i >= 50), lambda b, x: CASE WHEN NOT b.pos AND NOT x.was AND x.now THEN {_BUY} WHEN b.pos AND x.was AND NOT x.now THEN {_SELL} ELSE {_STAY} END, {{'p': 0.0::DOUBLE, 'was': FALSE, 'now': FALSE, {_FIRST}) AS z FROM w GROUP BY 1)"""
 KEYS = "keys AS (SELECT o_orderkey AS key_id, o_custkey % 50 AS user_id, CASE WHEN o_orderkey % 2 = 0 THEN 'ML-KEM-768' ELSE 'ML-DSA-65' END AS algorithm, o_orderstatus <> 'F' AS is_active, o_orderkey % 7 AS rotation_count, o_orderdate AS created_at FROM orders)"
 HEALTH = KEYS + f""", health AS (SELECT key_id, user_id, algorithm, due, CASE WHEN due <= 0 THEN 'RED' WHEN due <= 14 THEN 'YELLOW' ELSE 'GREEN' END AS level FROM (SELECT *, CAST(90 - floor((epoch(TIMESTAMP '{AS_OF}') - floor(epoch(created_at))) / 86400) AS INT) AS due FROM keys WHERE is_active))"""
 TICKERS = "cat AS (SELECT c_custkey AS ordinal, upper(substr(c_mktsegment, 1, 3)) || c_custkey || ['', '.NS', '.L', '.T', '.HK', '.AX', '.TO', '.DE', '-USD'][c_nationkey % 9 + 1] AS ticker FROM customer)"
@@ -346,15 +354,14 @@ def _(s, d):
     return src.orders_book(s, d).where(F.col("status").isin(*orders.OPEN)).groupBy("user_id").agg(F.count("*").alias("n"))
 
 
-@query("backtest_ma", f"""WITH {CROSS}, r AS (SELECT *, (equity - lag(equity) OVER (PARTITION BY asset ORDER BY d)) / greatest(lag(equity) OVER (PARTITION BY asset ORDER BY d), 1e-9) AS ret, greatest(100000, max(equity) OVER (PARTITION BY asset ORDER BY d)) AS peak FROM bt),
- st AS (SELECT asset, arg_max(equity, i) AS final, avg(ret) AS mean, coalesce(stddev_samp(ret), 0) AS sd, count(ret) AS n, max((peak - equity) / peak) AS dd FROM r GROUP BY 1),
- tr AS (SELECT asset, trip, arg_min(close, i) AS entry, arg_max(close, i) AS exit_ FROM bt WHERE trip > 0 AND (held OR before) GROUP BY 1, 2), wi AS (SELECT asset, count(*) FILTER (exit_ > entry) AS wins, count(*) AS closed FROM tr GROUP BY 1)
- SELECT asset, round(final, 2) AS final_capital, round(final / 100000 - 1, 4) AS total_return, CASE WHEN n < 2 THEN 0 ELSE round(mean / (sd + 1e-9) * sqrt(252), 3) END AS sharpe_ratio, round(dd, 4) AS max_drawdown, round(coalesce(wins, 0) / greatest(coalesce(closed, 0), 1), 3) AS win_rate, 2 * coalesce(closed, 0) AS total_trades FROM st LEFT JOIN wi USING (asset)""")
+@query("backtest_ma", f"""WITH {LOOP}, e AS (SELECT asset, z.curve AS v, z.pos AS pos, z.wins + CAST(z.pos AND last_close > z.entry AS INT) AS wins, z.closed + CAST(z.pos AS INT) AS closed, CASE WHEN z.pos THEN z.cash + z.shares * last_close ELSE z.cash END AS final FROM z),
+ r AS (SELECT *, [(v[i + 1] - v[i]) / greatest(v[i], 1e-9) FOR i IN range(1, len(v))] AS ret, list_max([1 - v[i] / greatest(100000, list_max(v[1:i])) FOR i IN range(1, len(v) + 1)]) AS dd FROM e)
+ SELECT asset, round(final, 2) AS final_capital, round(final / 100000 - 1, 4) AS total_return, CASE WHEN len(ret) < 2 THEN 0 ELSE round(list_avg(ret) / (list_stddev_samp(ret) + 1e-9) * sqrt(252), 3) END AS sharpe_ratio, round(dd, 4) AS max_drawdown, round(wins / greatest(1, closed), 3) AS win_rate, CAST(2 * closed AS BIGINT) AS total_trades FROM r""")
 def _(s, d):
     return backtest.report(src.bars(s, d))
 
 
-@query("backtest_curve", f"WITH {CROSS} SELECT asset, CAST(i AS INT) AS i, round(equity, 4) AS equity FROM (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY d) - 1 AS p, greatest(1, count(*) OVER (PARTITION BY asset) // 100) AS stride FROM bt) WHERE p % stride = 0")
+@query("backtest_curve", f"WITH {LOOP}, p AS (SELECT asset, z.curve AS v, unnest(range(0, len(z.curve), greatest(1, len(z.curve) // 100))) AS p FROM z) SELECT asset, CAST(50 + p AS INT) AS i, round(v[p + 1], 4) AS equity FROM p")
 def _(s, d):
     return backtest.sampled(backtest.curve(src.bars(s, d))).select("asset", "i", F.round("equity", 4).alias("equity"))
 
