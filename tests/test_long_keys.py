@@ -132,3 +132,38 @@ def test_selection_sorts_few_rows(spark):
     assert df.where(F.col("v").between(lo, hi)).count() < 200
     exact = df.orderBy("v").collect()[10_000]["v"]
     assert [(x["level"], x["v"]) for x in scans.at_places(df, "k", "v", (0.05,)).collect()] == [(0, exact)]
+
+
+def locked_loop(rows, failures, window, lock):
+    out, until, times = {}, {}, {}
+    for _, key, t, failed in sorted(rows, key=lambda r: (r[2], r[0])):
+        locks, refused = out.get(key, (0, 0))
+        if t < until.get(key, 0):
+            refused += 1
+        elif failed:
+            times[key] = [z for z in times.get(key, []) if z > t - window] + [t]
+            if len(times[key]) >= failures:
+                locks, until[key], times[key] = locks + 1, t + lock, []
+        else:
+            times[key] = []
+        out[key] = (locks, refused)
+    return out
+
+
+@pytest.mark.parametrize("failures, window, lock, block_rows", [(3, 60, 50, 16), (5, 900, 900, 64), (1, 60, 30, 7), (4, 20, 200, 3), (3, 60, 50, 100_000)])
+def test_lockouts_of_busy_keys(spark, failures, window, lock, block_rows):
+    """Attempts of one instant, a null key, keys under and over a block, runs over the edges of blocks."""
+    r = random.Random(failures)
+    rows = [(i, "hot" if i % 10 else r.choice(("x", None, "y")), 1_704_067_200 + r.randrange(20_000) // r.choice((1, 1, 4)), r.random() < 0.75) for i in range(4000)]
+    df = spark.createDataFrame(rows, "attempt_id long, key string, s long, failed boolean").withColumn("at", F.timestamp_seconds("s").cast("timestamp_ntz")).repartition(5)
+    got = {x["key"]: (x["locks"], x["refused"]) for x in security.lockouts(df, failures, window, lock, block_rows).collect()}
+    assert got == locked_loop(rows, failures, window, lock) and got["hot"][0] > 10
+
+
+def test_lockout_of_a_key_over_many_batches(spark):
+    """50,000 attempts of one key, most at few instants, stored newest first; locks are chosen over several Arrow batches."""
+    n = F.col("id")
+    df = spark.range(50_000).select((50_000 - n).alias("attempt_id"), F.lit(7).alias("key"), F.timestamp_seconds(F.lit(1_704_067_200) + F.floor((50_000 - n) / 3)).cast("timestamp_ntz").alias("at"), (n % 11 != 0).alias("failed"))
+    rows = [(x["attempt_id"], x["key"], x["at"].timestamp(), x["failed"]) for x in df.collect()]
+    got = security.lockouts(df, 5, 900, 9, block_rows=1_000).collect()
+    assert [(x["key"], x["locks"], x["refused"]) for x in got] == [(7, *locked_loop(rows, 5, 900, 9)[7])]

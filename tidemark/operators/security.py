@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import validate
+from .scans import cut, kept, running, same
 from .versions import Outbox
 
 MAX_AGE, WARN = 90, 14
@@ -199,8 +202,16 @@ def rate_limited(requests: DataFrame, seconds: int, limit: int, parts: int = 8)
     return seen.select("request_id", (F.col("upto") + F.col("before") + F.col("edge") - F.col("gone")).alias("seen")).withColumn("allowed", F.col("seen") <= limit)
 
 
-def lockouts(attempts: DataFrame, failures: int, window: int, lock: int) -> DataFrame:
-    """key, locks, refused: the state machine of failed logins as one fold over the key's attempts in time order. While locked, attempts are refused and leave no trace; failures in the window lock and clear the list, a success clears it."""
+def lockouts(attempts: DataFrame, failures: int, window: int, lock: int, block_rows: int = 100_000) -> DataFrame:
+    """key, locks, refused: the state machine of failed logins as one fold over the key's attempts in time order. While locked, attempts are refused and leave no trace; failures in the window lock and clear the list, a success clears it. Keys of more than block_rows attempts are cut in blocks."""
+    long_ = attempts.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block_rows).select("key")
+    if long_.isEmpty():
+        return _lockouts(attempts, failures, window, lock)
+    cut_ = _lockouts_in_blocks(same(attempts, long_, ["key"], "left_semi"), failures, window, lock, max(block_rows, failures))
+    return _lockouts(same(attempts, long_, ["key"], "left_anti"), failures, window, lock).unionByName(cut_)
+
+
+def _lockouts(attempts: DataFrame, failures: int, window: int, lock: int) -> DataFrame:
     t = F.col("at").cast("timestamp").cast("double")
     rows = F.array_sort(F.collect_list(F.struct(t.alias("t"), "attempt_id", F.col("failed").alias("f"))))
     none = F.expr("cast(array() as array<double>)")
@@ -217,6 +228,41 @@ def lockouts(attempts: DataFrame, failures: int, window: int, lock: int) -> Data
     return attempts.groupBy("key").agg(F.aggregate(rows, start, step).alias("z")).select("key", F.col("z.locks").alias("locks"), F.col("z.refused").alias("refused"))
 
 
+def _lockouts_in_blocks(attempts: DataFrame, failures: int, window: int, lock: int, block_rows: int) -> DataFrame:
+    """The lockout of busy keys. An attempt can lock if it ends `failures` failed ones in a row that lie in the window; it does if the first of them isn't before the end of the lock before. So locks are the greedy choice among runs (start, end),
+    which needs the runs alone: they stream past in order, and nothing but the end of the last lock is held. Whether an attempt can lock, and whether it is refused, is told in blocks. Attempts without a time have no effect."""
+    second = 1_000_000
+    t = F.unix_micros(F.col("at").cast("timestamp"))
+    rows = attempts.where("at is not null").select("key", "attempt_id", t.alias("t"), F.coalesce("failed", F.lit(False)).cast("int").alias("f"))
+    counted = running(cut(rows, ["key"], ["t", "attempt_id"], block_rows), ["key"], F.sum, F.lit(1), "seq")
+    placed = kept(counted.select("key", F.col("key").cast("string").alias("name"), "t", "f", (F.col("seq") - 1).alias("row")).withColumn("block", F.floor(F.col("row") / block_rows)), "attempts")
+    # The last attempts of a block also stand before the next, as runs may reach over.
+    tail = F.col("row") % block_rows > block_rows - failures
+    both = placed.withColumn("part", F.explode(F.when(tail, F.array("block", F.col("block") + 1)).otherwise(F.array("block"))))
+    run = Window.partitionBy("key", "part").orderBy("row")
+    runs = both.withColumns({"start": F.lag("t", failures - 1).over(run), "fails": F.sum("f").over(run.rowsBetween(1 - failures, 0))}).where("part = block")
+    runs = runs.where((F.col("fails") == failures) & ((F.col("start") > F.col("t") - window * second) | F.lit(failures == 1))).select("name", "row", "start", F.col("t").alias("stop"))
+
+    def chosen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, free = (), -(1 << 62)  # no key is ()
+        for batch in batches:
+            names, start, stop, found = batch["name"].to_numpy(), batch["start"].to_numpy(), batch["stop"].to_numpy(), []
+            ends = [*(np.flatnonzero([not (x == y or x is y) for x, y in zip(names[:-1], names[1:], strict=True)]) + 1), len(names)] if len(names) else []
+            for a, b in zip([0, *ends], ends):
+                if names[a] != last:
+                    last, free = names[a], -(1 << 62)
+                at = a + np.searchsorted(start[a:b], free)
+                while at < b:
+                    found.append(at)
+                    free = stop[at] + lock * second
+                    at = a + np.searchsorted(start[a:b], free)
+            yield pd.DataFrame({"name": names[found], "row": batch["row"].to_numpy()[found], "until": stop[found] + lock * second})
+
+    locks = runs.repartition("name").sortWithinPartitions("name", "row").mapInPandas(chosen, "name string, row long, until long")
+    held = running(same(placed, kept(locks, "locks"), ["name", "row"], "left"), ["key"], F.max, F.col("until"), "held")
+    return held.groupBy("key").agg(F.count("until").cast("int").alias("locks"), F.count_if(F.col("until").isNull() & (F.col("t") < F.col("held"))).cast("int").alias("refused"))
+
+
 def evicted(sessions: DataFrame, as_of: str, ttl: int = 3600, cap: int = 10_000) -> DataFrame:
     """Sessions that stay: younger than ttl seconds, and the newest cap of them. The cap is a rank over all, so it is taken by a top-n, not a window of one partition."""
     age = F.unix_timestamp(F.lit(as_of).cast("timestamp")) - F.unix_timestamp(F.col("created_at").cast("timestamp"))

@@ -293,3 +293,9 @@ def _(s, d):
     """Historical quantiles of each user's returns, by selection."""
     found = scans.at_places(ledger.period_returns(_in_blocks(s, d), BLOCK), "user_id", "ret", (0.01, 0.05, 0.5))
     return found.select("user_id", "level", (F.round("ret", 8) + 0.0).alias("ret"))
+
+
+@query("lockout_in_blocks", q.ORACLE_SQL["lockout"])
+def _(s, d):
+    """The lockout with keys cut in blocks."""
+    return security.lockouts(src.table(s, d, "events").select(F.col("event_id").alias("attempt_id"), F.col("user_id").alias("key"), F.col("ts").alias("at"), (F.col("event_type") == "error").alias("failed")), 3, 86_400, 21_600, block_rows=BLOCK)
