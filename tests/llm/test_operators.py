@@ -1,3 +1,4 @@
+import time
 import base64
 import hashlib
 import zipfile
@@ -674,3 +675,17 @@ def test_random_strings_without_digits_and_beside_others(spark):
         own = range(40 * part, 40 * part + 40)
         assert sum(any(s["kind"] == "random" and hard[i][0][s["start"] : s["end"]].endswith(hard[i][1]) for s in found[1000 + i]) and hard[i][1] not in clean[1000 + i] for i in own) >= 36
     assert not any(found[2000 + i] for i in range(len(plain)))
+
+
+def test_mix_of_many_sources(spark):
+    """20,000 sources with one to four blocks, one with thousands: the plan keeps a row a source, slots have no gaps, and how sources are dealt over ranges changes nothing."""
+    n = F.col("id")
+    small = spark.range(50_000).select(n.alias("doc_id"), F.concat(F.lit("s"), n % 20_000).alias("source"), F.repeat(F.lit("x"), (5 + n % 7).cast("int")).alias("text"))
+    docs = small.unionByName(spark.range(30_000).select((n + 50_000).alias("doc_id"), F.lit("large").alias("source"), F.lit("x" * 9).alias("text")))
+    began = time.time()
+    got = pfair_mix.mix(docs, block_chars=10, total_weight=30_000).select("doc_id", "source", "block", "slot").toPandas()
+    assert len(got) == 80_000 and got["slot"].notna().all() and time.time() - began < 90
+    slots = got.drop_duplicates(["source", "block"])["slot"]
+    assert sorted(slots) == list(range(len(slots)))
+    again = pfair_mix.mix(docs, block_chars=10, total_weight=30_000, ranges=16).select("doc_id", "slot").toPandas()
+    assert dict(zip(again["doc_id"], again["slot"])) == dict(zip(got["doc_id"], got["slot"]))

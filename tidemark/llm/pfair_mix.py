@@ -8,7 +8,8 @@ from the moment at which one runs out, the others share its slots by their weigh
 
 Weights are whole numbers, so at each whole time v all sources are exactly on target. The blocks of the time from v to v + 1 are a frame, frames are independent of each other, and one schedule is made for
 each composition of a frame; all blocks find their slot by a join. There are no more than twice as many compositions as sources.
-Frame f begins at the slot that is the sum over sources of min(blocks, f * weight). (The plan of compositions is made on the driver; it grows with the square of the number of sources, not with their rows.)
+Frame f begins at the slot that is the sum over sources of min(blocks, f * weight). Sorted by the time at which they run out, the sources that a frame
+still holds are the end of the list, so the driver keeps one row a source and one number a composition; the tasks read their part of that list.
 
 A document's block comes from a running sum of its length within its source, in the order of a hash of its id. Sums are taken first over
 hash ranges of each source, then within each range, so no task holds a source as a whole.
@@ -28,6 +29,7 @@ from fractions import Fraction
 from heapq import heappop, heappush
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -90,9 +92,12 @@ def placed(docs: DataFrame, block_chars: int, ranges: int) -> DataFrame:
     return own.join(before, ["source", "range"]).withColumn("chars", start).withColumn("raw", F.floor(start / block_chars).cast("long")).select("doc_id", "source", "size", "tie", "range", "at", "raw")
 
 
-def mix(docs: DataFrame, weights: dict[str, int] | None = None, power: float = 0.7, total_weight: int = 1000, block_chars: int = 100_000, min_live: float = 0.5, ranges: int = 256, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """doc_id, source, tie (hash of the text), block, frame, slot, place (in the block), in_mix. weights: whole numbers by source; if None, from the sources' lengths to the power, summing to about total_weight."""
+def mix(docs: DataFrame, weights: dict[str, int] | None = None, power: float = 0.7, total_weight: int = 1000, block_chars: int = 100_000, min_live: float = 0.5, ranges: int | None = None, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+    """doc_id, source, tie (hash of the text), block, frame, slot, place (in the block), in_mix. weights: whole numbers by source; if None, from the sources' lengths to the power, summing to about total_weight. ranges: a power of two, by which sources are dealt; if None, enough for a
+    million rows at most in each. The result doesn't depend on it."""
     spark = docs.sparkSession
+    if ranges is None:
+        ranges = 1 << max(8, (docs.count() // 500_000).bit_length())
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), F.coalesce(F.length(F.col(text_col).cast("string")), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.col(text_col).cast("string")).alias("tie"))
     rows = common.saved(placed(slim, block_chars, ranges), "placed")
     # Long documents leave numbers without a document; blocks are numbered anew without gaps.
@@ -109,29 +114,41 @@ def mix(docs: DataFrame, weights: dict[str, int] | None = None, power: float = 0
     live = {s: w for s, w in weights.items() if w > 0 and counts.get(s)}
     cuts = sorted({c for s, w in live.items() for c in (counts[s] // w, counts[s] // w + 1)} | {0}) if live else []
     whole = sum(weights[s] for s in live)
-    # The time at which too little weight is left, as blocks over weight; 0 if there is nothing to mix.
-    ends = sorted((Fraction(counts[s], w), w) for s, w in live.items())
-    left = [whole - gone for gone in accumulate(w for _, w in ends)]
-    last = next((end for (end, _), rest in zip(ends, left, strict=True) if rest < min_live * whole), ends[-1][0] if ends else Fraction(0))
-
-    frames = [(f, int(sum(min(counts[s], f * w) for s, w in live.items())), [(s, w, min(w, counts[s] - f * w)) for s, w in live.items() if counts[s] > f * w]) for f in cuts]
+    # Sources by the time at which they run out, as blocks over weight: (time, weight, source, blocks).
+    ends = sorted((Fraction(counts[s], w), w, s, counts[s]) for s, w in live.items())
+    weights_gone, blocks_gone = [0, *accumulate(w for _, w, _, _ in ends)], [0, *accumulate(n for _, _, _, n in ends)]
+    # The mix ends when too little weight is left; at 0 if there is nothing to mix.
+    last = next((end for (end, _, _, _), gone in zip(ends, weights_gone[1:], strict=True) if whole - gone < min_live * whole), ends[-1][0] if ends else Fraction(0))
+
+    times = [end for end, _, _, _ in ends]
+    frames = []
+    for f in cuts:
+        at = bisect_right(times, f)  # sources from here on have blocks in the frame
+        if at < len(ends):
+            frames.append((f, blocks_gone[at] + f * (whole - weights_gone[at]), at))
+    listed = spark.sparkContext.broadcast([(s, w, n) for _, w, s, n in ends])
 
     def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, begin, parts in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
-                slots = schedule({p["source"]: (p["weight"], p["n"]) for p in parts})
+            for first, begin, at in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+                slots = schedule({s: (w, min(w, n - first * w)) for s, w, n in listed.value[at:]})
                 n = len(slots)
                 yield pa.RecordBatch.from_arrays([pa.array([first] * n, pa.int64()), pa.array([s for s, _ in slots], pa.string()), pa.array([k for _, k in slots], pa.int64()), pa.array(range(begin, begin + n), pa.int64()), pa.array([n] * n, pa.int64())], ["cut", "source", "k", "first_slot", "length"])
 
-    schema = "cut long, begin long, parts array<struct<source: string, weight: long, n: long>>"
-    work = spark.createDataFrame([(f, begin, [{"source": s, "weight": w, "n": n} for s, w, n in parts]) for f, begin, parts in frames if parts], schema).repartition(max(1, min(len(frames), 64)))
+    work = spark.createDataFrame(frames, "cut long, begin long, at long").repartition(max(1, min(len(frames), 64)))
     slots = work.transform(common.in_batches, plan, "cut long, source string, k long, first_slot long, length long")
 
     # A frame is composed like the last cut at or before it.
     weight = spark.createDataFrame([(s, w, counts[s]) for s, w in live.items()], "source string, weight long, blocks long")
-    of_cut = F.array(*(F.lit(f).cast("long") for f in cuts)) if cuts else F.array().cast("array<long>")
     framed = numbered.join(weight, "source").withColumns({"frame": F.floor(F.col("block") / F.col("weight")).cast("long"), "k": F.col("block") % F.col("weight")})
-    framed = framed.withColumn("cut", F.array_max(F.filter(of_cut, lambda c: c <= F.col("frame"))))
+    starts = spark.sparkContext.broadcast(np.array(cuts, np.int64))
+
+    def with_cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.searchsorted(starts.value, batch.column("frame").to_numpy(), side="right") - 1
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(starts.value[at])], [*batch.schema.names, "cut"])
+
+    framed = framed.transform(common.in_batches, with_cut, "source string, raw long, block long, weight long, blocks long, frame long, k long, cut long")
     slot = F.col("first_slot") + (F.col("frame") - F.col("cut")) * F.col("length")
     in_mix = F.col("block") * F.lit(last.denominator) < F.col("weight") * F.lit(last.numerator)
     slotted = framed.join(slots, ["cut", "source", "k"]).select("source", "raw", "block", "frame", slot.alias("slot"), in_mix.alias("in_mix"))
