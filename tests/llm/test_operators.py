@@ -689,3 +689,56 @@ def test_mix_of_many_sources(spark):
     assert sorted(slots) == list(range(len(slots)))
     again = pfair_mix.mix(docs, block_chars=10, total_weight=30_000, ranges=16).select("doc_id", "slot").toPandas()
     assert dict(zip(again["doc_id"], again["slot"])) == dict(zip(got["doc_id"], got["slot"]))
+
+
+def named_texts():
+    given, family = ("Anna", "Klaus", "Pierre", "Carmen", "Mary"), ("Okafor", "Weber", "Dupont", "Vega", "Stone")
+    rows = []
+    for i in range(50):
+        a, b = given[i % 5], family[i // 5 % 5]
+        rows += [(len(rows), f"the letter was signed by {a} {b} and sent to Dr. {b} that day"), (len(rows) + 1, f"Oure Oure was read. General Public rules apply{i}. Der Hund lief. invoice {a}"), (len(rows) + 2, f"Mail a{i}@mail.example.com, or call (555) 123-{1000 + i}; see invoice 555-123-{1000 + i}.")]
+    return rows
+
+
+def test_em_and_classifier_restated(spark):
+    """Priors, reliabilities and scores against plain loops over the same votes; planted names are found, capitals at the start of sentences and doubled words aren't."""
+    import math
+
+    rows = named_texts()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = common.saved(pii.candidates(docs).withColumn("row", F.monotonically_increasing_id()), "t-candidates")
+    names = spark.createDataFrame([(n,) for n in pii.GIVEN_NAMES], "name string")
+    spans = common.saved(pii.described(found, names), "t-described")
+    weights, model = pii.train(spans)
+    each = [s for r in spans.collect() for s in r["spans"]]
+    kinds = range(pii.LABELERS)
+    prior, yes, no = 0.5, [[0.3, 0.6, 0.1]] * pii.LABELERS, [[0.3, 0.1, 0.6]] * pii.LABELERS
+
+    def chance(votes):
+        a, b = prior, 1 - prior
+        for j in kinds:
+            a, b = a * yes[j][votes[j]], b * no[j][votes[j]]
+        return a / (a + b)
+
+    for _ in range(30):
+        y = [chance(s["votes"]) for s in each]
+        table = lambda p: [[(sum(q for q, s in zip(p, each) if s["votes"][j] == v) + 1) / (sum(p) + 3) for v in range(3)] for j in kinds]  # noqa: E731, B023
+        prior, yes, no = (sum(y) + 1) / (len(y) + 2), table(y), table([1 - q for q in y])
+    assert model["prior"] == pytest.approx(prior) and np.allclose(model["yes"], yes) and np.allclose(model["no"], no)
+    x = np.array([[1.0] + [float(v == 1) for v in s["votes"]] + [float(v == 2) for v in s["votes"]] + [float(f) for f in s["features"]] for s in each])
+    y, w = np.array([chance(s["votes"]) for s in each]), np.zeros(pii.WEIGHTS)
+    for _ in range(200):
+        w = w * (1 - 0.001) + x.T @ (y - 1 / (1 + np.exp(-x @ w))) / len(x)
+    assert np.allclose(weights, w, atol=1e-9) and not any(math.isnan(v) for v in weights)
+    texts, got = dict(rows), pii.personal_spans(docs).collect()
+    shown = {texts[r["doc_id"]][s["start"] : s["end"]] for r in got for s in r["spans"] if s["kind"] == "name"}
+    assert {"Anna Okafor", "Klaus Weber", "Dr. Stone"} <= shown and not shown & {"Oure Oure", "General Public", "Der Hund"}
+
+
+def test_gazetteer_as_a_table(spark):
+    """The caller's names count: with a list of one name its bearers are voted for, all others against; repeated and null entries and a null text do no harm."""
+    rows = [(0, "it was Zorblat Quux who met Anna Stone"), (1, None), (2, "no names"), (3, "Dr. Zorblat Quux")]
+    found = common.saved(pii.candidates(spark.createDataFrame(rows, "doc_id long, text string")).withColumn("row", F.monotonically_increasing_id()), "t-candidates")
+    names = spark.createDataFrame([("Zorblat",), ("Zorblat",), (None,)], "name string")
+    got = {r["doc_id"]: [s["votes"][1] for s in r["spans"]] for r in pii.described(found, names).collect()}
+    assert got == {0: [1, 2], 1: [], 2: [], 3: [1]}

@@ -5,6 +5,8 @@ maximisation over the counts of vote patterns estimates the share of true spans
 posteriors are the soft labels on which a logistic span classifier over votes and shape features is trained. Base
 spans are always reported; other candidates are if the classifier gives them half or more and they overlap no base span.
 
+Names are proposed by their capitals; the gazetteer of given names is a table that a caller may bring, and one labeler among others.
+
 Only counts of vote and feature patterns (3^6 votes by 2^6 features at most) ever meet in one place, however large the corpus.
 
 Defined cases: null or empty text: no spans. Texts of any length are read whole; positions count code points. Repeated rows are handled each for itself.
@@ -32,15 +34,25 @@ KINDS = (
     ("ssn", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
     ("iban", r"[A-Z]{2}[0-9]{2}[ A-Z0-9]{11}", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     ("mail", r"[\[(](?:at|AT)[\])]", r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{1,64}+ ?[\[(](?:at|AT)[\])] ?[A-Za-z0-9-]++(?: ?(?:[\[(](?:dot|DOT)[\])]|\.) ?[A-Za-z0-9-]++)++"),
-    ("name", r"\b(?:Mr|Mrs|Ms|Dr|Prof)\b|\b(?:James|Mary|John|Patricia|Robert|Jennifer|Michael|Linda|David|Elizabeth|Maria|Anna|Hans|Jean|Carlos)\b",
-     r"\b(?:(?:Mr|Mrs|Ms|Dr|Prof)\b\.? ?)?(?:James|Mary|John|Patricia|Robert|Jennifer|Michael|Linda|David|Elizabeth|Maria|Anna|Hans|Jean|Carlos|(?<=(?:Mr|Mrs|Ms|Dr|Prof)\b\.? )[A-Z][a-z]+) [A-Z][a-z]+"),
+    ("name", r"\p{Lu}\p{Ll}*\.? \p{Lu}\p{Ll}", r"(?<![\p{L}\p{N}_])(?:(?:Mr|Mrs|Ms|Dr|Prof)\b\.? \p{Lu}\p{Ll}++(?: \p{Lu}\p{Ll}++){0,2}+|\p{Lu}\p{Ll}++(?: \p{Lu}\p{Ll}++){1,2}+)(?![\p{L}\p{N}_])"),
 )
 NAMES = tuple(k for k, _, _ in KINDS)
 BASE = NAMES[:4]
-#: Gazetteer: given names, mail hosts and domains, country codes of account numbers.
-GAZETTEER = r"^(?:(?:Mr|Mrs|Ms|Dr|Prof)\.? )?(?:James|Mary|John|Patricia|Robert|Jennifer|Michael|Linda|David|Elizabeth|Maria|Anna|Hans|Jean|Carlos)\b|@(?:[^@]*\.)?(?:gmail|yahoo|hotmail|outlook|example|mail)\.|^(?:DE|FR|GB|ES|IT|NL|AT|CH|BE|PL|SE)[0-9]{2}|^\+(?:1|33|34|39|44|49)[^0-9]"
+NAME = NAMES.index("name")
+#: Given names of the gazetteer that is used if a caller brings none.
+GIVEN_NAMES = tuple("""
+    Alan Albert Alexander Alice Ana Andrea Andrew Angela Anna Anne Antonio Barbara Brian Camille Carlos Carmen Catherine Charles Charlotte Chloe Christian Claire Claudia David Deborah Diego Donald
+    Edward Elena Elizabeth Emily Emma Fernando Francisco François Frank Gabriel George Gertrud Hans Heinrich Helen Henri Hugo Isabel Isabelle Jacques James Javier Jean Jennifer Jessica Johann John
+    Jorge José Joseph Juan Julia Julie Jürgen Karen Karin Karl Klaus Laura Linda Lisa Louis Lucas Lucía Luis Manuel Margaret Maria Marie Mark Martin Mary María Matthew Michael Michel Miguel Monika
+    Nancy Nicolas Olivier Pablo Patricia Paul Pedro Peter Philippe Pierre Richard Robert Ruth Sabine Sandra Sarah Sofía Sophie Stefan Steven Susan Thomas Ursula Walter William Wolfgang
+""".split())
+#: Mail hosts and the country codes of account and phone numbers.
+KNOWN_PARTS = r"@(?:[^@]*\.)?(?:gmail|yahoo|hotmail|outlook|example|mail)\.|^(?:DE|FR|GB|ES|IT|NL|AT|CH|BE|PL|SE)[0-9]{2}|^\+(?:1|33|34|39|44|49)[^0-9]"
+TITLE = r"^(?:Mr|Mrs|Ms|Dr|Prof)\b\.? ?"
 CONTEXT = r"(?i)\b(?:e-?mail|mailto|contact|phone|tel|call|mobile|fax|card|visa|account|iban|bank|ssn|social security|ip|address|host|from|name|dear|signed|by)\W{0,4}\w{0,8}\W{0,3}$"
 COUNTER = r"(?i)\b(?:version|isbn|issn|order|invoice|ticket|part|serial|model|page|section|figure|build|release|doi)\W{0,4}\w{0,6}\W{0,3}$|[$€£v]$"
+#: Where a sentence or a line begins.
+SENTENCE = r"(?:^|[.!?:\n])\s*$"
 LABELERS = 6
 FEATURES = 6
 
@@ -132,29 +144,40 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return each.select("doc_id", base.alias("base"), added.alias("added")).select("doc_id", F.concat("base", apart(F.col("added"), F.col("base"))).alias("spans"))
 
 
-def votes(s: Column) -> list[Column]:
-    """For each labeler 1 (for), 2 (against) or 0 (abstains)."""
+def given(match: Column) -> Column:
+    """The word of a name that stands first, after a title."""
+    return F.regexp_extract(F.regexp_replace(match, TITLE, ""), r"^\p{Lu}\p{Ll}+", 0)
+
+
+def votes(s: Column, known: Column) -> list[Column]:
+    """For each labeler 1 (for), 2 (against) or 0 (abstains). known: the words of the row's names that the gazetteer holds. The pattern that proposes names looks at capital letters alone, so title, gazetteer, context and repetition each see something else."""
     digits = F.length(F.regexp_replace(s["match"], "[^0-9]", ""))
     kind, match, before = s["kind"], s["match"], s["before"]
-    shape = F.when(kind == 0, F.when(match.rlike(r"^[^@]{1,64}@.*\.[A-Za-z]{2,24}$"), 1).otherwise(2)).when(kind == 3, F.when(match.rlike(r"[ ().-]"), 1).otherwise(0)).when(kind == 1, F.when(match.rlike(r"^(?:0|127)\.|\.0\.0$"), 2).otherwise(1)).otherwise(1)
-    gazetteer = F.when(match.rlike(GAZETTEER), 1).when(kind.isin(0, 7, 8), 2).otherwise(0)
+    shape = F.when(kind == 0, F.when(match.rlike(r"^[^@]{1,64}@.*\.[A-Za-z]{2,24}$"), 1).otherwise(2)).when(kind == 3, F.when(match.rlike(r"[ ().-]"), 1).otherwise(0)).when(kind == 1, F.when(match.rlike(r"^(?:0|127)\.|\.0\.0$"), 2).otherwise(1)).when(kind == NAME, F.when(match.rlike(TITLE), 1).when(before.rlike(SENTENCE), 2).otherwise(0)).otherwise(1)
+    listed = F.when(kind == NAME, F.array_contains(known, given(match))).otherwise(match.rlike(KNOWN_PARTS))
+    # After a title a family name may stand alone, so a list of given names has nothing to say against it.
+    gazetteer = F.when(listed, 1).when(kind.isin(0, 7) | ((kind == NAME) & ~match.rlike(TITLE)), 2).otherwise(0)
     context = F.when(before.rlike(CONTEXT), 1).otherwise(0)
     checksum = F.when(kind == 2, 1).when(kind == 5, F.when(match.rlike("^(?:000|666|9)"), 2).otherwise(1)).when(kind.isin(3, 4), F.when(digits.between(10, 13), 1).otherwise(2)).otherwise(0)
     counter = F.when(before.rlike(COUNTER), 2).otherwise(0)
-    same = F.when(F.regexp_replace(match, "[^0-9]", "").rlike(r"^([0-9])\1{6,}$"), 2).otherwise(0)
+    same = F.when(F.regexp_replace(match, "[^0-9]", "").rlike(r"^([0-9])\1{6,}$") | ((kind == NAME) & match.rlike(r"(\p{Lu}\p{Ll}+) \1(?: |$)")), 2).otherwise(0)
     return [shape, gazetteer, context, checksum, counter, same]
 
 
 def features(s: Column) -> list[Column]:
     """Shape features of the classifier beside the votes, each 0 or 1."""
     match, before = s["match"], s["before"]
-    tests = [s["kind"] < 4, s["kind"] == 8, F.length(match) > 20, match.rlike("[A-Za-z]"), (before == "") | before.endswith("\n"), before.rlike(r"[A-Za-z0-9]$")]
+    tests = [s["kind"] < 4, s["kind"] == NAME, F.length(match) > 20, match.rlike("[A-Za-z]"), (before == "") | before.endswith("\n"), before.rlike(r"[A-Za-z0-9]$")]
     return [F.when(t, 1).otherwise(0) for t in tests]
 
 
-def described(spans: DataFrame) -> DataFrame:
-    """The spans with votes (array<int>) and features (array<int>) beside each."""
-    return spans.withColumn("spans", F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.array(*votes(s)).alias("votes"), F.array(*features(s)).alias("features"))))
+def described(spans: DataFrame, gazetteer: DataFrame) -> DataFrame:
+    """The spans (saved, with a number in `row`) with votes (array<int>) and features (array<int>) beside each. gazetteer (name): a table of any size, joined with the different first words of each row's names."""
+    words = spans.select("row", F.explode(F.array_distinct(F.transform(F.filter("spans", lambda s: s["kind"] == NAME), lambda s: given(s["match"])))).alias("name"))
+    listed = words.join(gazetteer.select(F.col("name").cast("string").alias("name")), "name", "left_semi").groupBy("row").agg(F.collect_set("name").alias("known"))
+    both = spans.join(listed, "row", "left").withColumn("known", F.coalesce("known", F.expr("cast(array() as array<string>)")))
+    each = lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.array(*votes(s, F.col("known"))).alias("votes"), F.array(*features(s)).alias("features"))
+    return both.select("doc_id", F.transform("spans", each).alias("spans"))
 
 
 def bound(value: Column, then) -> Column:
@@ -236,9 +259,11 @@ def posterior(votes_: Column, model: Column) -> Column:
     return a / (a + b)
 
 
-def personal_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """doc_id, spans: array of (kind, start, end, base, score), in the order of KINDS, then start."""
-    spans = common.saved(described(candidates(docs, id_col, text_col)), "pii")
+def personal_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5, gazetteer: DataFrame | None = None) -> DataFrame:
+    """doc_id, spans: array of (kind, start, end, base, score), in the order of KINDS, then start. gazetteer (name): given names; GIVEN_NAMES if None."""
+    names = docs.sparkSession.createDataFrame([(n,) for n in GIVEN_NAMES], "name string") if gazetteer is None else gazetteer
+    found = common.saved(candidates(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "pii-candidates")
+    spans = common.saved(described(found, names), "pii")
     weights = F.array(*map(F.lit, train(spans)[0]))
     scored = F.transform("spans", lambda s: F.struct(s["kind"].alias("order"), s["start"].alias("start"), s["end"].alias("end"), F.element_at(F.array(*map(F.lit, NAMES)), s["kind"] + 1).alias("kind"), (s["kind"] < len(BASE)).alias("base"), sigmoid(inputs(s["votes"], s["features"]), weights).alias("score")))
     return spans.select("doc_id", F.array_sort(F.filter(scored, lambda s: s["base"] | (s["score"] >= least))).alias("spans"))
