@@ -196,9 +196,9 @@ def risk_metrics(trades: DataFrame, prices: DataFrame) -> DataFrame:
 
 def scaled(curve: DataFrame) -> DataFrame:
     """The curve between its least (0) and largest (1) value."""
-    w = Window.partitionBy("user_id")
-    low, high = F.min("equity").over(w), F.max("equity").over(w)
-    return curve.select("user_id", "seq", ((F.col("equity") - low) / F.when(high == low, 1.0).otherwise(high - low)).alias("scaled"))
+    ends = curve.groupBy("user_id").agg(F.min("equity").alias("low"), F.max("equity").alias("high"))
+    width = F.when(F.col("high") == F.col("low"), 1.0).otherwise(F.col("high") - F.col("low"))
+    return same(curve, ends, ["user_id"]).select("user_id", "seq", ((F.col("equity") - F.col("low")) / width).alias("scaled"))
 
 
 def serialized(trades: DataFrame) -> DataFrame:
