@@ -6,6 +6,7 @@ from collections import Counter
 from fractions import Fraction
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -742,3 +743,31 @@ def test_gazetteer_as_a_table(spark):
     names = spark.createDataFrame([("Zorblat",), ("Zorblat",), (None,)], "name string")
     got = {r["doc_id"]: [s["votes"][1] for s in r["spans"]] for r in pii.described(found, names).collect()}
     assert got == {0: [1, 2], 1: [], 2: [], 3: [1]}
+
+
+def test_knn_join_sends_blocks_as_large_as_parts():
+    """10^6 rows and 2 * 10^4 queries that meet every cell: the rows go out once, each query to about as many blocks as hold 20,000 rows."""
+    r = np.random.default_rng(3)
+    pivots = knn_join.Pivots(np.unique(r.normal(0, 1, (1000, 8)), axis=0))
+    cells = pd.DataFrame({"cell": np.arange(-1, 1000), "n": [5, *[990] * 999, 45_000]})
+    packs = knn_join.packed(pivots, cells, 20_000)
+    assert sorted(packs["cell"]) == list(range(-1, 1000))
+    sums = packs.merge(cells, on="cell").groupby("pack").agg(n=("n", "sum"), blocks=("blocks", "first"), cells=("cell", "count"))
+    assert (sums["n"] <= 20_000 * sums["blocks"]).all() and (sums["cells"][sums["blocks"] > 1] == 1).all()
+    assert sums["blocks"].max() == 3 and len(packs[packs["pack"] == packs["pack"][packs["cell"] == -1].iloc[0]]) == 1
+    assert sums["blocks"].sum() <= 60  # 1.2 * 10^6 rows of queries, against 10^6 rows of data
+
+
+@pytest.mark.parametrize("size", [1.0, 1e3, 1e7])
+def test_knn_join_of_wide_components(spark, size):
+    """Components of two, four and eight bytes, over more blocks and parts than shuffle partitions. The largest scores are held to a long and tie there, which bounds mustn't tell apart."""
+    r = np.random.default_rng(8)
+    x = r.normal(0, size, (300, 4))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    whole = [[int(c) for c in v] for v in np.floor(256 * x)]
+    want = []
+    for q in range(0, 300, 50):
+        scores = sorted((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(whole[q], whole[i], strict=True)))), i) for i in range(300) if i != q)[:5]
+        want += [(q, k, i, -s) for k, (s, i) in enumerate(scores, 1)]
+    got = knn_join.knn_join(df, F.col("id") % 50 == 0, cell_rows=16, block_values=80, part_queries=2).collect()
+    assert sorted((y["query_id"], y["rank"], y["vec_id"], y["score"]) for y in got) == sorted(want)

@@ -39,6 +39,8 @@ from . import common
 LARGE = float(1 << 20)
 #: Components from which squares and sums aren't taken: such rows have no bounds.
 HUGE = float(1 << 40)
+#: Scores beyond it may be held to a long's range and tie there, so no bound tells them apart.
+HELD_SCORE = 9.2e18
 #: The cell of rows without bounds.
 UNBOUNDED = -1
 #: Numbers in a table of rows and pivots that is held at once.
@@ -210,7 +212,7 @@ def bounded_queries(queries: DataFrame, pivots: Pivots, cells: pd.DataFrame, wit
             if len(ids) >= k:
                 scores = np.where(own[:, None] == ids[None, :], -np.inf, x @ vectors.T)
                 least = -np.partition(-scores, k - 1, axis=1)[:, k - 1] - 1e-9 * length * longest - 1e-6
-            least[huge] = -np.inf
+            least = np.where(huge | (least < -HELD_SCORE), -np.inf, np.minimum(least, HELD_SCORE))
             need = ~(known.ceilings(x) < least[:, None])
             met = np.logical_or.reduceat(need[:, order], starts, axis=1) if len(names) else need
             found = [pa.array([*names[m].tolist(), *unbounded], pa.int32()) for m in met]
