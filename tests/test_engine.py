@@ -187,3 +187,18 @@ def test_keyed_hashes(spark):
     assert len(df.select(keyed_hash.hkdf_sha256("ctx")("x", "y")).first()[0]) == 64
     stored = hashlib.pbkdf2_hmac("sha256", b"a", b"s", 10).hex()
     assert df.withColumn("d", F.lit(stored)).select(keyed_hash.pbkdf2_verify(10)("x", "y", "d")).first()[0] is True
+
+
+def test_edge(spark):
+    """Halves go to the even side, below zero too; noise of binary numbers doesn't move a half; what no decimal holds stays."""
+    values = [0.125, 0.135, -0.125, -0.135, 2.675, 0.1 + 0.2 - 0.175, 1234567.125, 1e-12, -0.004, 1e300, float("inf"), None]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, x double")
+    got = [r["y"] for r in df.select("i", series.edge(F.col("x"), 2).alias("y")).orderBy("i").collect()]
+    assert got == [0.12, 0.14, -0.12, -0.14, 2.68, 0.12, 1234567.12, 0.0, 0.0, 1e300, float("inf"), None]
+    assert np.isnan(spark.range(1).select(series.edge(F.lit(float("nan")), 2).alias("y")).first()["y"])
+
+
+def test_total_of_cents(spark):
+    """Sums are exact: a million cents, and what takes them back."""
+    pnl = spark.range(100_000).select(F.lit(1).alias("user_id"), F.lit(0.1).alias("unrealized_pnl"), F.when(F.col("id") < 1, -9999.995).otherwise(0.0).alias("realized_pnl"))
+    assert ledger.total_pnl(pnl).first()["total_pnl"] == 0.0

@@ -7,8 +7,13 @@ from pyspark.sql import functions as F
 
 
 def edge(x: Column, digits: int) -> Column:
-    """Rounded for output. Decimal inputs often lie on a tie, which engines break in different ways; a nudge sends all ties up."""
-    return F.round(x + 1e-9, digits)
+    """Rounded for output, as a decimal: what binary numbers leave beyond nine places is taken off, then halves go to the even side, below zero too. Not a number, infinite and what 29 digits don't hold is rounded as it is."""
+    return F.coalesce(F.bround(decimal(x), digits).cast("double"), F.round(x, digits))
+
+
+def decimal(x: Column) -> Column:
+    """x with nine decimal places, of which sums are exact; null if it can't be held."""
+    return x.try_cast("decimal(38,9)")
 
 
 def closes(bars: DataFrame, key: str = "asset") -> DataFrame:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.series import edge
+from ..functions.series import decimal, edge
 from ..work import work_path
 from .orders import text_of
 from .scans import at_places, cut, kept, running, same
@@ -116,7 +116,7 @@ def positions_pnl(trades: DataFrame, prices: DataFrame, default: float = 100.0)
 
 
 def total_pnl(pnl: DataFrame) -> DataFrame:
-    return pnl.groupBy("user_id").agg(edge(F.sum(F.col("unrealized_pnl") + F.col("realized_pnl")), 2).alias("total_pnl"), F.count("*").alias("n_positions"))
+    return pnl.groupBy("user_id").agg(edge(F.sum(decimal(F.col("unrealized_pnl")) + decimal(F.col("realized_pnl"))), 2).alias("total_pnl"), F.count("*").alias("n_positions"))
 
 
 def signed(trades: DataFrame) -> DataFrame:

@@ -30,8 +30,8 @@ BOOK = TRADES + """, folded AS (SELECT user_id, asset, list_reduce(list({'s': si
  ELSE {'s': t.s, 'x': t.x, 'p': t.p, 'q': a.q - least(t.x, a.q), 'c': CASE WHEN a.q > 0 THEN a.c / a.q ELSE 0 END * (a.q - least(t.x, a.q)), 'r': a.r + (t.p - CASE WHEN a.q > 0 THEN a.c / a.q ELSE 0 END) * least(t.x, a.q), 'w': a.w + CASE WHEN a.q > 0 AND t.p > a.c / a.q THEN 1 ELSE 0 END, 'n': a.n + CASE WHEN a.q > 0 THEN 1 ELSE 0 END} END,
  {'s': '', 'x': 0.0::DOUBLE, 'p': 0.0::DOUBLE, 'q': 0.0::DOUBLE, 'c': 0.0::DOUBLE, 'r': 0.0::DOUBLE, 'w': 0, 'n': 0}) AS z FROM trades GROUP BY 1, 2),
  book AS (SELECT user_id, asset, z.q AS quantity, z.c AS cost, z.r AS realized, z.w AS wins, z.n AS closed FROM folded)"""
-POSITIONS = BOOK + ", positions AS (SELECT user_id, asset, round(quantity, 6) AS quantity, round(cost / quantity + 1e-9, 4) AS avg_entry_price, round(realized + 1e-9, 2) AS realized_pnl FROM book WHERE quantity > 0)"
-PNL = POSITIONS + ", " + PRICES + """, pnl AS (SELECT user_id, asset, quantity, avg_entry_price, round(price + 1e-9, 4) AS current_price, round(price * quantity + 1e-9, 2) AS market_value, round((price - avg_entry_price) * quantity + 1e-9, 2) AS unrealized_pnl, realized_pnl FROM positions JOIN prices USING (asset))"""
+POSITIONS = BOOK + ", positions AS (SELECT user_id, asset, round(quantity, 6) AS quantity, CAST(round_even(CAST(cost / quantity AS DECIMAL(38, 9)), 4) AS DOUBLE) AS avg_entry_price, CAST(round_even(CAST(realized AS DECIMAL(38, 9)), 2) AS DOUBLE) AS realized_pnl FROM book WHERE quantity > 0)"
+PNL = POSITIONS + ", " + PRICES + """, pnl AS (SELECT user_id, asset, quantity, avg_entry_price, CAST(round_even(CAST(price AS DECIMAL(38, 9)), 4) AS DOUBLE) AS current_price, CAST(round_even(CAST(price * quantity AS DECIMAL(38, 9)), 2) AS DOUBLE) AS market_value, CAST(round_even(CAST((price - avg_entry_price) * quantity AS DECIMAL(38, 9)), 2) AS DOUBLE) AS unrealized_pnl, realized_pnl FROM positions JOIN prices USING (asset))"""
 CASH = "accounts AS (SELECT user_id, 100000.0 - sum(CASE WHEN side = 'buy' THEN quantity ELSE -quantity END * filled_price) AS cash FROM trades GROUP BY 1)"
 CURVE = TRADES + ", " + PRICES + """, x AS (SELECT t.*, price, CASE WHEN side = 'buy' THEN quantity ELSE -quantity END AS x FROM trades t JOIN prices USING (asset)),
  v AS (SELECT *, greatest(0, sum(x) OVER (PARTITION BY user_id, asset ORDER BY filled_at, trade_id ROWS UNBOUNDED PRECEDING)) * price AS v FROM x),
@@ -87,18 +87,18 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-@query("bars_daily", f"WITH {BARS} SELECT asset, d, round(close + 1e-9, 6) AS close FROM bars")
+@query("bars_daily", f"WITH {BARS} SELECT asset, d, CAST(round_even(CAST(close AS DECIMAL(38, 9)), 6) AS DOUBLE) AS close FROM bars")
 def _(s, d):
     return src.bars(s, d).select("asset", "d", series.edge(F.col("close"), 6).alias("close"))
 
 
-@query("bars_unpivot", f"WITH {BARS} SELECT d, asset, round(close + 1e-9, 6) AS close FROM bars")
+@query("bars_unpivot", f"WITH {BARS} SELECT d, asset, CAST(round_even(CAST(close AS DECIMAL(38, 9)), 6) AS DOUBLE) AS close FROM bars")
 def _(s, d):
     wide = src.bars(s, d).groupBy("d").pivot("asset").agg(F.first("close"))  # a column for each brand
     return src.long_bars(wide).select("d", "asset", series.edge(F.col("close"), 6).alias("close"))
 
 
-@query("bars_history", f"WITH {BARS} SELECT asset, count(*) AS n, round(min(close) + 1e-9, 6) AS low, round(max(close) + 1e-9, 6) AS high FROM bars WHERE d > DATE '2001-02-01' AND d <= DATE '{AS_OF}' GROUP BY 1")
+@query("bars_history", f"WITH {BARS} SELECT asset, count(*) AS n, CAST(round_even(CAST(min(close) AS DECIMAL(38, 9)), 6) AS DOUBLE) AS low, CAST(round_even(CAST(max(close) AS DECIMAL(38, 9)), 6) AS DOUBLE) AS high FROM bars WHERE d > DATE '2001-02-01' AND d <= DATE '{AS_OF}' GROUP BY 1")
 def _(s, d):
     return src.history(src.bars(s, d), AS_OF, 6).groupBy("asset").agg(F.count("*").alias("n"), series.edge(F.min("close"), 6).alias("low"), series.edge(F.max("close"), 6).alias("high"))
 
@@ -108,7 +108,7 @@ def _(s, d):
     return signals.min_history(src.part_bars(s, d), 20).groupBy("asset").agg(F.count("*").alias("n"))
 
 
-@query("series_diff", f"WITH {BARS} SELECT asset, d, round(close - prev + 1e-9, 6) AS diff, round(greatest(close - prev, 0) + 1e-9, 6) AS gain, round(greatest(prev - close, 0) + 1e-9, 6) AS loss FROM (SELECT *, lag(close) OVER (PARTITION BY asset ORDER BY d) AS prev FROM bars) WHERE prev IS NOT NULL")
+@query("series_diff", f"WITH {BARS} SELECT asset, d, CAST(round_even(CAST(close - prev AS DECIMAL(38, 9)), 6) AS DOUBLE) AS diff, CAST(round_even(CAST(greatest(close - prev, 0) AS DECIMAL(38, 9)), 6) AS DOUBLE) AS gain, CAST(round_even(CAST(greatest(prev - close, 0) AS DECIMAL(38, 9)), 6) AS DOUBLE) AS loss FROM (SELECT *, lag(close) OVER (PARTITION BY asset ORDER BY d) AS prev FROM bars) WHERE prev IS NOT NULL")
 def _(s, d):
     diff = F.col("close") - F.lag("close").over(Window.partitionBy("asset").orderBy("d"))
     r = lambda c: series.edge(F.greatest(c, F.lit(0.0)), 6)
@@ -228,7 +228,7 @@ def _(s, d):
     return _pnl(s, d)
 
 
-@query("total_pnl", f"WITH {PNL} SELECT user_id, round(sum(unrealized_pnl + realized_pnl) + 1e-9, 2) AS total_pnl, count(*) AS n_positions FROM pnl GROUP BY 1")
+@query("total_pnl", f"WITH {PNL} SELECT user_id, CAST(round_even(sum(CAST(unrealized_pnl AS DECIMAL(38, 9)) + CAST(realized_pnl AS DECIMAL(38, 9))), 2) AS DOUBLE) AS total_pnl, count(*) AS n_positions FROM pnl GROUP BY 1")
 def _(s, d):
     return ledger.total_pnl(_pnl(s, d))
 
