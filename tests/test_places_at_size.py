@@ -41,3 +41,17 @@ def test_busy_and_quiet_keys(spark, accuracy, margin):
     levels = (0.0, 0.05, 0.5, 1.0)
     got = scans.at_places(spark.createDataFrame(rows, "k int, v double").repartition(5), "k", "v", levels, accuracy=accuracy, margin=margin, busy_rows=500).collect()
     assert len(got) == 4 * 60 and {(x["k"], x["level"]): x["v"] for x in got} == want(rows, levels)
+
+
+@pytest.mark.parametrize("query", ["risk_metrics", "csv_export"])
+def test_risk_figures_send_one_row_a_user(spark, monkeypatch, query):
+    """The places of the risk figures, as the queries ask for them."""
+    from tidemark.plans import queries
+
+    plans, keep = {}, scans.kept
+    monkeypatch.setattr(scans, "kept", lambda rows, name: (plans.setdefault(name, rows._jdf.queryExecution()), keep(rows, name))[1])
+    d = "/root/testdata/sf0.001"
+    assert queries.QUERIES[query](spark, d).count() > 0
+    plan, users = plans["places-found"], spark.read.parquet(f"{d}/events.parquet").where("event_type <> 'error'").select("user_id").distinct().count()
+    assert "explode(sequence" not in plan.optimizedPlan().toString() and "BroadcastHashJoin" not in plan.sparkPlan().toString()
+    assert plans["places-wanted"].toRdd().count() == users
