@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import ledger, scans
 from tidemark.plans import queries
+from tidemark.sources import relations
 
 TRADES = "trade_id long, user_id long, asset string, side string, quantity double, filled_price double, status string, filled_at string"
 
@@ -73,3 +74,30 @@ def test_figures_meet_by_one_grouping(spark, large):
     mean, sd = (a + b) / 2, abs(a - b) / 2**0.5
     assert got[2] == (round(mean / (sd + 1e-9) * 252**0.5, 3), 0.0, 1.0, 2, 0.0, 0.0)
     assert df._jdf.queryExecution().sparkPlan().toString().count("SortMergeJoin") <= 1
+
+
+@pytest.mark.parametrize("few", [0, 10])
+def test_last_price(spark, few):
+    """Equal times go by id; null assets, times, ids and prices stay; also where assets are many."""
+    rows = [("A", 1, 5, 1.0), ("A", 3, 2, 2.0), ("A", 3, 7, 3.0), ("A", 3, 4, 4.0), ("A", None, 9, 5.0), ("B", None, 1, 6.0), ("B", None, 2, 7.0), (None, 4, 1, 8.0), (None, 2, 2, 9.0), ("C", 1, 1, 10.0), ("C", 2, 2, None), ("D", 1, None, 11.0), ("E", 1, None, 12.0), ("E", 1, 0, 13.0)]
+    ticks = spark.createDataFrame(rows, "asset string, filled_at int, trade_id long, filled_price double").withColumn("filled_at", F.timestamp_seconds("filled_at").cast("timestamp_ntz")).repartition(3)
+    got = relations.last_price(ticks, few=few)
+    assert got.columns == ["asset", "price"]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([("A", 3.0), ("B", 7.0), (None, 8.0), ("C", None), ("D", 11.0), ("E", 13.0)], key=str)
+
+
+@pytest.mark.parametrize("query", ["last_price", "csv_export", "risk_metrics", "positions_pnl", "equity_curve", "fill_match", "pending_sweep", "order_precheck"])
+def test_last_prices_do_not_sort_what_a_task_reads(spark, large, monkeypatch, query):
+    """An aggregate by sorting holds all rows of a task, which are those of a whole row group."""
+    plans, keep = [], scans.kept
+
+    def seen(rows, name):
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        return keep(rows, name)
+
+    for module in (scans, ledger, relations, queries):
+        monkeypatch.setattr(module, "kept", seen, raising=False)
+    df = queries.QUERIES[query](spark, "/root/testdata/sf0.001")
+    plans.append(df._jdf.queryExecution().executedPlan().toString())
+    assert df.count() > 0 and any("FileScan" in p for p in plans)
+    assert not [p for p in plans if "SortAggregate" in p]
